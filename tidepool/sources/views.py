@@ -34,10 +34,8 @@ class Dialect:
             return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})"
         return f"epoch_us({ts})"
 
-    def ms(self, ts: str) -> str:  # epoch milliseconds of a TIMESTAMP_NTZ
-        if self.name == "spark":
-            return f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})"
-        return f"epoch_ms({ts})"
+    def ms(self, ts: str) -> str:  # epoch milliseconds of a TIMESTAMP_NTZ, truncated
+        return f"CAST(floor({self.us(ts)} / 1000) AS BIGINT)"
 
     def logts(self, ts: str) -> str:  # log4j %d{yyyy-MM-dd HH:mm:ss,SSS}
         if self.name == "spark":
@@ -420,6 +418,24 @@ def _triggers(d: Dialect) -> list[Part]:
     ]
 
 
+def _json_logs(d: Dialect) -> list[Part]:
+    """Fields of the compact JSON log layout, one event per line."""
+    return [
+        Part(
+            "events",
+            _log_labels()
+            + [
+                "event_id",
+                f"{d.ms('ts')} AS time_millis",
+                f"{_LEVEL} AS level",
+                "'org.example.' || event_type || '.Handler' AS logger_name",
+                f"'worker-' || {_s('event_id % 4')} AS thread",
+                f"'user ' || {_s('user_id')} || ' did ' || event_type AS message",
+            ],
+        )
+    ]
+
+
 def _access(d: Dialect) -> list[Part]:
     return [
         Part(
@@ -450,6 +466,7 @@ def _users(d: Dialect) -> list[Part]:
 VIEWS = {
     "v_messages": _messages,
     "v_logs": _logs,
+    "v_json_logs": _json_logs,
     "v_deployments": _deployments,
     "v_updates": _updates,
     "v_cr": _cr,
