@@ -1 +1,299 @@
-"""Queries (filled in below)."""
+"""Queries of diagnostics (D1-D8) and savepoint snapshots."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import diagnostics as D
+from ..operators import fleet as FO
+from ..operators import savepoints as SP
+from ..sources import cluster, registry
+from ..sources.views import view
+from . import query
+from .oracle import register
+from .q_fleet import CR_SQL
+
+
+def _registry(spark, sf):
+    return FO.live(registry.deployments(spark, sf))
+
+
+# ---------------------------------------------------------------- D1-D8
+
+@query("conditions")
+def conditions(spark, sf):
+    return D.conditions(cluster.custom_resources(spark, sf))
+
+
+register(
+    "conditions",
+    """SELECT name, namespace, CASE WHEN k = 0 THEN 'Ready' ELSE 'Progressing' END AS type,
+      CASE WHEN jm_status = 'READY' THEN 'True' ELSE 'False' END AS status,
+      CASE WHEN k = 0 THEN 'JobManagerReady' ELSE 'Reconciling' END AS reason,
+      'condition ' || CAST(k AS VARCHAR) || ' of ' || name AS message, cond_time AS last_transition_time
+    FROM (SELECT *, unnest(range(n_conditions)) AS k FROM v_cr)""",
+)
+
+POD_COLS = ["pod_name", "app", "namespace", "phase", "node", "reason", "start_time", "restart_count", "n_containers"]
+
+
+@query("pod_health")
+def pod_health(spark, sf):
+    return D.pod_health(cluster.pods(spark, sf)).select(*POD_COLS)
+
+
+register(
+    "pod_health",
+    """SELECT pod_name, app, namespace, phase, node, reason, start_time,
+      CASE WHEN no_containers THEN 0 ELSE coalesce(c1_restarts, 0) + coalesce(c2_restarts, 0) END AS restart_count,
+      CASE WHEN no_containers THEN 0 ELSE 2 END AS n_containers
+    FROM v_pods""",
+)
+
+
+@query("container_state")
+def container_state(spark, sf):
+    return D.container_state(cluster.pods(spark, sf))
+
+
+register(
+    "container_state",
+    """SELECT pod_name, CASE WHEN no_containers OR c1_state IS NULL THEN 'Unknown'
+      WHEN json_extract(c1_state, '$.running') IS NOT NULL THEN 'Running'
+      WHEN json_extract(c1_state, '$.waiting') IS NOT NULL THEN 'Waiting'
+      WHEN json_extract(c1_state, '$.terminated') IS NOT NULL THEN 'Terminated' ELSE 'Unknown' END AS container_state
+    FROM v_pods""",
+)
+
+
+@query("related_events")
+def related_events(spark, sf):
+    """Events whose object name or message contains a deployment's name (substring), same namespace."""
+    return D.related_events(_registry(spark, sf), cluster.k8s_events(spark, sf))
+
+
+RELATED_SQL = """related AS (
+  SELECT DISTINCT d.id, e.event_id AS uid FROM v_deployments d
+  JOIN v_k8s_events e ON e.namespace = d.namespace
+   AND (coalesce(contains(NULLIF(e.object_name, ''), d.deployment_name), false)
+        OR coalesce(contains(NULLIF(e.message, ''), d.deployment_name), false))
+  WHERE d.deleted_at IS NULL
+    AND NOT (coalesce(e.reason = 'Unhealthy', false) AND coalesce(contains(e.message, 'Startup probe failed'), false)))"""
+register("related_events", f"WITH {RELATED_SQL} SELECT id, uid FROM related")
+
+EVENT_VIEW_SQL = """ev AS (
+  SELECT event_id AS uid, NULLIF(reason, '') AS reason, NULLIF(message, '') AS message, NULLIF(type, '') AS type,
+    NULLIF(object_kind, '') AS object_kind, NULLIF(object_name, '') AS object_name, namespace,
+    coalesce(NULLIF(first_ts, ''), NULLIF(event_time, '')) AS first_seen,
+    coalesce(NULLIF(last_ts, ''), NULLIF(event_time, '')) AS last_seen,
+    coalesce(NULLIF(count, 0), 1) AS count
+  FROM v_k8s_events)"""
+
+
+@query("event_view")
+def event_view(spark, sf):
+    return D.event_view(cluster.k8s_events(spark, sf))
+
+
+register("event_view", f"WITH {EVENT_VIEW_SQL} SELECT * FROM ev")
+
+
+@query("recent_events")
+def recent_events(spark, sf):
+    reg = _registry(spark, sf)
+    ev = cluster.k8s_events(spark, sf)
+    return D.recent_events(D.related_events(reg, ev), ev).select("id", "uid", "seen_ms", "rank")
+
+
+register(
+    "recent_events",
+    f"""WITH {RELATED_SQL}, {EVENT_VIEW_SQL},
+    r AS (SELECT related.id, ev.uid, epoch_ms(try_strptime(coalesce(last_seen, first_seen), '%Y-%m-%dT%H:%M:%SZ')) AS seen_ms
+          FROM related JOIN ev USING (uid)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seen_ms DESC NULLS LAST, uid DESC) AS rank FROM r)
+    SELECT id, uid, seen_ms, rank FROM k WHERE rank <= 8""",
+)
+
+_RULES_SQL = " UNION ALL ".join(
+    f"SELECT {i} AS rule_order, '{sev}' AS severity, '{reason}' AS reason, '{msg}' AS message"
+    for i, (_m, sev, reason, msg) in enumerate(D.RULES)
+)
+
+
+def _flags_sql(text: str) -> str:
+    return ", ".join(
+        "(" + " OR ".join(f"coalesce(contains({text}, '{m}'), false)" for m in markers) + f") AS r{i}"
+        for i, (markers, *_r) in enumerate(D.RULES)
+    )
+
+
+RECS_SQL = f"""{CR_SQL}, {RELATED_SQL}, {EVENT_VIEW_SQL},
+live AS (SELECT id, deployment_name, namespace FROM v_deployments WHERE deleted_at IS NULL),
+st AS (SELECT live.id, concat_ws('|', lifecycle_state, jm_status, job_state, upgrade_path, error) AS t
+       FROM live JOIN cr ON cr.name = live.deployment_name AND cr.namespace = live.namespace),
+pt AS (SELECT live.id, concat_ws('|', pod_name, phase, node, reason, start_time,
+              CASE WHEN NOT no_containers THEN concat_ws('|', c1_state, c1_last_state, c2_state, c2_last_state) END) AS t
+       FROM live JOIN v_pods p ON p.app = live.deployment_name AND p.namespace = live.namespace),
+et AS (SELECT related.id, concat_ws('|', reason, message, type, object_kind, object_name, first_seen, last_seen) AS t
+       FROM related JOIN ev USING (uid)),
+flags AS (SELECT id, {", ".join(f"bool_or(r{i}) AS r{i}" for i in range(len(D.RULES)))}
+          FROM (SELECT id, {_flags_sql('t')} FROM (SELECT * FROM st UNION ALL SELECT * FROM pt UNION ALL SELECT * FROM et))
+          WHERE id IN (SELECT id FROM st) GROUP BY id),
+rules AS ({_RULES_SQL}),
+recs AS (SELECT f.id, r.* FROM flags f JOIN rules r ON
+  {" OR ".join(f"(r.rule_order = {i} AND f.r{i})" for i in range(len(D.RULES)))})"""
+
+
+def _flags(spark, sf):
+    reg = _registry(spark, sf)
+    ev = cluster.k8s_events(spark, sf)
+    status = FO.cr_status(cluster.custom_resources(spark, sf))
+    return D.recommendation_flags(status, cluster.pods(spark, sf), D.related_events(reg, ev), ev, reg)
+
+
+@query("recommendations")
+def recommendations(spark, sf):
+    return D.recommendations(_flags(spark, sf)).select("id", "rule_order", "severity", "reason", "message")
+
+
+register("recommendations", f"WITH {RECS_SQL} SELECT id, rule_order, severity, reason, message FROM recs")
+
+
+@query("diagnostics_report")
+def diagnostics_report(spark, sf):
+    """Per deployment: status, conditions, pods, restarts, related events and recommendations."""
+    cr = cluster.custom_resources(spark, sf)
+    return D.diagnostics_report(_registry(spark, sf), FO.cr_status(cr), cr, cluster.pods(spark, sf), cluster.k8s_events(spark, sf))
+
+
+register(
+    "diagnostics_report",
+    f"""WITH {RECS_SQL},
+    pods_agg AS (SELECT app, namespace, count(*) AS n_pods,
+                 sum(CASE WHEN no_containers THEN 0 ELSE coalesce(c1_restarts, 0) + coalesce(c2_restarts, 0) END) AS total_restarts
+                 FROM v_pods GROUP BY app, namespace),
+    ev_agg AS (SELECT id, count(*) AS n_events FROM related GROUP BY id),
+    rec_agg AS (SELECT id, string_agg(reason, '; ' ORDER BY rule_order) AS recommendations FROM recs GROUP BY id)
+    SELECT live.id, live.deployment_name, live.namespace,
+      CASE WHEN cr.name IS NULL THEN 'DELETED' ELSE cr.lifecycle_state END AS lifecycle_state,
+      cr.jm_status, cr.job_state, cr.error,
+      CAST(coalesce(cr.n_conditions, 0) AS BIGINT) AS n_conditions,
+      CAST(coalesce(p.n_pods, 0) AS BIGINT) AS n_pods, CAST(coalesce(p.total_restarts, 0) AS BIGINT) AS total_restarts,
+      CAST(coalesce(e.n_events, 0) AS BIGINT) AS n_events,
+      CASE WHEN cr.name IS NULL THEN '' ELSE coalesce(r.recommendations, '') END AS recommendations
+    FROM live
+    LEFT JOIN (SELECT cr.*, v.n_conditions FROM cr JOIN v_cr v USING (name, namespace)) cr
+      ON cr.name = live.deployment_name AND cr.namespace = live.namespace
+    LEFT JOIN pods_agg p ON p.app = live.deployment_name AND p.namespace = live.namespace
+    LEFT JOIN ev_agg e ON e.id = live.id
+    LEFT JOIN rec_agg r ON r.id = live.id""",
+)
+
+# ---------------------------------------------------------------- E1-E5
+
+
+def _triggers(spark, sf):
+    return view(spark, sf, "v_triggers")
+
+
+@query("snapshot_candidate")
+def snapshot_candidate(spark, sf):
+    """Per savepoint trigger: the newest manual savepoint snapshot created no earlier than trigger - 1 s."""
+    return SP.snapshot_candidate(_triggers(spark, sf), cluster.state_snapshots(spark, sf))
+
+
+CAND_SQL = """s AS (SELECT job_name AS deployment_name, namespace,
+         epoch_ms(try_strptime(created, '%Y-%m-%dT%H:%M:%SZ')) AS created_ms, name AS snapshot_name, state, path, result_ts, error
+       FROM v_snapshots WHERE trigger_type = 'MANUAL' AND snap_type = 'SAVEPOINT'),
+c AS (SELECT t.deployment_name, t.namespace, t.trigger_ms, s.created_ms, s.snapshot_name, s.state, s.path, s.result_ts, s.error,
+        row_number() OVER (PARTITION BY t.deployment_name, t.namespace, t.trigger_ms ORDER BY s.created_ms DESC, s.snapshot_name DESC) AS rn
+      FROM v_triggers t JOIN s ON s.deployment_name = t.deployment_name AND s.namespace = t.namespace
+       AND s.created_ms >= t.trigger_ms - 1000),
+cand AS (SELECT t.deployment_name, t.namespace, t.trigger_ms, c.path AS last_savepoint_path,
+  CASE WHEN NULLIF(c.result_ts, '') IS NOT NULL THEN epoch_ms(try_strptime(c.result_ts, '%Y-%m-%dT%H:%M:%SZ')) END AS result_ms,
+  coalesce(c.state = 'COMPLETED', false) AS completed, coalesce(c.state = 'FAILED', false) AS failed,
+  CASE WHEN c.state = 'FAILED' THEN c.error END AS failure_reason
+  FROM v_triggers t LEFT JOIN (SELECT * FROM c WHERE rn = 1) c USING (deployment_name, namespace, trigger_ms))"""
+register("snapshot_candidate", f"WITH {CAND_SQL} SELECT * FROM cand")
+
+
+@query("savepoint_outcome")
+def savepoint_outcome(spark, sf):
+    return SP.savepoint_outcome(SP.snapshot_candidate(_triggers(spark, sf), cluster.state_snapshots(spark, sf)))
+
+
+register(
+    "savepoint_outcome",
+    f"""WITH {CAND_SQL}
+    SELECT deployment_name, namespace, trigger_ms,
+      CASE WHEN failed THEN 'error' WHEN completed AND last_savepoint_path IS NOT NULL AND coalesce(result_ms >= trigger_ms, false)
+           THEN 'success' ELSE 'timed_out' END AS outcome,
+      CASE WHEN failed THEN coalesce(failure_reason, 'unknown error') END AS reason,
+      CASE WHEN NOT failed AND completed AND last_savepoint_path IS NOT NULL AND coalesce(result_ms >= trigger_ms, false)
+           THEN last_savepoint_path END AS savepoint_path,
+      trigger_ms + 120000 AS deadline_ms
+    FROM cand""",
+)
+
+
+@query("savepoint_history")
+def savepoint_history(spark, sf):
+    return SP.savepoint_history(_registry(spark, sf), registry.savepoints(spark, sf))
+
+
+register(
+    "savepoint_history",
+    """SELECT s.deployment_id, d.deployment_name, s.id, s.path, s.source, s.created_at,
+      count(*) OVER (PARTITION BY s.deployment_id) AS total
+    FROM v_savepoints s JOIN v_deployments d ON d.id = s.deployment_id WHERE d.deleted_at IS NULL""",
+)
+
+
+@query("resume_source")
+def resume_source(spark, sf):
+    """Per resume request: stateless, path:<older savepoint>, latest, or the rejecting error kind."""
+    return SP.resume_source(view(spark, sf, "v_resume_requests"), _registry(spark, sf), registry.savepoints(spark, sf))
+
+
+register(
+    "resume_source",
+    """WITH d AS (SELECT * FROM v_deployments WHERE deleted_at IS NULL),
+    newest AS (SELECT deployment_id, id AS newest_id FROM (
+      SELECT *, row_number() OVER (PARTITION BY deployment_id ORDER BY created_at DESC, id DESC) AS rn FROM v_savepoints) WHERE rn = 1)
+    SELECT r.request_id, r.deployment_name, r.savepoint_id, r.skip_savepoint,
+      CASE WHEN d.id IS NULL THEN 'error:deployment_not_found'
+           WHEN d.deployment_mode <> 'application' THEN 'error:not_application_mode'
+           WHEN r.savepoint_id IS NOT NULL AND r.skip_savepoint THEN 'error:both_savepoint_and_skip'
+           WHEN coalesce(d.pending_action, '') <> '' THEN 'error:action_pending'
+           WHEN d.status NOT IN ('suspended', 'failed', 'unknown') THEN 'error:not_resumable'
+           WHEN r.skip_savepoint THEN 'stateless'
+           WHEN r.savepoint_id IS NULL THEN 'latest'
+           WHEN s.path IS NULL THEN 'error:savepoint_not_found'
+           WHEN n.newest_id = r.savepoint_id THEN 'latest'
+           ELSE 'path:' || s.path END AS decision
+    FROM v_resume_requests r
+    LEFT JOIN d ON d.deployment_name = r.deployment_name
+    LEFT JOIN v_savepoints s ON s.id = r.savepoint_id AND s.deployment_id = d.id
+    LEFT JOIN newest n ON n.deployment_id = d.id""",
+)
+
+UPSERT_CUTOFF = "1996-01-01 00:00:00"
+
+
+@query("savepoint_upsert")
+def savepoint_upsert(spark, sf):
+    """Savepoints recorded before 1996 form the table; every line-item savepoint record is upserted into it."""
+    existing = registry.savepoints(spark, sf).where(F.col("created_at") < F.lit(UPSERT_CUTOFF).cast("timestamp_ntz"))
+    return SP.savepoint_upsert(existing, view(spark, sf, "v_savepoint_rows"))
+
+
+register(
+    "savepoint_upsert",
+    f"""WITH e AS (SELECT deployment_id, path, source, created_at FROM v_savepoints WHERE created_at < TIMESTAMP '{UPSERT_CUTOFF}'),
+    i AS (SELECT deployment_id, path, source, created_at FROM (
+      SELECT *, row_number() OVER (PARTITION BY deployment_id, path ORDER BY created_at, source) AS rn FROM v_savepoint_rows) WHERE rn = 1)
+    SELECT deployment_id, path, source, created_at, false AS inserted FROM e
+    UNION ALL
+    SELECT deployment_id, path, source, created_at, true AS inserted FROM i
+    WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.deployment_id = i.deployment_id AND e.path = i.path)""",
+)

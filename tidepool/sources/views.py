@@ -196,6 +196,7 @@ def _updates(d: Dialect) -> list[Part]:
                 "CASE WHEN o_custkey % 2 = 1 THEN '8' END AS upd_conf_parallelism",
                 "CASE WHEN o_orderkey % 7 = 3 THEN 'hashmap' END AS upd_conf_backend",
                 "CASE WHEN o_custkey % 5 = 2 THEN 'true' END AS upd_conf_unaligned",
+                "CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_custkey % 20 AS INT) END AS upd_job_parallelism",
             ],
             where="o_orderkey % 2 = 1",
         )
@@ -436,6 +437,22 @@ def _json_logs(d: Dialect) -> list[Part]:
     ]
 
 
+def _resume_requests(d: Dialect) -> list[Part]:
+    """One resume request per order: a deployment (or an unknown name), an optional savepoint id, skip flag."""
+    return [
+        Part(
+            "orders",
+            [
+                "o_orderkey AS request_id",
+                f"CASE WHEN o_orderkey % 53 = 0 THEN 'ghost-' ELSE 'job-' END || {_s('o_orderkey')} AS deployment_name",
+                "CASE o_orderkey % 4 WHEN 0 THEN CAST(NULL AS BIGINT) WHEN 1 THEN o_orderkey * 8 + 1 "
+                "WHEN 2 THEN CAST(999999999999 AS BIGINT) ELSE o_orderkey * 8 + 2 END AS savepoint_id",
+                "o_custkey % 5 = 0 AS skip_savepoint",
+            ],
+        )
+    ]
+
+
 def _access(d: Dialect) -> list[Part]:
     return [
         Part(
@@ -477,6 +494,7 @@ VIEWS = {
     "v_k8s_events": _k8s_events,
     "v_snapshots": _snapshots,
     "v_triggers": _triggers,
+    "v_resume_requests": _resume_requests,
     "v_access": _access,
     "v_users": _users,
 }
