@@ -454,12 +454,14 @@ def _resume_requests(d: Dialect) -> list[Part]:
 
 
 def _access(d: Dialect) -> list[Part]:
+    """Login/registration attempts: one per event, replayed one per second in event order."""
+    base = "TIMESTAMP '2024-01-01 00:00:00'" if d.name == "duckdb" else "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
     return [
         Part(
             "events",
             [
                 f"'ip-' || {_s('user_id % 50')} AS source_key",
-                "ts",
+                f"{d.add(base, 'SECOND', 'event_id')} AS ts",
                 "CASE WHEN event_type = 'signup' THEN 'register' ELSE 'login' END AS kind",
                 "event_id",
             ],
