@@ -149,15 +149,22 @@ def _marker_flags(text: Column) -> list[Column]:
 
 
 def recommendation_flags(status: DataFrame, pods: DataFrame, related: DataFrame, events: DataFrame, deployments: DataFrame) -> DataFrame:
-    """Per deployment with a snapshot: which rules fire on its status, pods and related events."""
+    """Per deployment with a snapshot: which rules fire on its status, pods and related events.
+
+    A marker occurs in the JSON text of {status, pods, events} exactly when it occurs in one
+    of their string fields (markers hold no JSON-escaped characters and no field names contain
+    them), so each row's string fields are joined with a separator and searched directly.
+    """
     names = deployments.select("id", "deployment_name", "namespace")
     st = status.withColumnRenamed("name", "deployment_name").join(names, ["deployment_name", "namespace"])
-    st_rows = st.select("id", *_marker_flags(F.to_json(F.struct("lifecycle_state", "jm_status", "job_state", "upgrade_path", "error"))))
+    st_rows = st.select("id", *_marker_flags(F.concat_ws("|", "lifecycle_state", "jm_status", "job_state", "upgrade_path", "error")))
     ph = pod_health(pods)
-    pod_rows = ph.join(names.withColumnRenamed("deployment_name", "app"), ["app", "namespace"]).select(
-        "id", *_marker_flags(F.to_json(F.struct(*[c for c in ph.columns]))))
+    containers = F.array_join(F.transform("containers", lambda c: F.concat_ws("|", c["name"], c["state"], c["lastState"])), "|")
+    pod_text = F.concat_ws("|", "pod_name", "phase", "node", "reason", "start_time", containers)
+    pod_rows = ph.join(names.withColumnRenamed("deployment_name", "app"), ["app", "namespace"]).select("id", *_marker_flags(pod_text))
     ev = event_view(events)
-    ev_rows = related.join(ev, "uid").select("id", *_marker_flags(F.to_json(F.struct(*[c for c in ev.columns]))))
+    ev_text = F.concat_ws("|", "reason", "message", "type", "object_kind", "object_name", "first_seen", "last_seen")
+    ev_rows = related.join(ev, "uid").select("id", *_marker_flags(ev_text))
     flags = st_rows.unionByName(pod_rows).unionByName(ev_rows)
     agg = flags.groupBy("id").agg(*[F.bool_or(f"r{i}").alias(f"r{i}") for i in range(len(RULES))])
     # only deployments that have a snapshot get recommendations
