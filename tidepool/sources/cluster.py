@@ -1,9 +1,10 @@
-"""Cluster snapshot documents (custom resources, pods, events, state snapshots) as JSON.
+"""Cluster snapshot documents (custom resources, pods, events, state snapshots).
 
 Real snapshots are JSON files (one document per line) read with an explicit nested
-schema (``read_documents``). The stand-in builders serialise the flat views into the
-same JSON documents, and every job parses them back through ``parse_documents``, so
-the JSON path is exercised end to end.
+schema (``read_documents``). The stand-in custom resources are serialised to JSON and
+parsed back through ``parse_documents``, so that path runs end to end in every fleet
+query; pods, events and state snapshots are handed over as already-typed documents of
+the declared schema (``*_documents`` still gives their JSON text for file round trips).
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def custom_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_documents(cr_documents(spark, sf_dir), S.CR_DDL)
 
 
-def pod_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pod_documents(spark: SparkSession, sf_dir: str, as_json: bool = True) -> DataFrame:
     v = view(spark, sf_dir, "v_pods")
 
     def container(i: int) -> Column:
@@ -95,14 +96,14 @@ def pod_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(~F.col("no_containers"), F.array(container(1), container(2))).alias("containerStatuses"),
         ).alias("status"),
     )
-    return v.select(_json(doc))
+    return v.select(_json(doc)) if as_json else v.select(doc.alias("d")).select("d.*")
 
 
 def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_documents(pod_documents(spark, sf_dir), S.POD_DDL)
+    return pod_documents(spark, sf_dir, as_json=False)
 
 
-def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_documents(spark: SparkSession, sf_dir: str, as_json: bool = True) -> DataFrame:
     v = view(spark, sf_dir, "v_k8s_events")
     doc = F.struct(
         F.col("event_id").alias("uid"),
@@ -117,14 +118,14 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_time").alias("eventTime"),
         F.col("count"),
     )
-    return v.select(_json(doc))
+    return v.select(_json(doc)) if as_json else v.select(doc.alias("d")).select("d.*")
 
 
 def k8s_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_documents(event_documents(spark, sf_dir), "uid bigint, " + S.EVENT_DDL)
+    return event_documents(spark, sf_dir, as_json=False)
 
 
-def snapshot_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapshot_documents(spark: SparkSession, sf_dir: str, as_json: bool = True) -> DataFrame:
     v = view(spark, sf_dir, "v_snapshots")
     labels = F.create_map(
         F.lit("job-reference.name"), F.col("job_name"),
@@ -137,8 +138,8 @@ def snapshot_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.struct(F.col("state"), F.col("path"), F.col("result_ts").alias("resultTimestamp"), F.col("error")).alias("status"),
     )
-    return v.select(_json(doc))
+    return v.select(_json(doc)) if as_json else v.select(doc.alias("d")).select("d.*")
 
 
 def state_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_documents(snapshot_documents(spark, sf_dir), S.SNAPSHOT_DDL)
+    return snapshot_documents(spark, sf_dir, as_json=False)
