@@ -160,3 +160,71 @@ register(
     "continuity_audit",
     "SELECT message, count(*) AS sent, count(*) AS received, 'ok' AS status FROM v_messages GROUP BY message",
 )
+
+
+# ---------------------------------------------------------------- log streams
+
+from ..operators import logs as L  # noqa: E402
+from ..sources import logs as LS  # noqa: E402
+from ..streaming import logs as SL  # noqa: E402
+
+TAIL_QUERY = L.LogQuery(app="job-7", levels=["warn", "error"])
+LEVEL_SQL = r"NULLIF(regexp_extract(line, '^\S+\s+\S+\s+([A-Z]+)\s+\S+\s+-\s+', 1), '')"
+TAIL_SQL = (f"SELECT app, component, namespace, pod, ts_ns, ts_ns / 1e6 AS ts_ms, line, {LEVEL_SQL} AS level "
+            f"FROM v_logs WHERE app = 'job-7' AND {LEVEL_SQL} IN ('WARN', 'ERROR')")
+HIGH_WATER_NS = 1705708800 * 10**9  # 2024-01-20T00:00:00Z
+
+
+def _write_frames(spark, sf, path, where=None):
+    lines = LS.log_lines(spark, sf)
+    if where is not None:
+        lines = lines.where(where)
+    SL.frames_of(lines).write.mode("append").text(path)
+    # malformed frames (truncated JSON) that the tail must skip
+    spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").where("event_id % 101 = 0") \
+        .select(F.concat(F.lit('{"streams": [{"stream": '), F.col("event_id").cast("string")).alias("value")) \
+        .write.mode("append").text(path)
+
+
+@query("log_tail")
+def log_tail(spark, sf):
+    """Label and level predicates on the live tail; malformed frames are skipped."""
+    base = scratch_path(spark, "tail")
+    _write_frames(spark, sf, f"{base}/frames")
+    return SL.tail(spark, f"{base}/frames", TAIL_QUERY, f"{base}/out", f"{base}/ckpt")
+
+
+register("log_tail", TAIL_SQL)
+
+
+@query("log_store_sink")
+def log_store_sink(spark, sf):
+    """Stream every log line into the day-partitioned store and read it back (retention off)."""
+    base = scratch_path(spark, "store")
+    _write_frames(spark, sf, f"{base}/frames")
+    SL.store_logs(SL.read_tail(spark, f"{base}/frames"), f"{base}/store", f"{base}/ckpt")
+    return SL.read_log_store(spark, f"{base}/store").select("app", "component", "namespace", "pod", "ts_ns", "line", "log_date")
+
+
+register(
+    "log_store_sink",
+    "SELECT app, component, namespace, pod, ts_ns, line, "
+    "CAST(DATE '1970-01-01' + CAST(floor(ts_ns / 86400000000000) AS INTEGER) AS VARCHAR) AS log_date FROM v_logs",
+)
+
+
+@query("log_backfill_then_tail")
+def log_backfill_then_tail(spark, sf):
+    """History from the log store up to a high-water mark, then the live tail after it."""
+    base = scratch_path(spark, "backfill")
+    _write_frames(spark, sf, f"{base}/hist", F.col("ts_ns") <= HIGH_WATER_NS)
+    SL.store_logs(SL.read_tail(spark, f"{base}/hist"), f"{base}/store", f"{base}/ckpt-store")
+    history = L.apply_predicates(SL.read_log_store(spark, f"{base}/store", end_ns=HIGH_WATER_NS + 1), TAIL_QUERY)
+    history = history.withColumn("ts_ms", F.col("ts_ns") / F.lit(1e6))
+    _write_frames(spark, sf, f"{base}/live", F.col("ts_ns") > HIGH_WATER_NS)
+    live = SL.tail(spark, f"{base}/live", TAIL_QUERY, f"{base}/out", f"{base}/ckpt-tail")
+    cols = ["app", "component", "namespace", "pod", "ts_ns", "ts_ms", "line", "level"]
+    return SL.backfill_then_tail(history.select(*cols), live.select(*cols), HIGH_WATER_NS)
+
+
+register("log_backfill_then_tail", TAIL_SQL)
