@@ -228,3 +228,25 @@ def log_backfill_then_tail(spark, sf):
 
 
 register("log_backfill_then_tail", TAIL_SQL)
+
+
+# ---------------------------------------------------------------- continuous reconciliation
+
+from ..sources import registry as REG  # noqa: E402
+from ..operators import fleet as FO  # noqa: E402
+from ..streaming import reconcile as RS  # noqa: E402
+from .q_fleet import RECON_SQL  # noqa: E402
+
+
+@query("reconcile_stream")
+def reconcile_stream(spark, sf):
+    """Two successive complete polls of the custom resources, each reconciled as it arrives."""
+    base = scratch_path(spark, "reconcile")
+    reg = FO.live(REG.deployments(spark, sf))
+    for poll in (1, 2):
+        RS.write_poll(spark, sf, f"{base}/polls", poll)
+        RS.reconcile_stream(spark, reg, f"{base}/polls", base)
+    return RS.latest_version(spark, base).select("id", "status", "pending_action", "error_message", "last_savepoint_path")
+
+
+register("reconcile_stream", f"{RECON_SQL} SELECT id, status, pending_action, error_message, last_savepoint_path FROM recon")
