@@ -250,3 +250,23 @@ def reconcile_stream(spark, sf):
 
 
 register("reconcile_stream", f"{RECON_SQL} SELECT id, status, pending_action, error_message, last_savepoint_path FROM recon")
+
+
+# ---------------------------------------------------------------- pod log files (B1)
+
+
+@query("pod_log_source")
+def pod_log_source(spark, sf):
+    """Tail kubelet log files of every pod; labels from the path and the running-pod table."""
+    base = scratch_path(spark, "podlogs")
+    lines = LS.log_lines(spark, sf).withColumn("pod_uid", F.lit("u1"))
+    LS.envelope_lines(lines).write.partitionBy("pod_dir", "container").text(f"{base}/pods")
+    pods = LS.log_lines(spark, sf).select(F.col("pod").alias("name"), "namespace", "app", "component").distinct() \
+        .withColumn("phase", F.when(F.col("name").endswith("-2"), "Pending").otherwise("Running"))
+    s = LS.attach_pod_labels(LS.read_pod_logs(spark, f"{base}/pods"), pods)
+    s.select("app", "component", "namespace", "pod", "ts_ns", "line").writeStream.format("parquet") \
+        .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+register("pod_log_source", "SELECT app, component, namespace, pod, ts_ns, line FROM v_logs WHERE NOT ends_with(pod, '-2')")
