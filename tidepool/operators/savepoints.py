@@ -1,17 +1,15 @@
 """Savepoint snapshots, outcomes, history, resume decisions and idempotent upserts.
 
-``snapshot_candidate`` answers "which savepoint did this trigger produce": among the
-manual savepoint snapshots of the deployment created no earlier than one second before
-the trigger, the newest. Because the time condition is only a lower bound, the newest
-qualifying snapshot is simply the newest snapshot overall when that one qualifies, so
-snapshots are first reduced to one row per (deployment, namespace) with a partially
-aggregated ``max_by`` (skew-proof: a hot deployment never lands in one task as raw
-rows), and only then equi-joined with the triggers.
+A savepoint trigger is polled every five seconds until 120 s after it; every poll looks at the newest manual
+savepoint snapshot created no earlier than one second before the trigger. Triggers and snapshots meet in a
+range join: both carry a time bucket as wide as a trigger's window, a trigger looks into the two buckets its
+window can touch, so the join is an equi-join on (deployment, namespace, bucket) whose groups are bounded by
+one window's snapshots whatever the history.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Snapshot labels, creation tolerance, poll step and deadline.
@@ -22,6 +20,7 @@ MANUAL, SAVEPOINT = "MANUAL", "SAVEPOINT"
 CREATION_TOLERANCE_MS = 1000
 POLL_INTERVAL_MS = 5000
 DEADLINE_MS = 120000
+TRIGGER = ["deployment_name", "namespace", "trigger_ms"]
 
 
 def _iso_ms(c):
@@ -29,10 +28,10 @@ def _iso_ms(c):
     return F.unix_millis(F.try_to_timestamp(c))
 
 
-def newest_manual_snapshots(snapshots: DataFrame) -> DataFrame:
-    """Per (deployment, namespace): the newest parsable manual savepoint snapshot."""
+def manual_snapshots(snapshots: DataFrame) -> DataFrame:
+    """The manual savepoint snapshots with a readable creation time."""
     labels = F.col("metadata.labels")
-    s = snapshots.where(
+    return snapshots.where(
         (labels.getItem(LABEL_TRIGGER) == MANUAL) & (labels.getItem(LABEL_TYPE) == SAVEPOINT)
     ).select(
         labels.getItem(LABEL_JOB).alias("deployment_name"),
@@ -40,40 +39,64 @@ def newest_manual_snapshots(snapshots: DataFrame) -> DataFrame:
         _iso_ms(F.col("metadata.creationTimestamp")).alias("created_ms"),
         F.col("metadata.name").alias("snapshot_name"),
         F.col("status.state").alias("state"),
-        F.col("status.path").alias("path"),
-        F.col("status.resultTimestamp").alias("result_ts"),
+        F.nullif(F.col("status.path"), F.lit("")).alias("path"),
+        _iso_ms(F.nullif(F.col("status.resultTimestamp"), F.lit(""))).alias("result_ms"),
         F.col("status.error").alias("error"),
     ).where(F.col("created_ms").isNotNull())
-    best = F.max_by(F.struct("created_ms", "snapshot_name", "state", "path", "result_ts", "error"),
-                    F.struct("created_ms", "snapshot_name"))
-    return s.groupBy("deployment_name", "namespace").agg(best.alias("b")).select("deployment_name", "namespace", "b.*")
+
+
+def in_window(triggers: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(trigger, snapshot) for every snapshot created within a trigger's window, one second before it to its deadline."""
+    width = CREATION_TOLERANCE_MS + DEADLINE_MS + 1
+    lo, hi = F.col("trigger_ms") - CREATION_TOLERANCE_MS, F.col("trigger_ms") + DEADLINE_MS
+    t = triggers.select(*TRIGGER, F.explode(F.array_distinct(F.array(F.floor(lo / width), F.floor(hi / width)))).alias("_bucket"))
+    s = manual_snapshots(snapshots).withColumn("_bucket", F.floor(F.col("created_ms") / width))
+    j = t.join(s, ["deployment_name", "namespace", "_bucket"])
+    return j.where((F.col("created_ms") >= lo) & (F.col("created_ms") <= hi)).drop("_bucket")
 
 
 def snapshot_candidate(triggers: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Per trigger: path, result time, completed, failed, failure reason of the savepoint it produced."""
-    newest = newest_manual_snapshots(snapshots)
-    j = triggers.join(newest, ["deployment_name", "namespace"], "left")
-    hit = F.coalesce(F.col("created_ms") >= F.col("trigger_ms") - CREATION_TOLERANCE_MS, F.lit(False))
-    state = F.when(hit, F.col("state"))
+    """Per trigger: path, result time, completed, failed, failure reason of the newest snapshot of its window."""
+    fields = ["snapshot_name", "path", "result_ms", "state", "error"]
+    newest = in_window(triggers, snapshots).groupBy(*TRIGGER).agg(
+        F.max_by(F.struct(*fields), F.struct("created_ms", "snapshot_name")).alias("b"))
+    j = triggers.join(newest, TRIGGER, "left")
+    state = F.col("b.state")
     return j.select(
-        "deployment_name", "namespace", "trigger_ms",
-        F.when(hit, F.col("path")).alias("last_savepoint_path"),
-        F.when(hit & F.col("result_ts").isNotNull() & (F.col("result_ts") != ""), _iso_ms(F.col("result_ts"))).alias("result_ms"),
+        *TRIGGER, F.col("b.snapshot_name").alias("snapshot_name"),
+        F.col("b.path").alias("last_savepoint_path"),
+        F.col("b.result_ms").alias("result_ms"),
         F.coalesce(state == "COMPLETED", F.lit(False)).alias("completed"),
         F.coalesce(state == "FAILED", F.lit(False)).alias("failed"),
-        F.when(state == "FAILED", F.col("error")).alias("failure_reason"),
+        F.when(state == "FAILED", F.col("b.error")).alias("failure_reason"),
     )
 
 
-def savepoint_outcome(candidates: DataFrame) -> DataFrame:
-    """Outcome once polling stops: error (with reason), success (fresh completion), else timed out."""
-    fresh = F.col("completed") & F.col("last_savepoint_path").isNotNull() & F.coalesce(F.col("result_ms") >= F.col("trigger_ms"), F.lit(False))
-    return candidates.select(
-        "deployment_name", "namespace", "trigger_ms",
-        F.when(F.col("failed"), "error").when(fresh, "success").otherwise("timed_out").alias("outcome"),
-        F.when(F.col("failed"), F.coalesce("failure_reason", F.lit("unknown error"))).alias("reason"),
-        F.when(~F.col("failed") & fresh, F.col("last_savepoint_path")).alias("savepoint_path"),
-        (F.col("trigger_ms") + DEADLINE_MS).alias("deadline_ms"),
+def savepoint_outcome(triggers: DataFrame, snapshots: DataFrame, now_ms: int) -> DataFrame:
+    """What polling gives for every trigger up to ``now_ms``: error (with reason), success, pending or timed out.
+
+    A snapshot is seen by the first poll after it is both created and final, unless a newer snapshot exists by then: a completed one
+    is final at its result time (and counts only if that is not before the trigger), a failed one carries
+    no result time and is final when created. Triggers after ``now_ms`` do not exist yet.
+    """
+    now, t = F.lit(now_ms).cast("long"), F.col("trigger_ms")
+    due = triggers.where(t <= now)
+    final = F.when(F.col("state") == "FAILED", F.col("created_ms")).when(
+        (F.col("state") == "COMPLETED") & F.col("path").isNotNull() & (F.col("result_ms") >= t), F.greatest("created_ms", "result_ms"))
+    newer = F.lead("created_ms").over(Window.partitionBy(*TRIGGER).orderBy("created_ms", "snapshot_name"))
+    polls = F.greatest(F.lit(1), F.ceil((final - t) / POLL_INTERVAL_MS))
+    seen = in_window(due, snapshots).withColumn("_newer", newer).where(final.isNotNull()).withColumn("seen_ms", (t + polls * POLL_INTERVAL_MS).cast("long"))
+    seen = seen.where((F.col("seen_ms") <= t + DEADLINE_MS) & (F.col("seen_ms") <= now)
+                      & (F.col("_newer").isNull() | (F.col("_newer") > F.col("seen_ms"))))
+    first = seen.groupBy(*TRIGGER).agg(F.min_by(F.struct("seen_ms", "state", "path", "error"), F.struct("seen_ms", "created_ms", "snapshot_name")).alias("b"))
+    state, deadline = F.col("b.state"), t + DEADLINE_MS
+    return due.join(first, TRIGGER, "left").select(
+        *TRIGGER,
+        F.when(state == "FAILED", "error").when(state == "COMPLETED", "success").when(now < deadline, "pending").otherwise("timed_out").alias("outcome"),
+        F.when(state == "FAILED", F.coalesce(F.nullif(F.col("b.error"), F.lit("")), F.lit("unknown error"))).alias("reason"),
+        F.when(state == "COMPLETED", F.col("b.path")).alias("savepoint_path"),
+        F.col("b.seen_ms").alias("seen_ms"),
+        deadline.alias("deadline_ms"),
     )
 
 

@@ -193,46 +193,59 @@ register(
 
 
 def _triggers(spark, sf):
-    return view(spark, sf, "v_triggers")
+    """A trigger is named by deployment, namespace and time; requests of the same millisecond are one."""
+    return view(spark, sf, "v_triggers").distinct()
 
 
 @query("snapshot_candidate")
 def snapshot_candidate(spark, sf):
-    """Per savepoint trigger: the newest manual savepoint snapshot created no earlier than trigger - 1 s."""
+    """Per savepoint trigger: the newest manual savepoint snapshot created from one second before it to its deadline."""
     return SP.snapshot_candidate(_triggers(spark, sf), cluster.state_snapshots(spark, sf))
 
 
-CAND_SQL = """s AS (SELECT job_name AS deployment_name, namespace,
-         epoch_ms(try_strptime(created, '%Y-%m-%dT%H:%M:%SZ')) AS created_ms, name AS snapshot_name, state, path, result_ts, error
-       FROM v_snapshots WHERE trigger_type = 'MANUAL' AND snap_type = 'SAVEPOINT'),
-c AS (SELECT t.deployment_name, t.namespace, t.trigger_ms, s.created_ms, s.snapshot_name, s.state, s.path, s.result_ts, s.error,
-        row_number() OVER (PARTITION BY t.deployment_name, t.namespace, t.trigger_ms ORDER BY s.created_ms DESC, s.snapshot_name DESC) AS rn
-      FROM v_triggers t JOIN s ON s.deployment_name = t.deployment_name AND s.namespace = t.namespace
-       AND s.created_ms >= t.trigger_ms - 1000),
-cand AS (SELECT t.deployment_name, t.namespace, t.trigger_ms, c.path AS last_savepoint_path,
-  CASE WHEN NULLIF(c.result_ts, '') IS NOT NULL THEN epoch_ms(try_strptime(c.result_ts, '%Y-%m-%dT%H:%M:%SZ')) END AS result_ms,
-  coalesce(c.state = 'COMPLETED', false) AS completed, coalesce(c.state = 'FAILED', false) AS failed,
-  CASE WHEN c.state = 'FAILED' THEN c.error END AS failure_reason
-  FROM v_triggers t LEFT JOIN (SELECT * FROM c WHERE rn = 1) c USING (deployment_name, namespace, trigger_ms))"""
-register("snapshot_candidate", f"WITH {CAND_SQL} SELECT * FROM cand")
+SNAP_SQL = """t AS (SELECT DISTINCT * FROM v_triggers),
+s AS (SELECT job_name AS deployment_name, namespace, epoch_ms(try_strptime(created, '%Y-%m-%dT%H:%M:%SZ')) AS created_ms, name AS snapshot_name,
+         state, NULLIF(path, '') AS path, epoch_ms(try_strptime(NULLIF(result_ts, ''), '%Y-%m-%dT%H:%M:%SZ')) AS result_ms, error
+       FROM v_snapshots WHERE trigger_type = 'MANUAL' AND snap_type = 'SAVEPOINT')"""
+register(
+    "snapshot_candidate",
+    f"""WITH {SNAP_SQL},
+    c AS (SELECT t.*, s.created_ms, s.snapshot_name, s.state, s.path, s.result_ms, s.error,
+            row_number() OVER (PARTITION BY t.deployment_name, t.namespace, t.trigger_ms ORDER BY s.created_ms DESC, s.snapshot_name DESC) AS rn
+          FROM t JOIN s ON s.deployment_name = t.deployment_name AND s.namespace = t.namespace
+           AND s.created_ms BETWEEN t.trigger_ms - 1000 AND t.trigger_ms + 120000)
+    SELECT t.*, c.snapshot_name, c.path AS last_savepoint_path, c.result_ms, coalesce(c.state = 'COMPLETED', false) AS completed,
+      coalesce(c.state = 'FAILED', false) AS failed, CASE WHEN c.state = 'FAILED' THEN c.error END AS failure_reason
+    FROM t LEFT JOIN (SELECT * FROM c WHERE rn = 1) c USING (deployment_name, namespace, trigger_ms)""",
+)
 
 
 @query("savepoint_outcome")
 def savepoint_outcome(spark, sf):
-    return SP.savepoint_outcome(SP.snapshot_candidate(_triggers(spark, sf), cluster.state_snapshots(spark, sf)))
+    """Outcome of every trigger when the clock stands thirty seconds after the last one."""
+    t = _triggers(spark, sf)
+    now = t.agg(F.max("trigger_ms")).first()[0]
+    return SP.savepoint_outcome(t, cluster.state_snapshots(spark, sf), (now or 0) + 30_000)
 
 
+# Follows the service poll by poll: 24 looks, five seconds apart, each at the newest snapshot that exists by then.
 register(
     "savepoint_outcome",
-    f"""WITH {CAND_SQL}
-    SELECT deployment_name, namespace, trigger_ms,
-      CASE WHEN failed THEN 'error' WHEN completed AND last_savepoint_path IS NOT NULL AND coalesce(result_ms >= trigger_ms, false)
-           THEN 'success' ELSE 'timed_out' END AS outcome,
-      CASE WHEN failed THEN coalesce(failure_reason, 'unknown error') END AS reason,
-      CASE WHEN NOT failed AND completed AND last_savepoint_path IS NOT NULL AND coalesce(result_ms >= trigger_ms, false)
-           THEN last_savepoint_path END AS savepoint_path,
-      trigger_ms + 120000 AS deadline_ms
-    FROM cand""",
+    f"""WITH {SNAP_SQL},
+    clock AS (SELECT max(trigger_ms) + 30000 AS now_ms FROM t),
+    p AS (SELECT t.*, t.trigger_ms + 5000 * k AS poll_ms FROM t, (SELECT unnest(range(1, 25)) AS k), clock WHERE t.trigger_ms + 5000 * k <= now_ms),
+    looks AS (SELECT p.*, s.state, s.path, s.result_ms, s.error,
+        row_number() OVER (PARTITION BY p.deployment_name, p.namespace, p.trigger_ms, p.poll_ms ORDER BY s.created_ms DESC, s.snapshot_name DESC) AS rn
+      FROM p JOIN s ON s.deployment_name = p.deployment_name AND s.namespace = p.namespace
+        AND s.created_ms >= p.trigger_ms - 1000 AND s.created_ms <= p.poll_ms),
+    ends AS (SELECT *, row_number() OVER (PARTITION BY deployment_name, namespace, trigger_ms ORDER BY poll_ms) AS nth FROM looks
+      WHERE rn = 1 AND (state = 'FAILED' OR (state = 'COMPLETED' AND path IS NOT NULL AND result_ms <= poll_ms AND result_ms >= trigger_ms)))
+    SELECT t.*,
+      CASE WHEN e.state = 'FAILED' THEN 'error' WHEN e.state = 'COMPLETED' THEN 'success'
+           WHEN now_ms < t.trigger_ms + 120000 THEN 'pending' ELSE 'timed_out' END AS outcome,
+      CASE WHEN e.state = 'FAILED' THEN coalesce(NULLIF(e.error, ''), 'unknown error') END AS reason,
+      CASE WHEN e.state = 'COMPLETED' THEN e.path END AS savepoint_path, e.poll_ms AS seen_ms, t.trigger_ms + 120000 AS deadline_ms
+    FROM t CROSS JOIN clock LEFT JOIN (SELECT * FROM ends WHERE nth = 1) e USING (deployment_name, namespace, trigger_ms)""",
 )
 
 

@@ -382,32 +382,45 @@ def _k8s_events(d: Dialect) -> list[Part]:
     ]
 
 
+def _snapshot_created(d: Dialect) -> str:
+    return d.add(d.add("l_shipdate", "HOUR", "l_linenumber"), "SECOND", "l_partkey % 3600")
+
+
+_SNAPSHOT_NS = "CASE WHEN l_suppkey % 7 = 0 THEN 'analytics' ELSE 'default' END AS namespace"
+
+
 def _snapshots(d: Dialect) -> list[Part]:
-    created = d.add(d.add("l_shipdate", "HOUR", "l_linenumber"), "SECOND", "l_partkey % 3600")
-    result = d.add(created, "MINUTE", "l_suppkey % 30")
-    return [
-        Part(
-            "lineitem",
-            [
-                f"'sp-' || {_s('l_orderkey')} || '-' || {_s('l_linenumber')} || '-' || {_s('l_partkey')} AS name",
-                f"'job-' || {_s('l_orderkey')} AS job_name",
-                "CASE WHEN l_suppkey % 7 = 0 THEN 'analytics' ELSE 'default' END AS namespace",
-                "CASE WHEN l_linenumber % 4 = 0 THEN 'PERIODIC' ELSE 'MANUAL' END AS trigger_type",
-                "CASE WHEN l_suppkey % 5 = 0 THEN 'CHECKPOINT' ELSE 'SAVEPOINT' END AS snap_type",
-                f"CASE WHEN l_partkey % 23 = 0 THEN 'not-a-time' ELSE {d.iso(created)} END AS created",
-                "CASE l_returnflag WHEN 'R' THEN 'FAILED' WHEN 'A' THEN 'IN_PROGRESS' ELSE 'COMPLETED' END AS state",
-                f"CASE WHEN l_returnflag <> 'R' THEN 's3://flink-job-' || {_s('l_orderkey')} || '/savepoints/savepoint-' "
-                f"|| {_s('l_linenumber')} END AS path",
-                f"CASE WHEN l_returnflag = 'N' THEN {d.iso(result)} END AS result_ts",
-                f"CASE WHEN l_returnflag = 'R' THEN 'disk full on node ' || {_s('l_suppkey')} END AS error",
-            ],
-        )
-    ]
+    """One snapshot per line item, and for some of them a second one twenty seconds later."""
+    created = _snapshot_created(d)
+
+    def cols(suffix: str, made: str, flag: str) -> list[str]:
+        result = d.add(made, "SECOND", "(l_suppkey % 40) * 4")
+        return [
+            f"'sp-' || {_s('l_orderkey')} || '-' || {_s('l_linenumber')} || '-' || {_s('l_partkey')} || '{suffix}' AS name",
+            f"'job-' || {_s('l_orderkey')} AS job_name",
+            _SNAPSHOT_NS,
+            "CASE WHEN l_linenumber % 4 = 0 THEN 'PERIODIC' ELSE 'MANUAL' END AS trigger_type",
+            "CASE WHEN l_suppkey % 5 = 0 THEN 'CHECKPOINT' ELSE 'SAVEPOINT' END AS snap_type",
+            f"CASE WHEN l_partkey % 23 = 0 THEN 'not-a-time' ELSE {d.iso(made)} END AS created",
+            f"CASE {flag} WHEN 'R' THEN 'FAILED' WHEN 'A' THEN 'IN_PROGRESS' ELSE 'COMPLETED' END AS state",
+            f"CASE WHEN {flag} <> 'R' THEN 's3://flink-job-' || {_s('l_orderkey')} || '/savepoints/savepoint-' "
+            f"|| {_s('l_linenumber')} || '{suffix}' END AS path",
+            f"CASE WHEN {flag} = 'N' THEN {d.iso(result)} END AS result_ts",
+            f"CASE WHEN {flag} = 'R' AND l_suppkey % 3 <> 0 THEN 'disk full on node ' || {_s('l_suppkey')} END AS error",
+        ]
+
+    second = "CASE WHEN l_returnflag = 'N' THEN 'R' ELSE 'N' END"
+    return [Part("lineitem", cols("", created, "l_returnflag")),
+            Part("lineitem", cols("b", d.add(created, "SECOND", "20"), second), where="l_partkey % 6 = 1")]
 
 
 def _triggers(d: Dialect) -> list[Part]:
-    """One savepoint trigger per deployment, thirty days after its creation."""
+    """Several savepoint triggers per deployment: around the snapshots of its line items, and one thirty days after its creation."""
+    made = d.ms(_snapshot_created(d))
+    name = f"'job-' || {_s('l_orderkey')} AS deployment_name"
     return [
+        Part("lineitem", [name, _SNAPSHOT_NS, f"{made} - (l_suppkey % 8) * 21000 + l_partkey % 1500 AS trigger_ms"]),
+        Part("lineitem", [name, _SNAPSHOT_NS, f"{made} - 45000 + l_partkey % 900 AS trigger_ms"], where="l_linenumber % 3 = 0"),
         Part(
             "orders",
             [
@@ -415,7 +428,7 @@ def _triggers(d: Dialect) -> list[Part]:
                 "CASE WHEN o_custkey % 5 = 0 THEN 'analytics' ELSE 'default' END AS namespace",
                 f"{d.ms(d.add('o_orderdate', 'DAY', '30'))} + o_custkey % 2000 AS trigger_ms",
             ],
-        )
+        ),
     ]
 
 
