@@ -1,10 +1,7 @@
 """Access-limit audit: attempts beyond the limit of a fixed window, per source key.
 
-For each (key, kind, window) only the ``limit``-th earliest attempt is needed: it is
-found with ``row_number() <= limit`` (planned as a per-partition group limit before
-the shuffle, so hot keys ship at most ``limit`` rows per task), and every attempt later
-than it in the same window is rejected. The join back is an equi-join that AQE's skew
-handling can split when one key dominates.
+One pass: window and limit are chosen by kind, and attempts are numbered within (key, kind, window). A group holds
+one window's attempts only, so a hot key spreads over its windows.
 """
 
 from __future__ import annotations
@@ -18,25 +15,31 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Limit:
     kind: str
-    window: str  # Spark interval text, e.g. "2 minutes"
+    seconds: int  # of the window
     limit: int
 
 
 # Login 5 attempts per 2 minutes; registration 10 per 60 minutes.
-LIMITS = [Limit("login", "2 minutes", 5), Limit("register", "60 minutes", 10)]
+LIMITS = [Limit("login", 120, 5), Limit("register", 3600, 10)]
 
 
 def over_limit(access: DataFrame, limits: list[Limit] = LIMITS, id_col: str = "event_id") -> DataFrame:
     """Rejected attempts: the (limit+1)-th and later attempt of a key within one window.
     Windows are epoch-aligned tumbling windows; keys and kinds are independent."""
-    out = None
+    width = limit = F.lit(None).cast("long")
     for lim in limits:
-        a = access.where(F.col("kind") == lim.kind).withColumn("window_start", F.window("ts", lim.window).start)
-        keys = ["source_key", "kind", "window_start"]
-        w = Window.partitionBy(*keys).orderBy("ts", id_col)
-        kth = (a.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= lim.limit)
-               .where(F.col("_rn") == lim.limit).select(*keys, F.col("ts").alias("_kts"), F.col(id_col).alias("_kid")))
-        late = a.join(kth, keys).where((F.col("ts") > F.col("_kts")) | ((F.col("ts") == F.col("_kts")) & (F.col(id_col) > F.col("_kid"))))
-        r = late.select("source_key", "kind", "window_start", "ts", id_col, F.lit(lim.limit).alias("limit"))
-        out = r if out is None else out.unionByName(r)
-    return out
+        width = F.when(F.col("kind") == lim.kind, F.lit(lim.seconds * 1_000_000)).otherwise(width)
+        limit = F.when(F.col("kind") == lim.kind, F.lit(lim.limit)).otherwise(limit)
+    a = access.withColumn("_us", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
+    a = a.withColumn("_width", width).withColumn("limit", limit.cast("int")).where("_width is not null")
+    a = a.withColumn("window_start", F.expr("timestampadd(MICROSECOND, -pmod(_us, _width), ts)"))
+    w = Window.partitionBy("source_key", "kind", "window_start").orderBy("ts", id_col)
+    return a.withColumn("_rn", F.row_number().over(w)).where("_rn > limit").select("source_key", "kind", "window_start", "ts", id_col, "limit")
+
+
+def window_counts(access: DataFrame, lim: Limit, lateness: str = "10 minutes") -> DataFrame:
+    """Streaming twin for one kind: attempts and rejected attempts of each key and window, final once the
+    watermark (``lateness`` behind the newest attempt) has passed the window. Later attempts of it are dropped."""
+    a = access.where(F.col("kind") == lim.kind).withWatermark("ts", lateness)
+    n = a.groupBy(F.window("ts", f"{lim.seconds} seconds").alias("w"), "source_key", "kind").agg(F.count(F.lit(1)).alias("attempts"))
+    return n.select("source_key", "kind", F.col("w.start").alias("window_start"), "attempts", F.greatest(F.col("attempts") - lim.limit, F.lit(0)).alias("rejected"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import format as FM
 
-# Validation patterns and bounds.
-DNS_PATTERN = r"^[a-z0-9]([-a-z0-9]*[a-z0-9])?$"
-MEMORY_PATTERN = r"^[1-9][0-9]*(m|g|M|G)$"
+# Validation patterns, bounds and messages (\z: nothing may follow, not even a line feed).
+DNS_PATTERN = r"^[a-z0-9]([-a-z0-9]*[a-z0-9])?\z"
+MEMORY_PATTERN = r"^[1-9][0-9]*(m|g|M|G)\z"
+MEMORY_MESSAGE = 'must be number + unit. E.g., "1600m", "2g"'
 NAME_MAX = 63
 PARALLELISM_RANGE = (1, 1024)
 CPU_RANGE = (0.1, 32)
@@ -59,8 +60,9 @@ def effective_config(deployments: DataFrame, defaults: DataFrame) -> DataFrame:
 
 
 def merge_config(deployments: DataFrame, updates: DataFrame) -> DataFrame:
-    """Apply edits: image replaced when given; manager objects merged field by field;
-    configuration map merged key by key with the new value winning; other fields kept."""
+    """Apply edits: image replaced when given; both manager objects merged field by field (all seven fields);
+    configuration map merged key by key with the new value winning; environment variables replaced as a
+    whole when given; other fields kept. NULL in an edit means not given."""
     j = deployments.join(updates, deployments["id"] == updates["deployment_id"])
     old = lambda f: F.col(f"config.{f}")
     merged_conf = F.map_zip_with(
@@ -72,12 +74,14 @@ def merge_config(deployments: DataFrame, updates: DataFrame) -> DataFrame:
         "id",
         F.coalesce("upd_image", old("image")).alias("image"),
         F.coalesce("upd_jm_memory", old("jobManager.memory")).alias("jm_memory"),
-        old("jobManager.cpu").cast("double").alias("jm_cpu"),
-        old("jobManager.replicas").alias("jm_replicas"),
-        old("taskManager.memory").alias("tm_memory"),
+        F.coalesce("upd_jm_cpu", old("jobManager.cpu")).cast("double").alias("jm_cpu"),
+        F.coalesce("upd_jm_replicas", old("jobManager.replicas")).alias("jm_replicas"),
+        F.coalesce("upd_tm_memory", old("taskManager.memory")).alias("tm_memory"),
+        F.coalesce("upd_tm_cpu", old("taskManager.cpu")).cast("double").alias("tm_cpu"),
         F.coalesce("upd_tm_replicas", old("taskManager.replicas")).alias("tm_replicas"),
         F.coalesce("upd_tm_slots", old("taskManager.taskSlots")).alias("tm_slots"),
         merged_conf.alias("flink_configuration"),
+        F.coalesce("upd_environment_variables", "environment_variables").alias("environment_variables"),
         F.coalesce("upd_job_parallelism", "job_parallelism").alias("job_parallelism"),
     )
 
@@ -111,10 +115,10 @@ def config_violations(deployments: DataFrame) -> DataFrame:
         _rule(c("image") == "", "config.image", "is not allowed to be empty"),
         _rule(c("flinkVersion") == "", "config.flinkVersion", "is not allowed to be empty"),
         _rule(c("serviceAccount") == "", "config.serviceAccount", "is not allowed to be empty"),
-        _rule(mem_bad(c("jobManager.memory")), "config.jobManager.memory", "must be number + unit"),
+        _rule(mem_bad(c("jobManager.memory")), "config.jobManager.memory", MEMORY_MESSAGE),
         _rule(given(c("jobManager.cpu")) & ((c("jobManager.cpu") < CPU_RANGE[0]) | (c("jobManager.cpu") > CPU_RANGE[1])), "config.jobManager.cpu", "must be between 0.1 and 32"),
         _rule(given(c("jobManager.replicas")) & (c("jobManager.replicas") != 1), "config.jobManager.replicas", "must be 1"),
-        _rule(mem_bad(c("taskManager.memory")), "config.taskManager.memory", "must be number + unit"),
+        _rule(mem_bad(c("taskManager.memory")), "config.taskManager.memory", MEMORY_MESSAGE),
         _rule(given(c("taskManager.cpu")) & ((c("taskManager.cpu") < CPU_RANGE[0]) | (c("taskManager.cpu") > CPU_RANGE[1])), "config.taskManager.cpu", "must be between 0.1 and 32"),
         _rule(given(c("taskManager.replicas")) & ((c("taskManager.replicas") < TM_REPLICAS_RANGE[0]) | (c("taskManager.replicas") > TM_REPLICAS_RANGE[1])), "config.taskManager.replicas", "must be between 1 and 100"),
         _rule(given(c("taskManager.taskSlots")) & ((c("taskManager.taskSlots") < SLOTS_RANGE[0]) | (c("taskManager.taskSlots") > SLOTS_RANGE[1])), "config.taskManager.taskSlots", "must be between 1 and 32"),
@@ -125,11 +129,19 @@ def config_violations(deployments: DataFrame) -> DataFrame:
 
 
 def state_locations(deployments: DataFrame) -> DataFrame:
-    return deployments.select("id", "deployment_name", FM.state_location(F.col("deployment_name")).alias("state_location"))
+    """State folder of each deployment, with what is wrong with it: names that do not fit the folder
+    name, and folders that several names share."""
+    loc = deployments.select("id", "deployment_name", FM.state_location(F.col("deployment_name")).alias("state_location"))
+    held = loc.groupBy("state_location").agg(F.count_distinct("deployment_name").alias("n"))
+    shared = held.where("n > 1").select("state_location", F.lit(True).alias("shared"))
+    bad = F.when(F.col("shared"), "shared with another name").when(FM.state_too_long(F.col("deployment_name")), "name does not fit")
+    return loc.join(shared, "state_location", "left").select("id", "deployment_name", "state_location", bad.alias("violation"))
 
 
 def duplicate_keys(kind: str, df: DataFrame, keys: list[str]) -> DataFrame:
-    """Uniqueness audit: key values held by more than one row."""
+    """Uniqueness audit: key values held by more than one row. As in a unique index, NULLs never clash."""
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
     key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1) \
         .select(F.lit(kind).alias("key_kind"), key.alias("key_value"), "n")

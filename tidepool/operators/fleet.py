@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fleet as FL
+from ..sources import schemas as S
 
 STATUS_TABS = ["all", "creating", "running", "suspended", "failed", "deleting", "deleted"]
 PAGE_SIZE = 15
@@ -25,16 +26,17 @@ def live(df: DataFrame) -> DataFrame:
 def cr_status(cr: DataFrame) -> DataFrame:
     """Flatten a custom resource to its status fields; absent or empty values become NULL."""
     blank = lambda c: F.nullif(c, F.lit(""))
-    return cr.select(
+    job = F.from_json(F.col("status.jobStatus"), S.JOB_STATUS_DDL, {"mode": "PERMISSIVE"})
+    return cr.withColumn("_job", job).select(
         F.col("metadata.name").alias("name"),
         F.col("metadata.namespace").alias("namespace"),
         blank(F.col("status.lifecycleState")).alias("lifecycle_state"),
         blank(F.col("status.jobManagerDeploymentStatus")).alias("jm_status"),
-        blank(F.col("status.jobStatus.state")).alias("job_state"),
+        blank(F.col("_job.state")).alias("job_state"),
         blank(F.col("spec.job.state")).alias("spec_job_state"),
         blank(F.col("status.error")).alias("error"),
-        blank(F.col("status.jobStatus.upgradeSavepointPath")).alias("upgrade_path"),
-        F.coalesce(F.size(F.col("status.jobStatus.savepointInfo.savepointHistory")), F.lit(-1)).alias("n_history"),
+        blank(F.col("_job.upgradeSavepointPath")).alias("upgrade_path"),
+        F.coalesce(F.size(F.col("_job.savepointInfo.savepointHistory")), F.lit(-1)).alias("n_history"),
     ).withColumn("n_history", F.greatest(F.col("n_history"), F.lit(0)))
 
 
@@ -64,7 +66,7 @@ def _with_rule_inputs(status: DataFrame) -> DataFrame:
     )
 
 
-def reconcile(registry: DataFrame, status: DataFrame) -> DataFrame:
+def reconcile(registry: DataFrame, status: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """New (status, pending_action, error_message, last_savepoint_path) per deployment.
 
     Rules in order: a deleted row stays as it is; no snapshot and nothing pending ->
@@ -72,6 +74,8 @@ def reconcile(registry: DataFrame, status: DataFrame) -> DataFrame:
     resolve on (stop|force_stop -> suspended), (resume -> running) or failed, and a
     completed plain stop captures the upgrade savepoint path; otherwise the mapped
     status is written only when it is known and differs (error text alone is not).
+    ``keep`` names further columns of the registry and the snapshot to return, those of the
+    snapshot NULL for a deleted row, whose snapshot is not looked at.
     """
     j = with_snapshot(registry, _with_rule_inputs(status))
     st, pend = F.col("status"), F.col("pending_action")
@@ -114,6 +118,7 @@ def reconcile(registry: DataFrame, status: DataFrame) -> DataFrame:
         pend.alias("old_pending_action"),
         F.col("error_message").alias("old_error_message"),
         F.col("last_savepoint_path").alias("old_last_savepoint_path"),
+        *[F.when(st != FL.DELETED, F.col(c)).alias(c) if c in status.columns else F.col(c) for c in keep or []],
     )
 
 
@@ -165,8 +170,10 @@ def allowed_actions(df: DataFrame) -> DataFrame:
 
 
 def dashboard_available(registry: DataFrame, status: DataFrame) -> DataFrame:
+    """Whether the dashboard can be opened; a deleted row's snapshot is not looked at."""
     j = with_snapshot(registry, status)
-    return j.select("id", "deployment_name", FL.dashboard_available(F.size("resources"), F.col("jm_status")).alias("dashboard_available"))
+    alive = F.coalesce(F.col("status") != FL.DELETED, F.lit(True))
+    return j.select("id", "deployment_name", (alive & FL.dashboard_available(F.size("resources"), F.col("jm_status"))).alias("dashboard_available"))
 
 
 def in_transition(df: DataFrame) -> DataFrame:
@@ -188,32 +195,41 @@ def health_tones(status: DataFrame) -> DataFrame:
     )
 
 
-def list_deployments(registry: DataFrame, jars: DataFrame, name: str | None = None) -> DataFrame:
-    """Live rows with their (live) artifact, newest first; optionally one name."""
+CLUSTER_FIELDS = ["lifecycle_state", "jm_status", "job_state", "spec_job_state", "error", "upgrade_path", "n_history"]
+
+
+def list_deployments(registry: DataFrame, status: DataFrame, jars: DataFrame, name: str | None = None) -> DataFrame:
+    """Live rows, each reconciled with its snapshot first, with their (live) artifact, newest first; optionally one name."""
     d = live(registry)
     if name is not None:
         d = d.where(F.col("deployment_name") == name)
+    own = ["config", "resources", "jar_id", "environment_variables", "job_parallelism", "state_bucket_name"]
+    r = reconcile(d, status, keep=[*own, *CLUSTER_FIELDS])
     j = live(jars).select(F.col("id").alias("jar_id"), F.col("name").alias("jar_name"))
-    return d.join(j, "jar_id", "left").orderBy(F.col("created_at").desc(), F.col("id").desc())
+    return r.join(j, "jar_id", "left").orderBy(F.col("created_at").desc(), F.col("id").desc())
 
 
-def deployment_view(listed: DataFrame, status: DataFrame) -> DataFrame:
-    """API shape of a listed deployment; optional fields are NULL when empty."""
-    j = with_snapshot(listed, status)
+def deployment_view(listed: DataFrame) -> DataFrame:
+    """API shape of a listed deployment, newest first; optional fields are NULL when empty."""
     res0 = F.get(F.col("resources"), 0)
     truthy = lambda c: F.when(F.coalesce(c != "", F.lit(False)), c)
-    return j.select(
-        "id", "deployment_name", "namespace", "status", "pending_action", "deployment_mode", "created_at",
+    known = F.lit(False)
+    for c in CLUSTER_FIELDS:
+        known = known | F.col(c).isNotNull()
+    return listed.select(
+        "id", "deployment_name", "namespace", "status", "pending_action", "deployment_mode", "config", "created_at",
+        F.when(known, F.struct(*CLUSTER_FIELDS)).alias("kubernetes_status"),
         res0.getField("name").alias("resource_name"),
         res0.getField("uid").alias("resource_uid"),
         res0.getField("apiVersion").alias("resource_api_version"),
         (F.coalesce(F.col("n_history") > 0, F.lit(False)) | F.col("upgrade_path").isNotNull()).alias("has_savepoint"),
         F.when(F.col("jar_name").isNotNull(), F.col("jar_id")).alias("jar_id"),
         "jar_name",
-        F.size("environment_variables").alias("n_env"),
+        "environment_variables",
         F.when(F.col("job_parallelism") != 0, F.col("job_parallelism")).alias("job_parallelism"),
+        truthy(F.col("state_bucket_name")).alias("state_bucket_name"),
         truthy(F.col("last_savepoint_path")).alias("last_savepoint_path"),
-    )
+    ).orderBy(F.col("created_at").desc(), F.col("id").desc())
 
 
 def status_summary(df: DataFrame) -> DataFrame:
@@ -228,15 +244,13 @@ def status_summary(df: DataFrame) -> DataFrame:
 
 
 def status_tab_counts(df: DataFrame) -> DataFrame:
-    """Count per dashboard tab; tabs with no rows show 0, 'all' counts every row."""
+    """Count per dashboard tab; tabs with no rows show 0, 'all' counts every row. One pass: the total is the rollup's last row."""
     spark = df.sparkSession
     tabs = spark.createDataFrame([(i, t) for i, t in enumerate(STATUS_TABS)], "tab_order int, tab string")
-    counts = df.groupBy(F.col("status").alias("tab")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("all").alias("tab"), "n")
-    return (
-        tabs.join(F.broadcast(counts.unionByName(total)), "tab", "left")
-        .select("tab", F.coalesce("n", F.lit(0)).alias("count"), "tab_order")
-    )
+    counts = df.rollup("status").agg(F.count(F.lit(1)).alias("n"), F.grouping("status").alias("g"))
+    counts = counts.select(F.when(F.col("g") == 1, "all").otherwise(F.col("status")).alias("tab"), "n", "g")
+    counts = counts.where((F.col("g") == 1) | (F.col("tab") != "all"))
+    return tabs.join(counts, "tab", "left").select("tab", F.coalesce("n", F.lit(0)).alias("count"), "tab_order")
 
 
 def search_deployments(df: DataFrame, search: str, status_filter: str = "all") -> DataFrame:
@@ -269,9 +283,14 @@ def assign_pages(df: DataFrame, order: list[Column], per_page: int = PAGE_SIZE)
     return out.drop("_mid", "_pid", "_pos", "_off")
 
 
-def page_of(df: DataFrame, order: list[Column], page: int, per_page: int = PAGE_SIZE) -> DataFrame:
-    """One page; the requested page is clamped to [1, max(1, ceil(n / per_page))]."""
-    n = df.count()
-    last = max(1, -(-n // per_page))
-    p = min(max(page, 1), last)
-    return assign_pages(df, order, per_page).where(F.col("page") == p)
+def page_of(df: DataFrame, order: list[Column], page: int, per_page: int = PAGE_SIZE, total: int | None = None) -> DataFrame:
+    """One page with its rows' 1-based positions; the requested page is clamped to [1, max(1, ceil(n / per_page))].
+
+    ``total`` spares counting ``df``. The sort keeps only the rows up to the page's end in each task.
+    """
+    n = df.count() if total is None else total
+    p = min(max(page, 1), max(1, -(-n // per_page)))
+    skip = (p - 1) * per_page
+    rows = df.orderBy(*order).offset(skip).limit(per_page)
+    at = F.row_number().over(Window.orderBy(*order))  # over one page's rows
+    return rows.withColumn("position", (at + skip).cast("long")).withColumn("page", F.lit(p).cast("long"))

@@ -1,4 +1,4 @@
-"""Log analytics over container log lines: label/level/text/time predicates, flattening, buffers.
+"""Log analytics over container log lines: label/level/text/time predicates, flattening, newest lines.
 
 Every predicate is a plain DataFrame filter, so on parquet log stores Catalyst pushes
 label and time predicates into the scan (and partition pruning on ``log_date`` when the
@@ -15,13 +15,11 @@ from pyspark.sql import functions as F
 
 # The level-extraction pattern over the console layout
 # '%d{yyyy-MM-dd HH:mm:ss,SSS} %-5level %logger{60} - %msg%n', its timestamp format,
-# the query cap, and the client buffer bounds.
+# the query cap of the viewer, and its look-back.
 LEVEL_PATTERN = r"^\S+\s+\S+\s+([A-Z]+)\s+\S+\s+-\s+"
 LINE_TS_FORMAT = "yyyy-MM-dd HH:mm:ss,SSS"
 QUERY_LIMIT = 2000
 LOOKBACK_NS = 5 * 60 * 1_000_000_000
-BUFFER_MAX = 5000
-BUFFER_TRIM_TO = 4000
 
 
 @dataclass
@@ -32,7 +30,7 @@ class LogQuery:
     search: str | None = None
     start_ns: int | None = None
     end_ns: int | None = None
-    limit: int = QUERY_LIMIT
+    limit: int | None = None
 
 
 def level_of(line: Column) -> Column:
@@ -118,36 +116,29 @@ def apply_predicates(df: DataFrame, q: LogQuery) -> DataFrame:
 
 
 def log_query(df: DataFrame, q: LogQuery) -> DataFrame:
-    """Oldest first, at most ``q.limit`` lines. Ties on time are broken by (pod, line)."""
-    return apply_predicates(df, q).orderBy("ts_ns", "pod", "line").limit(q.limit)
+    """Oldest first, at most ``q.limit`` lines if a limit is given. Ties on time are broken by (pod, line)."""
+    out = apply_predicates(df, q).orderBy("ts_ns", "pod", "line")
+    return out if q.limit is None else out.limit(q.limit)
 
 
-def buffer_kept(total: Column) -> Column:
-    """Lines the viewer buffer holds after ``total`` appends.
+def newest_n(df: DataFrame, keys: list[str], n: int, order: list[str] = ["ts_ns", "pod", "line"], bucket_ns: int = 3600 * 10**9) -> DataFrame:  # noqa: B006
+    """Per ``keys``, the ``n`` newest rows by ``order`` (its first column in nanoseconds), numbered from the newest.
 
-    The buffer appends one line at a time and, when it holds more than BUFFER_MAX lines,
-    first cuts itself to the last BUFFER_TRIM_TO. Sizes therefore run up to BUFFER_MAX+1
-    and then cycle from BUFFER_TRIM_TO+1 with period BUFFER_MAX-BUFFER_TRIM_TO+1.
-    """
-    period = BUFFER_MAX - BUFFER_TRIM_TO + 1
-    first_cut = BUFFER_MAX + 2
-    return F.when(total < first_cut, total).otherwise(BUFFER_TRIM_TO + 1 + (total - first_cut) % period)
-
-
-def last_n_buffer(df: DataFrame, keys: list[str], order: list[str] = ["ts_ns", "pod", "line"]) -> DataFrame:  # noqa: B006
-    """Per view (``keys``), the lines the viewer buffer still holds: the newest ``buffer_kept(n)``.
-
-    The rank filter first uses the constant upper bound BUFFER_MAX+1 so Spark plans a
-    per-partition group limit before the shuffle; the exact per-view bound follows.
+    Rows are first counted by key and time bucket (combined map-side); running sums from the newest bucket give each
+    key the bucket in which its n-th row lies, and only rows from there on are ranked. A hot key thus
+    brings no more than n rows and one bucket to its task. Rows without a time come last, in a bucket of their own.
     """
+    bucket = F.coalesce(F.floor(F.col(order[0]) / bucket_ns), F.lit(-(1 << 62))).cast("long")
+    counts = df.groupBy(*keys, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    newer = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = counts.withColumn("_newer", newer).where(F.col("_newer") < n)
+    cut = wanted.groupBy(*keys).agg(F.min("_b").alias("_from")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_from")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    recent = df.withColumn("_b", bucket).join(cut, same).where("_b >= _from").drop("_b", "_from", *[f"_{k}" for k in keys])
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    ranked = df.withColumn("rank_from_newest", F.row_number().over(w)).where(F.col("rank_from_newest") <= BUFFER_MAX + 1)
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    return (
-        ranked.join(totals, keys)
-        .where(F.col("rank_from_newest") <= buffer_kept(F.col("total")))
-        .drop("total")
-    )
+    return recent.withColumn("rank_from_newest", F.row_number().over(w)).where(F.col("rank_from_newest") <= n)
 
 
 def parse_json_log(df: DataFrame, value: str = "value") -> DataFrame:

@@ -59,12 +59,13 @@ def human_size(spark, sf):
 register(
     "human_size",
     """WITH u AS (SELECT id, size_bytes,
-        CASE WHEN size_bytes < 1024 THEN 0 WHEN size_bytes < 1048576 THEN 1 WHEN size_bytes < 1073741824 THEN 2 ELSE 3 END AS i
+        CASE WHEN size_bytes < 1024 THEN 0 WHEN size_bytes < 1048576 THEN 1 WHEN size_bytes < 1073741824 THEN 2
+          WHEN size_bytes < 1099511627776 THEN 3 WHEN size_bytes < 1125899906842624 THEN 4 ELSE 5 END AS i
       FROM v_jars),
     r AS (SELECT *, round(CAST(size_bytes AS DECIMAL(38, 10)) / CAST(power(1024, i) AS DECIMAL(38, 0)), 1) AS v FROM u)
     SELECT id, size_bytes,
       CASE WHEN size_bytes = 0 THEN '0 B'
-           ELSE regexp_replace(CAST(v AS VARCHAR), '\\.0$', '') || ' ' || ['B', 'KB', 'MB', 'GB'][i + 1] END AS size_text
+           ELSE regexp_replace(CAST(v AS VARCHAR), '\\.0$', '') || ' ' || ['B', 'KB', 'MB', 'GB', 'TB', 'PB'][i + 1] END AS size_text
     FROM r""",
 )
 
@@ -117,7 +118,10 @@ def effective_config(spark, sf):
     return e.withColumn("n_flink_conf", F.size("flink_configuration")).select(*EFFECTIVE_COLS)
 
 
-_D = registry.DEFAULTS_ROW
+# The seeded defaults, written out again so that the two sides check each other.
+_D = dict(image="flink:1.19-kafka", flink_version="v1_19", service_account="flink", namespace="default",
+          job_manager_memory="1024m", job_manager_cpu="0.5", job_manager_replicas=1,
+          task_manager_memory="1024m", task_manager_cpu="0.5", task_manager_replicas=1, task_manager_slots=1)
 
 
 def _dflt(col: str, default, kind: str) -> str:
@@ -151,7 +155,9 @@ def _updates(spark, sf):
         F.struct(F.lit("state.backend").alias("key"), F.col("upd_conf_backend").alias("value")),
         F.struct(F.lit("execution.checkpointing.unaligned").alias("key"), F.col("upd_conf_unaligned").alias("value")),
     )
-    return u.withColumn("upd_flink_configuration", F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())))
+    given = lambda a: F.map_from_entries(F.filter(a, lambda e: e["value"].isNotNull()))
+    env = F.array(F.struct(F.lit("STAGE").alias("key"), F.col("upd_env_stage").alias("value")))
+    return u.withColumn("upd_flink_configuration", given(entries)).withColumn("upd_environment_variables", F.when(F.col("upd_env_given"), given(env)))
 
 
 @query("merge_config")
@@ -159,14 +165,20 @@ def merge_config(spark, sf):
     m = CR.merge_config(_deployments(spark, sf), _updates(spark, sf))
     conf = F.col("flink_configuration")
     return m.select(
-        "id", "image", "jm_memory", "jm_cpu", "jm_replicas", "tm_memory", "tm_replicas", "tm_slots", "job_parallelism",
+        "id", "image", "jm_memory", "jm_cpu", "jm_replicas", "tm_memory", "tm_cpu", "tm_replicas", "tm_slots", "job_parallelism",
+        F.col("environment_variables").getItem("STAGE").alias("env_stage"), F.col("environment_variables").getItem("REGION").alias("env_region"),
+        F.size("environment_variables").alias("n_env"),
         conf.getItem("parallelism.default").alias("conf_parallelism"), conf.getItem("state.backend").alias("conf_backend"),
         conf.getItem("execution.checkpointing.unaligned").alias("conf_unaligned"), F.size(conf).alias("n_conf"),
     )
 
 
 MERGE_SQL = """SELECT d.id, coalesce(u.upd_image, d.cfg_image) AS image, coalesce(u.upd_jm_memory, d.jm_memory) AS jm_memory,
-  CAST(d.jm_cpu AS DOUBLE) AS jm_cpu, d.jm_replicas, d.tm_memory,
+  CAST(coalesce(u.upd_jm_cpu, d.jm_cpu) AS DOUBLE) AS jm_cpu, coalesce(u.upd_jm_replicas, d.jm_replicas) AS jm_replicas,
+  coalesce(u.upd_tm_memory, d.tm_memory) AS tm_memory, CAST(coalesce(u.upd_tm_cpu, d.tm_cpu) AS DOUBLE) AS tm_cpu,
+  CASE WHEN u.upd_env_given THEN u.upd_env_stage ELSE d.env_stage END AS env_stage,
+  CASE WHEN NOT u.upd_env_given THEN d.env_region END AS env_region,
+  CASE WHEN u.upd_env_given THEN (u.upd_env_stage IS NOT NULL)::INT ELSE (d.env_stage IS NOT NULL)::INT + (d.env_region IS NOT NULL)::INT END AS n_env,
   coalesce(u.upd_tm_replicas, d.tm_replicas) AS tm_replicas, coalesce(u.upd_tm_slots, d.tm_slots) AS tm_slots,
   coalesce(u.upd_job_parallelism, d.job_parallelism) AS job_parallelism,
   coalesce(u.upd_conf_parallelism, d.conf_parallelism) AS conf_parallelism,
@@ -185,6 +197,7 @@ def config_violations(spark, sf):
 
 _DNS = "^[a-z0-9]([-a-z0-9]*[a-z0-9])?$"
 _MEM = "^[1-9][0-9]*(m|g|M|G)$"
+_MEM_MSG = 'must be number + unit. E.g., "1600m", "2g"'
 _DNS_MSG = "must be lowercase alphanumeric, may contain hyphens, cannot start/end with hyphen"
 _V = [
     ("deploymentName", "is required", "deployment_name IS NULL"),
@@ -196,10 +209,10 @@ _V = [
     ("config.image", "is not allowed to be empty", "cfg_image = ''"),
     ("config.flinkVersion", "is not allowed to be empty", "cfg_flink_version = ''"),
     ("config.serviceAccount", "is not allowed to be empty", "cfg_service_account = ''"),
-    ("config.jobManager.memory", "must be number + unit", f"NOT regexp_full_match(jm_memory, '{_MEM}')"),
+    ("config.jobManager.memory", _MEM_MSG, f"NOT regexp_full_match(jm_memory, '{_MEM}')"),
     ("config.jobManager.cpu", "must be between 0.1 and 32", "jm_cpu < 0.1 OR jm_cpu > 32"),
     ("config.jobManager.replicas", "must be 1", "jm_replicas <> 1"),
-    ("config.taskManager.memory", "must be number + unit", f"NOT regexp_full_match(tm_memory, '{_MEM}')"),
+    ("config.taskManager.memory", _MEM_MSG, f"NOT regexp_full_match(tm_memory, '{_MEM}')"),
     ("config.taskManager.cpu", "must be between 0.1 and 32", "tm_cpu < 0.1 OR tm_cpu > 32"),
     ("config.taskManager.replicas", "must be between 1 and 100", "tm_replicas < 1 OR tm_replicas > 100"),
     ("config.taskManager.taskSlots", "must be between 1 and 32", "tm_slots < 1 OR tm_slots > 32"),
@@ -227,24 +240,37 @@ register(
 )
 
 
+# Stand-in names: some longer than the folder name holds, a few of those alike in their first 57 characters.
+_LONG_NAMES = ("CASE WHEN id % 40 = 0 THEN rpad('long-' || CAST(id % 3 AS STRING), 58, 'x') || '-' || CAST(id AS STRING) "
+               "WHEN id % 41 = 0 THEN rpad(deployment_name || '-', 60, 'y') ELSE deployment_name END")
+
+
 @query("state_location")
 def state_location(spark, sf):
-    return CR.state_locations(_deployments(spark, sf))
+    return CR.state_locations(_deployments(spark, sf).select("id", F.expr(_LONG_NAMES).alias("deployment_name")))
 
 
-register("state_location", "SELECT id, deployment_name, 'flink-' || substr(deployment_name, 1, 57) AS state_location FROM v_deployments WHERE deleted_at IS NULL")
+register(
+    "state_location",
+    f"""WITH n AS (SELECT id, {_LONG_NAMES} AS deployment_name FROM v_deployments WHERE deleted_at IS NULL),
+    l AS (SELECT *, 'flink-' || left(deployment_name, 57) AS state_location FROM n)
+    SELECT l.*, CASE WHEN EXISTS (SELECT 1 FROM l o WHERE o.state_location = l.state_location AND o.deployment_name <> l.deployment_name)
+                     THEN 'shared with another name' WHEN length(deployment_name) > 57 THEN 'name does not fit' END AS violation FROM l""",
+)
 
 
 @query("duplicate_keys")
 def duplicate_keys(spark, sf):
     """Uniqueness audits: deployment names, (deployment, savepoint path), object names, usernames, emails."""
     users = view(spark, sf, "v_users")
+    named = view(spark, sf, "v_jars").withColumn("entry", F.concat("entry_class", F.lit("/"), (F.col("id") % 500).cast("string")))
     parts = [
         CR.duplicate_keys("deployment_name", registry.deployments(spark, sf), ["deployment_name"]),
         CR.duplicate_keys("savepoint", view(spark, sf, "v_savepoint_rows"), ["deployment_id", "path"]),
         CR.duplicate_keys("object_name", _jars(spark, sf), ["object_name"]),
         CR.duplicate_keys("username", users, ["username"]),
         CR.duplicate_keys("email", users, ["email"]),
+        CR.duplicate_keys("entry", named, ["entry"]),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -258,7 +284,9 @@ register(
     UNION ALL SELECT 'savepoint', CAST(deployment_id AS VARCHAR) || '|' || path, count(*) FROM v_savepoint_rows GROUP BY deployment_id, path HAVING count(*) > 1
     UNION ALL SELECT 'object_name', object_name, count(*) FROM v_jars GROUP BY object_name HAVING count(*) > 1
     UNION ALL SELECT 'username', username, count(*) FROM v_users GROUP BY username HAVING count(*) > 1
-    UNION ALL SELECT 'email', email, count(*) FROM v_users GROUP BY email HAVING count(*) > 1""",
+    UNION ALL SELECT 'email', email, count(*) FROM v_users GROUP BY email HAVING count(*) > 1
+    UNION ALL SELECT 'entry', entry, count(*) FROM (SELECT entry_class || '/' || CAST(id % 500 AS VARCHAR) AS entry FROM v_jars)
+      WHERE entry IS NOT NULL GROUP BY entry HAVING count(*) > 1""",
 )
 
 

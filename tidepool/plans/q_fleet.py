@@ -188,14 +188,15 @@ register(
 
 @query("allowed_actions")
 def allowed_actions(spark, sf):
-    return FO.allowed_actions(_registry(spark, sf))
+    """Actions offered for each deployment as it stands after reconciliation."""
+    return FO.allowed_actions(_reconciled(spark, sf))
 
 
 _BLOCK = "(status IN ('deleted', 'deleting') OR coalesce(pending_action, '') <> '')"
 _APP = "deployment_mode = 'application'"
 register(
     "allowed_actions",
-    f"""SELECT id, deployment_name,
+    f"""{RECON_SQL} SELECT id, deployment_name,
       {_APP} AND status = 'running' AND NOT {_BLOCK} AS can_stop,
       {_APP} AND status = 'running' AND NOT {_BLOCK} AS can_force_stop,
       {_APP} AND status = 'suspended' AND NOT {_BLOCK} AS can_resume,
@@ -203,7 +204,7 @@ register(
       status IN ('suspended', 'failed') AND NOT {_BLOCK} AS can_edit,
       {_APP} AND status = 'running' AND NOT {_BLOCK} AS can_savepoint,
       status <> 'deleted' AND NOT {_BLOCK} AS can_delete
-    FROM v_deployments WHERE deleted_at IS NULL""",
+    FROM recon""",
 )
 
 
@@ -215,7 +216,7 @@ def dashboard_available(spark, sf):
 register(
     "dashboard_available",
     f"""WITH {CR_SQL}
-    SELECT d.id, d.deployment_name, coalesce(d.n_resources > 0 AND cr.jm_status = 'READY', false) AS dashboard_available
+    SELECT d.id, d.deployment_name, coalesce(d.status <> 'deleted' AND d.n_resources > 0 AND cr.jm_status = 'READY', false) AS dashboard_available
     FROM v_deployments d LEFT JOIN cr ON cr.name = d.deployment_name AND cr.namespace = d.namespace
     WHERE d.deleted_at IS NULL""",
 )
@@ -253,44 +254,59 @@ register(
     FROM cr""",
 )
 
-LIST_COLS = ["id", "deployment_name", "namespace", "status", "deployment_mode", "jar_id", "jar_name", "created_at"]
+LIST_COLS = ["id", "deployment_name", "namespace", "status", "pending_action", "deployment_mode", "jar_id", "jar_name", "created_at"]
+
+
+def _listed(spark, sf):
+    return FO.list_deployments(registry.deployments(spark, sf), _status(spark, sf), registry.jars(spark, sf))
 
 
 @query("list_deployments")
 def list_deployments(spark, sf):
-    return FO.list_deployments(registry.deployments(spark, sf), registry.jars(spark, sf)).select(*LIST_COLS)
+    """Reconciled deployments with their artifact, newest first."""
+    return _listed(spark, sf).select(*LIST_COLS)
 
 
-register(
-    "list_deployments",
-    """SELECT d.id, d.deployment_name, d.namespace, d.status, d.deployment_mode, d.jar_id, j.name AS jar_name, d.created_at
-    FROM v_deployments d LEFT JOIN (SELECT * FROM v_jars WHERE deleted_at IS NULL) j ON j.id = d.jar_id
-    WHERE d.deleted_at IS NULL ORDER BY d.created_at DESC, d.id DESC""",
-)
+LISTED_SQL = f"""{RECON_SQL},
+listed AS (SELECT r.*, d.jar_id, j.name AS jar_name FROM recon r JOIN v_deployments d USING (id)
+  LEFT JOIN (SELECT * FROM v_jars WHERE deleted_at IS NULL) j ON j.id = d.jar_id)"""
+register("list_deployments", f"{LISTED_SQL} SELECT {', '.join(LIST_COLS)} FROM listed ORDER BY created_at DESC, id DESC")
 
 
 @query("deployment_view")
 def deployment_view(spark, sf):
-    listed = FO.list_deployments(registry.deployments(spark, sf), registry.jars(spark, sf))
-    return FO.deployment_view(listed, _status(spark, sf))
-
-
+    """Every field of the API shape, nested ones flattened."""
+    v = FO.deployment_view(_listed(spark, sf))
+    c, k = (lambda f: F.col(f"config.{f}")), (lambda f: F.col(f"kubernetes_status.{f}"))
+    conf, env = c("flinkConfiguration"), F.col("environment_variables")
+    return v.select(
+        "id", "deployment_name", "namespace", "status", "pending_action", "deployment_mode", "created_at", "resource_name", "resource_uid",
+        "resource_api_version", "has_savepoint", "jar_id", "jar_name", "job_parallelism", "state_bucket_name", "last_savepoint_path",
+        c("namespace").alias("cfg_namespace"), c("image").alias("cfg_image"), c("flinkVersion").alias("cfg_flink_version"), c("serviceAccount").alias("cfg_service_account"),
+        c("jobManager.memory").alias("jm_memory"), c("jobManager.cpu").cast("double").alias("jm_cpu"), c("jobManager.replicas").alias("jm_replicas"),
+        c("taskManager.memory").alias("tm_memory"), c("taskManager.cpu").cast("double").alias("tm_cpu"), c("taskManager.replicas").alias("tm_replicas"), c("taskManager.taskSlots").alias("tm_slots"),
+        conf.getItem("parallelism.default").alias("conf_parallelism"), conf.getItem("state.backend").alias("conf_backend"),
+        env.getItem("STAGE").alias("env_stage"), env.getItem("REGION").alias("env_region"), F.size(env).alias("n_env"),
+        *[k(x).alias(f"ks_{x}") for x in FO.CLUSTER_FIELDS],
+    )
+
+
+_KS = ", ".join(f"CASE WHEN l.old_status <> 'deleted' THEN cr.{x} END AS ks_{x}" for x in ("lifecycle_state", "jm_status", "job_state", "spec_job_state", "error", "upgrade_path", "n_history"))
 register(
     "deployment_view",
-    f"""WITH {CR_SQL}
-    SELECT d.id, d.deployment_name, d.namespace, d.status, d.pending_action, d.deployment_mode, d.created_at,
+    f"""{LISTED_SQL}
+    SELECT l.id, l.deployment_name, l.namespace, l.status, l.pending_action, l.deployment_mode, l.created_at,
       CASE WHEN d.n_resources > 0 THEN d.deployment_name END AS resource_name,
       CASE WHEN d.n_resources > 0 THEN d.resource_uid END AS resource_uid,
       CASE WHEN d.n_resources > 0 THEN 'flink.apache.org/v1beta1' END AS resource_api_version,
-      coalesce(cr.n_history > 0, false) OR cr.upgrade_path IS NOT NULL AS has_savepoint,
-      CASE WHEN j.name IS NOT NULL THEN d.jar_id END AS jar_id, j.name AS jar_name,
-      (d.env_stage IS NOT NULL)::INT + (d.env_region IS NOT NULL)::INT AS n_env,
-      NULLIF(d.job_parallelism, 0) AS job_parallelism,
-      NULLIF(d.last_savepoint_path, '') AS last_savepoint_path
-    FROM v_deployments d
-    LEFT JOIN (SELECT * FROM v_jars WHERE deleted_at IS NULL) j ON j.id = d.jar_id
-    LEFT JOIN cr ON cr.name = d.deployment_name AND cr.namespace = d.namespace
-    WHERE d.deleted_at IS NULL""",
+      l.old_status <> 'deleted' AND (coalesce(cr.n_history > 0, false) OR cr.upgrade_path IS NOT NULL) AS has_savepoint,
+      CASE WHEN l.jar_name IS NOT NULL THEN d.jar_id END AS jar_id, l.jar_name, NULLIF(d.job_parallelism, 0) AS job_parallelism,
+      CAST(NULL AS VARCHAR) AS state_bucket_name, NULLIF(l.last_savepoint_path, '') AS last_savepoint_path,
+      d.namespace AS cfg_namespace, d.cfg_image, d.cfg_flink_version, d.cfg_service_account, d.jm_memory, CAST(d.jm_cpu AS DOUBLE) AS jm_cpu, d.jm_replicas,
+      d.tm_memory, CAST(d.tm_cpu AS DOUBLE) AS tm_cpu, d.tm_replicas, d.tm_slots, d.conf_parallelism, d.conf_backend, d.env_stage, d.env_region,
+      (d.env_stage IS NOT NULL)::INT + (d.env_region IS NOT NULL)::INT AS n_env, {_KS}
+    FROM listed l JOIN v_deployments d USING (id) LEFT JOIN cr ON cr.name = l.deployment_name AND cr.namespace = l.namespace
+    ORDER BY l.created_at DESC, l.id DESC""",
 )
 
 
@@ -343,7 +359,9 @@ PAGE_SEARCH, PAGE = "job-1", 4
 def page_deployments(spark, sf):
     """Page 4 (15 rows per page, newest first) of the deployments whose name contains 'job-1'."""
     rows = FO.search_deployments(_reconciled(spark, sf), PAGE_SEARCH).select("id", "deployment_name", "status", "created_at")
-    return FO.page_of(rows, [F.col("created_at").desc(), F.col("id").desc()], PAGE)
+    # names decide the search, so the registry alone gives the count
+    total = FO.search_deployments(_registry(spark, sf), PAGE_SEARCH).count()
+    return FO.page_of(rows, [F.col("created_at").desc(), F.col("id").desc()], PAGE, total=total)
 
 
 register(

@@ -72,7 +72,8 @@ def log_flatten(spark, sf):
 register("log_flatten", f"SELECT {LOG_COLS}, ts_ns / 1e6 AS ts_ms FROM v_logs")
 
 
-QUERY = L.LogQuery(app=APP, levels=["warn", "error", "info"], search="did", start_ns=START_NS, end_ns=END_NS)
+QUERY = L.LogQuery(app=APP, levels=["warn", "error", "info"], search="did", start_ns=START_NS, end_ns=END_NS,
+                   limit=L.QUERY_LIMIT)
 
 
 @query("log_query")
@@ -96,19 +97,21 @@ def log_search_ci(spark, sf):
 register("log_search_ci", f"SELECT {LOG_COLS} FROM v_logs WHERE contains(lower(line), lower('{SEARCH_CI}'))")
 
 
+LAST_N = 400
+
+
 @query("log_last_n")
 def log_last_n(spark, sf):
-    """What each (app, component) viewer buffer still holds after receiving every line in order."""
-    return L.last_n_buffer(LS.log_lines(spark, sf), ["app", "component"])
+    """The 400 newest lines of every (app, component), as a viewer with a buffer of 400 asks for them."""
+    return L.newest_n(LS.log_lines(spark, sf), ["app", "component"], LAST_N)
 
 
 register(
     "log_last_n",
     f"""SELECT {LOG_COLS}, rank_from_newest FROM (
-      SELECT *, row_number() OVER (PARTITION BY app, component ORDER BY ts_ns DESC, pod DESC, line DESC) AS rank_from_newest,
-             count(*) OVER (PARTITION BY app, component) AS n
+      SELECT *, row_number() OVER (PARTITION BY app, component ORDER BY ts_ns DESC, pod DESC, line DESC) AS rank_from_newest
       FROM v_logs) t
-    WHERE rank_from_newest <= CASE WHEN n <= 5001 THEN n ELSE 4001 + (n - 5002) % 1001 END""",
+    WHERE rank_from_newest <= {LAST_N}""",
 )
 
 

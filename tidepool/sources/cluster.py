@@ -58,6 +58,7 @@ def cr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.col("job_state").alias("state"),
                 F.col("upgrade_path").alias("upgradeSavepointPath"),
                 F.struct(F.when(F.col("n_history") > 0, history).alias("savepointHistory")).alias("savepointInfo"),
+                F.struct(F.col("job_note").alias("message")).alias("lastRestore"),
             ).alias("jobStatus"),
             F.col("error").alias("error"),
             conditions.alias("conditions"),

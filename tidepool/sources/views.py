@@ -183,7 +183,7 @@ def _deployments(d: Dialect) -> list[Part]:
 
 
 def _updates(d: Dialect) -> list[Part]:
-    """Requested edits of deployments (G2): one per order of a customer key parity."""
+    """Requested edits of deployments (G2): one per order, every field given by some of them."""
     return [
         Part(
             "orders",
@@ -191,6 +191,12 @@ def _updates(d: Dialect) -> list[Part]:
                 "o_orderkey AS deployment_id",
                 "CASE WHEN o_custkey % 3 = 0 THEN 'flink:1.20' END AS upd_image",
                 "CASE WHEN o_orderkey % 5 = 1 THEN '3g' END AS upd_jm_memory",
+                "CASE WHEN o_orderkey % 6 = 4 THEN CAST(1.5 AS DECIMAL(4,2)) END AS upd_jm_cpu",
+                "CASE WHEN o_orderkey % 9 = 2 THEN CAST(1 AS INT) END AS upd_jm_replicas",
+                "CASE WHEN o_custkey % 6 = 3 THEN '6g' END AS upd_tm_memory",
+                "CASE WHEN o_custkey % 7 = 5 THEN CAST(2.25 AS DECIMAL(4,2)) END AS upd_tm_cpu",
+                "o_orderkey % 5 = 3 AS upd_env_given",
+                "CASE WHEN o_custkey % 2 = 1 THEN 'test' END AS upd_env_stage",
                 "CASE WHEN o_orderkey % 4 = 2 THEN CAST(3 AS INT) END AS upd_tm_replicas",
                 "CASE WHEN o_custkey % 4 = 1 THEN CAST(4 AS INT) END AS upd_tm_slots",
                 "CASE WHEN o_custkey % 2 = 1 THEN '8' END AS upd_conf_parallelism",
@@ -198,7 +204,6 @@ def _updates(d: Dialect) -> list[Part]:
                 "CASE WHEN o_custkey % 5 = 2 THEN 'true' END AS upd_conf_unaligned",
                 "CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_custkey % 20 AS INT) END AS upd_job_parallelism",
             ],
-            where="o_orderkey % 2 = 1",
         )
     ]
 
@@ -241,6 +246,7 @@ def _cr(d: Dialect) -> list[Part]:
                 f"|| '/savepoints/savepoint-' || {_s('o_custkey')} END AS upgrade_path",
                 "CAST(o_orderkey % 3 AS INT) AS n_history",
                 f"{_CR_ERROR} AS error",
+                "CASE o_orderkey % 19 WHEN 5 THEN 'restored after OOMKilled' WHEN 6 THEN 'ErrImagePull seen' END AS job_note",
                 "CAST((o_orderkey + o_custkey) % 3 AS INT) AS n_conditions",
                 f"{d.iso('o_orderdate')} AS cond_time",
             ],
