@@ -2,7 +2,7 @@
 
 Base counts are exact and vectorised. The classifier hashes word unigrams, word bigrams and
 byte n-grams of 3 to 5 (the character n-grams, over UTF-8) into ``BUCKETS`` weights of each family;
-a feature is its share of the family's n-grams, so length does not enter. A word beside itself
+a feature is its share of the family's n-grams, with a fixed number of empty ones added. A word beside itself
 hashes to one bucket whatever the word is. It is trained on a bounded sample of labelled rows
 (``PER_CLASS`` of each label), a fifth of which is held back to fit Platt's two calibration
 parameters. Rows are scored in Arrow batches, with fixed thresholds.
@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Labelled rows of each class that training reads at most.
-PER_CLASS = 800
+PER_CLASS = 500
 BITS = 16
 BUCKETS = 1 << BITS
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_PROBABILITY = 20, 30, 0.5
-FAMILIES = ("word", "bigram", "char3", "char4", "char5")
+#: Family -> n-grams without weight that every text has besides its own, so that short texts say less.
+PRIOR = {"word": 20, "bigram": 20, "char3": 100, "char4": 100, "char5": 100}
+FAMILIES = tuple(PRIOR)
 _SPACE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT = np.uint64(64 - BITS)
@@ -135,7 +137,7 @@ class HashedLogistic:
             total, (start, end) = np.zeros(n), spans[family]
             for a, b in common.windows(len(streams[family]), 1 << 20):
                 common.segment_sums(self.weights[family][streams[family][a:b]], start, end, a, total)
-            z += total / np.maximum(1, end - start)
+            z += total / (end - start + PRIOR[family])
         return z
 
     def probabilities(self, streams, spans, n: int) -> np.ndarray:
@@ -167,27 +169,23 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def fit(doc: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, fold: np.ndarray, l2: float = 1e-4, steps: int = 60) -> HashedLogistic:
-    """Adam on the log-loss of the rows out of the fold, Platt's parameters on the fold."""
+def fit(doc: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, fold: np.ndarray, l2: float = 1e-6, steps: int = 80) -> HashedLogistic:
+    """Log-loss of the rows out of the fold, both classes of equal weight; Platt's parameters on the fold."""
     n, size = len(y), BUCKETS * len(FAMILIES)
     learn = fold == 0
-    share1 = max(1, (learn & (y == 1)).sum())
-    share0 = max(1, (learn & (y == 0)).sum())
-    weight = np.where(y == 1, 0.5 / share1, 0.5 / share0) * learn
-    w, bias = np.zeros(size, dtype=np.float64), 0.0
-    m, v = np.zeros(size + 1), np.zeros(size + 1)
-    for t in range(1, steps + 1):
-        z = np.bincount(doc, weights=val * w[idx], minlength=n) + bias
-        r = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
-        g = np.append(np.bincount(idx, weights=val * r[doc], minlength=size) + l2 * w / size, r.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = 0.5 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        w, bias = w - step[:-1], bias - step[-1]
-    z = np.bincount(doc, weights=val * w[idx], minlength=n) + bias
-    held = fold == 1
+    weight = np.where(y == 1, 0.5 / max(1, (learn & (y == 1)).sum()), 0.5 / max(1, (learn & (y == 0)).sum())) * learn
+
+    def logits(w: np.ndarray) -> np.ndarray:
+        return np.bincount(doc, weights=val * w[idx], minlength=n) + w[-1]
+
+    def back(r: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(idx, weights=val * r[doc], minlength=size) + l2 * w[:-1], r.sum())
+
+    w = common.minimise(lambda w: back(weight * (1 / (1 + np.exp(-np.clip(logits(w), -60, 60))) - y), w), lambda w: back(0.25 * weight * logits(w), w), size + 1, steps)
+    z, held = logits(w), fold == 1
     slope, offset = _platt(z[held], y[held]) if held.any() else (1.0, 0.0)
-    parts = w.astype(np.float32).reshape(len(FAMILIES), BUCKETS)
-    return HashedLogistic(dict(zip(FAMILIES, parts, strict=True)), float(bias), slope, offset)
+    parts = w[:-1].astype(np.float32).reshape(len(FAMILIES), BUCKETS)
+    return HashedLogistic(dict(zip(FAMILIES, parts, strict=True)), float(w[-1]), slope, offset)
 
 
 def sparse_rows(bodies: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -202,7 +200,7 @@ def sparse_rows(bodies: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
             if e > s:
                 own, n = np.unique(streams[family][s:e], return_counts=True)
                 idx.append(own + f * BUCKETS)
-                val.append(n / (e - s))
+                val.append(n / (e - s + PRIOR[family]))
         out.append((np.concatenate(idx).astype(np.int32), np.concatenate(val).astype(np.float32)) if idx else (np.zeros(0, np.int32), np.zeros(0, np.float32)))
     return out
 
