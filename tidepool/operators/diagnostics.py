@@ -4,11 +4,11 @@ Scale notes. Pods attach to deployments by an equi-join on (app label, namespace
 Events relate to a deployment when the deployment name occurs as a *substring* of the
 event's object name or message; instead of a nested-loop ``contains`` join, every event
 text is cut into the substrings that could be a deployment name (runs of characters
-that occur in names, lengths between the shortest and longest name) and those are
-equi-joined with the names. That is exact and stays a hash join at any size.
-Recommendations never build one large text per deployment: each snapshot row is
-checked for the markers on its own and the flags are OR-ed per deployment with a
-map-side-combined aggregate.
+that occur in names, of lengths that occur) and those are equi-joined with the names. That is
+exact and stays a hash join at any size; lengths and characters come as scalar subqueries of
+the same query, and lengths are as few as the naming rule allows (63).
+Everything a report says is one row of a section, with the markers found in it as bits, so
+recommendations are an OR over the rows (combined map-side) and no list is collected into a group.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fleet as FL
+from ..sources import schemas as S
 
 RECENT_EVENTS = 8
 
@@ -54,7 +55,7 @@ def conditions(cr: DataFrame) -> DataFrame:
 
 def pod_health(pods: DataFrame) -> DataFrame:
     """Per pod: phase, node, reason, start, total restarts (missing counts 0), containers."""
-    cs = F.coalesce(F.col("status.containerStatuses"), F.array().cast("array<struct<name:string,ready:boolean,restartCount:int,state:string,lastState:string>>"))
+    cs = F.coalesce(F.col("status.containerStatuses"), F.array().cast(f"array<{S.CONTAINER}>"))
     return pods.select(
         _blank(F.col("metadata.name")).alias("pod_name"),
         F.col("metadata.labels").getItem("app").alias("app"),
@@ -91,37 +92,24 @@ def event_view(events: DataFrame) -> DataFrame:
     )
 
 
-def _name_stats(names: DataFrame) -> tuple[int, int, str] | None:
-    """Shortest and longest name and the character class of name characters (bounded by the alphabet)."""
-    chars = names.select(F.explode(F.split(F.col("deployment_name"), "")).alias("ch")).where(F.col("ch") != "").distinct()
-    lens = names.where(F.length("deployment_name") > 0).agg(F.min(F.length("deployment_name")).alias("lo"),
-                                                            F.max(F.length("deployment_name")).alias("hi")).first()
-    if lens is None or lens["lo"] is None:
-        return None
-    cs = sorted(r["ch"] for r in chars.collect())
-    cls = "".join(c if c.isascii() and c.isalnum() else "\\" + c for c in cs)
-    return int(lens["lo"]), int(lens["hi"]), f"[{cls}]+"
-
-
 def related_events(deployments: DataFrame, events: DataFrame) -> DataFrame:
     """(deployment id, event uid) for every event whose object name or message contains the
     deployment name, in the deployment's namespace; startup-probe noise is dropped."""
-    names = deployments.select("id", "deployment_name", "namespace")
-    stats = _name_stats(names)
+    names = deployments.select("id", "deployment_name", "namespace").where(F.length("deployment_name") > 0)
+    lengths = names.agg(F.array_sort(F.collect_set(F.length("deployment_name")))).scalar()
+    chars = names.select(F.explode(F.split("deployment_name", "")).alias("ch")).where("ch <> ''").distinct()
+    escaped = F.when(F.col("ch").rlike("[A-Za-z0-9]"), F.col("ch")).otherwise(F.concat(F.lit("\\"), "ch"))
+    pattern = chars.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_set(escaped)), ""), F.lit("]+"))).scalar()
     ev = event_view(events).where(
         ~(F.coalesce(F.col("reason") == NOISE_REASON, F.lit(False)) & F.coalesce(F.col("message").contains(NOISE_TEXT), F.lit(False))))
-    if stats is None:
-        return ev.select(F.lit(None).cast("long").alias("id"), "uid").where(F.lit(False))
-    lo, hi, pattern = stats
     texts = ev.select("uid", "namespace", F.explode(F.array("object_name", "message")).alias("t")).where(F.col("t").isNotNull())
-    runs = texts.select("uid", "namespace", F.explode(F.regexp_extract_all("t", F.lit(pattern), 0)).alias("run"))
-    runs = runs.where(F.length("run") >= lo)
-    starts = runs.select("uid", "namespace", "run", F.explode(F.sequence(F.lit(1), F.length("run") - lo + 1)).alias("s"))
-    cands = starts.select(
-        "uid", "namespace",
-        F.explode(F.expr(f"transform(sequence({lo}, least({hi}, length(run) - s + 1)), n -> substr(run, s, n))")).alias("cand"),
-    )
-    hits = cands.join(names, (cands["cand"] == names["deployment_name"]) & (cands["namespace"] == names["namespace"]))
+    # without names the pattern is "[]+", which is none
+    runs = texts.withColumn("lens", lengths).where(F.size("lens") > 0)
+    runs = runs.select("uid", "namespace", "lens", F.explode(F.regexp_extract_all("t", pattern, 0)).alias("run")).where(F.length("run") >= F.col("lens")[0])
+    fit = F.filter("lens", lambda n: n <= F.length("run"))
+    cut = F.flatten(F.transform(fit, lambda n: F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda s: F.substring(F.col("run"), s, n))))
+    cands = runs.select("uid", F.col("namespace").alias("_ns"), F.explode(F.array_distinct(cut)).alias("cand"))
+    hits = cands.join(names, (F.col("cand") == F.col("deployment_name")) & (F.col("_ns") == F.col("namespace")))
     return hits.select("id", "uid").distinct()
 
 
@@ -138,75 +126,83 @@ def recent_events(related: DataFrame, events: DataFrame, n: int = RECENT_EVENTS)
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def _marker_flags(text: Column) -> list[Column]:
-    out = []
+def _marks(*texts: Column) -> Column:
+    """Bit i is set if a marker of rule i occurs in one of the texts."""
+    bits = F.lit(0)
     for i, (markers, *_rest) in enumerate(RULES):
         hit = F.lit(False)
         for m in markers:
-            hit = hit | F.coalesce(text.contains(m), F.lit(False))
-        out.append(hit.alias(f"r{i}"))
-    return out
+            for t in texts:
+                hit = hit | F.coalesce(t.contains(m), F.lit(False))
+        bits = bits.bitwiseOR(F.when(hit, 1 << i).otherwise(0))
+    return bits
 
 
-def recommendation_flags(status: DataFrame, pods: DataFrame, related: DataFrame, events: DataFrame, deployments: DataFrame) -> DataFrame:
-    """Per deployment with a snapshot: which rules fire on its status, pods and related events.
+#: A report row: what it is about, its place in the section, its fields, and the markers found in it.
+SECTION_COLS = ["id", "section", "position", "name", "kind", "state", "reason", "message", "at", "n", "marks"]
 
-    A marker occurs in the JSON text of {status, pods, events} exactly when it occurs in one
-    of their string fields (markers hold no JSON-escaped characters and no field names contain
-    them), so each row's string fields are joined with a separator and searched directly.
-    """
-    names = deployments.select("id", "deployment_name", "namespace")
-    st = status.withColumnRenamed("name", "deployment_name").join(names, ["deployment_name", "namespace"])
-    st_rows = st.select("id", *_marker_flags(F.concat_ws("|", "lifecycle_state", "jm_status", "job_state", "upgrade_path", "error")))
-    ph = pod_health(pods)
-    containers = F.array_join(F.transform("containers", lambda c: F.concat_ws("|", c["name"], c["state"], c["lastState"])), "|")
-    pod_text = F.concat_ws("|", "pod_name", "phase", "node", "reason", "start_time", containers)
-    pod_rows = ph.join(names.withColumnRenamed("deployment_name", "app"), ["app", "namespace"]).select("id", *_marker_flags(pod_text))
-    ev = event_view(events)
-    ev_text = F.concat_ws("|", "reason", "message", "type", "object_kind", "object_name", "first_seen", "last_seen")
-    ev_rows = related.join(ev, "uid").select("id", *_marker_flags(ev_text))
-    flags = st_rows.unionByName(pod_rows).unionByName(ev_rows)
-    agg = flags.groupBy("id").agg(*[F.bool_or(f"r{i}").alias(f"r{i}") for i in range(len(RULES))])
-    # only deployments that have a snapshot get recommendations
-    return agg.join(st.select("id"), "id", "left_semi")
+
+def _row(section: str, marks: Column, **fields: Column) -> list[Column]:
+    text = {c: F.lit(None).cast("string") for c in ("name", "kind", "state", "reason", "message", "at")}
+    number = {c: F.lit(None).cast("long") for c in ("position", "n")}
+    cols = {"section": F.lit(section), **text, **number, **fields, "marks": marks}
+    return [(cols[c].cast("long") if c in number else cols[c]).alias(c) for c in SECTION_COLS[1:]]
 
 
-def recommendations(flags: DataFrame) -> DataFrame:
-    """One row per fired rule: (id, rule_order, severity, reason, message)."""
-    spark = flags.sparkSession
+def sections(deployments: DataFrame, cr: DataFrame, pods: DataFrame, events: DataFrame) -> DataFrame:
+    """One row per status, condition, pod, container and related event of each deployment.
+
+    A marker occurs in the JSON text of {status, pods, events} exactly when it occurs in one of their
+    string values (it holds no JSON-escaped characters and no field name contains one); the whole text of
+    ``jobStatus`` is searched, whatever fields it has. Conditions are not part of that text.
+    Each source is read once: a pod carries its containers, a custom resource its conditions.
+    """
+    from .fleet import cr_status
+
+    names = deployments.select("id", "deployment_name", "namespace")
+    status = cr_status(cr, keep=[F.col("status.jobStatus").alias("job_text"), F.col("status.conditions").alias("conditions")])
+    st = names.join(status.withColumnRenamed("name", "deployment_name").withColumn("has_cr", F.lit(True)), ["deployment_name", "namespace"], "left")
+    state = _row("status", _marks(*[F.col(c) for c in ("lifecycle_state", "jm_status", "job_text", "error")]),
+                 name=F.when(F.col("has_cr"), F.col("lifecycle_state")).otherwise("DELETED"), kind=F.col("jm_status"), state=F.col("job_state"),
+                 reason=F.col("upgrade_path"), message=F.col("error"), n=F.col("n_history"), position=F.when(F.col("has_cr"), 0))
+    cond = F.transform(F.coalesce("conditions", F.array().cast(f"array<{S.CONDITION}>")), lambda c, i: F.struct(*_row(
+        "condition", F.lit(0), kind=_blank(c["type"]), state=_blank(c["status"]), reason=_blank(c["reason"]), message=_blank(c["message"]),
+        at=_blank(c["lastTransitionTime"]), position=i)))
+    st_rows = st.select("id", F.explode(F.concat(F.array(F.struct(*state)), cond)).alias("r"))
+    ph = pod_health(pods).join(names.withColumnRenamed("deployment_name", "app"), ["app", "namespace"])
+    pod = _row("pod", _marks(*[F.col(c) for c in ("pod_name", "phase", "node", "reason", "start_time")]), name=F.col("pod_name"), state=F.col("phase"),
+               kind=F.col("node"), reason=F.col("reason"), at=F.col("start_time"), n=F.col("restart_count"))
+    box = F.transform("containers", lambda c, i: F.struct(*_row(
+        "container", _marks(c["name"], c["state"], c["lastState"]), name=F.concat_ws("/", F.col("pod_name"), c["name"]), state=c["state"], reason=c["lastState"],
+        message=c["ready"].cast("string"), n=F.coalesce(c["restartCount"], F.lit(0)), position=i)))
+    pod_rows = ph.select("id", F.explode(F.concat(F.array(F.struct(*pod)), box)).alias("r"))
+    ev = related_events(names, events).join(event_view(events), "uid")
+    ev_rows = ev.select("id", F.struct(*_row(
+        "event", _marks(*[F.col(c) for c in ("reason", "message", "type", "object_kind", "object_name", "first_seen", "last_seen")]),
+        name=F.col("object_name"), kind=F.col("object_kind"), state=F.col("type"), reason=F.col("reason"), message=F.col("message"),
+        at=F.coalesce("last_seen", "first_seen"), n=F.col("count"), position=F.col("uid"))).alias("r"))
+    return st_rows.unionByName(pod_rows).unionByName(ev_rows).select("id", "r.*")
+
+
+def recommendations(rows: DataFrame) -> DataFrame:
+    """One row per fired rule: (id, rule_order, severity, reason, message). Only deployments that have a custom resource get any."""
+    has_cr = F.bool_or((F.col("section") == "status") & F.col("position").isNotNull())
+    fired = rows.groupBy("id").agg(F.bit_or("marks").alias("bits"), has_cr.alias("has_cr")).where("has_cr and bits <> 0")
+    spark = rows.sparkSession
     rules = spark.createDataFrame([(i, sev, reason, msg) for i, (_m, sev, reason, msg) in enumerate(RULES)],
                                   "rule_order int, severity string, reason string, message string")
-    fired = flags.select("id", F.explode(F.array(*[F.when(F.col(f"r{i}"), F.lit(i)) for i in range(len(RULES))])).alias("rule_order"))
-    return fired.where(F.col("rule_order").isNotNull()).join(F.broadcast(rules), "rule_order")
+    orders = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(1 << i) != 0, i) for i in range(len(RULES))]))
+    # the rules are a fixed list
+    return fired.select("id", F.explode(orders).alias("rule_order")).join(F.broadcast(rules), "rule_order")
 
 
-def diagnostics_report(deployments: DataFrame, status: DataFrame, cr: DataFrame, pods: DataFrame, events: DataFrame) -> DataFrame:
-    """Per deployment: status (DELETED when there is no snapshot), counts of conditions, pods,
-    restarts and related events, and the fired recommendation reasons in rule order."""
-    names = deployments.select("id", "deployment_name", "namespace")
-    st = status.withColumnRenamed("name", "deployment_name").withColumn("has_snapshot", F.lit(True))
-    base = names.join(st, ["deployment_name", "namespace"], "left").withColumn("has_snapshot", F.coalesce("has_snapshot", F.lit(False)))
-    conds = conditions(cr).groupBy("name", "namespace").agg(F.count(F.lit(1)).alias("n_conditions")) \
-        .withColumnRenamed("name", "deployment_name")
-    ph = pod_health(pods).groupBy("app", "namespace").agg(
-        F.count(F.lit(1)).alias("n_pods"), F.sum("restart_count").alias("total_restarts")).withColumnRenamed("app", "deployment_name")
-    related = related_events(names, events)
-    n_ev = related.groupBy("id").agg(F.count(F.lit(1)).alias("n_events"))
-    flags = recommendation_flags(status, pods, related, events, names)
-    recs = recommendations(flags).groupBy("id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rule_order", "reason"))), lambda x: x["reason"]), "; ").alias("recommendations"))
-    out = (base
-           .join(conds, ["deployment_name", "namespace"], "left")
-           .join(ph, ["deployment_name", "namespace"], "left")
-           .join(n_ev, "id", "left")
-           .join(recs, "id", "left"))
-    return out.select(
-        "id", "deployment_name", "namespace",
-        F.when(F.col("has_snapshot"), F.col("lifecycle_state")).otherwise(F.lit("DELETED")).alias("lifecycle_state"),
-        "jm_status", "job_state", "error",
-        F.when(F.col("has_snapshot"), F.coalesce("n_conditions", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_conditions"),
-        F.coalesce("n_pods", F.lit(0)).cast("long").alias("n_pods"),
-        F.coalesce("total_restarts", F.lit(0)).cast("long").alias("total_restarts"),
-        F.coalesce("n_events", F.lit(0)).cast("long").alias("n_events"),
-        F.when(F.col("has_snapshot"), F.coalesce("recommendations", F.lit(""))).otherwise(F.lit("")).alias("recommendations"),
-    )
+def diagnostics_report(rows: DataFrame) -> DataFrame:
+    """The sections and, as a section of their own, the recommendations that follow from them.
+
+    ``rows`` is read twice, so a caller with large inputs writes ``sections`` to a table first. Within a section:
+    conditions, containers and recommendations by ``position``, events newest first by ``at``.
+    """
+    recs = recommendations(rows).select("id", F.lit("recommendation").alias("section"), F.col("rule_order").cast("long").alias("position"), F.lit(None).cast("string").alias("name"),
+                                        F.lit(None).cast("string").alias("kind"), F.col("severity").alias("state"), "reason", "message",
+                                        F.lit(None).cast("string").alias("at"), F.lit(None).cast("long").alias("n"))
+    return rows.drop("marks").unionByName(recs)

@@ -23,8 +23,8 @@ def live(df: DataFrame) -> DataFrame:
     return df.where(F.col("deleted_at").isNull())
 
 
-def cr_status(cr: DataFrame) -> DataFrame:
-    """Flatten a custom resource to its status fields; absent or empty values become NULL."""
+def cr_status(cr: DataFrame, keep: list[Column] | None = None) -> DataFrame:
+    """Flatten a custom resource to its status fields (and ``keep``); absent or empty values become NULL."""
     blank = lambda c: F.nullif(c, F.lit(""))
     job = F.from_json(F.col("status.jobStatus"), S.JOB_STATUS_DDL, {"mode": "PERMISSIVE"})
     return cr.withColumn("_job", job).select(
@@ -37,6 +37,7 @@ def cr_status(cr: DataFrame) -> DataFrame:
         blank(F.col("status.error")).alias("error"),
         blank(F.col("_job.upgradeSavepointPath")).alias("upgrade_path"),
         F.coalesce(F.size(F.col("_job.savepointInfo.savepointHistory")), F.lit(-1)).alias("n_history"),
+        *(keep or []),
     ).withColumn("n_history", F.greatest(F.col("n_history"), F.lit(0)))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import diagnostics as D
 from ..operators import fleet as FO
 from ..operators import savepoints as SP
+from ..session import scratch_path
 from ..sources import cluster, registry
 from ..sources.views import view
 from . import query
@@ -114,46 +115,40 @@ register(
     SELECT id, uid, seen_ms, rank FROM k WHERE rank <= 8""",
 )
 
-_RULES_SQL = " UNION ALL ".join(
-    f"SELECT {i} AS rule_order, '{sev}' AS severity, '{reason}' AS reason, '{msg}' AS message"
-    for i, (_m, sev, reason, msg) in enumerate(D.RULES)
+# The rules once more, written out on the oracle's side.
+_RULES = [
+    (["ImagePullBackOff", "ErrImagePull"], "high", "Image pull failed",
+     "Kubernetes could not pull the Flink image. Verify the image name or run the image loading script for your local cluster."),
+    (["CrashLoopBackOff"], "high", "Container is crashing repeatedly", "Check the JobManager logs. The application may be failing during startup."),
+    (["OOMKilled"], "high", "Container ran out of memory", "Increase JobManager or TaskManager memory in the deployment configuration."),
+    (["FailedScheduling"], "medium", "Pod scheduling failed", "The Kubernetes cluster may not have enough CPU or memory available."),
+]
+_FIRED = " UNION ALL ".join(
+    f"SELECT DISTINCT id, {i} AS rule_order, '{sev}' AS severity, '{reason}' AS reason, '{msg}' AS message FROM texts WHERE "
+    + " OR ".join(f"contains(t, '{m}')" for m in markers)
+    for i, (markers, sev, reason, msg) in enumerate(_RULES)
 )
-
-
-def _flags_sql(text: str) -> str:
-    return ", ".join(
-        "(" + " OR ".join(f"coalesce(contains({text}, '{m}'), false)" for m in markers) + f") AS r{i}"
-        for i, (markers, *_r) in enumerate(D.RULES)
-    )
-
-
 RECS_SQL = f"""{CR_SQL}, {RELATED_SQL}, {EVENT_VIEW_SQL},
 live AS (SELECT id, deployment_name, namespace FROM v_deployments WHERE deleted_at IS NULL),
-st AS (SELECT live.id, concat_ws('|', lifecycle_state, jm_status, job_state, upgrade_path, error) AS t
-       FROM live JOIN cr ON cr.name = live.deployment_name AND cr.namespace = live.namespace),
+st AS (SELECT live.id, concat_ws('|', cr.lifecycle_state, cr.jm_status, cr.job_state, cr.upgrade_path, v.job_note, cr.error) AS t
+       FROM live JOIN cr ON cr.name = live.deployment_name AND cr.namespace = live.namespace
+       JOIN v_cr v ON v.name = cr.name AND v.namespace = cr.namespace),
 pt AS (SELECT live.id, concat_ws('|', pod_name, phase, node, reason, start_time,
               CASE WHEN NOT no_containers THEN concat_ws('|', c1_state, c1_last_state, c2_state, c2_last_state) END) AS t
        FROM live JOIN v_pods p ON p.app = live.deployment_name AND p.namespace = live.namespace),
 et AS (SELECT related.id, concat_ws('|', reason, message, type, object_kind, object_name, first_seen, last_seen) AS t
        FROM related JOIN ev USING (uid)),
-flags AS (SELECT id, {", ".join(f"bool_or(r{i}) AS r{i}" for i in range(len(D.RULES)))}
-          FROM (SELECT id, {_flags_sql('t')} FROM (SELECT * FROM st UNION ALL SELECT * FROM pt UNION ALL SELECT * FROM et))
-          WHERE id IN (SELECT id FROM st) GROUP BY id),
-rules AS ({_RULES_SQL}),
-recs AS (SELECT f.id, r.* FROM flags f JOIN rules r ON
-  {" OR ".join(f"(r.rule_order = {i} AND f.r{i})" for i in range(len(D.RULES)))})"""
+texts AS (SELECT * FROM (SELECT * FROM st UNION ALL SELECT * FROM pt UNION ALL SELECT * FROM et) WHERE id IN (SELECT id FROM st)),
+recs AS ({_FIRED})"""
 
 
-def _flags(spark, sf):
-    reg = _registry(spark, sf)
-    ev = cluster.k8s_events(spark, sf)
-    status = FO.cr_status(cluster.custom_resources(spark, sf))
-    return D.recommendation_flags(status, cluster.pods(spark, sf), D.related_events(reg, ev), ev, reg)
+def _sections(spark, sf):
+    return D.sections(_registry(spark, sf), cluster.custom_resources(spark, sf), cluster.pods(spark, sf), cluster.k8s_events(spark, sf))
 
 
 @query("recommendations")
 def recommendations(spark, sf):
-    return D.recommendations(_flags(spark, sf)).select("id", "rule_order", "severity", "reason", "message")
+    return D.recommendations(_sections(spark, sf)).select("id", "rule_order", "severity", "reason", "message")
 
 
 register("recommendations", f"WITH {RECS_SQL} SELECT id, rule_order, severity, reason, message FROM recs")
@@ -161,32 +156,37 @@ register("recommendations", f"WITH {RECS_SQL} SELECT id, rule_order, severity, r
 
 @query("diagnostics_report")
 def diagnostics_report(spark, sf):
-    """Per deployment: status, conditions, pods, restarts, related events and recommendations."""
-    cr = cluster.custom_resources(spark, sf)
-    return D.diagnostics_report(_registry(spark, sf), FO.cr_status(cr), cr, cluster.pods(spark, sf), cluster.k8s_events(spark, sf))
+    """Per deployment: status, conditions, pods, containers, related events and recommendations, a row each."""
+    path = scratch_path(spark, "sections")
+    _sections(spark, sf).write.parquet(path)
+    return D.diagnostics_report(spark.read.parquet(path))
 
 
 register(
     "diagnostics_report",
-    f"""WITH {RECS_SQL},
-    pods_agg AS (SELECT app, namespace, count(*) AS n_pods,
-                 sum(CASE WHEN no_containers THEN 0 ELSE coalesce(c1_restarts, 0) + coalesce(c2_restarts, 0) END) AS total_restarts
-                 FROM v_pods GROUP BY app, namespace),
-    ev_agg AS (SELECT id, count(*) AS n_events FROM related GROUP BY id),
-    rec_agg AS (SELECT id, string_agg(reason, '; ' ORDER BY rule_order) AS recommendations FROM recs GROUP BY id)
-    SELECT live.id, live.deployment_name, live.namespace,
-      CASE WHEN cr.name IS NULL THEN 'DELETED' ELSE cr.lifecycle_state END AS lifecycle_state,
-      cr.jm_status, cr.job_state, cr.error,
-      CAST(coalesce(cr.n_conditions, 0) AS BIGINT) AS n_conditions,
-      CAST(coalesce(p.n_pods, 0) AS BIGINT) AS n_pods, CAST(coalesce(p.total_restarts, 0) AS BIGINT) AS total_restarts,
-      CAST(coalesce(e.n_events, 0) AS BIGINT) AS n_events,
-      CASE WHEN cr.name IS NULL THEN '' ELSE coalesce(r.recommendations, '') END AS recommendations
-    FROM live
-    LEFT JOIN (SELECT cr.*, v.n_conditions FROM cr JOIN v_cr v USING (name, namespace)) cr
-      ON cr.name = live.deployment_name AND cr.namespace = live.namespace
-    LEFT JOIN pods_agg p ON p.app = live.deployment_name AND p.namespace = live.namespace
-    LEFT JOIN ev_agg e ON e.id = live.id
-    LEFT JOIN rec_agg r ON r.id = live.id""",
+    f"""WITH {RECS_SQL}, w AS (SELECT * FROM v_cr)
+    SELECT live.id, 'status' AS section, CASE WHEN cr.name IS NOT NULL THEN 0 END AS position,
+      CASE WHEN cr.name IS NULL THEN 'DELETED' ELSE cr.lifecycle_state END AS name, cr.jm_status AS kind, cr.job_state AS state,
+      cr.upgrade_path AS reason, cr.error AS message, CAST(NULL AS VARCHAR) AS at, CAST(cr.n_history AS BIGINT) AS n
+    FROM live LEFT JOIN cr ON cr.name = live.deployment_name AND cr.namespace = live.namespace
+    UNION ALL
+    SELECT live.id, 'condition', k, NULL, CASE WHEN k = 0 THEN 'Ready' ELSE 'Progressing' END, CASE WHEN jm_status = 'READY' THEN 'True' ELSE 'False' END,
+      CASE WHEN k = 0 THEN 'JobManagerReady' ELSE 'Reconciling' END, 'condition ' || CAST(k AS VARCHAR) || ' of ' || c.name, cond_time, NULL
+    FROM live JOIN (SELECT *, unnest(range(n_conditions)) AS k FROM w) c ON c.name = live.deployment_name AND c.namespace = live.namespace
+    UNION ALL
+    SELECT live.id, 'pod', NULL, pod_name, node, phase, reason, NULL, start_time,
+      CASE WHEN no_containers THEN 0 ELSE coalesce(c1_restarts, 0) + coalesce(c2_restarts, 0) END
+    FROM live JOIN v_pods p ON p.app = live.deployment_name AND p.namespace = live.namespace
+    UNION ALL
+    SELECT live.id, 'container', 0, pod_name || '/' || c1_name, NULL, c1_state, c1_last_state, CAST(c1_ready AS VARCHAR), NULL, coalesce(c1_restarts, 0)
+    FROM live JOIN v_pods p ON p.app = live.deployment_name AND p.namespace = live.namespace WHERE NOT no_containers
+    UNION ALL
+    SELECT live.id, 'container', 1, pod_name || '/' || c2_name, NULL, c2_state, c2_last_state, CAST(c2_ready AS VARCHAR), NULL, coalesce(c2_restarts, 0)
+    FROM live JOIN v_pods p ON p.app = live.deployment_name AND p.namespace = live.namespace WHERE NOT no_containers
+    UNION ALL
+    SELECT related.id, 'event', uid, object_name, object_kind, type, reason, message, coalesce(last_seen, first_seen), count FROM related JOIN ev USING (uid)
+    UNION ALL
+    SELECT id, 'recommendation', rule_order, NULL, NULL, severity, reason, message, NULL, NULL FROM recs""",
 )
 
 # ---------------------------------------------------------------- E1-E5
