@@ -20,7 +20,7 @@ from tidepool.plans import load_all  # noqa: E402
 from tidepool.session import build_session  # noqa: E402
 
 HEADLINE = ["enrich_messages", "log_query", "reconcile", "snapshot_candidate", "diagnostics_report",
-            "related_events", "over_limit", "page_deployments"]
+            "related_events", "over_limit", "page_deployments", "log_last_n", "status_tab_counts", "checkpointed_stream", "reconcile_stream"]
 
 
 def main() -> None:

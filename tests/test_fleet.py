@@ -105,3 +105,17 @@ def test_paging_matches_row_number(spark):
     pos = {row_id: i + 1 for i, (_k, row_id) in enumerate(expect)}
     for r in paged:
         assert r["position"] == pos[r["id"]] and r["page"] == (pos[r["id"]] + 14) // 15
+
+
+def test_page_is_clamped(spark):
+    df = spark.range(0, 31).select("id")
+    rows = lambda p, **k: [(r["id"], r["position"], r["page"]) for r in FO.page_of(df, [F.col("id").desc()], p, 15, **k).collect()]
+    assert rows(99) == [(0, 31, 3)] and rows(0) == [(30 - i, i + 1, 1) for i in range(15)] and rows(2, total=31)[0] == (15, 16, 2)
+    assert FO.page_of(df.limit(0), [F.col("id")], 4).count() == 0
+
+
+def test_tab_counts_with_odd_statuses(spark):
+    df = spark.createDataFrame([("running",), ("running",), (None,), ("all",), ("other",)], "status string")
+    got = {r["tab"]: r["count"] for r in FO.status_tab_counts(df).collect()}
+    assert got["all"] == 5 and got["running"] == 2 and got["failed"] == 0
+    assert {r["count"] for r in FO.status_tab_counts(df.limit(0)).collect()} == {0}

@@ -1,4 +1,4 @@
-"""Logs (flatten, literal search, levels, buffer rule), sizes, names, savepoint decisions, access limits."""
+"""Logs (flatten, literal search, levels, newest lines), sizes, names, savepoint decisions, access limits."""
 
 import math
 
@@ -29,32 +29,30 @@ def test_literal_search_and_levels(spark):
     assert [r["ts_ns"] for r in L.log_query(df, q).collect()] == [0, 1]
 
 
-def _buffer_sim(n):
-    buf = 0
-    for _ in range(n):
-        buf = (L.BUFFER_TRIM_TO + 1) if buf > L.BUFFER_MAX else buf + 1
-    return buf
-
-
-def test_buffer_rule(spark):
-    ns = [0, 1, 4999, 5000, 5001, 5002, 5003, 6001, 6002, 6003, 12345]
-    df = spark.createDataFrame([(n,) for n in ns], "n long")
-    got = [r[0] for r in df.select(L.buffer_kept(F.col("n"))).collect()]
-    assert got == [_buffer_sim(n) for n in ns]
+def test_newest_n(spark):
+    rows = [(f"k{i % 3}" if i % 10 else None, (i * 7919) % 5000 * 10**9 if i % 11 else None, "p", str(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "app string, ts_ns long, pod string, line string")
+    for n, bucket in ((1, 10**9), (7, 100 * 10**9), (50, 10**15), (5000, 10**12)):
+        got = sorted((r["app"] or "", r["rank_from_newest"], r["line"]) for r in L.newest_n(df, ["app"], n, bucket_ns=bucket).collect())
+        want = []
+        for k in {r[0] for r in rows}:
+            own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]), reverse=True)
+            want += [(k or "", i + 1, r[3]) for i, r in enumerate(own[:n])]
+        assert got == sorted(want)
 
 
 def _format_bytes(b):
     if b == 0:
         return "0 B"
-    i = min(3, int(math.floor(math.log(b) / math.log(1024) + 1e-12)))
+    i = min(5, int(math.floor(math.log(b) / math.log(1024) + 1e-12)))
     from decimal import ROUND_HALF_UP, Decimal
 
     v = (Decimal(b) / (Decimal(1024) ** i)).quantize(Decimal("0.1"), rounding=ROUND_HALF_UP)
-    return f"{v.normalize():f} {['B', 'KB', 'MB', 'GB'][i]}"
+    return f"{v.normalize():f} {['B', 'KB', 'MB', 'GB', 'TB', 'PB'][i]}"
 
 
 def test_human_size(spark):
-    sizes = [0, 1, 1023, 1024, 1536, 1048575, 1048576, 1073741824, 5 * 1099511627776, 1126]
+    sizes = [0, 1, 1023, 1024, 1536, 1048575, 1048576, 1073741824, 5 * 1099511627776, 1126, 1 << 62, 3 * 2**49]
     df = spark.createDataFrame([(s,) for s in sizes], "b long")
     got = [r[0] for r in df.select(FM.human_size(F.col("b"))).collect()]
     assert got == [_format_bytes(s) for s in sizes]
@@ -87,8 +85,26 @@ def test_snapshot_candidates(spark):
     r = SP.snapshot_candidate(trig_df, fresh).collect()[0]
     assert r["completed"] and r["last_savepoint_path"] == "s3://bucket/fresh" and r["result_ms"] == trig + 2000
     failed = spark.createDataFrame([_snap("f", "2026-01-01T00:00:01Z", "FAILED", None, None, "disk full")], SNAP)
-    o = SP.savepoint_outcome(SP.snapshot_candidate(trig_df, failed)).collect()[0]
-    assert o["outcome"] == "error" and o["reason"] == "disk full"
+    later = trig + 3_600_000
+    o = SP.savepoint_outcome(trig_df, failed, later).collect()[0]
+    assert o["outcome"] == "error" and o["reason"] == "disk full" and o["seen_ms"] == trig + 5000
+
+
+def test_outcomes_follow_the_polls(spark):
+    trig = 1767225600000  # 2026-01-01T00:00:00Z
+    two = spark.createDataFrame([("j", "default", trig), ("j", "default", trig + 2_592_000_000)], "deployment_name string, namespace string, trigger_ms long")
+    snaps = [_snap("a", "2026-01-01T00:00:01Z", "COMPLETED", "s3://a", "2026-01-01T00:00:42Z"), _snap("b", "2026-01-31T00:00:01Z", "COMPLETED", "s3://b", "2026-01-31T00:01:59Z")]
+    run = lambda rows, now=trig + 10**10: sorted((r["trigger_ms"] - trig, r["outcome"], r["savepoint_path"], r["seen_ms"] and r["seen_ms"] - r["trigger_ms"])
+                                                 for r in SP.savepoint_outcome(two, spark.createDataFrame(rows, SNAP), now).collect())
+    assert run(snaps) == [(0, "success", "s3://a", 45000), (2_592_000_000, "success", "s3://b", 120000)]
+    late = [_snap("a", "2026-01-01T00:00:01Z", "COMPLETED", "s3://a", "2026-01-01T00:02:01Z")]
+    assert run(late)[0] == (0, "timed_out", None, None)
+    assert run(late, trig + 119_000) == [(0, "pending", None, None)]
+    # a newer snapshot hides an older one that is final only afterwards
+    hidden = [snaps[0], _snap("c", "2026-01-01T00:00:30Z", "IN_PROGRESS", None, None)]
+    assert run(hidden)[0] == (0, "timed_out", None, None)
+    stale = [_snap("a", "2026-01-01T00:00:00Z", "COMPLETED", "s3://a", "2025-12-31T23:59:59Z")]
+    assert run(stale)[0] == (0, "timed_out", None, None)
 
 
 def test_resume_choices(spark):

@@ -10,8 +10,7 @@ import __spark_entry__ as E
 from tests.conftest import SF
 
 TABLES = ["customer", "part", "orders", "lineitem", "events", "documents"]
-FAST = [k for k in E.oracle_sql() if k not in {
-    "topic_source", "checkpointed_stream", "stop_with_savepoint", "force_stop", "savepoint_now", "resume", "continuity_audit"}]
+NAMES = list(E.oracle_sql())
 
 
 def _norm(v):
@@ -41,7 +40,7 @@ def test_entry_runs(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     res = con.execute(E.oracle_sql()[name])

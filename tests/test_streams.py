@@ -1,10 +1,20 @@
-"""Stream == batch, and savepoint resume semantics (append view vs lineage view)."""
+"""Enrichment stream and continuity, continuous reconciliation under re-runs and partial polls, pod log times, file sources."""
 
+from datetime import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
-from tidepool.session import scratch_path
+from tidepool.operators import access as AC
+from tidepool.operators import logs as L
+from tidepool.session import scratch_path, shared_dir
+from tidepool.sources import logs as LS
+from tidepool.sources import registry as REG
+from tidepool.sources import schemas as S
 from tidepool.sources import topics
-from tidepool.streaming import control as C
+from tidepool.streaming import enrichment as EN
+from tidepool.streaming import logs as SL
+from tidepool.streaming import reconcile as RS
 
 
 def _records(spark, lo, hi):
@@ -12,38 +22,150 @@ def _records(spark, lo, hi):
         F.col("i").alias("id"), topics.encode_message(F.col("message")).alias("value"))
 
 
-def test_older_savepoint_resume(spark):
+def test_fresh_checkpoint_repeats_and_once_each_does_not(spark):
     base = scratch_path(spark, "test-enrich")
-    dep = C.StreamDeployment(spark, base, f"{base}/topic")
-    C.write_topic(_records(spark, 0, 50), dep.source_path)
-    dep.start()
-    dep.await_idle()
-    older = dep.stop_with_savepoint()
-    C.write_topic(_records(spark, 50, 80), dep.source_path)
-    dep.resume("latest")
-    dep.await_idle()
-    dep.force_stop()
-    C.write_topic(_records(spark, 80, 100), dep.source_path)
-    dep.resume("path", older)
-    dep.await_idle()
-    lineage = dep.lineage_view()
-    assert lineage.count() == 100 and lineage.select("key").distinct().count() == 100
-    # the append view shows the replay of records 50..79 (what a consumer would have seen)
-    assert dep.append_view().count() == 130
-    sent = _records(spark, 0, 100).select(topics.decode_json(F.col("value")).alias("r")).select("r.message")
-    audit = C.continuity_audit(sent, lineage)
-    assert audit.where(F.col("status") != "ok").count() == 0
-    dup = C.continuity_audit(sent, dep.append_view())
-    assert dup.where(F.col("status") == "duplicated").count() == 30
-
-
-def test_stateless_restart(spark):
+    topics.write_topic(_records(spark, 0, 50), f"{base}/topic")
+    EN.start(spark, f"{base}/topic", f"{base}/out", f"{base}/ckpt-0").awaitTermination()
+    topics.write_topic(_records(spark, 50, 80), f"{base}/topic")
+    EN.start(spark, f"{base}/topic", f"{base}/out", f"{base}/ckpt-1", run=1).awaitTermination()
+    sink = EN.read_sink(spark, f"{base}/out")
+    assert sink.count() == 130 and EN.once_each(sink).count() == 80
+    sent = _records(spark, 0, 80).select(topics.decode_json(F.col("value")).alias("r")).select("r.message")
+    assert EN.continuity_audit(sent, EN.once_each(sink)).where("status <> 'ok'").count() == 0
+    assert EN.continuity_audit(sent, sink).where("status = 'duplicated'").count() == 50
+
+
+def test_rerun_batch_overwrites_its_output(spark):
     base = scratch_path(spark, "test-enrich")
-    dep = C.StreamDeployment(spark, base, f"{base}/topic")
-    C.write_topic(_records(spark, 0, 20), dep.source_path)
-    dep.start()
-    dep.await_idle()
-    dep.force_stop()
-    dep.resume("stateless")
-    dep.await_idle()
-    assert dep.lineage_view().count() == 20 and dep.append_view().count() == 40
+    topics.write_topic(_records(spark, 0, 20), f"{base}/topic")
+    # a batch written before the query could commit it
+    spark.range(5).select(F.col("id").cast("string").alias("key")).write.parquet(f"{base}/out/run=0/batch=0")
+    EN.start(spark, f"{base}/topic", f"{base}/out", f"{base}/ckpt").awaitTermination()
+    assert EN.read_sink(spark, f"{base}/out").count() == 20
+
+
+REGISTRY = "id long, deployment_name string, namespace string, status string, deployment_mode string, pending_action string, error_message string, last_savepoint_path string, created_at timestamp_ntz, updated_at timestamp_ntz, deleted_at timestamp_ntz"
+OLD, NEW = datetime(1970, 1, 1), datetime(2100, 1, 1)
+
+
+def _registry(spark, rows):
+    return spark.createDataFrame([(i, f"d{i}", "default", st, "application", pend, None, None, OLD, at, None) for i, st, pend, at in rows], REGISTRY)
+
+
+def _doc(i, state="RUNNING", spec="running", path=None):
+    more = f', "upgradeSavepointPath": "{path}"' if path else ""
+    return f'{{"metadata":{{"name":"d{i}","namespace":"default"}},"spec":{{"job":{{"state":"{spec}"}}}},"status":{{"lifecycleState":"STABLE","jobStatus":{{"state":"{state}"{more}}}}}}}'
+
+
+def _batch(spark, *polls):
+    rows = [(t, n, d) for t, n, docs in polls for d in docs]
+    return spark.createDataFrame(rows, RS.POLL_DDL)
+
+
+NO_SAVEPOINTS = "deployment_id long, path string"
+
+
+def _status(spark, reg, base):
+    return {r["id"]: (r["status"], r["pending_action"]) for r in RS.current(reg, RS.changes(spark, base)).collect()}
+
+
+def test_partial_poll_waits_and_newest_complete_poll_wins(spark):
+    base = scratch_path(spark, "test-rec")
+    known = spark.createDataFrame([], NO_SAVEPOINTS)
+    reg = _registry(spark, [(1, "creating", None, OLD), (2, "creating", None, OLD), (3, "running", "stop", OLD)])
+    step = lambda b, n, r=reg: RS.reconcile_batch(spark, lambda: r, known, b, n, base)
+    step(_batch(spark, (1000, 3, [_doc(1), _doc(2)])), 0)  # one document is missing
+    assert _status(spark, reg, base) == {1: ("creating", None), 2: ("creating", None), 3: ("running", "stop")}
+    # the rest of poll 1 with poll 2, which lacks d2: only poll 2 counts
+    step(_batch(spark, (1000, 3, [_doc(3)]), (2000, 2, [_doc(1), _doc(3, "FINISHED", "suspended", "s3://sp")])), 1)
+    assert _status(spark, reg, base) == {1: ("running", None), 2: ("deleted", None), 3: ("suspended", None)}
+    assert [(r["deployment_id"], r["path"]) for r in RS.savepoints(spark, base).collect()] == [(3, "s3://sp")]
+    # a user's newer edit and a new deployment come in from the registry
+    edited = _registry(spark, [(1, "running", "stop", NEW), (2, "creating", None, OLD), (3, "running", "stop", OLD), (4, "creating", None, NEW)])
+    step(_batch(spark, (3000, 2, [_doc(1), _doc(4)])), 2, edited)
+    got = _status(spark, edited, base)
+    assert got[1] == ("running", "stop") and got[2] == ("deleted", None)
+
+
+def test_rerun_batch_gives_the_same_state(spark):
+    base = scratch_path(spark, "test-rec")
+    known = spark.createDataFrame([], NO_SAVEPOINTS)
+    reg = _registry(spark, [(1, "creating", None, OLD), (2, "running", "stop", OLD)])
+    first = _batch(spark, (1000, 2, [_doc(1), _doc(2)]))
+    second = _batch(spark, (2000, 2, [_doc(1, "FINISHED", "suspended"), _doc(2, "FINISHED", "suspended", "s3://x")]))
+    for n, b in ((0, first), (1, second), (1, second), (0, first)):
+        RS.reconcile_batch(spark, lambda: reg, known, b, n, base)
+        if n == 1:
+            assert _status(spark, reg, base) == {1: ("suspended", None), 2: ("suspended", None)}
+    assert RS.savepoints(spark, base).count() == 1
+
+
+def test_compaction_keeps_the_newest_change(spark, monkeypatch):
+    monkeypatch.setattr(RS, "COMPACT_EVERY", 2)
+    base = scratch_path(spark, "test-rec")
+    known, reg = spark.createDataFrame([], NO_SAVEPOINTS), _registry(spark, [(1, "creating", None, OLD)])
+    for n, state in enumerate(["RUNNING", "FAILED", "RUNNING"]):
+        RS.reconcile_batch(spark, lambda: reg, known, _batch(spark, (1000 * (n + 1), 1, [_doc(1, state)])), n, base)
+    assert RS._numbers(spark, f"{base}/state", "snapshot") == [1]
+    assert _status(spark, reg, base) == {1: ("running", None)}
+
+
+def test_rfc3339_times(spark):
+    rows = [("2024-01-01T00:00:00.123456789Z", 1704067200123456789), ("2024-01-01T00:00:00Z", 1704067200 * 10**9), ("2024-01-01T02:00:00.5+02:00", 1704067200500000000),
+            ("yesterday", None), ("", None), (None, None), ("2024-13-01T00:00:00Z", None)]
+    df = spark.createDataFrame(rows, "t string, ns long").select("ns", LS.rfc3339_ns(F.col("t")).alias("got"))
+    assert all(r["ns"] == r["got"] for r in df.collect())
+
+
+def test_envelope_round_trip_skips_broken_lines(spark):
+    lines = spark.createDataFrame([("default", "p-1", "u", 1704067200000000001, "a"), ("default", "p-1", "u", 1704067200000000000, "b")], "namespace string, pod string, pod_uid string, ts_ns long, line string")
+    env = LS.envelope_lines(lines).select("value", F.lit("/x/default_p-1_uidu/flink-main-container/0.log").alias("file_path"))
+    broken = spark.createDataFrame([("{not json",), ('{"log":"x"}',), ('{"log":"x","time":"1704067200"}',)], "value string").withColumn("file_path", F.lit("/x/default_p-1_uidu/flink-main-container/0.log"))
+    got = sorted((r["ts_ns"], r["line"]) for r in LS.parse_pod_log_lines(env.unionByName(broken)).collect())
+    assert got == [(1704067200000000000, "b"), (1704067200000000001, "a")]
+
+
+def test_look_back_is_five_minutes(spark):
+    base, now = scratch_path(spark, "test-tail"), 10**18
+    line = "2024-01-01 00:00:00,000 ERROR org.X - boom"
+    at = [now - L.LOOKBACK_NS - 1, now - L.LOOKBACK_NS, now - 1]
+    lines = spark.createDataFrame([("job-7", "taskmanager", "default", "p", t, line) for t in at], S.LOGS_DDL)
+    lines.withColumn("log_date", SL.log_date(F.col("ts_ns"))).write.partitionBy("log_date").parquet(f"{base}/store")
+    q = L.LogQuery(app="job-7", levels=["error"])
+    live = L.apply_predicates(lines.limit(1).withColumn("ts_ns", F.lit(now)), q).withColumn("ts_ms", F.col("ts_ns") / F.lit(1e6))
+    assert sorted(r["ts_ns"] for r in SL.backfill_then_tail(spark, f"{base}/store", live, q, now).collect()) == [*at[1:], now]
+
+
+def test_registry_tables_are_projected(spark):
+    base = scratch_path(spark, "test-reg")
+    spark.createDataFrame([(1, 2, "p", "stop", "x")], "id long, deployment_id long, path string, source string, more string").write.parquet(base)
+    got = REG.read_registry_table(spark, S.SAVEPOINTS_DDL, base)
+    assert got.columns == ["id", "deployment_id", "path", "source", "created_at", "updated_at", "deleted_at"] and got.first()["path"] == "p"
+
+
+def test_shared_folder_is_required_off_local():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
+
+
+def test_window_counts_close_behind_the_watermark(spark):
+    base = scratch_path(spark, "test-access")
+    t = lambda m, s=0: datetime(2024, 1, 1, 0, m, s)
+    rows = [("a", t(0, i), "login") for i in range(7)] + [("a", t(2), "login"), ("b", t(1), "register"), (None, datetime(2024, 1, 1, 9), "login")]
+    spark.createDataFrame(rows, "source_key string, ts timestamp, kind string").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("source_key string, ts timestamp, kind string").parquet(f"{base}/in")
+    AC.window_counts(stream, AC.LIMITS[0]).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["source_key"], r["attempts"], r["rejected"]) for r in spark.read.parquet(f"{base}/out").collect()) == [("a", 1, 0), ("a", 7, 2)]

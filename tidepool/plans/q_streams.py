@@ -1,24 +1,31 @@
-"""Streaming queries (A1, A10, A11a-d, A13, B1, B9, B10, B14, C8, H1 twin).
+"""Streaming queries (A1, A10, A11a-d, A13, B1, B9, B10, B14, C8, H1 twin) and the file sources.
 
 Each callable writes its input files under a fresh folder of the shared checkpoint
-folder, runs the stream with ``availableNow`` to completion, and returns the sink as a
-table; the oracle is the batch statement of the same computation.
+folder, runs the stream to completion, and returns the sink as a table; the oracle is
+the batch statement of the same computation.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import access as AC
+from ..operators import fleet as FO
+from ..operators import logs as L
 from ..session import scratch_path
-from ..sources import topics
-from ..sources.views import view
-from ..streaming import control as C
+from ..sources import cluster, topics
+from ..sources import logs as LS
+from ..sources import registry as REG
+from ..sources import schemas as S
+from ..sources.views import table, view
+from ..streaming import enrichment as EN
+from ..streaming import logs as SL
+from ..streaming import reconcile as RS
 from . import query
 from .oracle import register
+from .q_fleet import RECON_SQL
 from .q_topics import ENRICH_SQL
 
-OUT_COLS = ["id", "message", "message_upper", "message_length", "category"]
-
 
 def _topic_parts(spark, sf):
     """The message topic in three arrival waves (by source table), as record (id, value)."""
@@ -30,18 +37,12 @@ def _result(df):
     return df.select(F.col("key").cast("long").alias("id"), "message", "message_upper", "message_length", "category")
 
 
-def _deployment(spark, sf):
-    base = scratch_path(spark, "enrich")
-    dep = C.StreamDeployment(spark, base, f"{base}/topic")
-    return dep, _topic_parts(spark, sf)
-
-
 @query("topic_source")
 def topic_source(spark, sf):
     """Unbounded topic scan from the earliest record (file twin), decoded with the declared schema."""
     base = scratch_path(spark, "topic")
     for part in _topic_parts(spark, sf):
-        C.write_topic(part, f"{base}/topic")
+        topics.write_topic(part, f"{base}/topic")
     raw = topics.read_topic_stream(spark, path=f"{base}/topic")
     rec = raw.select(F.from_json("value", "key string, value string").alias("r"))
     dec = rec.select(F.col("r.key").cast("long").alias("id"), topics.decode_json(F.col("r.value")).alias("m")).select("id", "m.message")
@@ -54,15 +55,38 @@ def topic_source(spark, sf):
 register("topic_source", "SELECT id, message FROM v_messages")
 
 
+class _Enrichment:
+    """Folders of one enrichment stream and its waves of input."""
+
+    def __init__(self, spark, sf):
+        base = scratch_path(spark, "enrich")
+        self.spark, self.topic, self.out, self.checkpoint = spark, f"{base}/topic", f"{base}/out", f"{base}/ckpt"
+        self.parts = _topic_parts(spark, sf)
+
+    def feed(self, *waves):
+        for i in waves:
+            topics.write_topic(self.parts[i], self.topic)
+
+    def start(self, run=0, every="200 milliseconds"):
+        return EN.start(self.spark, self.topic, self.out, f"{self.checkpoint}-{run}", run, every)
+
+    def sink(self):
+        return _result(EN.read_sink(self.spark, self.out))
+
+
+def _finish(q):
+    q.processAllAvailable()
+    q.stop()
+
+
 @query("checkpointed_stream")
 def checkpointed_stream(spark, sf):
     """The enrichment stream with a checkpoint, fed in three waves, one availableNow run per wave."""
-    dep, parts = _deployment(spark, sf)
-    for i, part in enumerate(parts):
-        C.write_topic(part, dep.source_path)
-        (dep.start() if i == 0 else dep.resume("latest"))
-        dep.await_idle()
-    return _result(dep.lineage_view())
+    e = _Enrichment(spark, sf)
+    for i in range(3):
+        e.feed(i)
+        e.start(every=None).awaitTermination()
+    return e.sink()
 
 
 register("checkpointed_stream", ENRICH_SQL)
@@ -70,17 +94,13 @@ register("checkpointed_stream", ENRICH_SQL)
 
 @query("stop_with_savepoint")
 def stop_with_savepoint(spark, sf):
-    """Run, stop with a savepoint, add data, resume from the savepoint (the newest): nothing lost or repeated."""
-    dep, parts = _deployment(spark, sf)
-    C.write_topic(parts[0], dep.source_path)
-    dep.start()
-    dep.await_idle()
-    sp = dep.stop_with_savepoint()
-    for part in parts[1:]:
-        C.write_topic(part, dep.source_path)
-    dep.resume("path", sp)
-    dep.await_idle()
-    return _result(dep.lineage_view())
+    """A running query is stopped once it has committed what arrived, and started again on its checkpoint: nothing lost or repeated."""
+    e = _Enrichment(spark, sf)
+    e.feed(0)
+    _finish(e.start())
+    e.feed(1, 2)
+    _finish(e.start())
+    return e.sink()
 
 
 register("stop_with_savepoint", ENRICH_SQL)
@@ -88,17 +108,13 @@ register("stop_with_savepoint", ENRICH_SQL)
 
 @query("force_stop")
 def force_stop(spark, sf):
-    """Run, force-stop (no savepoint), add data, resume from the live checkpoint."""
-    dep, parts = _deployment(spark, sf)
-    C.write_topic(parts[0], dep.source_path)
-    dep.start()
-    dep.await_idle()
-    dep.force_stop()
-    for part in parts[1:]:
-        C.write_topic(part, dep.source_path)
-    dep.resume("latest")
-    dep.await_idle()
-    return _result(dep.lineage_view())
+    """A running query is stopped at once, in mid-flight or not, and started again on its checkpoint; the sink overwrites a batch run twice."""
+    e = _Enrichment(spark, sf)
+    e.feed(0)
+    e.start().stop()
+    e.feed(1, 2)
+    _finish(e.start())
+    return e.sink()
 
 
 register("force_stop", ENRICH_SQL)
@@ -106,43 +122,28 @@ register("force_stop", ENRICH_SQL)
 
 @query("savepoint_now")
 def savepoint_now(spark, sf):
-    """Savepoint a running job (stop, freeze, restart from live), then keep consuming."""
-    dep, parts = _deployment(spark, sf)
-    C.write_topic(parts[0], dep.source_path)
-    dep.start()
-    dep.await_idle()
-    dep.savepoint_now()
-    dep.await_idle()
-    for part in parts[1:]:
-        C.write_topic(part, dep.source_path)
-    dep.resume("latest")
-    dep.await_idle()
-    return _result(dep.lineage_view())
+    """A running query commits what arrived while it keeps running, then takes more."""
+    e = _Enrichment(spark, sf)
+    e.feed(0)
+    q = e.start()
+    q.processAllAvailable()
+    e.feed(1, 2)
+    _finish(q)
+    return e.sink()
 
 
 register("savepoint_now", ENRICH_SQL)
 
 
-def _resume_older(spark, sf):
-    dep, parts = _deployment(spark, sf)
-    C.write_topic(parts[0], dep.source_path)
-    dep.start()
-    dep.await_idle()
-    older = dep.stop_with_savepoint()
-    C.write_topic(parts[1], dep.source_path)
-    dep.resume("latest")
-    dep.await_idle()
-    dep.stop_with_savepoint()
-    C.write_topic(parts[2], dep.source_path)
-    dep.resume("path", older)  # older savepoint: replays wave 2 in a new generation
-    dep.await_idle()
-    return dep
-
-
 @query("resume")
 def resume(spark, sf):
-    """Resume from an older savepoint: the lineage view holds every record exactly once."""
-    return _result(_resume_older(spark, sf).lineage_view())
+    """After a stop the query starts on a fresh checkpoint: a second run reads everything again, and each record is taken once."""
+    e = _Enrichment(spark, sf)
+    e.feed(0, 1)
+    _finish(e.start())
+    e.feed(2)
+    _finish(e.start(run=1))
+    return _result(EN.once_each(EN.read_sink(spark, e.out)))
 
 
 register("resume", ENRICH_SQL)
@@ -150,24 +151,28 @@ register("resume", ENRICH_SQL)
 
 @query("continuity_audit")
 def continuity_audit(spark, sf):
-    """After stop / resume-from-older-savepoint: per message, sent vs received copies (lineage view)."""
-    dep = _resume_older(spark, sf)
-    sent = view(spark, sf, "v_messages")
-    return C.continuity_audit(sent, dep.lineage_view())
+    """Sent messages against the sink of a stream whose topic lost some, repeats some and holds some never sent."""
+    e = _Enrichment(spark, sf)
+    m = view(spark, sf, "v_messages")
+    kept = m.where("id % 97 <> 5").unionByName(m.where("id % 89 = 3"))
+    extra = m.where("id % 83 = 7").select("id", F.concat(F.lit("never sent "), F.col("id").cast("string")).alias("message"))
+    topics.write_topic(kept.unionByName(extra).select("id", topics.encode_message(F.col("message")).alias("value")), e.topic)
+    e.start(every=None).awaitTermination()
+    return EN.continuity_audit(m, e.sink())
 
 
 register(
     "continuity_audit",
-    "SELECT message, count(*) AS sent, count(*) AS received, 'ok' AS status FROM v_messages GROUP BY message",
+    """WITH r AS (SELECT message FROM v_messages WHERE id % 97 <> 5 UNION ALL SELECT message FROM v_messages WHERE id % 89 = 3
+      UNION ALL SELECT 'never sent ' || CAST(id AS VARCHAR) FROM v_messages WHERE id % 83 = 7),
+    n AS (SELECT message, sum(s) AS sent, sum(g) AS received FROM (SELECT message, 1 AS s, 0 AS g FROM v_messages UNION ALL SELECT message, 0, 1 FROM r) GROUP BY message)
+    SELECT message, CAST(sent AS BIGINT) AS sent, CAST(received AS BIGINT) AS received,
+      CASE WHEN sent = received THEN 'ok' WHEN sent = 0 THEN 'extra' WHEN received < sent THEN 'missing' ELSE 'duplicated' END AS status FROM n""",
 )
 
 
 # ---------------------------------------------------------------- log streams
 
-from ..operators import logs as L  # noqa: E402
-from ..sources import logs as LS  # noqa: E402
-from ..streaming import logs as SL  # noqa: E402
-
 TAIL_QUERY = L.LogQuery(app="job-7", levels=["warn", "error"])
 LEVEL_SQL = r"NULLIF(regexp_extract(line, '^\S+\s+\S+\s+([A-Z]+)\s+\S+\s+-\s+', 1), '')"
 TAIL_SQL = (f"SELECT app, component, namespace, pod, ts_ns, ts_ns / 1e6 AS ts_ms, line, {LEVEL_SQL} AS level "
@@ -215,41 +220,69 @@ register(
 
 @query("log_backfill_then_tail")
 def log_backfill_then_tail(spark, sf):
-    """History from the log store up to a high-water mark, then the live tail after it."""
+    """The look-back before now from the log store, then the live tail from now on."""
     base = scratch_path(spark, "backfill")
-    _write_frames(spark, sf, f"{base}/hist", F.col("ts_ns") <= HIGH_WATER_NS)
+    _write_frames(spark, sf, f"{base}/hist", F.col("ts_ns") < HIGH_WATER_NS)
     SL.store_logs(SL.read_tail(spark, f"{base}/hist"), f"{base}/store", f"{base}/ckpt-store")
-    history = L.apply_predicates(SL.read_log_store(spark, f"{base}/store", end_ns=HIGH_WATER_NS + 1), TAIL_QUERY)
-    history = history.withColumn("ts_ms", F.col("ts_ns") / F.lit(1e6))
-    _write_frames(spark, sf, f"{base}/live", F.col("ts_ns") > HIGH_WATER_NS)
+    _write_frames(spark, sf, f"{base}/live", F.col("ts_ns") >= HIGH_WATER_NS)
     live = SL.tail(spark, f"{base}/live", TAIL_QUERY, f"{base}/out", f"{base}/ckpt-tail")
-    cols = ["app", "component", "namespace", "pod", "ts_ns", "ts_ms", "line", "level"]
-    return SL.backfill_then_tail(history.select(*cols), live.select(*cols), HIGH_WATER_NS)
+    return SL.backfill_then_tail(spark, f"{base}/store", live, TAIL_QUERY, HIGH_WATER_NS)
 
 
-register("log_backfill_then_tail", TAIL_SQL)
+register("log_backfill_then_tail", f"{TAIL_SQL} AND ts_ns >= {HIGH_WATER_NS} - 300000000000")
 
 
 # ---------------------------------------------------------------- continuous reconciliation
 
-from ..sources import registry as REG  # noqa: E402
-from ..operators import fleet as FO  # noqa: E402
-from ..streaming import reconcile as RS  # noqa: E402
-from .q_fleet import RECON_SQL  # noqa: E402
+POLL_1, POLL_2, POLL_3 = 2_000_000_000_000, 2_000_000_060_000, 2_000_000_120_000
+#: Between the polls users ask for stops; from the first to the second poll some resources go and some fail.
+_ASKED = "TIMESTAMP_NTZ'2033-05-18 03:33:50'"
+_GONE = "CAST(split_part(name, '-', 2) AS BIGINT) % 7 = 3"
+_FAILS = "CAST(split_part(name, '-', 2) AS BIGINT) % 6 = 1"
 
 
 @query("reconcile_stream")
 def reconcile_stream(spark, sf):
-    """Two successive complete polls of the custom resources, each reconciled as it arrives."""
+    """Two complete polls that differ and a third that never completes, with registry edits in between."""
     base = scratch_path(spark, "reconcile")
-    reg = FO.live(REG.deployments(spark, sf))
-    for poll in (1, 2):
-        RS.write_poll(spark, sf, f"{base}/polls", poll)
-        RS.reconcile_stream(spark, reg, f"{base}/polls", base)
-    return RS.latest_version(spark, base).select("id", "status", "pending_action", "error_message", "last_savepoint_path")
-
-
-register("reconcile_stream", f"{RECON_SQL} SELECT id, status, pending_action, error_message, last_savepoint_path FROM recon")
+    docs = cluster.cr_documents(spark, sf).withColumn("name", F.get_json_object("doc", "$.metadata.name"))
+    reg = REG.deployments(spark, sf)
+    asked = F.col("id") % 13 == 5
+    edited = reg.withColumn("pending_action", F.when(asked, "stop").otherwise(F.col("pending_action"))).withColumn("updated_at", F.when(asked, F.expr(_ASKED)).otherwise(F.col("updated_at")))
+    known = REG.savepoints(spark, sf)
+    RS.write_poll(docs, f"{base}/in", POLL_1, docs.count())
+    RS.reconcile_stream(spark, lambda: reg, known, f"{base}/in", base)
+    failing = F.regexp_replace("doc", '"lifecycleState":"[A-Z_]*"', '"lifecycleState":"FAILED"')
+    second = docs.where(f"NOT {_GONE}").withColumn("doc", F.when(F.expr(_FAILS), failing).otherwise(F.col("doc")))
+    n = second.count()
+    RS.write_poll(second.where("length(name) % 2 = 0"), f"{base}/in", POLL_2, n)
+    RS.reconcile_stream(spark, lambda: edited, known, f"{base}/in", base)  # the poll is not complete yet
+    RS.write_poll(second.where("length(name) % 2 = 1"), f"{base}/in", POLL_2, n)
+    RS.write_poll(docs.where("length(name) % 2 = 0"), f"{base}/in", POLL_3, n * 10)
+    RS.reconcile_stream(spark, lambda: edited, known, f"{base}/in", base)
+    out = RS.current(FO.live(edited), RS.changes(spark, base))
+    return out.select("id", "status", "pending_action", "error_message", "last_savepoint_path")
+
+
+_CR2 = f"""cr2 AS (SELECT name, namespace, CASE WHEN {_FAILS} AND lifecycle_state IS NOT NULL THEN 'FAILED' ELSE lifecycle_state END AS lifecycle_state,
+  jm_status, job_state, spec_job_state, error, upgrade_path, n_history FROM (
+    SELECT name, namespace, CASE WHEN {_FAILS} AND raw IS NOT NULL THEN 'FAILED' ELSE lifecycle_state END AS lifecycle_state, jm_status, job_state, spec_job_state, error, upgrade_path, n_history
+    FROM (SELECT cr.*, v.lifecycle_state AS raw FROM cr JOIN v_cr v USING (name, namespace))) WHERE NOT {_GONE})"""
+register(
+    "reconcile_stream",
+    f"""{RECON_SQL},
+    reg2 AS (SELECT d.* EXCLUDE (status, pending_action, error_message, last_savepoint_path),
+        CASE WHEN d.id % 13 = 5 THEN d.status ELSE r.status END AS status,
+        CASE WHEN d.id % 13 = 5 THEN 'stop' ELSE r.pending_action END AS pending_action,
+        CASE WHEN d.id % 13 = 5 THEN d.error_message ELSE r.error_message END AS error_message,
+        CASE WHEN d.id % 13 = 5 THEN d.last_savepoint_path ELSE r.last_savepoint_path END AS last_savepoint_path
+      FROM v_deployments d JOIN recon r USING (id)),
+    {_CR2},
+    second AS (__SECOND__)
+    SELECT id, status, pending_action, error_message, last_savepoint_path FROM second""".replace(
+        "__SECOND__",
+        "WITH " + RECON_SQL[RECON_SQL.index("j AS (") :].replace("FROM v_deployments d LEFT JOIN cr ON", "FROM reg2 d LEFT JOIN cr2 cr ON") + " SELECT * FROM recon"),
+)
 
 
 # ---------------------------------------------------------------- pod log files (B1)
@@ -260,7 +293,12 @@ def pod_log_source(spark, sf):
     """Tail kubelet log files of every pod; labels from the path and the running-pod table."""
     base = scratch_path(spark, "podlogs")
     lines = LS.log_lines(spark, sf).withColumn("pod_uid", F.lit("u1"))
-    LS.envelope_lines(lines).write.partitionBy("pod_dir", "container").text(f"{base}/pods")
+    env = LS.envelope_lines(lines)
+    # broken lines, as a crashed runtime leaves them: cut short, without a time, with one that is none
+    cut = F.when(F.crc32("value") % 3 == 0, F.expr("left(value, 20)")).when(F.crc32("value") % 3 == 1, F.lit('{"log":"x","stream":"stdout"}')) \
+        .otherwise(F.lit('{"log":"x","stream":"stdout","time":"yesterday"}'))
+    broken = env.where(F.crc32("value") % 50 == 0).withColumn("value", cut)
+    env.unionByName(broken).write.partitionBy("pod_dir", "container").text(f"{base}/pods")
     pods = LS.log_lines(spark, sf).select(F.col("pod").alias("name"), "namespace", "app", "component").distinct() \
         .withColumn("phase", F.when(F.col("name").endswith("-2"), "Pending").otherwise("Running"))
     s = LS.attach_pod_labels(LS.read_pod_logs(spark, f"{base}/pods"), pods)
@@ -270,3 +308,90 @@ def pod_log_source(spark, sf):
 
 
 register("pod_log_source", "SELECT app, component, namespace, pod, ts_ns, line FROM v_logs WHERE NOT ends_with(pod, '-2')")
+
+
+# ---------------------------------------------------------------- access limits (H1 twin)
+
+
+@query("over_limit_stream")
+def over_limit_stream(spark, sf):
+    """Attempts and rejected attempts of every key and closed window, from the watermarked stream of attempts."""
+    base = scratch_path(spark, "access")
+    a = view(spark, sf, "v_access").select("source_key", F.col("ts").cast("timestamp").alias("ts"), "kind")
+    # the stream's end: one late attempt of each kind closes all windows before it
+    end = spark.createDataFrame([(None, lim.kind) for lim in AC.LIMITS], "source_key string, kind string") \
+        .crossJoin(F.broadcast(a.agg((F.max("ts") + F.expr("INTERVAL 3 HOURS")).alias("ts"))))
+    a.unionByName(end).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(a.schema).parquet(f"{base}/in")
+    for lim in AC.LIMITS:
+        AC.window_counts(stream, lim).writeStream.format("parquet").option("path", f"{base}/out/{lim.kind}").option("checkpointLocation", f"{base}/ckpt-{lim.kind}") \
+            .trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(*[f"{base}/out/{lim.kind}" for lim in AC.LIMITS])
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+register(
+    "over_limit_stream",
+    """SELECT *, greatest(attempts - CASE kind WHEN 'login' THEN 5 ELSE 10 END, 0) AS rejected FROM (
+      SELECT source_key, kind, time_bucket(CASE kind WHEN 'login' THEN INTERVAL 2 MINUTE ELSE INTERVAL 60 MINUTE END, ts, TIMESTAMP '1970-01-01') AS window_start,
+        count(*) AS attempts
+      FROM v_access GROUP BY 1, 2, 3)""",
+)
+
+
+# ---------------------------------------------------------------- file sources
+
+
+@query("registry_tables")
+def registry_tables(spark, sf):
+    """Registry exports written as parquet and read with their fixed schemas: live savepoints per deployment and artifact."""
+    base = scratch_path(spark, "registry")
+    for name, df in (("deployments", REG.deployments(spark, sf)), ("savepoints", REG.savepoints(spark, sf)), ("jars", REG.jars(spark, sf))):
+        df.write.parquet(f"{base}/{name}")
+    d = REG.read_registry_table(spark, S.DEPLOYMENTS_DDL, f"{base}/deployments")
+    sp = REG.read_registry_table(spark, S.SAVEPOINTS_DDL, f"{base}/savepoints").groupBy(F.col("deployment_id").alias("id")).agg(F.count(F.lit(1)).alias("n_savepoints"))
+    j = REG.read_registry_table(spark, S.JARS_DDL, f"{base}/jars").select(F.col("id").alias("jar_id"), F.col("name").alias("jar_name"), "size_bytes")
+    out = d.join(sp, "id", "left").join(j, "jar_id", "left")
+    return out.select("id", "deployment_name", F.col("config.jobManager.cpu").cast("double").alias("jm_cpu"), F.size("resources").alias("n_resources"), "jar_name", "size_bytes",
+                      F.coalesce("n_savepoints", F.lit(0)).alias("n_savepoints"), "created_at")
+
+
+register(
+    "registry_tables",
+    """SELECT d.id, d.deployment_name, CAST(d.jm_cpu AS DOUBLE) AS jm_cpu, d.n_resources, j.name AS jar_name, j.size_bytes,
+      coalesce(s.n, 0) AS n_savepoints, d.created_at
+    FROM v_deployments d LEFT JOIN v_jars j ON j.id = d.jar_id
+    LEFT JOIN (SELECT deployment_id, count(*) AS n FROM v_savepoints GROUP BY deployment_id) s ON s.deployment_id = d.id""",
+)
+
+
+@query("snapshot_documents")
+def snapshot_documents(spark, sf):
+    """Custom resources, pods, events and state snapshots written as JSON files and read with their schemas."""
+    base = scratch_path(spark, "documents")
+    docs = {"cr": (cluster.cr_file_documents(spark, sf), S.CR_DDL), "pod": (cluster.pod_documents(spark, sf), S.POD_DDL),
+            "event": (cluster.event_documents(spark, sf), S.EVENT_DDL), "snapshot": (cluster.snapshot_documents(spark, sf), S.SNAPSHOT_DDL)}
+    read = {}
+    for kind, (df, ddl) in docs.items():
+        df.select("doc").write.text(f"{base}/{kind}")
+        read[kind] = cluster.read_documents(spark, f"{base}/{kind}", ddl)
+    fields = {
+        "cr": ("metadata.name", "metadata.namespace", "status.lifecycleState", "status.error"),
+        "pod": ("metadata.name", "metadata.namespace", "status.phase", "status.startTime"),
+        "event": ("involvedObject.name", "involvedObject.namespace", "reason", "message"),
+        "snapshot": ("metadata.name", "metadata.namespace", "status.state", "status.path"),
+    }
+    out = None
+    for kind, cols in fields.items():
+        part = read[kind].select(F.lit(kind).alias("kind"), *[F.col(c).alias(n) for c, n in zip(cols, ("name", "namespace", "state", "text"), strict=True)])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+register(
+    "snapshot_documents",
+    """SELECT 'cr' AS kind, name, namespace, lifecycle_state AS state, error AS text FROM v_cr
+    UNION ALL SELECT 'pod', pod_name, namespace, phase, start_time FROM v_pods
+    UNION ALL SELECT 'event', object_name, namespace, reason, message FROM v_k8s_events
+    UNION ALL SELECT 'snapshot', name, namespace, state, path FROM v_snapshots""",
+)

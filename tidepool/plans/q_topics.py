@@ -85,16 +85,16 @@ register("enrich_messages", ENRICH_SQL)
 
 @query("topic_sink")
 def topic_sink(spark, sf):
-    """Enriched rows encoded as sink JSON values, read back with the sink schema."""
+    """Enriched rows written to the sink topic as JSON values and read back with the sink schema."""
+    from ..session import scratch_path
     from ..sources import schemas as S
 
-    out = E.enrich_values(_topic_values(spark, sf), keep=["id"])
-    encoded = out.select("id", F.to_json(F.struct("message", "message_upper", "message_length", "category"),
-                                         {"ignoreNullFields": "false"}).alias("value"))
-    return encoded.select("id", F.from_json("value", S.SINK_TOPIC).alias("r")).select("id", "r.*")
+    path = scratch_path(spark, "sink-topic")
+    topics.write_sink(E.enrich_values(_topic_values(spark, sf)), path=path)
+    return spark.read.text(path).select(F.from_json("value", S.SINK_TOPIC, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
-register("topic_sink", ENRICH_SQL)
+register("topic_sink", f"SELECT message, message_upper, message_length, category FROM ({ENRICH_SQL})")
 
 
 @query("message_generator")

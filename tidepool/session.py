@@ -30,11 +30,14 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a private
-    folder under the system temp dir is registered in its place.
+    Read from the session. Only with a ``local`` master (tests), where one machine is all there is, may it
+    be unset: a private folder under the system temp dir is then registered in its place.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         d = tempfile.mkdtemp(prefix="tidepool-ckpt-")
@@ -54,16 +57,6 @@ def _fs(spark: SparkSession, path: str):
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
 
-def copy_tree(spark: SparkSession, src: str, dst: str) -> None:
-    """Copy a folder with the Hadoop file system API (works for local, HDFS and object stores)."""
-    jvm = spark.sparkContext._jvm
-    sfs, spath = _fs(spark, src)
-    dfs, dpath = _fs(spark, dst)
-    ok = jvm.org.apache.hadoop.fs.FileUtil.copy(sfs, spath, dfs, dpath, False, spark.sparkContext._jsc.hadoopConfiguration())
-    if not ok:
-        raise OSError(f"copy failed: {src} -> {dst}")
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return bool(fs.exists(p))

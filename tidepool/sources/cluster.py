@@ -67,6 +67,16 @@ def cr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(_json(doc))
 
 
+def cr_file_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as the cluster writes them: an error that is an object is one, not its text."""
+    docs = cr_documents(spark, sf_dir)
+    error = F.get_json_object("doc", "$.status.error")
+    quoted = F.to_json(F.struct(error.alias("error")))
+    inner = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    as_object = F.replace(F.col("doc"), inner, F.concat(F.lit('"error":'), error))
+    return docs.select(F.when(error.startswith("{"), as_object).otherwise(F.col("doc")).alias("doc"))
+
+
 def custom_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_documents(cr_documents(spark, sf_dir), S.CR_DDL)
 

@@ -7,7 +7,7 @@ helpers shape the stand-in ``v_logs`` / ``v_json_logs`` rows into those inputs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas as S
@@ -44,15 +44,28 @@ def json_log_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def envelope_lines(df: DataFrame) -> DataFrame:
-    """Wrap log lines in the container runtime's JSON envelope, keyed by the pod's log folder."""
-    env = F.to_json(F.struct(F.concat(F.col("line"), F.lit("\n")).alias("log"), F.lit("stdout").alias("stream"),
-                             F.col("ts_ns").cast("string").alias("time")))
+    """Wrap log lines in the container runtime's JSON envelope, keyed by the pod's log folder.
+
+    Its time is RFC 3339 with up to nine fraction digits, none when it is a whole second.
+    """
+    second = F.expr("date_format(timestampadd(SECOND, CAST(floor(ts_ns / 1000000000) AS BIGINT), TIMESTAMP_NTZ'1970-01-01 00:00:00'), \"yyyy-MM-dd'T'HH:mm:ss\")")
+    rest = F.regexp_replace(F.lpad(F.pmod("ts_ns", F.lit(10**9)).cast("string"), 9, "0"), "0+$", "")
+    time = F.concat(second, F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)), F.lit("Z"))
+    env = F.to_json(F.struct(F.concat(F.col("line"), F.lit("\n")).alias("log"), F.lit("stdout").alias("stream"), time.alias("time")))
     folder = F.concat_ws("_", F.col("namespace"), F.col("pod"), F.concat(F.lit("uid"), F.col("pod_uid")))
     return df.select(folder.alias("pod_dir"), F.lit(MAIN_CONTAINER).alias("container"), env.alias("value"))
 
 
+def rfc3339_ns(text: Column) -> Column:
+    """Epoch nanoseconds of an RFC 3339 time with any fraction and zone, NULL when it is none."""
+    pattern = r"^(\d{4}-\d{2}-\d{2})[Tt ](\d{2}:\d{2}:\d{2})(?:\.(\d{1,9})\d*)?([Zz]|[+-]\d{2}:\d{2})$"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    second = F.unix_seconds(F.try_to_timestamp(F.concat(part(1), F.lit("T"), part(2), F.upper(part(4)))))
+    return F.when(part(1) != "", second * F.lit(10**9) + F.rpad(part(3), 9, "0").cast("long"))
+
+
 def parse_pod_log_lines(raw: DataFrame) -> DataFrame:
-    """(value, file_path) -> labels from the path + the unwrapped line."""
+    """(value, file_path) -> labels from the path + the unwrapped line; lines that are no envelope with a time are skipped."""
     env = F.from_json(F.col("value"), S.ENVELOPE_DDL, {"mode": "PERMISSIVE"})
     p = raw.select(F.col("file_path"), env.alias("e"))
     path = F.col("file_path")
@@ -61,9 +74,9 @@ def parse_pod_log_lines(raw: DataFrame) -> DataFrame:
         F.regexp_extract(path, POD_PATH_PATTERN, 1).alias("namespace"),
         F.regexp_extract(path, POD_PATH_PATTERN, 2).alias("pod"),
         F.regexp_extract(path, POD_PATH_PATTERN, 4).alias("container"),
-        F.col("e.time").cast("long").alias("ts_ns"),
+        rfc3339_ns(F.col("e.time")).alias("ts_ns"),
         line.alias("line"),
-    ).where(F.col("container") == MAIN_CONTAINER)
+    ).where((F.col("container") == MAIN_CONTAINER) & F.col("ts_ns").isNotNull() & F.col("line").isNotNull())
 
 
 def read_pod_logs(spark: SparkSession, root: str, stream: bool = True) -> DataFrame:

@@ -85,6 +85,21 @@ def encode_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def write_topic(df: DataFrame, path: str, key_col: str = "id", value_col: str = "value") -> None:
+    """Append records to the topic twin as JSON lines {"key", "value"} (one new file set per call)."""
+    rec = F.to_json(F.struct(F.col(key_col).cast("string").alias("key"), F.col(value_col).alias("value")))
+    df.select(rec.alias("value")).write.mode("append").text(path)
+
+
+def write_sink(df: DataFrame, *, bootstrap: str | None = None, path: str | None = None, topic: str = SINK_TOPIC) -> None:
+    """Write rows as JSON values without a key: to Kafka, or with ``path`` to the file twin."""
+    values = encode_json(df)
+    if bootstrap is not None:
+        values.write.format("kafka").options(**kafka_sink_options(bootstrap, topic)).save()
+    else:
+        values.write.mode("append").text(path)
+
+
 def encode_message(message: Column) -> Column:
     """The producer's record encoding: ``{"message": ...}``."""
     return F.to_json(F.struct(message.alias("message")), {"ignoreNullFields": "false"})
@@ -96,9 +111,3 @@ def generate_messages(seq: DataFrame, i_col: str = "i") -> DataFrame:
     texts = F.array(*[F.lit(t) for t in GENERATOR_TEXTS])
     message = F.concat(F.element_at(texts, (i % len(GENERATOR_TEXTS) + 1).cast("int")), F.lit("-"), i.cast("string"))
     return seq.select(i.alias("i"), message.alias("message"), (i % GENERATOR_PARTITIONS).cast("int").alias("partition"))
-
-
-def generate_stream(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:
-    """Endless generator (the ``--interval`` mode) on the rate source."""
-    rate = spark.readStream.format("rate").option("rowsPerSecond", str(rows_per_second)).load()
-    return generate_messages(rate.select(F.col("value").alias("i")))

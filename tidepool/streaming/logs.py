@@ -62,6 +62,8 @@ def read_log_store(spark: SparkSession, path: str, start_ns: int | None = None,
     return df
 
 
-def backfill_then_tail(history: DataFrame, live: DataFrame, high_water_ns: int) -> DataFrame:
-    """History up to and including the high-water mark, then live lines strictly after it."""
-    return history.where(F.col("ts_ns") <= high_water_ns).unionByName(live.where(F.col("ts_ns") > high_water_ns))
+def backfill_then_tail(spark: SparkSession, store: str, live: DataFrame, q: L.LogQuery, now_ns: int) -> DataFrame:
+    """The store's lines of the look-back before ``now_ns`` (pruned by day), then the live lines from then on."""
+    start_ns, end_ns = L.default_range(now_ns)
+    history = L.apply_predicates(read_log_store(spark, store, start_ns, end_ns), q).withColumn("ts_ms", F.col("ts_ns") / F.lit(1e6))
+    return history.select(*live.columns).unionByName(live.where(F.col("ts_ns") >= now_ns))

@@ -1,14 +1,20 @@
-"""Continuous reconciliation: each micro-batch of custom-resource snapshots updates the registry.
+"""Continuous reconciliation: complete polls of the custom resources update the registry's state.
 
-Every poll delivers a complete listing of custom resources as JSON documents. For each
-micro-batch the newest document per (name, namespace) is kept (``max_by`` on the poll
-time), the registry's current version is reconciled against it, and the result is written
-as a new registry version ``state/v=<batch>`` (overwrite: a re-run batch rewrites the same
-version). Readers take the highest version.
+A poll is one listing of all custom resources; every record carries the poll's time and its number of
+documents. Records may arrive in any number of micro-batches: they are kept by poll, and a poll counts only when all of its
+documents are there. Each micro-batch takes the newest complete poll that is newer than the last one taken (older ones are
+superseded), reads the registry anew, reconciles, and writes only the rows that changed, as version ``v=<batch>``, together with
+the savepoints that stops left behind. A batch that is run again reads only versions below its own and
+overwrites its own folders, so a crash between writing and committing does no harm.
+
+The registry stays the master of what users do to it: of a registry row and a change written here, the newer
+one (``updated_at`` against the poll's time) holds. Every ``COMPACT_EVERY`` versions the changes are merged into one snapshot.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,35 +23,95 @@ from ..session import list_names
 from ..sources import cluster
 from ..sources import schemas as S
 
-STATE_COLS = ["id", "deployment_name", "namespace", "status", "deployment_mode", "pending_action", "error_message",
-              "last_savepoint_path", "created_at"]
+FIELDS = ["status", "pending_action", "error_message", "last_savepoint_path"]
+CHANGE_DDL = "id long, status string, pending_action string, error_message string, last_savepoint_path string, poll_ms long"
+SAVEPOINT_DDL = "deployment_id long, path string, source string, poll_ms long"
+POLL_DDL = "poll_ms long, n_docs long, doc string"
+COMPACT_EVERY = 20
 
 
-def latest_version(spark: SparkSession, base: str) -> DataFrame:
-    versions = [int(n.split("=", 1)[1]) for n in list_names(spark, f"{base}/state") if n.startswith("v=")]
-    return spark.read.parquet(f"{base}/state/v={max(versions)}")
+def _numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Numbers of the finished tables ``<folder>/<prefix>=<n>``."""
+    found = [int(n.split("=", 1)[1]) for n in list_names(spark, folder) if n.startswith(f"{prefix}=")]
+    return sorted(n for n in found if "_SUCCESS" in list_names(spark, f"{folder}/{prefix}={n}"))
 
 
-def reconcile_stream(spark: SparkSession, registry: DataFrame, polls_path: str, base: str) -> None:
-    """Run one availableNow pass over newly arrived polls (call again after more polls arrive)."""
-    if not list_names(spark, f"{base}/state"):
-        registry.select(*STATE_COLS).write.mode("overwrite").parquet(f"{base}/state/v=-1")
+def _below(spark: SparkSession, folder: str, ddl: str, before: int | None) -> DataFrame:
+    """All rows written by versions below ``before`` (all if None): the newest snapshot and what followed it."""
+    ok = lambda n: before is None or n < before
+    snaps = [n for n in _numbers(spark, folder, "snapshot") if ok(n)]
+    since = snaps[-1] if snaps else -1
+    paths = [f"{folder}/v={n}" for n in _numbers(spark, folder, "v") if ok(n) and n > since]
+    paths += [f"{folder}/snapshot={since}"] if snaps else []
+    return spark.read.schema(ddl).parquet(*paths) if paths else spark.createDataFrame([], ddl)
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        docs = batch.select(F.col("poll_ms"), F.from_json("doc", S.CR_DDL, {"mode": "FAILFAST"}).alias("d"))
-        newest = docs.groupBy(F.col("d.metadata.name").alias("n"), F.col("d.metadata.namespace").alias("ns")) \
-            .agg(F.max_by("d", "poll_ms").alias("d")).select("d.*")
-        current = latest_version(spark, base)
-        out = FO.reconcile(current, FO.cr_status(newest)).select(*STATE_COLS)
-        out.write.mode("overwrite").parquet(f"{base}/state/v={batch_id}")
 
+def changes(spark: SparkSession, base: str, before: int | None = None) -> DataFrame:
+    """The newest change of every deployment that has one."""
+    rows = _below(spark, f"{base}/state", CHANGE_DDL, before)
+    return rows.groupBy("id").agg(F.max_by(F.struct(*FIELDS, "poll_ms"), "poll_ms").alias("c")).select("id", "c.*")
+
+
+def savepoints(spark: SparkSession, base: str, before: int | None = None) -> DataFrame:
+    """Savepoints that completed stops left behind."""
+    return _below(spark, f"{base}/savepoints", SAVEPOINT_DDL, before)
+
+
+def current(registry: DataFrame, changed: DataFrame) -> DataFrame:
+    """The registry with the changes that are newer than its rows."""
+    c = changed.select(F.col("id").alias("_id"), F.struct(*FIELDS).alias("_c"), F.col("poll_ms").alias("_at"))
+    j = registry.join(c, registry["id"] == F.col("_id"), "left")
+    own = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', updated_at)")
+    newer = F.col("_at").isNotNull() & F.coalesce(F.col("_at") * 1000 >= own, F.lit(True))
+    out = j
+    for f in FIELDS:
+        out = out.withColumn(f, F.when(newer, F.col(f"_c.{f}")).otherwise(F.col(f)))
+    return out.drop("_id", "_c", "_at")
+
+
+def newest_complete(polls: DataFrame) -> int | None:
+    """Time of the newest poll all of whose documents have arrived."""
+    whole = polls.groupBy("poll_ms").agg(F.count("doc").alias("n"), F.max("n_docs").alias("n_docs")).where("n >= n_docs")
+    return whole.agg(F.max("poll_ms")).first()[0]
+
+
+def reconcile_batch(spark: SparkSession, read_registry: Callable[[], DataFrame], known_savepoints: DataFrame, batch: DataFrame, batch_id: int, base: str) -> None:
+    """One micro-batch of poll records."""
+    batch.write.mode("overwrite").partitionBy("poll_ms").parquet(f"{base}/polls/batch={batch_id}")
+    taken = _below(spark, f"{base}/taken", "poll_ms long", batch_id).agg(F.max("poll_ms")).first()[0]
+    polls = spark.read.schema(f"{POLL_DDL}, batch long").option("basePath", f"{base}/polls").parquet(f"{base}/polls").where(F.col("batch") <= batch_id)
+    if taken is not None:
+        polls = polls.where(F.col("poll_ms") > taken)  # by folder: older polls are not read
+    poll = newest_complete(polls)
+    if poll is None:
+        return
+    docs = polls.where(F.col("poll_ms") == poll).select("doc")
+    status = FO.cr_status(cluster.parse_documents(docs, S.CR_DDL))
+    before = current(FO.live(read_registry()), changes(spark, base, batch_id))
+    done = FO.changed_rows(FO.reconcile(before, status))
+    done = done.select("id", *FIELDS, "captured_savepoint", F.lit(poll).cast("long").alias("poll_ms"))
+    done.drop("captured_savepoint").write.mode("overwrite").parquet(f"{base}/state/v={batch_id}")
+    captured = FO.stop_savepoint_capture(done, known_savepoints.select("deployment_id", "path").union(savepoints(spark, base, batch_id).select("deployment_id", "path")))
+    captured.select("deployment_id", "path", "source", F.lit(poll).cast("long").alias("poll_ms")).write.mode("overwrite").parquet(f"{base}/savepoints/v={batch_id}")
+    if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+        changes(spark, base, batch_id + 1).select(*[c.split()[0] for c in CHANGE_DDL.split(", ")]).write.mode("overwrite").parquet(f"{base}/state/snapshot={batch_id}")
+        savepoints(spark, base, batch_id + 1).write.mode("overwrite").parquet(f"{base}/savepoints/snapshot={batch_id}")
+    # last: a batch that stopped before this is done again as a whole
+    spark.createDataFrame([(poll,)], "poll_ms long").write.mode("overwrite").parquet(f"{base}/taken/v={batch_id}")
+
+
+def reconcile_stream(spark: SparkSession, read_registry: Callable[[], DataFrame], known_savepoints: DataFrame, polls_path: str, base: str) -> None:
+    """Run one availableNow pass over newly arrived poll records (call again after more arrive)."""
     raw = spark.readStream.format("text").load(polls_path)
-    polls = raw.select(F.from_json("value", "poll_ms long, doc string").alias("p")).select("p.*")
-    q = polls.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
-    q.awaitTermination()
+    polls = raw.select(F.from_json("value", POLL_DDL, {"mode": "FAILFAST"}).alias("p")).select("p.*")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        reconcile_batch(spark, read_registry, known_savepoints, batch, batch_id, base)
+
+    polls.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
 
 
-def write_poll(spark: SparkSession, sf_dir: str, path: str, poll_ms: int) -> None:
-    """One complete listing of custom resources as poll records (stand-in input)."""
-    docs = cluster.cr_documents(spark, sf_dir)
-    docs.select(F.to_json(F.struct(F.lit(poll_ms).alias("poll_ms"), F.col("doc"))).alias("value")).write.mode("append").text(path)
+def write_poll(docs: DataFrame, path: str, poll_ms: int, n_docs: int) -> None:
+    """Append documents of one poll as records."""
+    rec = F.struct(F.lit(poll_ms).cast("long").alias("poll_ms"), F.lit(n_docs).cast("long").alias("n_docs"), F.col("doc"))
+    docs.select(F.to_json(rec).alias("value")).write.mode("append").text(path)
