@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,32 +32,52 @@ def id_fold(doc_id: Column, n: int) -> Column:
 def sample_ids(rows: DataFrame, key: str, stratum: str, per_stratum: int) -> DataFrame:
     """At most ``per_stratum`` (at most 1000) ids of every stratum, those with the smallest id hash.
 
-    Only the two narrow columns are read; the rank bound is applied in each partition before
-    the shuffle, so a hot stratum sends no more than ``per_stratum`` rows from each of them.
-    Distinct ids are ranked, so repeated rows cannot crowd the sample.
+    Only the two narrow columns are read. The ids are ranked first within ``SALTS`` parts of a stratum and then among
+    those that are left, so a hot stratum is spread. Distinct ids are ranked, so repeated rows cannot crowd the sample.
     """
     if not 0 < per_stratum <= 1000:
         raise ValueError("per_stratum must be in 1..1000")
-    w = Window.partitionBy(stratum).orderBy("_h", key)
-    return (
+    own = (
         rows.where(F.col(key).isNotNull() & F.col(stratum).isNotNull())
         .select(F.col(key), F.col(stratum), F.xxhash64(F.col(key).cast("string"), F.lit(7)).alias("_h"))
         .distinct()
-        .withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= per_stratum)
-        .select(key, stratum)
+        .withColumn("_salt", F.pmod(F.xxhash64("_h"), F.lit(SALTS)))
     )
+    for by in ([stratum, "_salt"], [stratum]):
+        own = own.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy("_h", key))).where(F.col("_rn") <= per_stratum)
+    return own.select(key, stratum)
+
+
+#: Parts of a stratum that are ranked on their own.
+SALTS = 256
+
+
+#: Bytes of the longest-text column that one call of a mapped function gets, unless a single row has more.
+GROUP_BYTES = 4 << 20
+
+
+def groups(batch: pa.RecordBatch, budget: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about ``budget`` bytes of text each, so that memory follows the slice and not the batch."""
+    size = np.ones(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    group = (np.cumsum(size) - size) // budget
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)
 
 
 def map_arrow(df: DataFrame, columns: list[str], schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """``mapInArrow`` over the named columns; ``fn`` maps one batch to one batch."""
+    """``mapInArrow`` over the named columns; ``fn`` maps one group of rows to one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                out = fn(batch)
-                if out is not None and out.num_rows:
-                    yield out
+                for part in groups(batch):
+                    out = fn(part)
+                    if out is not None and out.num_rows:
+                        yield out
 
     return df.select(*[F.col(c) for c in columns]).mapInArrow(run, schema)
 
@@ -95,6 +116,20 @@ def segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: in
     out[lo + live] += np.add.reduceat(padded, cuts, axis=0, dtype=np.float64)[0::2]
 
 
+def ragged_take(values: list[bytes], rows: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit numbers of ``values[rows[0]]``, ``values[rows[1]]``, ... one after another, and how many each row has.
+
+    ``skip`` marks rows whose first number is left out.
+    """
+    sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) >> 2
+    start, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(values), dtype="<u4")
+    first, count = start[rows], sizes[rows]
+    if skip is not None:
+        first, count = first + skip, count - skip
+    place = np.cumsum(count) - count
+    return flat[np.repeat(first - place, count) + np.arange(int(count.sum()))], count
+
+
 def minimise(gradient: Callable[[np.ndarray], np.ndarray], curve: Callable[[np.ndarray], np.ndarray], size: int, steps: int) -> np.ndarray:
     """Accelerated gradient descent from zero on a smooth convex function.
 

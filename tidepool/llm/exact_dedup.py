@@ -98,6 +98,8 @@ def build_directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int
 
 def route(rows: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
     """Rows with the bucket of their ``h``; the directory has 2 ** MAX_DEPTH slots at most."""
+    if not depth:  # one slot, one bucket
+        return rows.withColumn("bucket", F.lit(0))
     return rows.withColumn("slot", _slot(F.col("h"), depth)).join(F.broadcast(directory.select("slot", "bucket")), "slot").drop("slot")
 
 

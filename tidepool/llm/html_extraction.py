@@ -7,7 +7,7 @@
    sidebar, notice, advert, form or comment section is *chrome* and never text of the page.
    All other blocks are *open*.
 3. The chrome and open blocks of a host's pages, joined in page order, are its token streams.
-   Their sampled suffixes (every block start and every ``RUN``-th token of a block) are dealt by host
+   Their sampled suffixes (every ``RUN``-th token of a block from its start, and the one ``RUN`` tokens before its end) are dealt by host
    and leading ``RUN`` tokens, which brings together the neighbours of the host's suffix array
    that share ``RUN`` tokens; a neighbourhood reached by two distinct pages is a repeated substring.
    Longer repeats are unions of overlapping neighbourhoods, so their length has no bound.
@@ -179,13 +179,14 @@ def host_of(url: str | None) -> str:
 def suffixes(parts: list[tuple[str, str]], host: str) -> list[tuple[int, int]]:
     """(key of host and the next ``RUN`` tokens, stream position) of the stream's sampled suffixes."""
     tokens: list[str] = []
-    starts: list[int] = []
+    starts: set[int] = set()
     for zone, body in parts:
         if zone != "main":
             own = body.split(" ")
-            starts.extend(range(len(tokens), len(tokens) + len(own), RUN))
+            starts.update(range(len(tokens), len(tokens) + len(own), RUN))
             tokens.extend(own)
-    return [(xxhash.xxh64_intdigest("\x00".join([host, *tokens[s : s + RUN]])) - (1 << 63), s) for s in starts if s + RUN <= len(tokens)]
+            starts.add(max(0, len(tokens) - RUN))
+    return [(xxhash.xxh64_intdigest("\x00".join([host, *tokens[s : s + RUN]])) - (1 << 63), s) for s in sorted(starts) if s + RUN <= len(tokens)]
 
 
 def _keyed(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:

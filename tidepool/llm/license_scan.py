@@ -3,15 +3,15 @@
 Templates are tokenised (lower-case alphanumeric runs). Each template's k-grams are winnowed: of every
 ``WINDOW`` consecutive k-gram codes the rightmost smallest is a fingerprint, so any shared run of
 ``K + WINDOW - 1`` tokens holds one. An inverted index maps a fingerprint to (template, position).
-All k-grams of a document meet the index; each hit proposes a diagonal, and hits whose diagonals
-lie within ``BAND`` form a candidate. A candidate is aligned to its template in a band around
-its diagonals (longest common subsequence with gaps, in token steps) and reported if the matched
+All k-grams of a document meet the index; each hit proposes a diagonal. Diagonals are taken in order, unless an
+earlier match covers their hits: the template is aligned in a band of ``BAND`` tokens on either side
+(longest common subsequence with gaps, in token steps) and reported if the matched
 tokens cover ``MIN_COVERAGE`` of the template, with the code-point span from the first to the last matched token.
 Of overlapping matches in one document the one with more matched tokens stays.
 
 The templates and index are fixed and small (a few thousand entries) and are sent to the tasks;
-the scan is a narrow pass over whole texts. A hit costs template length x band, and a template is
-met once for each group of its hits, so work is linear in the text.
+the scan is a narrow pass over whole texts. A diagonal costs template length x band, and texts without
+a hit cost no alignment, so work is linear in the text.
 
 Defined results: null and empty texts have no match. Equal matches go to the first template name.
 Repeated rows give repeated results; other columns are not touched.
@@ -91,11 +91,11 @@ def _grams(ids: np.ndarray, k: int) -> np.ndarray:
 def align(template: np.ndarray, body: np.ndarray, lo: int, hi: int) -> tuple[int, int, int]:
     """(matched tokens, first, last matched body position) of the best alignment on diagonals lo..hi.
 
-    A diagonal is body position minus template position. Among equal scores the shortest span wins.
+    A diagonal is body position minus template position. Among equal scores the shortest span wins, then the first.
     """
     width = hi - lo + 1
-    # a state: (matched, -(last - first), first, last); row j of the template, column d of the band
-    none = (0, 0, -1, -1)
+    # a state: (matched, first - last, -first, last); entry d of a row is on diagonal lo + d
+    none = (0, 0, 0, -1)
     row = [none] * width
     for j, want in enumerate(template.tolist()):
         new: list[tuple[int, int, int, int]] = []
@@ -108,12 +108,12 @@ def align(template: np.ndarray, body: np.ndarray, lo: int, hi: int) -> tuple[int
                 best = new[d - 1]  # body token without a template token
             if 0 <= at < len(body) and body[at] == want:
                 m, _, first, _ = row[d]
-                first = at if m == 0 else first
-                best = max(best, (m + 1, first - at, first, at))
+                first = -first if m else at
+                best = max(best, (m + 1, first - at, -first, at))
             new.append(best)
         row = new
     m, _, first, last = max(row)
-    return m, first, last
+    return m, -first, last
 
 
 def matches(text: str, index: LicenseIndex, band: int = BAND, min_coverage: float = MIN_COVERAGE) -> list[tuple[str, int, int, int, float]]:
@@ -128,21 +128,21 @@ def matches(text: str, index: LicenseIndex, band: int = BAND, min_coverage: floa
     if not len(at) or not len(index.codes):
         return []
     left, right = np.searchsorted(index.codes, grams[at], "left"), np.searchsorted(index.codes, grams[at], "right")
-    hits: dict[int, list[int]] = {}
+    hits: dict[int, dict[int, list[int]]] = {}
     for p, a, b in zip(at.tolist(), left.tolist(), right.tolist(), strict=True):
         for t, pos in index.postings[a:b].tolist():
-            hits.setdefault(t, []).append(p - pos)
+            hits.setdefault(t, {}).setdefault(p - pos, []).append(p)
     found = []
-    for t, diagonals in hits.items():
-        diagonals = sorted(set(diagonals))
-        a = 0
-        for b in range(1, len(diagonals) + 1):
-            # a candidate is a chain of close diagonals, cut at the width of two bands
-            if b == len(diagonals) or diagonals[b] - diagonals[b - 1] > band or diagonals[b] - diagonals[a] > 2 * band:
-                m, first, last = align(index.ids[t], body, diagonals[a] - band, diagonals[b - 1] + band)
-                if m >= min_coverage * index.lengths[t]:
-                    found.append((m, -(last - first), first, last, t))
-                a = b
+    for t, by_diagonal in hits.items():
+        free, done = body.copy(), -1  # tokens of a match are not matched again; diagonals come in order
+        for diagonal in sorted(by_diagonal):
+            if max(by_diagonal[diagonal]) <= done:
+                continue
+            m, first, last = align(index.ids[t], free, diagonal - band, diagonal + band)
+            if m >= min_coverage * index.lengths[t]:
+                found.append((m, -(last - first), first, last, t))
+                free[first : last + 1] = 0
+                done = max(done, last)
     spans = [m.span() for m in _TOKEN.finditer(text)] if found else []
     if len(spans) != len(words):  # lower-casing may split or join a token
         low = [x for m in _TOKEN.finditer(text) for x in [m.span()] * len(tokens(m.group()))]

@@ -241,20 +241,13 @@ def score(docs: DataFrame, model: HashedLogistic, keep: list[str], text: str = "
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bodies = [b or b"" for b in common.utf8(batch.column(batch.num_columns - 1))]
-        counts, prob = np.zeros((len(bodies), 5), dtype=np.int64), np.zeros(len(bodies))
-        a = 0
-        while a < len(bodies):  # groups of about 4 MB of text
-            b, size = a, 0
-            while b < len(bodies) and (b == a or size + len(bodies[b]) <= 4 << 20):
-                size += len(bodies[b])
-                b += 1
-            codes = []
-            for i in range(a, b):
-                words = bodies[i].split()
-                codes.append(word_codes(words))
-                counts[i] = base_counts(bodies[i], words, codes[-1])
-            prob[a:b] = sent.value.probabilities(*featurise(bodies[a:b], codes), b - a)
-            a = b
+        counts = np.zeros((len(bodies), 5), dtype=np.int64)
+        codes = []
+        for i, body in enumerate(bodies):
+            words = body.split()
+            codes.append(word_codes(words))
+            counts[i] = base_counts(body, words, codes[-1])
+        prob = sent.value.probabilities(*featurise(bodies, codes), len(bodies))
         failed = (counts[:, 0] < min_words) | (100 * counts[:, 4] > max_repeat_percent * counts[:, 0])
         cols = [*batch.columns[:-1], *(pa.array(counts[:, j]) for j in range(5)), pa.array(failed), pa.array(~failed & (prob >= min_probability)), pa.array(prob)]
         return pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], *names, "base_failed", "kept", "probability"])
