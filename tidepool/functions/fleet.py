@@ -94,8 +94,12 @@ def in_transition(status: Column, pending: Column) -> Column:
 
 
 def container_state(state_json: Column) -> Column:
-    """Label of a container state object: Running / Waiting / Terminated / Unknown, checked in that order."""
-    has = lambda k: F.get_json_object(state_json, f"$.{k}").isNotNull()
+    """Label of a container state object: Running / Waiting / Terminated / Unknown, checked in that order.
+
+    A key counts by being there, also with a null value.
+    """
+    keys = F.json_object_keys(state_json)
+    has = lambda k: F.coalesce(F.array_contains(keys, k), F.lit(False))
     return (
         F.when(state_json.isNull(), "Unknown")
         .when(has("running"), "Running")

@@ -317,7 +317,7 @@ def _pods(d: Dialect) -> list[Part]:
         "CASE WHEN l_partkey % 9 = 0 THEN '{\"waiting\":{\"reason\":\"CrashLoopBackOff\"}}' "
         "WHEN l_partkey % 9 = 1 THEN '{\"waiting\":{\"reason\":\"ImagePullBackOff\"}}' "
         "WHEN l_partkey % 9 = 2 THEN '{\"terminated\":{\"reason\":\"Completed\",\"exitCode\":0}}' "
-        "WHEN l_partkey % 9 = 3 THEN CAST(NULL AS STRING) "
+        "WHEN l_partkey % 9 = 3 THEN CAST(NULL AS STRING) WHEN l_partkey % 9 = 4 THEN '{\"running\":null}' "
         "ELSE '{\"running\":{\"startedAt\":\"2024-01-01T00:00:00Z\"}}' END"
     )
     last_state = (
