@@ -22,12 +22,14 @@ Sequence numbers are any distinct numbers; offsets within a sequence are gapless
 
 from __future__ import annotations
 
+import functools
 import re
 from bisect import bisect_left, insort
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +38,10 @@ from pyspark.sql.window import Window
 from . import common
 
 CAPACITY, END_ID = 2048, 0
-#: Distinct pieces of text that a worker remembers.
-CACHE = 300_000
-_IRREGULAR = re.compile(r"\s[ \n]|[ \n]\s|\A[^\S \n]")
+#: Distinct pieces of text in a generation of a worker's cache; it remembers two generations, those used last.
+CACHE = 200_000
+_MARKS = ".,;:!?*$%&#|"  # neither letters, digits, white space nor apostrophes
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 class ByteBpeEncoder:
@@ -54,16 +57,29 @@ class ByteBpeEncoder:
         for token, i in vocabulary.items():  # a byte-level token has one character for each byte
             self.width[i] = len(token)
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # pieces with other white space: their texts are encoded whole
         self.limit = cache
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, missing: list[str]) -> None:
-        """Encode the pieces of text not in the cache, joined where BPE is cut anyway."""
-        long_ = [w for w in missing if len(w) > 1 or w not in ("", "\n")]
+        """Encode the pieces of text not in the cache, joined where BPE is cut anyway.
+
+        A word and the marks after it are cut too, so that a word is encoded once whatever follows it.
+        """
+        self.odd.update(w for w in missing if _OTHER_SPACE.search(w))
+        tails = {w: w.rstrip(_MARKS) for w in missing if w[-1:] in _MARKS}
+        tails = {w: stem for w, stem in tails.items() if stem[-1:].isalpha()}
+        if tails:
+            self._learn(sorted(({stem for stem in tails.values()} | {"\n" + w[len(stem) :] for w, stem in tails.items()}).difference(self.cache)))
+            for w, stem in tails.items():
+                self.cache[w] = self.cache[stem] + self.cache["\n" + w[len(stem) :]][4:]
+            missing = [w for w in missing if w not in tails and w not in self.cache]
+        long_ = [w for w in missing if w not in ("", "\n") and w not in self.odd]
         for w in set(missing).difference(long_):
-            self.cache[w] = self._whole(w or " ")
+            self.cache[w] = b"" if w in self.odd else self._whole(w or " ")
         batch: list[str] = []
         size = 0
         for w in long_:
@@ -87,24 +103,41 @@ class ByteBpeEncoder:
             self.cache[w if w[0] == "\n" else w[1:]] = raw[a:b]
             a = b
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str] | None] = []
-        for text in texts:
-            if not text or _IRREGULAR.search(text):
-                parts.append(None)
-            else:
-                words = text.replace("\n", " \n").split(" ")
-                words[0] = "\n" + words[0]  # the first has no space before it: encoded after a line feed, which is dropped
-                parts.append(words)
+    def _lookup(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, from the cache or newly learnt."""
         if len(self.cache) > self.limit:
-            self.cache.clear()
-        wanted: set[str] = set()
-        for words in parts:
-            if words:
-                wanted.update(words)
-        self._learn(sorted(wanted.difference(self.cache)))
-        get = self.cache.__getitem__
-        return [self._whole(text) if words is None else b"".join(map(get, words))[4:] for text, words in zip(texts, parts, strict=True)]
+            self.old, self.cache = self.cache, {}
+            self.odd = {w for w in self.odd if w in self.old}
+        missing = set(words).difference(self.cache)
+        known = missing.intersection(self.old)
+        self.cache.update((w, self.old[w]) for w in known)
+        self._learn(list(missing - known))
+        return list(map(self.cache.__getitem__, words))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of every text of a string array without nulls."""
+        if not len(texts):
+            return []
+        runs = [pc.match_substring(texts, s) for s in ("  ", "\n\n", " \n", "\n ")]
+        whole = functools.reduce(pc.or_, runs).to_numpy(zero_copy_only=False)
+        # the first piece has no space before it: it is encoded after a line feed, whose id is skipped
+        cut = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        at = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        pieces = cut.flatten().dictionary_encode()
+        rows, words = pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
+        values = self._lookup(words)
+        skip = np.zeros(len(rows), dtype=np.int64)
+        skip[at] = 1
+        if self.odd:
+            odd = np.fromiter((w in self.odd for w in words), dtype=bool, count=len(words))
+            whole = whole | np.logical_or.reduceat(odd[rows], at)
+            skip[odd[rows]] = 0  # an odd piece has no ids of its own
+        ids, count = common.ragged_take(values, rows, skip)
+        ends = np.cumsum(np.add.reduceat(count, at))
+        out = np.split(ids, ends[:-1])
+        for i in np.flatnonzero(whole):
+            out[i] = np.frombuffer(self._whole(texts[i].as_py()), dtype="<u4")
+        return out
 
 
 _encoders: dict[tuple[str, int], ByteBpeEncoder] = {}
@@ -123,25 +156,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).to_pylist()
         doc, piece, start, length, ids = [], [], [], [], []
-        a = 0
-        while a < len(texts):  # groups of about 4 MB of text
-            b, size = a, 0
-            while b < len(texts) and (b == a or size < 4 << 20):
-                size += len(texts[b])
-                b += 1
-            for i, raw in enumerate(_encoder(tokenizer).encode(texts[a:b]), a):
-                raw += tail
-                n = len(raw) // 4
-                at = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
-                for j in range(len(at) - 1):
-                    doc.append(i)
-                    piece.append(j)
-                    start.append(at[j])
-                    length.append(at[j + 1] - at[j])
-                    ids.append(raw[4 * at[j] : 4 * at[j + 1]])
-            a = b
+        for i, own in enumerate(_encoder(tokenizer).encode(batch.column(1))):
+            raw = own.tobytes() + tail
+            n = len(raw) // 4
+            at = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
+            for j in range(len(at) - 1):
+                doc.append(i)
+                piece.append(j)
+                start.append(at[j])
+                length.append(at[j + 1] - at[j])
+                ids.append(raw[4 * at[j] : 4 * at[j + 1]])
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                                           names=["k", "piece", "start", "length", "ids"])
 
