@@ -3,7 +3,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
-from corpus_fixtures import SF
+from corpus_fixtures import ODD, SF, odd_frame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -56,3 +56,22 @@ def test_run_gives_the_last_stage(spark):
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
     assert np.isclose(out.selectExpr("max(offset + length)").first()[0], out.selectExpr("max(offset + length)").first()[0])
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, ties, repeated rows and clashing columns pass every stage; so does an empty table."""
+    for rows in ([*ODD, (90, "password=hunter2222 and more words"), (90, "password=hunter2222 and more words"), (91, "z*** y*** x### w### " * 40)], []):
+        docs = odd_frame(spark, rows)
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.reread(stage(spark, docs, SF), "test")
+            assert docs.columns == columns, name
+        left = docs.collect()
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+        assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in left}
+        if rows:
+            ids = [r["doc_id"] for r in left]
+            assert ids.count(90) <= 1 and ids.count(1) + ids.count(5) + ids.count(-9) <= 1
+            assert all("hunter" not in (r["text"] or "") and r["k0"] == "x" for r in left)
+        else:
+            assert not packed

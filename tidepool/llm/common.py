@@ -30,26 +30,29 @@ def id_fold(doc_id: Column, n: int) -> Column:
 
 
 def sample_ids(rows: DataFrame, key: str, stratum: str, per_stratum: int) -> DataFrame:
-    """At most ``per_stratum`` (at most 1000) ids of every stratum, those with the smallest id hash.
+    """At most ``per_stratum`` ids of every stratum, those with the smallest id hash.
 
-    Only the two narrow columns are read. The ids are ranked first within ``SALTS`` parts of a stratum and then among
-    those that are left, so a hot stratum is spread. Distinct ids are ranked, so repeated rows cannot crowd the sample.
+    Only the two narrow columns are read, and distinct ids count, so repeated rows cannot crowd the sample. Ids are
+    counted by stratum and ``PARTS`` ranges of their hash (combined map-side); running sums over those few rows give each stratum the range
+    in which its last id lies, and only ids up to there are ranked. A hot stratum thus brings little more than its sample to a task.
     """
-    if not 0 < per_stratum <= 1000:
-        raise ValueError("per_stratum must be in 1..1000")
     own = (
         rows.where(F.col(key).isNotNull() & F.col(stratum).isNotNull())
         .select(F.col(key), F.col(stratum), F.xxhash64(F.col(key).cast("string"), F.lit(7)).alias("_h"))
         .distinct()
-        .withColumn("_salt", F.pmod(F.xxhash64("_h"), F.lit(SALTS)))
+        .withColumn("_part", F.shiftright("_h", 64 - PARTS.bit_length() + 1))
     )
-    for by in ([stratum, "_salt"], [stratum]):
-        own = own.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy("_h", key))).where(F.col("_rn") <= per_stratum)
-    return own.select(key, stratum)
+    counts = own.groupBy(stratum, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(stratum).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = counts.withColumn("_before", before).where(F.col("_before") < per_stratum).groupBy(stratum).agg(F.max("_part").alias("_last"))
+    # one row for each stratum, of which a model has few (labels, languages)
+    near = own.join(F.broadcast(last), stratum).where("_part <= _last")
+    nth = F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key))
+    return near.withColumn("_rn", nth).where(F.col("_rn") <= per_stratum).select(key, stratum)
 
 
-#: Parts of a stratum that are ranked on their own.
-SALTS = 256
+#: Ranges of the hash by which the ids of a stratum are counted.
+PARTS = 1024
 
 
 #: Bytes of the longest-text column that one call of a mapped function gets, unless a single row has more.
