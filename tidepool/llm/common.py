@@ -24,6 +24,12 @@ def reread(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand texts to Python in batches of 8 MB; its default of 64 MB is held several times over by a task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def id_fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
@@ -55,8 +61,8 @@ def sample_ids(rows: DataFrame, key: str, stratum: str, per_stratum: int) -> Dat
 PARTS = 1024
 
 
-#: Bytes of the longest-text column that one call of a mapped function gets, unless a single row has more.
-GROUP_BYTES = 4 << 20
+#: Bytes of text that one call of a mapped function gets, unless a single row has more.
+GROUP_BYTES = 1 << 20
 
 
 def groups(batch: pa.RecordBatch, budget: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -71,13 +77,13 @@ def groups(batch: pa.RecordBatch, budget: int = GROUP_BYTES) -> Iterator[pa.Reco
         yield batch.slice(a, b - a)
 
 
-def map_arrow(df: DataFrame, columns: list[str], schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """``mapInArrow`` over the named columns; ``fn`` maps one group of rows to one batch."""
+def map_arrow(df: DataFrame, columns: list[str], schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], group: int = GROUP_BYTES) -> DataFrame:
+    """``mapInArrow`` over the named columns; ``fn`` maps one group of rows, of about ``group`` bytes of text, to one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                for part in groups(batch):
+                for part in groups(batch, group):
                     out = fn(part)
                     if out is not None and out.num_rows:
                         yield out

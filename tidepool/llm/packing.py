@@ -39,7 +39,7 @@ from . import common
 
 CAPACITY, END_ID = 2048, 0
 #: Distinct pieces of text in a generation of a worker's cache; it remembers two generations, those used last.
-CACHE = 200_000
+CACHE = 100_000
 _MARKS = ".,;:!?*$%&#|"  # neither letters, digits, white space nor apostrophes
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
@@ -170,7 +170,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                                           names=["k", "piece", "start", "length", "ids"])
 
-    out = common.map_arrow(rows, ["k", "t"], f"k {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids binary", run)
+    out = common.map_arrow(rows, ["k", "t"], f"k {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids binary", run, group=4 << 20)
     return out.withColumnRenamed("k", key)
 
 
@@ -284,7 +284,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
             seen += np.bincount(own, minlength=capacity + 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(own), pid, dtype=np.int32)), pa.array(nth)], names=[*inner, "pid", "nth"])
 
-    rows = common.reread(pieces.toDF(*inner).mapInArrow(number, schema), "packing-pieces")
+    # written before they are numbered, so that a task never runs two Python workers at once
+    narrow = common.reread(pieces.toDF(*inner), "packing-pieces")
+    rows = common.reread(narrow.mapInArrow(number, schema), "packing-numbered")
     size = f"c{at}"
     counts = rows.groupBy("pid", F.col(size).alias("size")).agg(F.count(F.lit(1)).alias("n"))
     earlier = F.sum("n").over(Window.partitionBy("size").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))

@@ -24,6 +24,8 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts or what belongs to them, with the session set to hand texts over in small batches."""
+    common.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
