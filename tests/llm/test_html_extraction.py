@@ -85,3 +85,22 @@ def test_query_keeps_articles(spark):
         page = pages[r["page_id"]]["html"]
         article = page[page.index("<article>") : page.index("</article>")]
         assert r["text"] == main(article) and r["n_chars"] == len(r["text"]) and r["n_chars"] > 0
+
+
+def brute_repeats(own, others):
+    """Positions of tokens in runs of RUN that ``own`` shares with another stream, comparing all positions."""
+    seen = {tuple(o[i : i + H.RUN]) for o in others for i in range(len(o) - H.RUN + 1)}
+    return {p for i in range(len(own) - H.RUN + 1) if tuple(own[i : i + H.RUN]) in seen for p in range(i, i + H.RUN)}
+
+
+def test_repeat_at_any_offset(spark):
+    run = [f"r{i}" for i in range(50)]
+    streams = [[f"a{n}x{i}" for i in range(7 + n)] + run + [f"z{n}x{i}" for i in range(9)] for n in range(7)]
+    streams.append(["p", "q"] + run[:7] + ["s", "t"] + run[20:31] + ["u", "v", "w"] + run[30:42] + ["y"])  # 7 and 11 inside a block stay, 12 go
+    df = spark.createDataFrame([(n, "https://h.example/", f"<p>{' '.join(b)}</p>") for n, b in enumerate(streams)], "page_id long, url string, html string")
+    out = {r["page_id"]: r for r in H.extract(df).collect()}
+    for n, own in enumerate(streams[:7]):
+        gone = brute_repeats(own, [o for o in streams if o is not own])
+        assert len(gone) == 50 and out[n]["template_tokens"] == 50
+        assert out[n]["text"] == " ".join(t for i, t in enumerate(own) if i not in gone)
+    assert out[7]["text"] == " ".join(["p", "q"] + run[:7] + ["s", "t"] + run[20:31] + ["u", "v", "w", "y"])

@@ -7,10 +7,12 @@
    sidebar, notice, advert, form or comment section is *chrome* and never text of the page.
    All other blocks are *open*.
 3. The chrome and open blocks of a host's pages, joined in page order, are its token streams.
-   Their sampled suffixes (every ``RUN``-th token of a block from its start, and the one ``RUN`` tokens before its end) are dealt by host
+   Their suffixes, one from every token on, are dealt by host
    and leading ``RUN`` tokens, which brings together the neighbours of the host's suffix array
    that share ``RUN`` tokens; a neighbourhood reached by two distinct pages is a repeated substring.
-   Longer repeats are unions of overlapping neighbourhoods, so their length has no bound.
+   Longer repeats are unions of overlapping neighbourhoods, so their length has no bound and their
+   place in a block does not matter. Of a block, a repeat takes the whole, ``RUN`` tokens or more at
+   either end, or ``2 * RUN`` or more inside; what is shorter is a common phrase or spills over from a neighbour.
 4. A page with protected blocks is the text of those. For any other page the tokens that
    repeated substrings cover are removed from its open blocks and the unique runs stay. If
    nothing would stay (a page that occurs as a whole at several addresses), the open blocks stay.
@@ -176,17 +178,10 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def suffixes(parts: list[tuple[str, str]], host: str) -> list[tuple[int, int]]:
-    """(key of host and the next ``RUN`` tokens, stream position) of the stream's sampled suffixes."""
-    tokens: list[str] = []
-    starts: set[int] = set()
-    for zone, body in parts:
-        if zone != "main":
-            own = body.split(" ")
-            starts.update(range(len(tokens), len(tokens) + len(own), RUN))
-            tokens.extend(own)
-            starts.add(max(0, len(tokens) - RUN))
-    return [(xxhash.xxh64_intdigest("\x00".join([host, *tokens[s : s + RUN]])) - (1 << 63), s) for s in sorted(starts) if s + RUN <= len(tokens)]
+def suffixes(parts: list[tuple[str, str]], host: str) -> list[int]:
+    """Keys of host and the next ``RUN`` tokens, for every position of the stream that has as many after it."""
+    tokens = [t for zone, body in parts if zone != "main" for t in body.split(" ")]
+    return [xxhash.xxh64_intdigest("\x00".join([host, *tokens[s : s + RUN]])) - (1 << 63) for s in range(len(tokens) - RUN + 1)]
 
 
 def _keyed(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
@@ -195,24 +190,22 @@ def _keyed(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
 
 
 def streams(rows: DataFrame) -> DataFrame:
-    """Every page's sampled suffixes, and for a page without protected blocks its chrome-marked blocks.
+    """Every page's suffixes, and for a page without protected blocks its chrome-marked blocks.
 
     Written to the shared folder: the repeats and the pages that need them both read it.
     """
     fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("page_id", "url")]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        opened, keys, at = [], [], []
+        opened, keys = [], []
         for address, body in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
             parts = blocks(body)
-            found = suffixes(parts, host_of(address))
-            keys.append([k for k, _ in found])
-            at.append([s for _, s in found])
+            keys.append(suffixes(parts, host_of(address)))
             opened.append([("" if zone == "open" else "\x00") + b for zone, b in parts] if is_free(parts) else None)
-        cols = [batch.column(0), batch.column(1), batch.column(2), pa.array(opened, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "page", "opened", "suffixes", "positions"])
+        cols = [batch.column(0), batch.column(1), batch.column(2), pa.array(opened, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "page", "opened", "suffixes"])
 
-    found = common.map_arrow(rows, ["page_id", "url", "page", "html"], ", ".join([*fields, "page long", "opened array<string>", "suffixes array<long>", "positions array<int>"]), run)
+    found = common.map_arrow(rows, ["page_id", "url", "page", "html"], ", ".join([*fields, "page long", "opened array<string>", "suffixes array<long>"]), run)
     return common.reread(found, "html-streams")
 
 
@@ -254,8 +247,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     stream = streams(rows)
     free = stream.where("opened is not null")
     hits = (
-        free.select("url", "page", F.explode(F.arrays_zip("suffixes", "positions")).alias("s"))
-        .select("url", "page", F.col("s.suffixes").alias("suffix"), F.col("s.positions").alias("at"))
+        free.select("url", "page", F.posexplode("suffixes").alias("at", "suffix"))
         .distinct()
         .join(repeated(stream), "suffix")
         .groupBy("url", "page")
@@ -277,7 +269,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
 
 def unique_runs(parts: list[str], covered: list[int]) -> tuple[str, int]:
-    """Text of the open blocks without the tokens of covered positions, and the number removed."""
+    """Text of the open blocks without the repeats at the covered positions, and the number of tokens removed."""
     hidden: set[int] = set()
     for s in covered:
         hidden.update(range(s, s + RUN))
@@ -286,7 +278,16 @@ def unique_runs(parts: list[str], covered: list[int]) -> tuple[str, int]:
         chrome = part.startswith("\x00")
         tokens = part.lstrip("\x00").split(" ")
         if not chrome:
-            left = [t for i, t in enumerate(tokens, at) if i not in hidden]
+            end, cut, start = at + len(tokens), set(), None
+            for i in range(at, end + 1):  # stretches of hidden tokens
+                if i < end and i in hidden:
+                    start = i if start is None else start
+                elif start is not None:
+                    whole_block, edge = i - start == len(tokens), start == at or i == end
+                    if whole_block or i - start >= (RUN if edge else 2 * RUN):
+                        cut.update(range(start, i))
+                    start = None
+            left = [t for i, t in enumerate(tokens, at) if i not in cut]
             gone += len(tokens) - len(left)
             whole.append(" ".join(tokens))
             if left:
