@@ -104,3 +104,26 @@ def test_repeat_at_any_offset(spark):
         assert len(gone) == 50 and out[n]["template_tokens"] == 50
         assert out[n]["text"] == " ".join(t for i, t in enumerate(own) if i not in gone)
     assert out[7]["text"] == " ".join(["p", "q"] + run[:7] + ["s", "t"] + run[20:31] + ["u", "v", "w", "y"])
+
+
+def test_repeats_decide_protected_blocks(spark):
+    notice = "Please support this site and its authors by telling your friends about our weekly letter"
+    own = [" ".join(f"w{n}x{i}" for i in range(20 + n)) for n in range(8)]
+    rows = [(n, f"https://h.example/{n}", f"<article><p>Read</p><p>{w}</p><p>{w[:9]} {notice} {w[-9:]}</p></article>") for n, w in enumerate(own)]
+    # a passage of half the articles and copies of one article are content
+    rows += [(20 + n, f"https://i.example/{n}", f"<article><p>{w}</p>{f'<p>{notice}</p>' if n % 2 else ''}</article>") for n, w in enumerate(own)]
+    rows += [(40 + n, f"https://j.example/{n}", f"<article><p>{notice}</p><p>{own[0]}</p></article><footer>{n}</footer>") for n in range(8)]
+    # the text beside a teaser
+    rows += [(60 + n, f"https://k.example/{n}", f"<p>home news sport weather travel shop</p><article><p>see t{n}</p></article><div><p>{w}</p></div>") for n, w in enumerate(own)]
+    # a host of more articles than are counted at once, three quarters with the notice
+    rows += [(100 + n, f"https://m.example/{n}", f"<article><p>text {n}a {n}b</p>{f'<p>{notice}</p>' if n % 4 else ''}</article>") for n in range(48)]
+    rows += [(80, "https://l.example/", f"<article><p>{own[0]}</p></article><p>few words</p>")]
+    out = {r["page_id"]: r for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(out) == len(rows)
+    for n, w in enumerate(own):
+        assert (out[n]["text"], out[n]["template_tokens"]) == (f"{w}\n{w[:9]} {w[-9:]}", 1 + len(notice.split()))
+        assert out[20 + n]["text"] == w + ("\n" + notice if n % 2 else "") and out[20 + n]["template_tokens"] is None
+        assert out[40 + n]["text"] == notice + "\n" + own[0]
+        assert out[60 + n]["text"] == f"see t{n}\n{w}"
+    assert all(out[100 + n]["text"] == f"text {n}a {n}b" for n in range(48))
+    assert out[80]["text"] == own[0]

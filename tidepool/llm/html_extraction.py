@@ -2,7 +2,7 @@
 
 1. Every page is cut into blocks in page order. Scripts, styles, markup and comments vanish,
    character references are decoded, white space inside a block becomes one space.
-2. A block inside ``article`` / ``main`` is *protected*: what it repeats (a copied article, a
+2. A block inside ``article`` / ``main`` is *protected*: what some articles repeat (a copied article, a
    licence line) is content. A block inside an element that names itself a menu, header, footer,
    sidebar, notice, advert, form or comment section is *chrome* and never text of the page.
    All other blocks are *open*.
@@ -13,9 +13,13 @@
    Longer repeats are unions of overlapping neighbourhoods, so their length has no bound and their
    place in a block does not matter. Of a block, a repeat takes the whole, ``RUN`` tokens or more at
    either end, or ``2 * RUN`` or more inside; what is shorter is a common phrase or spills over from a neighbour.
-4. A page with protected blocks is the text of those. For any other page the tokens that
-   repeated substrings cover are removed from its open blocks and the unique runs stay. If
-   nothing would stay (a page that occurs as a whole at several addresses), the open blocks stay.
+4. A page with protected blocks is the text of those, less what nearly all articles of the host repeat:
+   substrings in ``SHARE`` of its distinct articles and ``MANY`` at least. They are counted at block ends and
+   at winnowed positions, which find every run of ``2 * RUN`` tokens, and a second time at all positions near those found.
+5. For any other page the tokens that repeated substrings cover are removed from its open blocks and the unique
+   runs stay. If nothing would stay (a page that occurs as a whole at several addresses, an article of
+   template text only), the blocks stay. Unique runs of open blocks that outweigh the protected blocks of
+   their page (a teaser beside the text) stay as well.
 
 Only pages that need it meet the repeated substrings, and then only as (suffix key, position);
 the suffixes of a hot host are spread by their leading tokens, and a hot run collapses in the
@@ -32,6 +36,7 @@ import html as htmllib
 import re
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,6 +46,8 @@ from . import common
 
 #: Tokens that two pages must share in sequence for a repeat.
 RUN = 6
+#: A run of the protected blocks is template text if so large a part of the host's distinct articles has it, and so many.
+SHARE, MANY = 0.75, 4
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -64,6 +71,8 @@ _CHROME_WORD = {"ad", "ads", "advert", "adverts", "advertisement", "advertising"
                 "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets"}
 _CLOSES_P = _BLOCK - {"body", "html"}
 _WORD = re.compile(r"[a-z]+")
+_MARK = {"open": "", "chrome": "\x00", "main": "\x01"}
+_RUNS = "runs array<long>, places array<int>"
 
 
 def _names(value: str) -> set[str]:
@@ -178,10 +187,45 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def _key(host: str, tokens: list[str]) -> int:
+    return xxhash.xxh64_intdigest("\x00".join([host, *tokens])) - (1 << 63)
+
+
 def suffixes(parts: list[tuple[str, str]], host: str) -> list[int]:
     """Keys of host and the next ``RUN`` tokens, for every position of the stream that has as many after it."""
     tokens = [t for zone, body in parts if zone != "main" for t in body.split(" ")]
-    return [xxhash.xxh64_intdigest("\x00".join([host, *tokens[s : s + RUN]])) - (1 << 63) for s in range(len(tokens) - RUN + 1)]
+    return [_key(host, tokens[s : s + RUN]) for s in range(len(tokens) - RUN + 1)]
+
+
+def article_keys(parts: list[tuple[str, str]], host: str, near: list[int] | None = None) -> tuple[list[int], list[int]]:
+    """Keys of runs inside the protected blocks and their positions: block ends and winnowed ones, or all around ``near``.
+
+    A block of fewer than ``RUN`` tokens is a run of its own.
+    """
+    keys, places, at = [], [], 0
+    for zone, body in parts:
+        if zone != "main":
+            continue
+        tokens = body.split(" ")
+        n = max(1, len(tokens) - RUN + 1)
+        if near is None:
+            found = np.array([_key(host, tokens[i : i + RUN]) for i in range(n)], dtype=np.int64)
+            w = min(RUN + 1, n)
+            smallest = np.lib.stride_tricks.sliding_window_view(found, w).argmin(axis=1) + np.arange(n - w + 1)
+            picked = sorted({0, n - 1, *smallest.tolist()})
+            keys += found[picked].tolist()
+        else:
+            picked = sorted({i for h in near if at <= h < at + n for i in range(max(0, h - at - RUN), min(n, h - at + RUN + 1))})
+            keys += [_key(host, tokens[i : i + RUN]) for i in picked]
+        places += [at + i for i in picked]
+        at += len(tokens)
+    return keys, places
+
+
+def article_of(parts: list[tuple[str, str]], host: str) -> int | None:
+    """What tells the distinct articles of a host apart; None without protected blocks."""
+    body = [b for zone, b in parts if zone == "main"]
+    return _key(host, body) if body else None
 
 
 def _keyed(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
@@ -190,22 +234,28 @@ def _keyed(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
 
 
 def streams(rows: DataFrame) -> DataFrame:
-    """Every page's suffixes, and for a page without protected blocks its chrome-marked blocks.
+    """Every page's suffixes and article keys, and for a page with open blocks all its blocks, marked by zone.
 
     Written to the shared folder: the repeats and the pages that need them both read it.
     """
     fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("page_id", "url")]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        opened, keys = [], []
+        opened, keys, hosts, articles, runs, at = [], [], [], [], [], []
         for address, body in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            parts = blocks(body)
-            keys.append(suffixes(parts, host_of(address)))
-            opened.append([("" if zone == "open" else "\x00") + b for zone, b in parts] if is_free(parts) else None)
-        cols = [batch.column(0), batch.column(1), batch.column(2), pa.array(opened, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "page", "opened", "suffixes"])
-
-    found = common.map_arrow(rows, ["page_id", "url", "page", "html"], ", ".join([*fields, "page long", "opened array<string>", "suffixes array<long>"]), run)
+            parts, host = blocks(body), host_of(address)
+            keys.append(suffixes(parts, host))
+            opened.append([_MARK[zone] + b for zone, b in parts] if is_free(parts) else None)
+            hosts.append(_key(host, []))
+            articles.append(article_of(parts, host))
+            found = article_keys(parts, host)
+            runs.append(found[0])
+            at.append(found[1])
+        cols = [pa.array(opened, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.int64())), pa.array(hosts, pa.int64()), pa.array(articles, pa.int64()),
+                pa.array(runs, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], names=["page_id", "url", "page", "opened", "suffixes", "host", "article", "runs", "places"])
+
+    found = common.map_arrow(rows, ["page_id", "url", "page", "html"], ", ".join([*fields, "page long", "opened array<string>", "suffixes array<long>", "host long, article long", _RUNS]), run)
     return common.reread(found, "html-streams")
 
 
@@ -215,36 +265,90 @@ def repeated(stream: DataFrame) -> DataFrame:
     return found.groupBy("suffix").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).where("lo < hi").select("suffix")
 
 
+def _by_place(found: DataFrame) -> DataFrame:
+    return found.select("url", "page", "host", "article", F.explode(F.arrays_zip("runs", "places")).alias("r")).select("url", "page", "host", "article", F.col("r.runs").alias("run"), F.col("r.places").alias("at"))
+
+
+def template_places(found: DataFrame, articles: DataFrame, name: str, kind: str) -> DataFrame:
+    """url, page and the places (as ``name``) of runs that nearly all distinct articles of the host have.
+
+    A run that at most a quarter of ``n`` articles lack is in ``n / 12`` or more of any third of them, so the largest third
+    of a host of 24 or more tells the runs to count in all. The host is looked up for the few in ``MANY`` articles.
+    """
+    def counts(placed: DataFrame, least: int) -> DataFrame:
+        return placed.select("run", "article").distinct().groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+    placed = _by_place(found)
+    third = placed.join(articles, "host").where((F.col("n_articles") < 24) | (F.pmod("article", F.lit(3)) == F.col("third")))
+    few = common.reread(counts(third, 2).select("run"), f"{kind}-few")
+    counted = common.reread(counts(placed.join(few, "run"), MANY), f"{kind}-counted")
+    held = placed.join(counted, "run").groupBy("run", "host").agg(F.max("n").alias("n"))
+    template = common.reread(held.join(articles, "host").where(F.col("n") >= SHARE * F.col("n_articles")).select("run"), f"{kind}-runs")
+    return common.reread(placed.join(template, "run").groupBy("url", "page").agg(F.collect_set("at").alias(name)), kind)  # no more than the page has tokens
+
+
+def article_repeats(rows: DataFrame, stream: DataFrame) -> DataFrame:
+    """url, page, ``template``: places of template runs in the protected blocks."""
+    thirds = stream.where("article is not null").select("host", "article").distinct().groupBy("host", F.pmod("article", F.lit(3)).alias("third")).agg(F.count("*").alias("n"))
+    articles = thirds.groupBy("host").agg(F.sum("n").alias("n_articles"), F.max_by("third", "n").alias("third")).where(F.col("n_articles") >= MANY)
+    articles = common.reread(articles, "html-articles")
+    near = template_places(stream, articles, "near", "html-near")
+    url_type = rows.schema["url"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hosts, own, runs, at = [], [], [], []
+        for address, body, places in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            parts, host = blocks(body), host_of(address)
+            hosts.append(_key(host, []))
+            own.append(article_of(parts, host))
+            found = article_keys(parts, host, places)
+            runs.append(found[0])
+            at.append(found[1])
+        cols = [pa.array(hosts, pa.int64()), pa.array(own, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], names=["url", "page", "host", "article", "runs", "places"])
+
+    around = common.map_arrow(of_page(rows, near, "inner"), ["url", "page", "html", "near"], f"url {url_type}, page long, host long, article long, {_RUNS}", run)
+    return template_places(common.reread(around, "html-around"), articles, "template", "html-template")
+
+
+def of_page(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Rows with what was found for their url and page."""
+    found = found.withColumnsRenamed({"url": "_url", "page": "_page"})
+    return rows.join(found, F.col("page").eqNullSafe(F.col("_page")) & F.col("url").eqNullSafe(F.col("_url")), how).drop("_url", "_page")
+
+
 def is_free(parts: list[tuple[str, str]]) -> bool:
-    """Whether a page has open but no protected blocks."""
-    zones = {zone for zone, _ in parts}
-    return "open" in zones and "main" not in zones
+    """Whether a page has open blocks."""
+    return any(zone == "open" for zone, _ in parts)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, template_tokens of every row.
 
-    ``template_tokens``: tokens of open blocks removed as covered by repeated substrings (null for
-    a page whose text is its protected blocks).
+    ``template_tokens``: tokens of open or protected blocks removed as covered by repeated substrings (null for
+    a page whose text is its whole protected blocks).
     """
     rows = _keyed(pages, page_id, url, html)
     id_type, url_type = rows.schema["page_id"].dataType.simpleString(), rows.schema["url"].dataType.simpleString()
+    stream = streams(rows)
+    template = article_repeats(rows, stream)
 
     def protected(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep, text = [], []
-        for i, body in enumerate(batch.column(2).to_pylist()):
+        keep, text, gone = [], [], []
+        for i, (body, places) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
             parts = blocks(body)
             if not is_free(parts):
                 keep.append(i)
-                text.append("\n".join(b for zone, b in parts if zone == "main"))
+                left, n = article_text([b for zone, b in parts if zone == "main"], places or [])
+                text.append("\n".join(b for b in left if b))
+                gone.append(n or None)
         kept = batch.take(pa.array(keep, pa.int64()))
-        return pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(text, pa.string())], names=shape)
+        return pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(text, pa.string()), pa.array(gone, pa.int64())], names=shape)
 
-    shape = ["page_id", "url", "text"]
-    fields = f"page_id {id_type}, url {url_type}, text string"
-    plain = common.map_arrow(rows, ["page_id", "url", "html"], fields, protected).withColumn("template_tokens", F.lit(None).cast("long"))
+    shape = ["page_id", "url", "text", "template_tokens"]
+    fields = f"page_id {id_type}, url {url_type}, text string, template_tokens long"
+    plain = common.map_arrow(of_page(rows, template, "left"), ["page_id", "url", "html", "template"], fields, protected)
 
-    stream = streams(rows)
     free = stream.where("opened is not null")
     hits = (
         free.select("url", "page", F.posexplode("suffixes").alias("at", "suffix"))
@@ -252,45 +356,71 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         .join(repeated(stream), "suffix")
         .groupBy("url", "page")
         .agg(F.collect_set("at").alias("covered"))  # no more than the page has tokens
-        .select(F.col("url").alias("_url"), F.col("page").alias("_page"), "covered")
     )
-    joined = free.join(hits, F.col("page").eqNullSafe(F.col("_page")) & F.col("url").eqNullSafe(F.col("_url")), "left")
+    joined = of_page(of_page(free, hits, "left"), template, "left")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         text, gone = [], []
-        for parts, covered in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            body, n = unique_runs(parts, covered or [])
+        for parts, covered, places in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            body, n = unique_runs(parts, covered or [], places or [])
             text.append(body)
             gone.append(n)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(gone, pa.int64())], names=[*shape, "template_tokens"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(gone, pa.int64())], names=shape)
 
-    freed = common.map_arrow(joined, ["page_id", "url", "opened", "covered"], f"{fields}, template_tokens long", cut)
+    freed = common.map_arrow(joined, ["page_id", "url", "opened", "covered", "template"], fields, cut)
     return plain.unionByName(freed).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "template_tokens")
 
 
-def unique_runs(parts: list[str], covered: list[int]) -> tuple[str, int]:
-    """Text of the open blocks without the repeats at the covered positions, and the number of tokens removed."""
+def without_repeats(tokens: list[str], at: int, hidden: set[int]) -> list[str]:
+    """Tokens of a block at a position of the stream, less the hidden stretches that are long enough."""
+    end, cut, start = at + len(tokens), set(), None
+    for i in range(at, end + 1):
+        if i < end and i in hidden:
+            start = i if start is None else start
+        elif start is not None:
+            whole_block, edge = i - start == len(tokens), start == at or i == end
+            if whole_block or i - start >= (RUN if edge else 2 * RUN):
+                cut.update(range(start, i))
+            start = None
+    return [t for i, t in enumerate(tokens, at) if i not in cut]
+
+
+def article_text(parts: list[str], places: list[int]) -> tuple[list[str], int]:
+    """The protected blocks without the template runs at ``places`` (all of them if nothing would stay), and the number of tokens removed."""
+    if not places:
+        return parts, 0
+    at, gone, out = 0, 0, []
+    for part in parts:
+        tokens = part.split(" ")
+        end = at + len(tokens)
+        left = without_repeats(tokens, at, {i for s in places if at <= s < end for i in range(s, min(end, s + RUN))})
+        gone += len(tokens) - len(left)
+        out.append(" ".join(left))
+        at = end
+    return (out, gone) if any(out) else (parts, 0)
+
+
+def unique_runs(parts: list[str], covered: list[int], places: list[int] = ()) -> tuple[str, int | None]:
+    """Text of a page with open blocks without the repeats at the covered positions, and the number of tokens removed."""
     hidden: set[int] = set()
     for s in covered:
         hidden.update(range(s, s + RUN))
-    out, whole, at, gone = [], [], 0, 0
+    main, cut = article_text([p[1:] for p in parts if p.startswith("\x01")], places)
+    own = iter(main)
+    out, whole, at, gone, n_open, n_main = [], [], 0, 0, 0, sum(len(b.split()) for b in main)
     for part in parts:
+        if part.startswith("\x01"):
+            out.append(next(own))
+            continue
         chrome = part.startswith("\x00")
         tokens = part.lstrip("\x00").split(" ")
         if not chrome:
-            end, cut, start = at + len(tokens), set(), None
-            for i in range(at, end + 1):  # stretches of hidden tokens
-                if i < end and i in hidden:
-                    start = i if start is None else start
-                elif start is not None:
-                    whole_block, edge = i - start == len(tokens), start == at or i == end
-                    if whole_block or i - start >= (RUN if edge else 2 * RUN):
-                        cut.update(range(start, i))
-                    start = None
-            left = [t for i, t in enumerate(tokens, at) if i not in cut]
+            left = without_repeats(tokens, at, hidden)
+            n_open += len(left)
             gone += len(tokens) - len(left)
             whole.append(" ".join(tokens))
-            if left:
-                out.append(" ".join(left))
+            out.append(" ".join(left))
         at += len(tokens)
-    return ("\n".join(out), gone) if out else ("\n".join(whole), 0)
+    if main and n_open <= n_main:
+        return "\n".join(b for b in main if b), cut or None
+    return ("\n".join(b for b in out if b), gone + cut) if n_open else ("\n".join(whole), 0)
