@@ -65,3 +65,31 @@ def test_odd_rows(spark):
     assert sorted(r["doc_id"] for r in out) == [60, 60] + [61] * 500
     assert S.scan(frame(spark, [])).count() == 0
     assert S.scan(frame(spark, rows), templates={"own": "one two three four"}).where("doc_id in (1, 5)").count() == 3
+
+
+def test_long_insertions_and_cuts():
+    """10 to 30 tokens put in or taken out mid-way, against the alignment without a band."""
+    index = S.build_index(TEMPLATES)
+    seen = 0
+    for t, name in enumerate(index.names):
+        words = S.tokens(TEMPLATES[name])
+        if len(words) < 50:
+            continue
+        half = len(words) // 2
+        for n in (10, 12, 17, 20, 30):
+            for edited in (words[:half] + [f"new{i}" for i in range(n)] + words[half:], words[: half - n // 2] + words[half + n - n // 2 :]):
+                m, first, last = brute_align(index.ids[t], np.array([index.vocabulary.get(w, 0) for w in edited], dtype=np.int64))
+                if m < S.MIN_COVERAGE * len(words):
+                    continue
+                found = S.matches("before " * 40 + " ".join(edited) + " after" * 40, index)
+                assert [(f[0], f[3]) for f in found] == [(name, m)], (name, n, found)
+                assert found[0][2] - found[0][1] == len(" ".join(edited))
+                seen += 1
+    assert seen > 20
+
+
+def test_notice_in_a_gap_is_found_too():
+    words = S.tokens(TEMPLATES["mit"])
+    text = " ".join(words[:80]) + " x x x x x x x x " + TEMPLATES["bsd-2-clause"] + " y y y y y y y y " + " ".join(words[80:])
+    found = S.matches(text, S.build_index(TEMPLATES))
+    assert {f[0] for f in found} == {"mit", "bsd-2-clause"}

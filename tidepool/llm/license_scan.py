@@ -7,7 +7,9 @@ All k-grams of a document meet the index; each hit proposes a diagonal. Diagonal
 earlier match covers their hits: the template is aligned in a band of ``BAND`` tokens on either side
 (longest common subsequence with gaps, in token steps) and reported if the matched
 tokens cover ``MIN_COVERAGE`` of the template, with the code-point span from the first to the last matched token.
-Of overlapping matches in one document the one with more matched tokens stays.
+Before that, hits that rise in text and template are chained over diagonals further apart than the band (a longer
+insertion or cut), within two template lengths of text, and the template is aligned at once in the bands along the chain.
+Of overlapping matches in one document the one with more matched tokens stays; what stands in a chain's gap does not overlap.
 
 The templates and index are fixed and small (a few thousand entries) and are sent to the tasks;
 the scan is a narrow pass over whole texts. A diagonal costs template length x band, and texts without
@@ -88,9 +90,10 @@ def _grams(ids: np.ndarray, k: int) -> np.ndarray:
     return np.where(known, code, 0)
 
 
-def align(template: np.ndarray, body: np.ndarray, lo: int, hi: int) -> tuple[int, int, int]:
+def align(template: np.ndarray, body: np.ndarray, lo: int, hi: int, bands: list[tuple[int, int]] | None = None) -> tuple[int, int, int]:
     """(matched tokens, first, last matched body position) of the best alignment on diagonals lo..hi.
 
+    ``bands``: for each template token, the first and last diagonal on which it may match.
     A diagonal is body position minus template position. Among equal scores the shortest span wins, then the first.
     """
     width = hi - lo + 1
@@ -106,7 +109,7 @@ def align(template: np.ndarray, body: np.ndarray, lo: int, hi: int) -> tuple[int
                 best = row[d + 1]  # template token without a body token
             if d and new[d - 1] > best:
                 best = new[d - 1]  # body token without a template token
-            if 0 <= at < len(body) and body[at] == want:
+            if 0 <= at < len(body) and body[at] == want and (bands is None or bands[j][0] <= lo + d <= bands[j][1]):
                 m, _, first, _ = row[d]
                 first = -first if m else at
                 best = max(best, (m + 1, first - at, -first, at))
@@ -116,6 +119,55 @@ def align(template: np.ndarray, body: np.ndarray, lo: int, hi: int) -> tuple[int
     return m, -first, last
 
 
+def chains(hits: list[tuple[int, int]], k: int, reach: int, band: int) -> list[list[tuple[int, int]]]:
+    """Chains of (text, template) positions that rise in both within ``reach`` tokens of text, best first, without shared hits.
+
+    The best has most template tokens in its k-grams, then the least drift; only those that leave a band are given.
+    """
+    hits = sorted(hits)
+    score: list[tuple[int, int]] = []
+    back, head = [], []
+    low = 0
+    for i, (p, pos) in enumerate(hits):
+        while hits[low][0] < p - reach:
+            low += 1
+        best, prev = (k, 0), -1
+        for j in range(low, i):
+            q, before = hits[j]
+            if q < p and before < pos and hits[head[j]][0] >= p - reach:
+                s = (score[j][0] + min(k, pos - before), score[j][1] - abs((p - pos) - (q - before)))
+                if s > best:
+                    best, prev = s, j
+        score.append(best)
+        back.append(prev)
+        head.append(i if prev < 0 else head[prev])
+    used: set[int] = set()
+    out = []
+    for i in sorted(range(len(hits)), key=lambda i: (score[i], -i), reverse=True):
+        own = []
+        while i >= 0 and i not in used:
+            own.append(i)
+            i = back[i]
+        used.update(own)
+        chain = [hits[j] for j in reversed(own)]
+        drift = [p - pos for p, pos in chain]
+        if chain and max(drift) - min(drift) > band:
+            out.append(chain)
+    return out
+
+
+def align_chain(template: np.ndarray, body: np.ndarray, chain: list[tuple[int, int]], band: int) -> tuple[int, int, int]:
+    """``align`` in the band of the chain's diagonal at every template token, and between two hits in the bands of both."""
+    diagonals = [p - pos for p, pos in chain]
+    bands, at = [], 0
+    for j in range(len(template)):
+        while at < len(chain) and chain[at][1] <= j:
+            at += 1
+        near = diagonals[max(0, at - 1) : at + 1]
+        bands.append((min(near) - band, max(near) + band))
+    return align(template, body, min(diagonals) - band, max(diagonals) + band, bands)
+
+
 def matches(text: str, index: LicenseIndex, band: int = BAND, min_coverage: float = MIN_COVERAGE) -> list[tuple[str, int, int, int, float]]:
     """(template, start, end, matched tokens, coverage) of one text, by start."""
     if not text:
@@ -134,24 +186,42 @@ def matches(text: str, index: LicenseIndex, band: int = BAND, min_coverage: floa
             hits.setdefault(t, {}).setdefault(p - pos, []).append(p)
     found = []
     for t, by_diagonal in hits.items():
+        least = min_coverage * index.lengths[t]
         free, done = body.copy(), -1  # tokens of a match are not matched again; diagonals come in order
+        if max(by_diagonal) - min(by_diagonal) > band:
+            reach = 2 * index.lengths[t]
+            for chain in chains([(p, p - d) for d, ps in by_diagonal.items() for p in ps], index.k, reach, band):
+                around = free[max(0, chain[0][0] - reach) : chain[-1][0] + reach]
+                if np.isin(index.ids[t], around).sum() < least:  # cannot reach the coverage
+                    continue
+                m, first, last = align_chain(index.ids[t], free, chain, band)
+                if m >= least:
+                    pieces = [[first, first]]
+                    for (p, pos), (q, after) in zip(chain, chain[1:], strict=False):
+                        if abs((q - after) - (p - pos)) > band:
+                            pieces[-1][1] = max(pieces[-1][0], min(last, p + index.k - 1))
+                            pieces.append([q, q])
+                    pieces[-1][1] = max(pieces[-1][0], last)
+                    found.append((m, -(last - first), first, last, t, pieces))
+                    for x, y in pieces:
+                        free[x : y + 1] = 0
         for diagonal in sorted(by_diagonal):
-            if max(by_diagonal[diagonal]) <= done:
+            if max(by_diagonal[diagonal]) <= done or not free[by_diagonal[diagonal]].any():
                 continue
             m, first, last = align(index.ids[t], free, diagonal - band, diagonal + band)
-            if m >= min_coverage * index.lengths[t]:
-                found.append((m, -(last - first), first, last, t))
+            if m >= least:
+                found.append((m, -(last - first), first, last, t, [[first, last]]))
                 free[first : last + 1] = 0
                 done = max(done, last)
     spans = [m.span() for m in _TOKEN.finditer(text)] if found else []
     if len(spans) != len(words):  # lower-casing may split or join a token
         low = [x for m in _TOKEN.finditer(text) for x in [m.span()] * len(tokens(m.group()))]
         spans = low if found else spans
-    taken: list[tuple[int, int]] = []
+    taken: list[list[int]] = []
     out = []
-    for m, _, first, last, t in sorted(found, key=lambda x: (-x[0], -x[1], index.names[x[4]], x[2])):
-        if all(last < a or first > b for a, b in taken):
-            taken.append((first, last))
+    for m, _, first, last, t, pieces in sorted(found, key=lambda x: (-x[0], -x[1], index.names[x[4]], x[2])):
+        if all(y < a or x > b for a, b in taken for x, y in pieces):
+            taken += pieces
             out.append((index.names[t], spans[first][0], spans[last][1], m, m / index.lengths[t]))
     return sorted(out, key=lambda x: (x[1], x[0]))
 
