@@ -92,3 +92,19 @@ def test_redaction(spark):
     assert by[2, "s"]["text"] is None
     assert "hunter22" not in body and "AKIAIOS" not in body and "wJalr" not in body and "short" in body and by[50, "s"]["n_chars"] == len(body)
     assert out.count() == len(ODD) + 1
+
+
+def test_value_is_judged_without_its_name():
+    rng = np.random.default_rng(2)
+    for digits, n in (("0123456789ABCDEF", 40), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 40), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 36)):
+        for name in ("k=", "KEY_", "SIGNING_KEY=", "SAMPLE_KEY=", "my-dummy-app/", "", "xxxx="):
+            for _ in range(50):
+                value = "7" + "".join(rng.choice(list(digits), size=n - 1))  # letters with a digit at the end are allow-listed as names
+                text = f"set {name}{value} end"
+                spans = S.scan_text(text)
+                assert any(s <= text.index(value) and text.index(value) + n <= e for s, e, _ in spans), text
+                redacted = S.redact_text(text, spans, "#")
+                assert redacted.endswith("# end") and not any(value[i : i + 8] in redacted for i in range(n - 7))
+    text = "SIGNING_KEY=" + "0F1E2D3C4B5A69788796A5B4C3D2E1F00F1E2D3C"
+    assert S.scan_text(text)[-1][1] == len(text)
+    assert S.scan_text("id=123e4567-e89b-12d3-a456-426614174000 file_name=some-long-path/to/the-example-file") == []

@@ -2,10 +2,11 @@
 
 Patterns (leftmost, non-overlapping per kind): ``assign`` (a secret-like name, a separator and a
 value of ``MIN_VALUE`` characters or more), ``access`` (``AKIA`` keys) and ``hex``. Beside them every maximal
-run of token characters of ``MIN_CANDIDATE`` or more is a candidate string. Its character class
+run of token characters of ``MIN_CANDIDATE`` or more is a candidate string, and so is each part of it between
+``=``, and between any of ``= _ / -``, that is as long (a value is judged without its name). Its character class
 (hex, base32, alphanumeric or base64) fixes window and threshold; the entropy of the window is
 kept up by incremental counts as it slides one character, and the runs of windows at or above the
-threshold become ``entropy`` spans. Allow-listed candidates (plain words and identifiers, UUIDs,
+threshold, widened to whole parts and joined where they overlap, become ``entropy`` spans. Allow-listed candidates (plain words and identifiers, UUIDs,
 paths and addresses, dates and numbers, repeated or sequential alphabets, placeholders) are
 suppressed; so are entropy spans that a pattern span already covers. Suppression never removes a
 pattern span.
@@ -37,6 +38,8 @@ _ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(rf"[0-9a-f]{{{MIN_HEX},}}")
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}")
+_PIECE = re.compile(r"[^=]+(?:=+$)?")
+_PART = re.compile(r"[^=_/-]+")
 _CLASSES = (("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+")), ("base32", re.compile(r"[A-Z2-7]+=*")), ("alnum", re.compile(r"[A-Za-z0-9]+")), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+")))
 _ALLOW = (
     re.compile(r"[a-z]+|[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*"),  # words and camel case
@@ -107,16 +110,29 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def method_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    out = []
+    out: list[list[int]] = []
     for m in _CANDIDATE.finditer(text):
-        candidate = m.group()
-        if allowed(candidate):
-            continue
-        for s, e in entropy_spans(candidate, *THRESHOLDS[char_class(candidate)]):
-            s, e = s + m.start(), e + m.start()
-            if not any(a <= s and e <= b for a, b, _ in base):
-                out.append((s, e, "entropy"))
-    return out
+        run, found = m.group(), []
+        parts = [p.span() for p in _PART.finditer(run)]
+        for a, b in sorted({(0, len(run)), *(p.span() for p in _PIECE.finditer(run)), *parts}):
+            candidate = run[a:b]
+            if b - a < MIN_CANDIDATE or allowed(candidate):
+                continue
+            for s, e in entropy_spans(candidate, *THRESHOLDS[char_class(candidate)]):
+                s, e = s + a, e + a
+                s = min([s, *(x for x, y in parts if x < s < y)])
+                e = max([e, *(y for x, y in parts if x < e < y)])
+                s, e = s + m.start(), e + m.start()
+                if not any(x <= s and e <= y for x, y, _ in base):
+                    found.append((s, e))
+        last = None
+        for s, e in sorted(found):
+            if last is not None and s < last[1]:
+                last[1] = max(last[1], e)
+            else:
+                last = [s, e]
+                out.append(last)
+    return [(s, e, "entropy") for s, e in out]
 
 
 def scan_text(text: str) -> list[tuple[int, int, str]]:
