@@ -159,3 +159,25 @@ def minimise(gradient: Callable[[np.ndarray], np.ndarray], curve: Callable[[np.n
         ahead = new + (t - 1) / nt * (new - w)
         w, t = new, nt
     return w
+
+
+def byte_runs(texts: pa.Array, part: Callable[[np.ndarray], np.ndarray], map_: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of the UTF-8 bytes that ``part`` marks, in all texts of a string array without nulls.
+
+    Returns the runs (binary array, bytes mapped by the table ``map_``), the text of each run, its first and last + 1 byte, and the bytes.
+    """
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    cuts = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8)[cuts[0] : cuts[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    cuts = cuts - cuts[0]
+    own = part(raw)
+    edge = np.zeros(len(raw) + 1, dtype=bool)
+    edge[cuts] = True  # a run ends with its text
+    starts = np.flatnonzero(own & (edge[:-1] | ~np.concatenate([[False], own[:-1]])))
+    ends = np.flatnonzero(own & (edge[1:] | ~np.concatenate([own[1:], [False]]))) + 1
+    flat = raw[own] if map_ is None else map_[raw[own]]
+    places = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(ends - starts, out=places[1:])
+    runs = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(flat)])
+    return runs, np.searchsorted(cuts, starts, "right") - 1, starts, ends, raw
