@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, conversation_repair, exact_dedup, html_extraction, language_id, license_scan, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, simhash_dedup, spelling_variants
+from . import common, conversation_repair, exact_dedup, html_extraction, language_id, license_scan, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, simhash_dedup, spelling_variants, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -116,6 +116,33 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+@query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document without those in windows of 35 words that start elsewhere too."""
+    left = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE["op11_substring_dedup"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+    SELECT rid, unnest(range(len(w) - 34)) AS pos, w FROM d WHERE len(w) >= 35
+), h AS (
+    SELECT rid, pos, md5(array_to_string(w[pos + 1 : pos + 35], ' ')) AS win FROM s
+), r AS (
+    SELECT rid, pos FROM h QUALIFY count(*) OVER (PARTITION BY win) > 1
+), c AS (
+    SELECT rid, list(DISTINCT pos + k) AS gone FROM r, (SELECT unnest(range(35)) AS k) GROUP BY rid
+), k AS (
+    SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+           CASE WHEN gone IS NULL THEN w ELSE list_select(w, list_sort(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i - 1)))) END AS kept
+    FROM d LEFT JOIN c USING (rid)
+)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
 @query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged conversations and their cheapest repair: counts, cost, audit and digest of every conversation."""
