@@ -213,14 +213,23 @@ def window_repeats(live: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
 
     every = common.map_arrow(live, [*_KEYS, "none", "text", "ats"], "id0 long, th long, start long, h1 long, h2 long", run)
     counts = every.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    return every.join(counts, ["h1", "h2"]).select(*_KEYS, "start", F.lit(window).cast("long").alias("length"))
+    return _splittable(every, counts, ["h1", "h2"]).select(*_KEYS, "start", F.lit(window).cast("long").alias("length"))
+
+
+def _splittable(rows: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The join of rows with the counts made of them, by one more key than they were counted by.
+
+    Without it the join would stand in the stage of the counting, where adaptive execution cannot split a key's rows.
+    """
+    own = F.xxhash64(*keys).alias("_own")
+    return rows.select("*", own).join(counts.select("*", own), [*keys, "_own"]).drop("_own")
 
 
 def repeats(texts: DataFrame, window: int = WINDOW, prefix: int = PREFIX, limit: int = LIMIT) -> DataFrame:
     """id0, th, start, length: stretches of words, all in windows that start elsewhere too; ``texts`` has id0, th, none, text."""
     anchors = common.reread(anchor_prefixes(texts, window, prefix), "substring-anchors")
     counts = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", (F.col("n") > limit).alias("deep"))
-    live = common.reread(anchors.join(counts, "key").select(*_KEYS, "at", "deep"), "substring-live")
+    live = common.reread(_splittable(anchors, counts, ["key"]).select(*_KEYS, "at", "deep"), "substring-live")
 
     def listed(deep: bool) -> DataFrame:
         """The texts with their live anchors; a text has no more of them than words."""
