@@ -40,9 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
-        d = tempfile.mkdtemp(prefix="tidepool-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
-        spark.conf.set("spark.checkpoint.dir", d)
+        # spark.checkpoint.dir cannot be set in a running session: the context keeps the folder
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidepool-ckpt-"))
+        d = spark.sparkContext.getCheckpointDir()
     return d.rstrip("/")
 
 
@@ -68,3 +68,8 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
         return []
     return sorted(st.getPath().getName() for st in fs.listStatus(p))
 
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own making, with what is in it."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)

@@ -1,60 +1,62 @@
 """Continuous reconciliation: complete polls of the custom resources update the registry's state.
 
-A poll is one listing of all custom resources; every record carries the poll's time and its number of
-documents. Records may arrive in any number of micro-batches: they are kept by poll, and a poll counts only when all of its
-documents are there. Each micro-batch takes the newest complete poll that is newer than the last one taken (older ones are
-superseded), reads the registry anew, reconciles, and writes only the rows that changed, as version ``v=<batch>``, together with
-the savepoints that stops left behind. A batch that is run again reads only versions below its own and
-overwrites its own folders, so a crash between writing and committing does no harm.
-
-The registry stays the master of what users do to it: of a registry row and a change written here, the newer
-one (``updated_at`` against the poll's time) holds. Every ``COMPACT_EVERY`` versions the changes are merged into one snapshot.
+A poll is one listing of all custom resources. Its records carry the poll's time and the number of its documents; one record without a
+document ends the listing, so an empty one is a poll too. Records may arrive in any number of micro-batches, in any order and more than once.
+
+Spark's own keyed state says when a poll is whole: records are deduplicated by (poll, namespace, name) and counted by poll, both
+in the state store and both dropped once the watermark (``LATENESS`` behind the newest poll) has passed. The counts that
+change come to ``foreachBatch`` in update mode. If a poll became whole that is newer than the last one applied (older ones are superseded), its
+documents are read from its own folder, the registry is read anew, and the rows that changed are written as partition
+``batch=<id>`` of one table, with one row (of no deployment) for the poll itself. A batch that is run again reads the
+partitions below its own and overwrites its own, so a crash between writing and committing does no harm.
+
+The registry stays the master of what users do to it: of a registry row and the newest change of it here, the newer
+one (``updated_at`` against the poll's time) holds.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fleet as FL
 from ..operators import fleet as FO
-from ..session import list_names
+from ..session import path_exists
 from ..sources import cluster
 from ..sources import schemas as S
 
 FIELDS = ["status", "pending_action", "error_message", "last_savepoint_path"]
-CHANGE_DDL = "id long, status string, pending_action string, error_message string, last_savepoint_path string, poll_ms long"
-SAVEPOINT_DDL = "deployment_id long, path string, source string, poll_ms long"
+CHANGE_DDL = "id long, status string, pending_action string, error_message string, last_savepoint_path string, captured_savepoint string, poll_ms long"
 POLL_DDL = "poll_ms long, n_docs long, doc string"
-COMPACT_EVERY = 20
+#: A poll whose records are this far behind the newest poll is given up.
+LATENESS = "1 hour"
+#: Seconds between two polls while something is in transition.
+POLL_SECONDS = 4.0
 
 
-def _numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
-    """Numbers of the finished tables ``<folder>/<prefix>=<n>``."""
-    found = [int(n.split("=", 1)[1]) for n in list_names(spark, folder) if n.startswith(f"{prefix}=")]
-    return sorted(n for n in found if "_SUCCESS" in list_names(spark, f"{folder}/{prefix}={n}"))
-
-
-def _below(spark: SparkSession, folder: str, ddl: str, before: int | None) -> DataFrame:
-    """All rows written by versions below ``before`` (all if None): the newest snapshot and what followed it."""
-    ok = lambda n: before is None or n < before
-    snaps = [n for n in _numbers(spark, folder, "snapshot") if ok(n)]
-    since = snaps[-1] if snaps else -1
-    paths = [f"{folder}/v={n}" for n in _numbers(spark, folder, "v") if ok(n) and n > since]
-    paths += [f"{folder}/snapshot={since}"] if snaps else []
-    return spark.read.schema(ddl).parquet(*paths) if paths else spark.createDataFrame([], ddl)
+def _log(spark: SparkSession, base: str, before: int | None) -> DataFrame:
+    """Rows that batches below ``before`` (all if None) have written."""
+    path = f"{base}/changes"
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], CHANGE_DDL)
+    rows = spark.read.schema(f"{CHANGE_DDL}, batch long").parquet(path)
+    return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
 
 
 def changes(spark: SparkSession, base: str, before: int | None = None) -> DataFrame:
     """The newest change of every deployment that has one."""
-    rows = _below(spark, f"{base}/state", CHANGE_DDL, before)
+    rows = _log(spark, base, before).where("id is not null")
     return rows.groupBy("id").agg(F.max_by(F.struct(*FIELDS, "poll_ms"), "poll_ms").alias("c")).select("id", "c.*")
 
 
-def savepoints(spark: SparkSession, base: str, before: int | None = None) -> DataFrame:
-    """Savepoints that completed stops left behind."""
-    return _below(spark, f"{base}/savepoints", SAVEPOINT_DDL, before)
+def savepoints(spark: SparkSession, base: str, known: DataFrame) -> DataFrame:
+    """Savepoints that completed stops left behind and that are not ``known`` (deployment_id, path)."""
+    rows = _log(spark, base, None).where("captured_savepoint is not null")
+    return FO.stop_savepoint_capture(rows, known).distinct()
 
 
 def current(registry: DataFrame, changed: DataFrame) -> DataFrame:
@@ -69,49 +71,72 @@ def current(registry: DataFrame, changed: DataFrame) -> DataFrame:
     return out.drop("_id", "_c", "_at")
 
 
-def newest_complete(polls: DataFrame) -> int | None:
-    """Time of the newest poll all of whose documents have arrived."""
-    whole = polls.groupBy("poll_ms").agg(F.count("doc").alias("n"), F.max("n_docs").alias("n_docs")).where("n >= n_docs")
-    return whole.agg(F.max("poll_ms")).first()[0]
-
-
-def reconcile_batch(spark: SparkSession, read_registry: Callable[[], DataFrame], known_savepoints: DataFrame, batch: DataFrame, batch_id: int, base: str) -> None:
-    """One micro-batch of poll records."""
-    batch.write.mode("overwrite").partitionBy("poll_ms").parquet(f"{base}/polls/batch={batch_id}")
-    taken = _below(spark, f"{base}/taken", "poll_ms long", batch_id).agg(F.max("poll_ms")).first()[0]
-    polls = spark.read.schema(f"{POLL_DDL}, batch long").option("basePath", f"{base}/polls").parquet(f"{base}/polls").where(F.col("batch") <= batch_id)
-    if taken is not None:
-        polls = polls.where(F.col("poll_ms") > taken)  # by folder: older polls are not read
-    poll = newest_complete(polls)
-    if poll is None:
-        return
-    docs = polls.where(F.col("poll_ms") == poll).select("doc")
-    status = FO.cr_status(cluster.parse_documents(docs, S.CR_DDL))
-    before = current(FO.live(read_registry()), changes(spark, base, batch_id))
-    done = FO.changed_rows(FO.reconcile(before, status))
-    done = done.select("id", *FIELDS, "captured_savepoint", F.lit(poll).cast("long").alias("poll_ms"))
-    done.drop("captured_savepoint").write.mode("overwrite").parquet(f"{base}/state/v={batch_id}")
-    captured = FO.stop_savepoint_capture(done, known_savepoints.select("deployment_id", "path").union(savepoints(spark, base, batch_id).select("deployment_id", "path")))
-    captured.select("deployment_id", "path", "source", F.lit(poll).cast("long").alias("poll_ms")).write.mode("overwrite").parquet(f"{base}/savepoints/v={batch_id}")
-    if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
-        changes(spark, base, batch_id + 1).select(*[c.split()[0] for c in CHANGE_DDL.split(", ")]).write.mode("overwrite").parquet(f"{base}/state/snapshot={batch_id}")
-        savepoints(spark, base, batch_id + 1).write.mode("overwrite").parquet(f"{base}/savepoints/snapshot={batch_id}")
-    # last: a batch that stopped before this is done again as a whole
-    spark.createDataFrame([(poll,)], "poll_ms long").write.mode("overwrite").parquet(f"{base}/taken/v={batch_id}")
-
-
-def reconcile_stream(spark: SparkSession, read_registry: Callable[[], DataFrame], known_savepoints: DataFrame, polls_path: str, base: str) -> None:
-    """Run one availableNow pass over newly arrived poll records (call again after more arrive)."""
-    raw = spark.readStream.format("text").load(polls_path)
-    polls = raw.select(F.from_json("value", POLL_DDL, {"mode": "FAILFAST"}).alias("p")).select("p.*")
+def _records(raw: DataFrame) -> DataFrame:
+    return raw.select(F.from_json("value", POLL_DDL, {"mode": "FAILFAST"}).alias("p")).select("p.*")
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        reconcile_batch(spark, read_registry, known_savepoints, batch, batch_id, base)
 
-    polls.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
+def poll_counts(records: DataFrame) -> DataFrame:
+    """poll_ms, n (distinct documents that have arrived) and n_docs (that the poll has) of a stream of poll records."""
+    field = lambda name: F.get_json_object("doc", f"$.metadata.{name}").alias(name)
+    once = records.select(F.timestamp_millis("poll_ms").alias("at"), "poll_ms", "n_docs", field("namespace"), field("name")) \
+        .withWatermark("at", LATENESS).dropDuplicates(["at", "poll_ms", "namespace", "name"])
+    return once.groupBy("at", "poll_ms").agg(F.count("name").alias("n"), F.max("n_docs").alias("n_docs")).select("poll_ms", "n", "n_docs")
 
 
-def write_poll(docs: DataFrame, path: str, poll_ms: int, n_docs: int) -> None:
-    """Append documents of one poll as records."""
+def apply_poll(spark: SparkSession, read_registry: Callable[[], DataFrame], counts: DataFrame, batch_id: int, polls_path: str, base: str) -> tuple[int, int] | None:
+    """One micro-batch of poll counts: the poll that was applied, if any, and how many deployments it leaves in transition."""
+    poll = counts.where("n >= n_docs").agg(F.max("poll_ms")).first()[0]  # of the polls that the watermark keeps
+    last = _log(spark, base, batch_id).where("id is null").agg(F.max("poll_ms")).first()[0]
+    if poll is None or (last is not None and poll <= last):
+        return None
+    docs = _records(spark.read.schema("value string, poll_ms long").text(polls_path).where(F.col("poll_ms") == poll)).where("doc is not null").select("doc")
+    status = FO.cr_status(cluster.parse_documents(docs, S.CR_DDL)).dropDuplicates(["namespace", "name"])
+    before = current(FO.live(read_registry()), changes(spark, base, batch_id))
+    seen = Observation(f"poll-{batch_id}")
+    moving = F.count_if(FL.in_transition(F.col("status"), F.col("pending_action")))
+    done = FO.changed_rows(FO.reconcile(before, status).observe(seen, moving.alias("moving")))
+    at = F.lit(poll).cast("long").alias("poll_ms")
+    mark = spark.range(1).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in CHANGE_DDL.split(", ")[:-1])], at)
+    done.select("id", *FIELDS, "captured_savepoint", at).unionByName(mark).write.mode("overwrite").parquet(f"{base}/changes/batch={batch_id}")
+    return poll, seen.get["moving"]
+
+
+def reconcile_stream(spark: SparkSession, read_registry: Callable[[], DataFrame], polls_path: str, base: str) -> list[tuple[int, int]]:
+    """Run one availableNow pass over newly arrived poll records (call again after more arrive); the polls applied, with
+    the number of deployments that each leaves in transition."""
+    raw = spark.readStream.schema("value string, poll_ms long").format("text").load(polls_path)
+    applied: list[tuple[int, int]] = []
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        found = apply_poll(spark, read_registry, batch, batch_id, polls_path, base)
+        if found:
+            applied.append(found)
+
+    poll_counts(_records(raw)).writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", f"{base}/ckpt") \
+        .trigger(availableNow=True).start().awaitTermination()
+    return applied
+
+
+def watch(spark: SparkSession, read_registry: Callable[[], DataFrame], poll: Callable[[int], None], polls_path: str, base: str,
+          every: float = POLL_SECONDS, most: int | None = None) -> list[tuple[int, int]]:
+    """Poll and reconcile every ``every`` seconds until a poll leaves nothing in transition (or ``most`` polls were made).
+
+    ``poll`` writes the records of one listing. What is in transition is observed while a pass writes its changes, so no table is read for it.
+    """
+    applied: list[tuple[int, int]] = []
+    for n in count():
+        poll(n)
+        done = reconcile_stream(spark, read_registry, polls_path, base)
+        applied += done
+        if (done and done[-1][1] == 0) or n + 1 == most:
+            return applied
+        time.sleep(every)
+    return applied
+
+
+def write_poll(docs: DataFrame, path: str, poll_ms: int, n_docs: int, last: bool = True) -> None:
+    """Append documents of one poll as records of its folder, with the record that ends the listing if they are the ``last``."""
+    if last:
+        docs = docs.select("doc").unionByName(docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("doc")))
     rec = F.struct(F.lit(poll_ms).cast("long").alias("poll_ms"), F.lit(n_docs).cast("long").alias("n_docs"), F.col("doc"))
-    docs.select(F.to_json(rec).alias("value")).write.mode("append").text(path)
+    docs.select(F.to_json(rec).alias("value")).write.mode("append").text(f"{path}/poll_ms={poll_ms}")
