@@ -16,6 +16,8 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{v} AS (\n{view_sql(v)}\n)" for v in used)
     body = sql.lstrip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import actions as AN
 from ..operators import diagnostics as D
 from ..operators import fleet as FO
 from ..operators import savepoints as SP
@@ -290,6 +291,51 @@ register(
     LEFT JOIN newest n ON n.deployment_id = d.id""",
 )
 
+@query("action_requests")
+def action_requests(spark, sf):
+    """Requests and observations of every deployment folded in order: accepted or rejected with the reason, the state after, savepoints left."""
+    return AN.fold_actions(view(spark, sf, "v_actions"), _registry(spark, sf), registry.savepoints(spark, sf))
+
+
+#: The fold once more, event by event: (status, pending action) go from one event to the next.
+_BUSY = "'conflict: operation in progress'"
+register(
+    "action_requests",
+    f"""WITH RECURSIVE d AS (SELECT * FROM v_deployments WHERE deleted_at IS NULL),
+    newest AS (SELECT deployment_id, arg_max(id, (created_at, id)) AS newest_id FROM v_savepoints GROUP BY deployment_id),
+    e AS (SELECT a.*, d.id AS deployment_id, d.deployment_mode, s.path AS chosen_path, n.newest_id, row_number() OVER (PARTITION BY a.deployment_name ORDER BY at_ms, event_id) AS nth
+      FROM v_actions a LEFT JOIN d USING (deployment_name) LEFT JOIN v_savepoints s ON s.id = a.savepoint_id AND s.deployment_id = d.id LEFT JOIN newest n ON n.deployment_id = d.id),
+    f AS (
+      SELECT id AS deployment_id, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS outcome, status, coalesce(pending_action, '') AS pending, CAST(NULL AS VARCHAR) AS source, false AS left_one, false AS left_before FROM d
+      UNION ALL
+      SELECT deployment_id, nth, event_id, outcome,
+        CASE outcome WHEN 'resolved' THEN seen WHEN 'synced' THEN seen ELSE status END,
+        CASE WHEN outcome IN ('resolved', 'synced') THEN '' WHEN outcome = 'accepted' AND kind IN ('stop', 'force_stop', 'resume', 'delete') THEN kind ELSE pending END,
+        source, left_one OR source IS NOT NULL, left_one
+      FROM (SELECT *, CASE WHEN path IS NULL THEN NULL WHEN kind = 'snapshot' THEN 'manual' WHEN outcome = 'resolved' AND pending = 'stop' AND seen = 'suspended' THEN 'stop' END AS source FROM (
+        SELECT f.deployment_id, e.nth, e.event_id, e.kind, e.path, f.status, f.pending, f.left_one, CASE WHEN e.kind = 'gone' THEN 'deleted' WHEN starts_with(e.kind, 'saw:') THEN substr(e.kind, 5) END AS seen,
+          CASE
+            WHEN e.kind IN ('stop', 'force_stop', 'savepoint', 'resume') AND e.deployment_mode <> 'application' THEN 'invalid: not application mode'
+            WHEN e.kind = 'resume' AND e.savepoint_id IS NOT NULL AND e.skip_savepoint THEN 'invalid: both savepoint and skip'
+            WHEN e.kind IN ('stop', 'force_stop') THEN CASE WHEN f.pending <> '' THEN {_BUSY} WHEN f.status <> 'running' THEN 'conflict: not running' ELSE 'accepted' END
+            WHEN e.kind = 'savepoint' THEN CASE WHEN f.status = 'running' THEN 'accepted' ELSE 'invalid: not running' END
+            WHEN e.kind = 'resume' THEN CASE WHEN f.pending <> '' THEN {_BUSY} WHEN f.status NOT IN ('suspended', 'failed', 'unknown') THEN 'conflict: not resumable'
+              WHEN e.savepoint_id IS NOT NULL AND e.chosen_path IS NULL THEN 'not found: savepoint' ELSE 'accepted' END
+            WHEN e.kind = 'delete' THEN CASE WHEN f.status = 'deleted' THEN 'conflict: already deleted' WHEN f.pending <> '' THEN {_BUSY} ELSE 'accepted' END
+            WHEN e.kind = 'edit' THEN CASE WHEN f.status NOT IN ('suspended', 'failed') THEN 'conflict: not editable' WHEN f.pending <> '' THEN {_BUSY} ELSE 'accepted' END
+            WHEN e.kind = 'snapshot' OR f.status = 'deleted' THEN 'unchanged'
+            WHEN e.kind = 'gone' THEN CASE f.pending WHEN 'delete' THEN 'resolved' WHEN '' THEN 'synced' ELSE 'unchanged' END
+            WHEN f.pending = '' THEN CASE WHEN substr(e.kind, 5) <> f.status THEN 'synced' ELSE 'unchanged' END
+            WHEN f.pending <> 'delete' AND (e.kind = 'saw:failed' OR e.kind = CASE f.pending WHEN 'resume' THEN 'saw:running' ELSE 'saw:suspended' END) THEN 'resolved'
+            ELSE 'unchanged' END AS outcome
+        FROM f JOIN e ON e.deployment_id = f.deployment_id AND e.nth = f.nth + 1)))
+    SELECT e.event_id, e.deployment_name, e.kind, coalesce(f.outcome, 'not found: deployment') AS outcome,
+      CASE WHEN e.kind = 'resume' AND f.outcome = 'accepted' THEN CASE WHEN e.skip_savepoint THEN 'stateless'
+        WHEN e.savepoint_id IS NOT NULL AND (f.left_before OR e.newest_id <> e.savepoint_id) THEN 'path:' || e.chosen_path ELSE 'latest' END END AS start_from,
+      f.status, NULLIF(f.pending, '') AS pending_action, CASE WHEN f.source IS NOT NULL THEN e.path END AS savepoint_path, f.source
+    FROM e LEFT JOIN f USING (event_id)""",
+)
+
 UPSERT_CUTOFF = "1996-01-01 00:00:00"
 
 

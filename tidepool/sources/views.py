@@ -472,6 +472,28 @@ def _resume_requests(d: Dialect) -> list[Part]:
     ]
 
 
+def _actions(d: Dialect) -> list[Part]:
+    """Requests on deployments and what the cluster shows in between: one for each line item, some on unknown deployments, in hours and days apart."""
+    pick = "(min(l_partkey) + l_linenumber * 5) % 17"
+    return [
+        Part(
+            "lineitem",
+            [
+                "l_orderkey * 8 + l_linenumber AS event_id",
+                f"CASE WHEN l_orderkey % 61 = 0 THEN 'ghost-' ELSE 'job-' END || {_s('l_orderkey')} AS deployment_name",
+                f"{d.ms('min(l_shipdate)')} + l_linenumber * 1000 AS at_ms",
+                f"CASE {pick} WHEN 0 THEN 'stop' WHEN 1 THEN 'stop' WHEN 2 THEN 'force_stop' WHEN 3 THEN 'savepoint' WHEN 4 THEN 'resume' WHEN 5 THEN 'resume' WHEN 6 THEN 'resume' "
+                "WHEN 7 THEN 'delete' WHEN 8 THEN 'edit' WHEN 9 THEN 'saw:running' WHEN 10 THEN 'saw:running' WHEN 11 THEN 'saw:suspended' WHEN 12 THEN 'saw:suspended' "
+                "WHEN 13 THEN 'saw:failed' WHEN 14 THEN 'saw:creating' WHEN 15 THEN 'gone' ELSE 'snapshot' END AS kind",
+                f"CASE WHEN {pick} = 5 THEN l_orderkey * 8 + 1 + min(l_suppkey) % 3 WHEN {pick} = 6 THEN l_orderkey * 8 + 9 END AS savepoint_id",
+                f"{pick} = 4 AND min(l_suppkey) % 3 = 0 OR {pick} = 5 AND min(l_suppkey) % 5 = 0 AS skip_savepoint",
+                f"CASE WHEN {pick} IN (11, 16) OR {pick} = 12 AND min(l_suppkey) % 2 = 0 THEN 's3://flink-job-' || {_s('l_orderkey')} || '/savepoints/new-' || {_s('l_linenumber')} END AS path",
+            ],
+            group_by=["l_orderkey", "l_linenumber"],
+        )
+    ]
+
+
 def _access(d: Dialect) -> list[Part]:
     """Login/registration attempts: one per event, replayed one per second in event order."""
     base = "TIMESTAMP '2024-01-01 00:00:00'" if d.name == "duckdb" else "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
@@ -516,6 +538,7 @@ VIEWS = {
     "v_snapshots": _snapshots,
     "v_triggers": _triggers,
     "v_resume_requests": _resume_requests,
+    "v_actions": _actions,
     "v_access": _access,
     "v_users": _users,
 }
