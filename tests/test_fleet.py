@@ -98,15 +98,6 @@ def test_reconcile_fixtures(spark):
     assert r[8]["status"] == "deleted" and r[8]["action"] == "unchanged"
 
 
-def test_paging_matches_row_number(spark):
-    df = spark.range(0, 1000).select(F.col("id"), (F.col("id") % 37).alias("k"))
-    paged = FO.assign_pages(df.repartition(7), [F.col("k").desc(), F.col("id")], 15).collect()
-    expect = sorted(((-r[1], r[0]) for r in df.collect()))
-    pos = {row_id: i + 1 for i, (_k, row_id) in enumerate(expect)}
-    for r in paged:
-        assert r["position"] == pos[r["id"]] and r["page"] == (pos[r["id"]] + 14) // 15
-
-
 def test_page_is_clamped(spark):
     df = spark.range(0, 31).select("id")
     rows = lambda p, **k: [(r["id"], r["position"], r["page"]) for r in FO.page_of(df, [F.col("id").desc()], p, 15, **k).collect()]

@@ -1,7 +1,8 @@
 """Access-limit audit: attempts beyond the limit of a fixed window, per source key.
 
-One pass: window and limit are chosen by kind, and attempts are numbered within (key, kind, window). A group holds
-one window's attempts only, so a hot key spreads over its windows.
+A window that holds a third of all attempts must not be sorted by one task. Only the first limit + 1 attempts of a window are ranked, of which
+each task keeps no more before the shuffle; the last of them, if there is one, is where rejecting begins. Attempts then meet the cut of their
+window in an equi-join whose other side has one row for each window over its limit.
 """
 
 from __future__ import annotations
@@ -23,18 +24,27 @@ class Limit:
 LIMITS = [Limit("login", 120, 5), Limit("register", 3600, 10)]
 
 
-def over_limit(access: DataFrame, limits: list[Limit] = LIMITS, id_col: str = "event_id") -> DataFrame:
-    """Rejected attempts: the (limit+1)-th and later attempt of a key within one window.
-    Windows are epoch-aligned tumbling windows; keys and kinds are independent."""
+def _windows(access: DataFrame, limits: list[Limit]) -> DataFrame:
+    """Attempts of the limited kinds with ``limit`` and ``window_start``."""
     width = limit = F.lit(None).cast("long")
     for lim in limits:
         width = F.when(F.col("kind") == lim.kind, F.lit(lim.seconds * 1_000_000)).otherwise(width)
         limit = F.when(F.col("kind") == lim.kind, F.lit(lim.limit)).otherwise(limit)
     a = access.withColumn("_us", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
-    a = a.withColumn("_width", width).withColumn("limit", limit.cast("int")).where("_width is not null")
-    a = a.withColumn("window_start", F.expr("timestampadd(MICROSECOND, -pmod(_us, _width), ts)"))
-    w = Window.partitionBy("source_key", "kind", "window_start").orderBy("ts", id_col)
-    return a.withColumn("_rn", F.row_number().over(w)).where("_rn > limit").select("source_key", "kind", "window_start", "ts", id_col, "limit")
+    a = a.withColumn("_width", width).withColumn("limit", limit.cast("int")).where("_width is not null and ts is not null")
+    return a.withColumn("window_start", F.expr("timestampadd(MICROSECOND, -pmod(_us, _width), ts)"))
+
+
+def over_limit(access: DataFrame, limits: list[Limit] = LIMITS, id_col: str = "event_id") -> DataFrame:
+    """Rejected attempts: the (limit+1)-th and later attempt of a key within one window.
+    Windows are epoch-aligned tumbling windows; keys and kinds are independent, and a null key is one of them. ``id_col`` names an attempt; one without a time is in no window."""
+    out, group = ["source_key", "kind", "window_start", "ts", id_col, "limit"], ["source_key", "kind", "window_start"]
+    a = _windows(access, limits).select(*out)
+    most = max((lim.limit for lim in limits), default=0) + 1
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy("ts", id_col))
+    cuts = a.withColumn("_rn", nth).where(F.col("_rn") <= most).where("_rn = limit + 1").select(*[F.col(c).alias(f"_{c}") for c in group], F.struct("ts", id_col).alias("_cut"))
+    met = a.join(cuts, F.col("source_key").eqNullSafe(F.col("_source_key")) & (F.col("kind") == F.col("_kind")) & (F.col("window_start") == F.col("_window_start")))
+    return met.where(F.struct("ts", id_col) >= F.col("_cut")).select(*out)
 
 
 def window_counts(access: DataFrame, lim: Limit, lateness: str = "10 minutes") -> DataFrame:
@@ -43,3 +53,34 @@ def window_counts(access: DataFrame, lim: Limit, lateness: str = "10 minutes") -
     a = access.where(F.col("kind") == lim.kind).withWatermark("ts", lateness)
     n = a.groupBy(F.window("ts", f"{lim.seconds} seconds").alias("w"), "source_key", "kind").agg(F.count(F.lit(1)).alias("attempts"))
     return n.select("source_key", "kind", F.col("w.start").alias("window_start"), "attempts", F.greatest(F.col("attempts") - lim.limit, F.lit(0)).alias("rejected"))
+
+
+def rejections(access: DataFrame, limits: list[Limit] = LIMITS, id_col: str = "event_id", lateness: str = "10 minutes") -> DataFrame:
+    """Streaming twin: every rejected attempt, as soon as it arrives, with Spark's keyed state.
+
+    A window's state is the number of attempts it has accepted; it goes when the watermark has passed the window. Attempts count in the order in which
+    they arrive (within a micro-batch by time and id), so a stream that arrives in order rejects what ``over_limit`` does. An attempt behind the watermark is dropped.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    seconds = {lim.kind: lim.seconds for lim in limits}
+    a = _windows(access.withColumn("ts", F.col("ts").cast("timestamp_ntz")), limits).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", lateness)
+
+    def decide(key, parts, state):
+        kind, start = key[1], key[2]
+        if state.hasTimedOut:
+            state.remove()
+            return
+        used = state.get[0] if state.exists else 0
+        rows = pd.concat(list(parts)).sort_values(["ts", id_col], kind="stable")  # one window's attempts of one micro-batch
+        free = max(int(rows["limit"].iloc[0]) - used, 0)
+        state.update((used + min(free, len(rows)),))
+        end = int(pd.Timestamp(start).timestamp() * 1000) + seconds[kind] * 1000
+        if state.getCurrentWatermarkMs() < end:
+            state.setTimeoutTimestamp(end)
+        if len(rows) > free:
+            yield rows.iloc[free:][["source_key", "kind", "window_start", "ts", id_col, "limit"]]
+
+    out = f"source_key string, kind string, window_start timestamp_ntz, ts timestamp_ntz, {id_col} long, limit int"
+    return a.groupBy("source_key", "kind", "window_start").applyInPandasWithState(decide, out, "used int", "append", GroupStateTimeout.EventTimeTimeout)

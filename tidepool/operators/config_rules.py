@@ -86,6 +86,32 @@ def merge_config(deployments: DataFrame, updates: DataFrame) -> DataFrame:
     )
 
 
+# The checkpoint entries that every deployment gets unless its own configuration says otherwise.
+CHECKPOINT_DEFAULTS = {
+    "s3.path.style.access": "true",
+    "state.backend.type": "hashmap",
+    "execution.checkpointing.interval": "30000",
+    "execution.checkpointing.mode": "EXACTLY_ONCE",
+    "execution.checkpointing.min-pause": "10000",
+}
+
+
+def checkpoint_configuration(cfg: DataFrame, storage: dict[str, str] | None = None) -> DataFrame:
+    """id and configuration (map) of every deployment: entries derived from it, then the checkpoint entries, then its own, the later winning.
+
+    ``cfg``: id, deployment_name, tm_slots, has_artifact, flink_configuration. ``storage``: entries of the object store (endpoint, credentials). The folders
+    of checkpoints and savepoints are those of the deployment's own state location.
+    """
+    text = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) if d else F.create_map().cast("map<string,string>")
+    place = F.concat(F.lit("s3://"), FM.state_location(F.col("deployment_name")))
+    derived = F.map_filter(F.create_map(F.lit("taskmanager.numberOfTaskSlots"), F.col("tm_slots").cast("string"), F.lit("user.artifacts.raw-http-enabled"), F.when(F.col("has_artifact"), "true")), lambda k, v: v.isNotNull())
+    folders = F.create_map(F.lit("state.checkpoints.dir"), F.concat(place, F.lit("/checkpoints")), F.lit("state.savepoints.dir"), F.concat(place, F.lit("/savepoints")))
+    out = derived
+    for layer in (text({**(storage or {}), **CHECKPOINT_DEFAULTS}), folders, F.coalesce("flink_configuration", text({}))):
+        out = F.map_zip_with(out, layer, lambda k, x, y: F.coalesce(y, x))
+    return cfg.select("id", out.alias("configuration"))
+
+
 def slot_capacity(cfg: DataFrame) -> DataFrame:
     """Rows whose parallelism exceeds replicas x slots (parallelism missing/0 is not checked)."""
     total = (F.col("tm_replicas") * F.col("tm_slots")).cast("long")

@@ -261,29 +261,6 @@ def search_deployments(df: DataFrame, search: str, status_filter: str = "all") -
     return df.where(cond)
 
 
-def assign_pages(df: DataFrame, order: list[Column], per_page: int = PAGE_SIZE) -> DataFrame:
-    """Global 1-based position and page number for every row, without a single-partition window.
-
-    Rows are range-sorted; each row's id within its sorted partition comes from
-    ``monotonically_increasing_id`` (partition index in the high bits). The sorted,
-    numbered rows are checkpointed to the shared checkpoint folder so that the
-    per-partition counts and the final pass see the same order. Partition offsets are
-    a running sum over one row per partition (bounded by the partition count) and are
-    broadcast back.
-    """
-    from ..session import shared_dir
-
-    shared_dir(df.sparkSession)
-    numbered = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
-    numbered = numbered.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_pos", F.col("_mid").bitwiseAND((1 << 33) - 1))
-    per_part = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = per_part.select(
-        "_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
-    out = numbered.join(F.broadcast(offsets), "_pid").withColumn("position", F.coalesce("_off", F.lit(0)) + F.col("_pos") + 1)
-    out = out.withColumn("page", F.ceil(F.col("position") / F.lit(per_page)).cast("long"))
-    return out.drop("_mid", "_pid", "_pos", "_off")
-
-
 def page_of(df: DataFrame, order: list[Column], page: int, per_page: int = PAGE_SIZE, total: int | None = None) -> DataFrame:
     """One page with its rows' 1-based positions; the requested page is clamped to [1, max(1, ceil(n / per_page))].
 

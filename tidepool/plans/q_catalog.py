@@ -190,6 +190,42 @@ FROM v_deployments d JOIN v_updates u ON u.deployment_id = d.id WHERE d.deleted_
 register("merge_config", MERGE_SQL)
 
 
+_STORE = {"s3.endpoint": "http://store:9000"}
+
+
+@query("checkpoint_overlay")
+def checkpoint_overlay(spark, sf):
+    """Entries of every deployment's final configuration; some deployments set entries that clash with the checkpoint defaults."""
+    e = CR.effective_config(_deployments(spark, sf), registry.defaults(spark)).join(_deployments(spark, sf).select("id", "deployment_name", "jar_id"), "id")
+    own = F.array(F.struct(F.lit("execution.checkpointing.interval").alias("key"), F.when(F.col("id") % 5 == 1, (F.col("id") % 7 * 1000 + 5000).cast("string")).alias("value")),
+                  F.struct(F.lit("state.backend.type").alias("key"), F.when(F.col("id") % 3 == 0, "rocksdb").alias("value")),
+                  F.struct(F.lit("taskmanager.numberOfTaskSlots").alias("key"), F.when(F.col("id") % 11 == 4, "9").alias("value")),
+                  F.struct(F.lit("state.savepoints.dir").alias("key"), F.when(F.col("id") % 13 == 2, "s3://elsewhere").alias("value")))
+    given = F.map_from_entries(F.filter(own, lambda x: x["value"].isNotNull()))
+    cfg = e.withColumn("has_artifact", F.col("jar_id").isNotNull()).withColumn("flink_configuration", F.map_concat("flink_configuration", given))
+    return CR.checkpoint_configuration(cfg, _STORE).select("id", F.explode("configuration").alias("key", "value"))
+
+
+register(
+    "checkpoint_overlay",
+    f"""WITH e AS (SELECT e.*, d.deployment_name, d.jar_id, d.conf_parallelism, d.conf_backend FROM (SELECT id, tm_slots FROM ({EFFECTIVE_SQL})) e JOIN v_deployments d USING (id)),
+    layers AS (
+      SELECT id, 1 AS layer, 'taskmanager.numberOfTaskSlots' AS key, CAST(tm_slots AS VARCHAR) AS value FROM e
+      UNION ALL SELECT id, 1, 'user.artifacts.raw-http-enabled', CASE WHEN jar_id IS NOT NULL THEN 'true' END FROM e
+      UNION ALL SELECT id, 2, k, v FROM e, (VALUES ('s3.endpoint', 'http://store:9000'), ('s3.path.style.access', 'true'), ('state.backend.type', 'hashmap'),
+        ('execution.checkpointing.interval', '30000'), ('execution.checkpointing.mode', 'EXACTLY_ONCE'), ('execution.checkpointing.min-pause', '10000')) AS f(k, v)
+      UNION ALL SELECT id, 2, 'state.checkpoints.dir', 's3://flink-' || left(deployment_name, 57) || '/checkpoints' FROM e
+      UNION ALL SELECT id, 2, 'state.savepoints.dir', 's3://flink-' || left(deployment_name, 57) || '/savepoints' FROM e
+      UNION ALL SELECT id, 3, 'parallelism.default', conf_parallelism FROM e
+      UNION ALL SELECT id, 3, 'state.backend', conf_backend FROM e
+      UNION ALL SELECT id, 3, 'execution.checkpointing.interval', CASE WHEN id % 5 = 1 THEN CAST(id % 7 * 1000 + 5000 AS VARCHAR) END FROM e
+      UNION ALL SELECT id, 3, 'state.backend.type', CASE WHEN id % 3 = 0 THEN 'rocksdb' END FROM e
+      UNION ALL SELECT id, 3, 'taskmanager.numberOfTaskSlots', CASE WHEN id % 11 = 4 THEN '9' END FROM e
+      UNION ALL SELECT id, 3, 'state.savepoints.dir', CASE WHEN id % 13 = 2 THEN 's3://elsewhere' END FROM e)
+    SELECT id, key, arg_max(value, layer) AS value FROM layers WHERE value IS NOT NULL GROUP BY id, key""",
+)
+
+
 @query("config_violations")
 def config_violations(spark, sf):
     return CR.config_violations(_deployments(spark, sf))
