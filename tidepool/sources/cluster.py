@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import schemas as S
 from .views import view
@@ -22,6 +23,48 @@ def read_documents(spark: SparkSession, path: str, ddl: str, on_error: str = "fa
     return spark.read.schema(ddl).option("mode", mode).json(path)
 
 
+def watch_documents(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """Stream of the JSON snapshot files below ``path``, as they arrive: the document's fields, ``poll_ms`` (the folder of its listing), ``file``
+    and ``_corrupt_record`` (the text of what is no document, else null). A folder that does not exist fails at once."""
+    raw = spark.readStream.schema(f"{ddl}, poll_ms long, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    return raw.select("*", F.col("_metadata.file_path").alias("file"))
+
+
+def follow_documents(spark: SparkSession, path: str, ddl: str, out: str, checkpoint: str) -> None:
+    """Take what has arrived below ``path`` (call again after more has): of each micro-batch the newest document of every
+    name, and the texts that are no document, each batch in a folder of its own that it overwrites when it is run again."""
+    fields = T.StructType.fromDDL(ddl).names
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        bad = F.col("_corrupt_record").isNotNull() | F.col("metadata.name").isNull()
+        batch = batch.persist()
+        try:
+            batch.where(bad).select("file", "poll_ms", "_corrupt_record").write.mode("overwrite").parquet(f"{out}/corrupt/batch={batch_id}")
+            newest_documents(batch.where(~bad).select("poll_ms", *fields)).write.mode("overwrite").parquet(f"{out}/documents/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    watch_documents(spark, path, ddl).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def newest_documents(docs: DataFrame) -> DataFrame:
+    """Of every (namespace, name) the document of its newest listing."""
+    fields = [c for c in docs.columns if c != "poll_ms"]
+    newest = docs.groupBy(F.col("metadata.namespace").alias("_ns"), F.col("metadata.name").alias("_name")).agg(F.max_by(F.struct("poll_ms", *fields), F.struct("poll_ms", F.to_json(F.struct(*fields)))).alias("d"))
+    return newest.select("d.*")
+
+
+def followed_documents(spark: SparkSession, out: str, ddl: str) -> DataFrame:
+    """The newest document of every name over all batches."""
+    return newest_documents(spark.read.schema(f"poll_ms long, {ddl}").parquet(f"{out}/documents/batch=*"))
+
+
+def corrupt_files(spark: SparkSession, out: str) -> DataFrame:
+    """file, poll_ms and the number of its texts that are no document."""
+    rows = spark.read.schema("file string, poll_ms long, _corrupt_record string").parquet(f"{out}/corrupt/batch=*")
+    return rows.groupBy("file", "poll_ms").agg(F.count(F.lit(1)).alias("n"))
+
+
 def parse_documents(df: DataFrame, ddl: str, col: str = "doc", on_error: str = "fail") -> DataFrame:
     mode = "FAILFAST" if on_error == "fail" else "PERMISSIVE"
     return df.select(F.from_json(F.col(col), ddl, {"mode": mode}).alias("d")).select("d.*")

@@ -17,10 +17,9 @@ from ..sources import topics
 
 
 def enrichment_stream(spark: SparkSession, source_path: str, on_error: str = "fail", max_files_per_trigger: int | None = None) -> DataFrame:
-    """Topic twin (JSON lines of key/value) -> decoded, enriched rows with the record key."""
+    """Topic twin -> decoded, enriched rows with the record key."""
     raw = topics.read_topic_stream(spark, path=source_path, max_files_per_trigger=max_files_per_trigger)
-    rec = raw.select(F.from_json("value", "key string, value string", {"mode": "FAILFAST"}).alias("r"))
-    return E.enrich_values(rec.select(F.col("r.key").alias("key"), F.col("r.value").alias("value")), on_error=on_error, keep=["key"])
+    return E.enrich_values(raw.select("key", "value"), on_error=on_error, keep=["key"])
 
 
 def start(spark: SparkSession, source_path: str, out: str, checkpoint: str, run: int = 0, every: str | None = None) -> StreamingQuery:
@@ -33,6 +32,18 @@ def start(spark: SparkSession, source_path: str, out: str, checkpoint: str, run:
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
+def start_deployment(spark: SparkSession, source_path: str, out: str, configuration: dict[str, str], storage: str = "", every: str | None = "") -> StreamingQuery:
+    """Start the query of one deployment as its checkpoint configuration says: interval and folders.
+
+    ``storage`` takes the place of ``s3:/`` in folder names, for a store that is mounted elsewhere. Micro-batches commit once per trigger, so the interval is
+    the trigger's; a pause between checkpoints has no counterpart.
+    """
+    folder = configuration["state.checkpoints.dir"]
+    if storage:
+        folder = folder.replace("s3:/", storage, 1)
+    return start(spark, source_path, out, folder, every=f"{int(configuration['execution.checkpointing.interval'])} milliseconds" if every == "" else every)
+
+
 def read_sink(spark: SparkSession, out: str) -> DataFrame:
     """Every batch of every run (partition columns run, batch): what a reader of the sink sees."""
     return spark.read.option("basePath", out).parquet(f"{out}/run=*/batch=*")
