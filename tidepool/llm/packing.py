@@ -23,6 +23,7 @@ Sequence numbers are any distinct numbers; offsets within a sequence are gapless
 from __future__ import annotations
 
 import functools
+import os
 import re
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -38,9 +39,11 @@ from pyspark.sql.window import Window
 from . import common
 
 CAPACITY, END_ID = 2048, 0
-#: Distinct pieces of text in a generation of a worker's cache; it remembers two generations, those used last.
-CACHE = 100_000
+#: Distinct pieces of text in a generation of a worker's cache (some 0.2 KB each); it remembers two generations, those used last.
+CACHE = 600_000
 _MARKS = ".,;:!?*$%&#|"  # neither letters, digits, white space nor apostrophes
+#: New pieces that are encoded in one call.
+JOINED = 4096
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
@@ -50,6 +53,7 @@ class ByteBpeEncoder:
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         vocabulary = self.tokenizer.get_vocab()
@@ -69,50 +73,52 @@ class ByteBpeEncoder:
 
         A word and the marks after it are cut too, so that a word is encoded once whatever follows it.
         """
-        self.odd.update(w for w in missing if _OTHER_SPACE.search(w))
-        tails = {w: w.rstrip(_MARKS) for w in missing if w[-1:] in _MARKS}
-        tails = {w: stem for w, stem in tails.items() if stem[-1:].isalpha()}
-        if tails:
-            self._learn(sorted(({stem for stem in tails.values()} | {"\n" + w[len(stem) :] for w, stem in tails.items()}).difference(self.cache)))
-            for w, stem in tails.items():
-                self.cache[w] = self.cache[stem] + self.cache["\n" + w[len(stem) :]][4:]
-            missing = [w for w in missing if w not in tails and w not in self.cache]
-        long_ = [w for w in missing if w not in ("", "\n") and w not in self.odd]
-        for w in set(missing).difference(long_):
-            self.cache[w] = b"" if w in self.odd else self._whole(w or " ")
-        batch: list[str] = []
-        size = 0
-        for w in long_:
-            batch.append(w if w[0] == "\n" else " " + w)
-            size += len(w)
-            if size > 1 << 15:
-                self._learn_joined(batch)
-                batch, size = [], 0
-        if batch:
-            self._learn_joined(batch)
-
-    def _learn_joined(self, batch: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode("".join(batch), add_special_tokens=False).ids, dtype="<u4")
+        cache = self.cache
+        if _OTHER_SPACE.search("".join(missing)):
+            self.odd.update(w for w in missing if _OTHER_SPACE.search(w))
+        stems: dict[str, str] = {}
+        plain: list[str] = []
+        for w in missing:
+            if w[-1:] in _MARKS and w and (stem := w.rstrip(_MARKS))[-1:].isalpha() and w not in self.odd:
+                stems[w] = stem
+            elif w in ("", "\n") or w in self.odd:
+                cache[w] = b"" if w in self.odd else self._whole(w or " ")
+            else:
+                plain.append(w)
+        if stems:
+            # what is not known yet of both parts; a tail is encoded after a line feed
+            own = {*stems.values(), *("\n" + w[len(stem) :] for w, stem in stems.items())}
+            plain = list(dict.fromkeys([*plain, *(w for w in own if w not in cache)]))
+        for a in range(0, len(plain), JOINED):
+            self._learn_joined(plain[a : a + JOINED])
+        for w, stem in stems.items():
+            cache[w] = cache[stem] + cache["\n" + w[len(stem) :]][4:]
+
+    def _learn_joined(self, words: list[str]) -> None:
+        batch = [w if w[0] == "\n" else " " + w for w in words]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(batch)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.cumsum(self.width[ids])
-        want = np.cumsum(np.fromiter((len(w.encode()) for w in batch), dtype=np.int64, count=len(batch)))
+        want = np.cumsum(pc.binary_length(pa.array(batch, pa.string())).to_numpy(zero_copy_only=False))
         cut = np.searchsorted(ends, want) + 1
         if not np.array_equal(ends[cut - 1], want):
             raise AssertionError("a token crosses a cut")
-        raw, a = ids.tobytes(), 0
-        for w, b in zip(batch, (4 * cut).tolist(), strict=True):
-            self.cache[w if w[0] == "\n" else w[1:]] = raw[a:b]
-            a = b
+        raw, to = ids.tobytes(), (4 * cut).tolist()
+        self.cache.update(zip(words, map(raw.__getitem__, map(slice, [0, *to[:-1]], to)), strict=True))
 
     def _lookup(self, words: list[str]) -> list[bytes]:
         """Ids of distinct pieces, from the cache or newly learnt."""
         if len(self.cache) > self.limit:
             self.old, self.cache = self.cache, {}
             self.odd = {w for w in self.odd if w in self.old}
-        missing = set(words).difference(self.cache)
-        known = missing.intersection(self.old)
-        self.cache.update((w, self.old[w]) for w in known)
-        self._learn(list(missing - known))
-        return list(map(self.cache.__getitem__, words))
+        values = list(map(self.cache.get, words))
+        holes = [i for i, v in enumerate(values) if v is None]
+        if holes:
+            old = {words[i]: v for i in holes if (v := self.old.get(words[i])) is not None}
+            self.cache.update(old)
+            self._learn([words[i] for i in holes if words[i] not in old])
+            for i in holes:
+                values[i] = self.cache[words[i]]
+        return values
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every text of a string array without nulls."""
@@ -124,7 +130,7 @@ class ByteBpeEncoder:
         cut = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
         at = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
         pieces = cut.flatten().dictionary_encode()
-        rows, words = pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
+        rows, words = pieces.indices.to_numpy(), pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         values = self._lookup(words)
         skip = np.zeros(len(rows), dtype=np.int64)
         skip[at] = 1
