@@ -43,10 +43,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and their decoding: doc_id, n_tokens, ids_crc32, parity with the reference library, round_trip."""
     docs = table(spark, sf_dir, "documents")
-    coded = sentencepiece_codec.encode(docs.withColumn("whole", F.coalesce("text", F.lit(""))), SENTENCEPIECE, keep=["doc_id", "whole"])
-    sized = coded.select("doc_id", "whole", "parity", "ids", F.crc32("ids").alias("ids_crc32"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
-    back = sentencepiece_codec.decode(sized, SENTENCEPIECE, keep=["doc_id", "whole", "parity", "ids_crc32", "n_tokens"])
-    return back.select("doc_id", "n_tokens", "ids_crc32", "parity", (F.col("decoded") == F.col("whole")).alias("round_trip"))
+    return sentencepiece_codec.round_trip(docs, SENTENCEPIECE, keep=["doc_id"])
 
 
 @query

@@ -7,8 +7,8 @@ and the marker into spaces.
 
 A text is normalised whole and cut before every metaspace marker that follows another character, if no piece crosses
 such a place (checked when the model is read; else texts are encoded whole). Each distinct part is encoded once by a
-worker, in multithreaded batches, kept in a bounded cache and compared with what ``sentencepiece`` gives for it; ``parity`` of
-a document says whether all of its parts agreed.
+worker, in multithreaded batches, and kept in a bounded cache of two generations. ``parity`` of a document says whether its ids are
+those that ``sentencepiece`` gives for the whole original text; it is null where nothing was compared.
 
 Narrow passes: no shuffle. Defined results: a null text counts as empty: no ids, decoded to the empty text. Repeated rows give
 repeated results; other columns are not touched.
@@ -16,13 +16,17 @@ repeated results; other columns are not touched.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import re
 import struct
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +36,8 @@ MARK = "▁"
 #: Piece types of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE, THREADS = 200_000, 2
+#: Distinct parts in a generation of a worker's cache (some 0.2 KB each), and threads of a batch.
+CACHE, THREADS = 500_000, 2
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
@@ -175,7 +180,7 @@ class SentencePieceCodec:
         self.identity = not self.model.charsmap and not self.model.remove_extra_whitespaces and self.model.add_dummy_prefix
         self.surface = [self._surface(i) for i in range(len(self.model.pieces))]
         self.cache: dict[str, bytes] = {}
-        self.wrong: set[str] = set()
+        self.old: dict[str, bytes] = {}
         self.limit, self.threads, self.reference = cache, threads, None
         if verify:
             import sentencepiece
@@ -200,30 +205,55 @@ class SentencePieceCodec:
         head, *rest = normal.split(MARK)
         return ([head] if head else []) + [MARK + w for w in rest]
 
-    def _learn(self, parts: list[str]) -> None:
-        for a in range(0, len(parts), 8192):
-            own = parts[a : a + 8192]
-            for part, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True):
-                self.cache[part] = np.array(e.ids, dtype="<u4").tobytes()
-            if self.reference is not None and self.model.add_dummy_prefix:
-                # the reference puts the marker back; normalised text is normal already
-                again = [p for p in own if p.startswith(MARK) and not (self.model.remove_extra_whitespaces and p.endswith(MARK))]
-                for part, ids in zip(again, self.reference.encode([p[1:].replace(MARK, " ") for p in again], num_threads=self.threads), strict=True):
-                    if part != MARK and np.array(ids, dtype="<u4").tobytes() != self.cache[part]:
-                        self.wrong.add(part)
-
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Ids (little-endian 32-bit) and parity of every text."""
+    def _lookup(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts, from the cache or newly encoded."""
         if len(self.cache) > self.limit:
-            self.cache.clear()
-            self.wrong.clear()
-        cut = [self._parts(self.normalise(t)) for t in texts]
-        wanted: set[str] = set()
-        for parts in cut:
-            wanted.update(parts)
-        self._learn(sorted(wanted.difference(self.cache)))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut], [not self.wrong or self.wrong.isdisjoint(parts) for parts in cut]
+            self.old, self.cache = self.cache, {}
+        values = list(map(self.cache.get, parts))
+        holes = [i for i, v in enumerate(values) if v is None]
+        if holes:
+            known = {parts[i]: v for i in holes if (v := self.old.get(parts[i])) is not None}
+            self.cache.update(known)
+            new = [parts[i] for i in holes if parts[i] not in known]
+            for a in range(0, len(new), 8192):
+                own = new[a : a + 8192]
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+                raw = np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4").tobytes()
+                to = [4 * n for n in itertools.accumulate(map(len, ids))]
+                self.cache.update(zip(own, map(raw.__getitem__, map(slice, [0, *to[:-1]], to)), strict=True))
+            for i in holes:
+                values[i] = self.cache[parts[i]]
+        return values
+
+    def _whole(self, text: str) -> bytes:
+        """Ids of a text that is cut part by part, or not at all."""
+        return b"".join(self._lookup(self._parts(self.normalise(text))))
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """Ids (little-endian 32-bit) of every text of a string array without nulls."""
+        if not (self.cuts and self.identity) or not len(texts):
+            return [self._whole(t) for t in texts.to_pylist()]
+        # a marker in the text itself and runs of spaces may be pieces of their own: those texts go one by one
+        odd = [pc.match_substring(texts, "  "), pc.match_substring(texts, MARK), pc.starts_with(texts, " "), pc.equal(texts, "")]
+        odd = functools.reduce(pc.or_, odd).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.binary_join_element_wise(MARK, pc.replace_substring(texts, " ", " " + MARK), ""), " ")
+        at = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        pieces = cut.flatten().dictionary_encode()
+        ids, count = common.ragged_take(self._lookup(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pieces.indices.to_numpy())
+        raw, ends = ids.tobytes(), (4 * np.cumsum(np.add.reduceat(count, at))).tolist()
+        out = list(map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)))
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self._whole(texts[i].as_py())
+        return out
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[list[bytes], list[bool | None]]:
+        """Ids (little-endian 32-bit) of every text, and whether the reference gives the same for the whole text."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        ids = self.encode_column(column)
+        if self.reference is None:
+            return ids, [None] * len(ids)
+        theirs = self.reference.encode(column.to_pylist(), num_threads=self.threads)
+        return ids, [np.array(t, dtype="<u4").tobytes() == i for t, i in zip(theirs, ids, strict=True)]
 
     def decode(self, ids: bytes) -> str:
         body = b"".join(map(self.surface.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -248,23 +278,32 @@ def encode(docs: DataFrame, model: str, keep: list[str], text: str = "text", thr
     schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "ids binary, parity boolean"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, ids, same = batch.column(batch.num_columns - 1).to_pylist(), [], []
-        a = 0
-        while a < len(texts):  # groups of about 4 MB of text
-            b, size = a, 0
-            while b < len(texts) and (b == a or size < 4 << 20):
-                size += len(texts[b])
-                b += 1
-            own, agree = _codec(model, threads, verify).encode(texts[a:b])
-            ids += own
-            same += agree
-            a = b
+        ids, same = _codec(model, threads, verify).encode(batch.column(batch.num_columns - 1))
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array(same, pa.bool_())], names=[*batch.schema.names[:-1], "ids", "parity"])
 
-    out = common.map_arrow(clean, clean.columns, schema, run)
+    out = common.map_arrow(clean, clean.columns, schema, run, group=4 << 20)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids", "parity")
 
 
+def round_trip(docs: DataFrame, model: str, keep: list[str], text: str = "text", threads: int = THREADS, verify: bool = True) -> DataFrame:
+    """The columns ``keep`` with n_tokens and ids_crc32 of a text's ids, ``parity``, and ``round_trip``: whether decoding them gives the text again.
+
+    One pass: texts go to Python once, and neither they nor their ids come back.
+    """
+    clean = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "n_tokens long, ids_crc32 long, parity boolean, round_trip boolean"])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codec, texts = _codec(model, threads, verify), batch.column(batch.num_columns - 1)
+        ids, same = codec.encode(texts)
+        back = [codec.decode(i) == t for i, t in zip(ids, texts.to_pylist(), strict=True)]
+        found = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=[*batch.schema.names[:-1], "n_tokens", "ids_crc32", "parity", "round_trip"])
+
+    out = common.map_arrow(clean, clean.columns, schema, run, group=4 << 20)
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "ids_crc32", "parity", "round_trip")
+
+
 def decode(rows: DataFrame, model: str, keep: list[str], ids: str = "ids") -> DataFrame:
     """The columns ``keep`` with ``decoded``, the text of ``ids`` (null ids: the empty text)."""
     clean = rows.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(ids), F.lit(b"")).alias("_ids"))
