@@ -80,3 +80,21 @@ def test_deduplicate_keeps_one_row_each(spark):
 def test_plan_is_native(spark):
     plan = X.exact_dedup(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+def test_hot_hashes_have_several_owners(spark):
+    rows = [(i, "same  text" if i % 3 else f"text {i % 50}") for i in range(900)] + [(5, "sametext")] * 7
+    docs = frame(spark, rows)
+    assert rows_of(X.exact_dedup(docs, hot=10, capacity=4, max_depth=6), *COLUMNS) == brute(rows)
+    plan = X.exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+def test_owners_hold_their_bucket(spark):
+    """Rows go where the directory sends them: with a directory that names one bucket, all chains are in it, and still told apart by their bytes."""
+    rows = [(i, f"text {i % 40}") for i in range(200)]
+    index, directory, depth = X.build_index(frame(spark, rows), capacity=1000, max_depth=6)
+    assert depth == 0 and directory.count() == 1 and {r["bucket"] for r in index.collect()} == {0} and index.count() == 40
+    split, directory, depth = X.build_index(frame(spark, rows), capacity=3, max_depth=6)
+    slots = {r["slot"]: r["bucket"] for r in directory.collect()}
+    assert len(set(slots.values())) > 8 and all(r["bucket"] == slots[(r["h"] & (1 << 64) - 1) >> (64 - depth)] for r in split.collect())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +25,24 @@ def reread(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The row number that ``numbered`` adds.
+ROW = "_tidepool_row"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows with a number of their own, in a fresh table of the shared folder, so that every later read sees the same numbers."""
+    return reread(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _trim() -> None:
+    """Give memory that a finished task no longer uses back to the system; workers wait for the next task beside it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def small_batches(spark: SparkSession) -> None:
     """Let Spark hand texts to Python in batches of 8 MB; its default of 64 MB is held several times over by a task."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
@@ -87,6 +106,9 @@ def map_arrow(df: DataFrame, columns: list[str], schema: str, fn: Callable[[pa.R
                     out = fn(part)
                     if out is not None and out.num_rows:
                         yield out
+                    del out, part
+            del batch
+        _trim()
 
     return df.select(*[F.col(c) for c in columns]).mapInArrow(run, schema)
 

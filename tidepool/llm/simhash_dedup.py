@@ -28,7 +28,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 
@@ -158,8 +157,10 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
 
     ``key`` names a document: rows that repeat it with other texts stay one for each text.
     """
-    found = near_dedup(docs, key, text, shingle, radius, hot)
+    columns = docs.columns
+    held = common.numbered(docs)
+    found = near_dedup(held, key, text, shingle, radius, hot)
     kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_keep")).distinct()
-    joined = docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(key, "_own").orderBy("_own"))
-    return joined.withColumn("_own", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("_nth", nth).where("_nth = 1").drop("_own", "_nth")
+    own = held.select(common.ROW, F.col(key).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_own"))
+    stay = own.join(kept, F.col("_id").eqNullSafe(F.col("_keep")), "left_semi").groupBy("_id", "_own").agg(F.min(common.ROW).alias(common.ROW)).select(common.ROW)
+    return held.join(stay, common.ROW, "left_semi").select(*columns)
