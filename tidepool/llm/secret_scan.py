@@ -6,9 +6,10 @@ run of token characters of ``MIN_CANDIDATE`` or more is a candidate string, and
 ``=``, and between any of ``= _ / -``, that is as long (a value is judged without its name). Its character class
 (hex, base32, alphanumeric or base64) fixes window and threshold; the entropy of the window is
 kept up by incremental counts as it slides one character, and the runs of windows at or above the
-threshold, widened to whole parts and joined where they overlap, become ``entropy`` spans. Allow-listed candidates (plain words and identifiers, UUIDs,
+threshold, widened to whole parts (to a whole value between ``=`` of which they make up half) and joined where they overlap, become ``entropy`` spans.
+Allow-listed candidates (plain words and identifiers, UUIDs,
 paths and addresses, dates and numbers, repeated or sequential alphabets, placeholders) are
-suppressed; so are entropy spans that a pattern span already covers. Suppression never removes a
+suppressed; letters of one case alone are words, letters of both cases are words if their humps are as long as those of words (``HUMP``); so are entropy spans that a pattern span already covers. Suppression never removes a
 pattern span.
 
 A narrow pass over whole texts; work is linear in the text, memory is one text. Null text counts as
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,15 +50,17 @@ _ALLOW = (
     re.compile(r"[\d/_=+-]+"),  # numbers, dates, rules
     re.compile(r"(.{1,8}?)\1{2,}.{0,8}"),  # a short text repeated
 )
-_LETTERS = re.compile(r"[a-z]{3}")
+_HUMPS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+#: Mean letters of a hump in identifiers; random letters of both cases have 2.7.
+HUMP = 3.5
 _SEQUENCES = ("abcdefghijklmnopqrstuvwxyz", "0123456789", "zyxwvutsrqponmlkjihgfedcba", "9876543210", "qwertyuiop")
 _PLACEHOLDER = re.compile(r"example|sample|placeholder|changeme|your[-_]|xxxx|dummy|redacted", re.I | re.A)
 
 
 def allowed(candidate: str) -> bool:
     """Whether the allow-list suppresses the candidate string."""
-    if candidate.isalpha() and _LETTERS.search(candidate):  # words without digits
-        return True
+    if candidate.isalpha():  # words without digits
+        return len(candidate) >= HUMP * len(_HUMPS.findall(candidate))
     if any(p.fullmatch(candidate) for p in _ALLOW) or _PLACEHOLDER.search(candidate):
         return True
     low = candidate.lower()
@@ -111,19 +115,31 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def method_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out: list[list[int]] = []
+    # furthest end of the pattern spans up to each start
+    starts, reach = [], []
+    for x, y, _ in sorted(base):
+        starts.append(x)
+        reach.append(max(y, reach[-1]) if reach else y)
     for m in _CANDIDATE.finditer(text):
         run, found = m.group(), []
-        parts = [p.span() for p in _PART.finditer(run)]
-        for a, b in sorted({(0, len(run)), *(p.span() for p in _PIECE.finditer(run)), *parts}):
+        parts, pieces = [p.span() for p in _PART.finditer(run)], {p.span() for p in _PIECE.finditer(run)}
+        firsts = [a for a, _ in parts]
+        for a, b in sorted({(0, len(run)), *pieces, *parts}):
             candidate = run[a:b]
             if b - a < MIN_CANDIDATE or allowed(candidate):
                 continue
-            for s, e in entropy_spans(candidate, *THRESHOLDS[char_class(candidate)]):
+            hot = entropy_spans(candidate, *THRESHOLDS[char_class(candidate)])
+            if (a, b) in pieces and 2 * sum(e - s for s, e in hot) >= b - a:
+                hot = [(0, b - a)]
+            for s, e in hot:
                 s, e = s + a, e + a
-                s = min([s, *(x for x, y in parts if x < s < y)])
-                e = max([e, *(y for x, y in parts if x < e < y)])
+                # to the edges of the parts that they cut
+                i, j = bisect_right(firsts, s) - 1, bisect_left(firsts, e) - 1
+                s = parts[i][0] if i >= 0 and s < parts[i][1] else s
+                e = parts[j][1] if j >= 0 and e < parts[j][1] else e
                 s, e = s + m.start(), e + m.start()
-                if not any(x <= s and e <= y for x, y, _ in base):
+                k = bisect_right(starts, s) - 1
+                if k < 0 or reach[k] < e:
                     found.append((s, e))
         last = None
         for s, e in sorted(found):
