@@ -4,7 +4,8 @@
    character references are decoded, white space inside a block becomes one space.
 2. A block inside ``article`` / ``main`` is *protected*: what some articles repeat (a copied article, a
    licence line) is content. A block inside an element that names itself a menu, header, footer,
-   sidebar, notice, advert, form or comment section is *chrome* and never text of the page.
+   sidebar, notice, advert, form or comment section is *chrome* and never text of the page. Headings, paragraphs, tables, figures and
+   quotations are not judged by their id (an anchor), and a longer name counts only if all its words are such words or plain ones.
    All other blocks are *open*.
 3. The chrome and open blocks of a host's pages, joined in page order, are its token streams.
    Their suffixes, one from every token on, are dealt by host
@@ -34,6 +35,8 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -49,41 +52,52 @@ RUN = 6
 #: A run of the protected blocks is template text if so large a part of the host's distinct articles has it, and so many.
 SHARE, MANY = 0.75, 4
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: What follows a tag's name up to its end; a quoted value may hold ``>``.
+_REST = re.compile(r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>""")
 _ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "select", "canvas", "audio", "video"}
+#: Elements whose content is no markup, up to their end tag or the end of the page.
+_RAW = {"script", "style", "noscript", "textarea", "title", "iframe"}
+#: Elements with markup of their own that is not text of the page; of the second kind, a block element ends them, as it does when a page is shown.
+_APART, _FOREIGN = {"template", "object", "canvas", "audio", "video", "svg", "math", "select"}, {"svg", "math", "select"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption",
           "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre",
           "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _CHROME_TAG = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
 _CHROME_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
-#: Words of a class or id by which an element names itself; compared with whole words.
+#: Words by which an element names itself in a class or id: a name is one of these alone, or with others of them and of the plain words below ("comment-list", not "related-work").
 _CHROME_WORD = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "respond", "disqus",
                 "cookie", "cookies", "consent", "gdpr", "footer", "foot", "form", "header", "masthead", "menu", "menus", "nav", "navbar", "navigation", "newsletter", "notice", "notices",
                 "notification", "pagination", "pager", "popup", "modal", "promo", "promotion", "related", "recommended", "share", "sharing", "sidebar", "sidebars", "signup", "skip", "social",
                 "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets"}
+_PLAIN_WORD = {"area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "first", "global", "group", "icons", "inner", "item", "items",
+               "last", "left", "link", "links", "list", "main", "media", "outer", "page", "panel", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "stories", "sub",
+               "thread", "top", "unit", "wrap", "wrapper", "zone"}
+#: Elements that hold an article's own text; a class of one chrome word alone can name them otherwise, an id never does.
+_CONTENT_TAG = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "figure", "figcaption", "blockquote", "pre", "dl", "dt", "dd"}
 _CLOSES_P = _BLOCK - {"body", "html"}
 _WORD = re.compile(r"[a-z]+")
 _MARK = {"open": "", "chrome": "\x00", "main": "\x01"}
 _RUNS = "runs array<long>, places array<int>"
 
 
-def _names(value: str) -> set[str]:
-    return set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+def _named(value: str, alone: bool) -> set[str]:
+    """Chrome words by which an element with this class or id names itself; ``alone``: only names of one word."""
+    found: set[str] = set()
+    for name in value.split():
+        words = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        own = _CHROME_WORD.intersection(words)
+        if own and (len(words) == 1 or not alone) and all(w in _CHROME_WORD or w in _PLAIN_WORD for w in words):
+            found |= own
+    return found
 
 
 def _zone(tag: str, attrs: str, inside: str) -> str:
     """Zone of an element's content: chrome wins, then main, else what surrounds it."""
     if inside == "chrome":
         return inside
-    if tag in _CHROME_TAG or tag == "header" and inside != "main":
+    if tag in _CHROME_TAG or tag in _APART or tag == "header" and inside != "main":
         return "chrome"
     if tag in ("article", "main"):
         zone = "main"
@@ -102,18 +116,47 @@ def _zone(tag: str, attrs: str, inside: str) -> str:
             elif name == "itemprop" and value == "articleBody":
                 zone = "main"
             elif name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-                words = _names(value) & _CHROME_WORD
-                if words - ({"header", "masthead"} if inside == "main" else set()):
+                content = tag in _CONTENT_TAG
+                if not (content and name == "id") and _named(value, content) - ({"header", "masthead"} if inside == "main" else set()):
                     return "chrome"
-            elif name in ("class", "id") and tag == "article" and _names(value) & {"comment", "comments", "ad", "advert", "promo", "related", "teaser"}:
+            elif name in ("class", "id") and tag == "article" and {"comment", "comments", "ad", "advert", "promo", "related", "teaser"}.intersection(value.lower().split()):
                 return "chrome"
     return zone
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of every tag; comments and other markup have no name. One pass, whatever the page.
+
+    A caller that skips text sends the place to go on from.
+    """
+    pos, quotes = 0, True
+    while (i := page.find("<", pos)) >= 0:
+        if page[i + 1 : i + 2] in ("!", "?"):
+            mark = "-->" if page.startswith("<!--", i) else "]]>" if page.startswith("<![CDATA[", i) else ">"
+            end = page.find(mark, i + (4 if mark == "-->" else 2))
+            end = end + len(mark) if end >= 0 else len(page)
+            pos = (yield i, end, "", "", "") or end
+            continue
+        m = _NAME.match(page, i)
+        if not m:
+            pos = i + 1
+            continue
+        rest = _REST.match(page, m.end()) if quotes else None
+        if rest:
+            end = rest.end()
+        else:  # a quote without an end, or no end at all: from here on the next > ends a tag
+            quotes, end = False, page.find(">", m.end()) + 1
+            if not end:
+                return
+        pos = (yield i, end, m[1], m[2].lower(), page[m.end() : end - 1]) or end
+
+
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(zone, text) of the page's non-empty blocks in page order; zone is main, open or chrome."""
+    """(zone, text) of the page's non-empty blocks in page order; zone is main, open or chrome. Time is linear in the page."""
     out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str]] = []  # open elements with the zone around them
+    levels: list[int] = []  # places of block elements in the stack
+    n_open: Counter[str] = Counter()
     zone, run, pos = "open", [], 0
     held: list[tuple[str, list[str], int]] = []  # a block's text before an inline chrome element, and the element's depth
 
@@ -123,21 +166,37 @@ def blocks(page: str) -> list[tuple[str, str]]:
             out.append((kind, body))
 
     def flush() -> None:
-        while held:
-            emit(*held.pop(0)[:2])
+        for kind, texts, _ in held:
+            emit(kind, texts)
+        held.clear()
         emit(zone, run)
         run.clear()
 
-    while (m := _TAG.search(page, pos)) is not None:
-        run.append(page[pos : m.start()])
-        pos, tag = m.end(), (m.group(2) or "").lower()
+    def close(i: int) -> None:
+        """Ends the elements from the stack's place ``i`` on."""
+        nonlocal zone
+        zone = stack[i][1]
+        while len(stack) > i:
+            n_open[stack.pop()[0]] -= 1
+        while levels and levels[-1] >= i:
+            levels.pop()
+
+    tags, skip = _tags(page), None
+    while True:
+        try:
+            start, end, slash, tag, attrs = tags.send(skip)
+        except StopIteration:
+            break
+        skip = None
+        run.append(page[pos:start])
+        pos = end
         if not tag:
             continue
-        if tag in _RAW and not m.group(1):
-            if m.group(3).endswith("/"):
-                continue
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
-            pos = end.end() if end else len(page)
+        closed = attrs.endswith("/")
+        if tag in _RAW and not slash:
+            if not closed:
+                over = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, pos)
+                pos = skip = over.end() if over else len(page)
             continue
         if tag in _VOID:
             if tag == "hr":
@@ -147,33 +206,33 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         if tag in _BLOCK or tag in _CHROME_TAG:
             flush()
-        if m.group(1):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if held and held[-1][2] >= i:
-                        emit(zone, run)
-                        run[:] = held.pop()[1]
-                    zone = stack[i][1]
-                    del stack[i:]
-                    break
+        if slash:
+            if n_open[tag]:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                if held and held[-1][2] >= i:
+                    emit(zone, run)
+                    run[:] = held.pop()[1]
+                close(i)
             continue
-        inner = _zone(tag, m.group(3), zone)
-        if inner != zone and tag not in _BLOCK and not m.group(3).endswith("/"):
+        if tag in _BLOCK and any(n_open[f] for f in _FOREIGN):
+            close(min(i for i in range(len(stack)) if stack[i][0] in _FOREIGN))
+        if tag in _CLOSES_P and levels:  # a block ends an open paragraph, and an item the item before it
+            last = stack[levels[-1]][0]
+            if last == "p" or last == tag and tag in ("li", "dt", "dd", "tr", "td", "th"):
+                close(levels[-1])
+        inner = _zone(tag, attrs, zone)
+        if inner != zone and tag not in _BLOCK and not closed:
             held.append((zone, run[:], len(stack)))
             run.clear()
         elif inner != zone:
             flush()
-        if tag in _CLOSES_P:  # a block ends an open paragraph, and an item the item before it
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th"):
-                    zone = stack[i][1]
-                    inner = _zone(tag, m.group(3), zone)
-                    del stack[i:]
-                    break
-                if stack[i][0] in _BLOCK:
-                    break
-        if not m.group(3).endswith("/"):
+        if not closed:
+            if tag in _BLOCK:
+                levels.append(len(stack))
             stack.append((tag, zone))
+            n_open[tag] += 1
             zone = inner
     run.append(page[pos:])
     flush()
