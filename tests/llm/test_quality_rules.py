@@ -75,3 +75,18 @@ def test_platt_orders_and_calibrates():
     y = (np.random.default_rng(0).random(400) < 1 / (1 + np.exp(-2 * z))).astype(float)
     slope, offset = R._platt(z, y)
     assert slope == pytest.approx(2, abs=0.7) and abs(offset) < 0.5
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    """With a hash that is the same for all windows, only windows of equal words count."""
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        words = [f"w{i}" for i in rng.integers(0, 3, 60)]
+        words[40:52] = words[5:17]
+        codes = R.word_codes([w.encode() for w in words])
+        windows = [tuple(words[i : i + 8]) for i in range(53)]
+        covered = {p for i, w in enumerate(windows) if windows.count(w) > 1 for p in range(i, i + 8)}
+        assert R.repeated_words(codes) == len(covered)
+        with monkeypatch.context() as m:
+            m.setattr(R, "_M1", np.uint64(0))
+            assert R.repeated_words(codes) == len(covered)

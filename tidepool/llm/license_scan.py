@@ -3,8 +3,8 @@
 Templates are tokenised (lower-case alphanumeric runs). Each template's k-grams are winnowed: of every
 ``WINDOW`` consecutive k-gram codes the rightmost smallest is a fingerprint, so any shared run of
 ``K + WINDOW - 1`` tokens holds one. An inverted index maps a fingerprint to (template, position).
-All k-grams of a document meet the index; each hit proposes a diagonal. Diagonals are taken in order, unless an
-earlier match covers their hits: the template is aligned in a band of ``BAND`` tokens on either side
+All k-grams of a document meet the index; each hit proposes a diagonal. Diagonals are taken by their number of hits, unless
+matches before cover their hits: the template is aligned in a band of ``BAND`` tokens on either side
 (longest common subsequence with gaps, in token steps) and reported if the matched
 tokens cover ``MIN_COVERAGE`` of the template, with the code-point span from the first to the last matched token.
 Before that, hits that rise in text and template are chained over diagonals further apart than the band (a longer
@@ -187,7 +187,7 @@ def matches(text: str, index: LicenseIndex, band: int = BAND, min_coverage: floa
     found = []
     for t, by_diagonal in hits.items():
         least = min_coverage * index.lengths[t]
-        free, done = body.copy(), -1  # tokens of a match are not matched again; diagonals come in order
+        free = body.copy()  # tokens of a match are not matched again
         if max(by_diagonal) - min(by_diagonal) > band:
             reach = 2 * index.lengths[t]
             for chain in chains([(p, p - d) for d, ps in by_diagonal.items() for p in ps], index.k, reach, band):
@@ -196,6 +196,15 @@ def matches(text: str, index: LicenseIndex, band: int = BAND, min_coverage: floa
                     continue
                 m, first, last = align_chain(index.ids[t], free, chain, band)
                 if m >= least:
+                    # hits of repeated words may chain beside the diagonal that holds more
+                    near = {d: n for d, ps in by_diagonal.items() if (n := sum(first <= p <= last for p in ps))}
+                    best = max(near, key=lambda d: (near[d], -d), default=chain[0][0] - chain[0][1])
+                    alone = align(index.ids[t], free, best - band, best + band)
+                    if alone[0] >= m:
+                        m, first, last = alone
+                        found.append((m, -(last - first), first, last, t, [[first, last]]))
+                        free[first : last + 1] = 0
+                        continue
                     pieces = [[first, first]]
                     for (p, pos), (q, after) in zip(chain, chain[1:], strict=False):
                         if abs((q - after) - (p - pos)) > band:
@@ -205,14 +214,13 @@ def matches(text: str, index: LicenseIndex, band: int = BAND, min_coverage: floa
                     found.append((m, -(last - first), first, last, t, pieces))
                     for x, y in pieces:
                         free[x : y + 1] = 0
-        for diagonal in sorted(by_diagonal):
-            if max(by_diagonal[diagonal]) <= done or not free[by_diagonal[diagonal]].any():
+        for diagonal in sorted(by_diagonal, key=lambda d: (-len(by_diagonal[d]), d)):
+            if not free[by_diagonal[diagonal]].any():
                 continue
             m, first, last = align(index.ids[t], free, diagonal - band, diagonal + band)
             if m >= least:
                 found.append((m, -(last - first), first, last, t, [[first, last]]))
                 free[first : last + 1] = 0
-                done = max(done, last)
     spans = [m.span() for m in _TOKEN.finditer(text)] if found else []
     if len(spans) != len(words):  # lower-casing may split or join a token
         low = [x for m in _TOKEN.finditer(text) for x in [m.span()] * len(tokens(m.group()))]

@@ -67,7 +67,7 @@ def repeated_words(codes: np.ndarray, width: int = 8) -> int:
     mixed ^= mixed >> np.uint64(29)
     mixed *= _M2
     window = np.zeros(n, dtype=np.uint64)
-    for j in range(width):  # 64-bit polynomial of exact word numbers
+    for j in range(width):  # 64-bit polynomial of word numbers; the words of equal ones are compared
         window = window * np.uint64(0x100000001B3) + mixed[j : j + n]
     order = np.argsort(window, kind="stable")
     ranked = window[order]
@@ -75,8 +75,13 @@ def repeated_words(codes: np.ndarray, width: int = 8) -> int:
     if not same.any():
         return 0
     twice = np.zeros(n, dtype=bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    here, before = order[1:][same], order[:-1][same]
+    if all(np.array_equal(codes[here + j], codes[before + j]) for j in range(width)):
+        twice[here] = twice[before] = True
+    else:  # different windows of one hash
+        rows = np.lib.stride_tricks.sliding_window_view(codes, width)
+        _, inverse, times = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+        twice = times[inverse.reshape(-1)] > 1
     edge = np.zeros(len(codes) + 1, dtype=np.int32)
     edge[:n] += twice
     edge[width : width + n] -= twice
