@@ -312,6 +312,8 @@ def test_local_session_without_a_folder_gets_one(tmp_path):
     code = ("from pyspark.sql import SparkSession; from tidepool.session import shared_dir, scratch_path\n"
             "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
             "assert not s.conf.get('spark.checkpoint.dir', None)\n"
-            "a = shared_dir(s); assert a and a == shared_dir(s) and scratch_path(s, 'x').startswith(a)\n")
+            "a = shared_dir(s); assert a and a == shared_dir(s) and scratch_path(s, 'x').startswith(a)\n"
+            "from tidepool.session import clear_scratch, path_exists\n"
+            "b = scratch_path(s, 'x'); clear_scratch(s); s.range(3).write.parquet(b); assert path_exists(s, b); clear_scratch(s); assert not path_exists(s, b) and path_exists(s, a)\n")
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)}, timeout=120)
     assert done.returncode == 0, done.stderr[-2000:]

@@ -47,8 +47,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:
-    """A fresh, never-reused sub-folder of the shared checkpoint folder."""
-    return f"{shared_dir(spark)}/tidepool/{kind}-{uuid.uuid4().hex[:12]}"
+    """A fresh, never-reused sub-folder of the shared checkpoint folder, kept with the others of this application."""
+    return f"{_scratch(spark)}/{kind}-{uuid.uuid4().hex[:12]}"
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidepool/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables and streams that this application has written to the shared folder.
+
+    Queries read them until their results are written, so a caller calls this once it has all it wants.
+    """
+    if path_exists(spark, _scratch(spark)):
+        drop_path(spark, _scratch(spark))
 
 
 def _fs(spark: SparkSession, path: str):
