@@ -162,6 +162,63 @@ def restarted_stream(spark, sf):
 register("restarted_stream", f"SELECT *, 2 AS copies, 2 AS runs FROM ({ENRICH_SQL})")
 
 
+@query("stop_with_savepoint")
+def stop_with_savepoint(spark, sf):
+    """A running query is stopped once it has committed what arrived, and started again on its checkpoint: nothing lost or repeated."""
+    e = _Enrichment(spark, sf)
+    e.feed(0)
+    _finish(e.start())
+    e.feed(1, 2)
+    _finish(e.start())
+    return e.sink()
+
+
+register("stop_with_savepoint", ENRICH_SQL)
+
+
+@query("force_stop")
+def force_stop(spark, sf):
+    """A running query is stopped at once, in mid-flight or not, and started again on its checkpoint; the sink overwrites a batch run twice."""
+    e = _Enrichment(spark, sf)
+    e.feed(0)
+    e.start().stop()
+    e.feed(1, 2)
+    _finish(e.start())
+    return e.sink()
+
+
+register("force_stop", ENRICH_SQL)
+
+
+@query("savepoint_now")
+def savepoint_now(spark, sf):
+    """A running query commits what arrived while it keeps running, then takes more."""
+    e = _Enrichment(spark, sf)
+    e.feed(0)
+    q = e.start()
+    q.processAllAvailable()
+    e.feed(1, 2)
+    _finish(q)
+    return e.sink()
+
+
+register("savepoint_now", ENRICH_SQL)
+
+
+@query("resume")
+def resume(spark, sf):
+    """After a stop the query starts on a fresh checkpoint: a second run reads everything again, and each record is taken once."""
+    e = _Enrichment(spark, sf)
+    e.feed(0, 1)
+    _finish(e.start())
+    e.feed(2)
+    _finish(e.start(run=1))
+    return _result(EN.once_each(EN.read_sink(spark, e.out)))
+
+
+register("resume", ENRICH_SQL)
+
+
 @query("continuity_audit")
 def continuity_audit(spark, sf):
     """Sent messages against the sink of a stream whose topic lost some, repeats some and holds some never sent."""
