@@ -154,7 +154,9 @@ def near_words(words: DataFrame) -> DataFrame:
     """id, word, n, n_near, best (n and -id of the near word with the largest n, then the least word) of every (word, n); id is the word's rank."""
     forward = common.reread(number_trie(words, "word", ["n"]).select(F.col("rank").alias("id"), "word", "n", F.col("nodes").alias("heads")), "trie-forward")
     backward = number_trie(forward.select("id", F.reverse("word").alias("back")), "back", ["id"]).select("id", F.col("nodes").alias("tails"))
-    both = forward.join(backward, "id").select("id", "n", "heads", "tails", F.split("word", "").alias("letters"))
+    # a row becomes some twenty: as many tasks as the session has for a shuffle, whatever the narrow rows weigh
+    parts = int(forward.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = forward.repartition(parts, "id").join(backward.repartition(parts, "id"), "id").select("id", "n", "heads", "tails", F.split("word", "").alias("letters"))
     length = F.size("heads") - 1
     pair = lambda i, skip, first: F.struct(F.get("heads", i).alias("head"), F.get("tails", length - i - F.lit(skip)).alias("tail"), F.lit(not skip).alias("cut"), first.alias("first"))
     cuts = F.transform(F.sequence(F.lit(0), length), lambda i: pair(i, 0, F.lit(False)))
