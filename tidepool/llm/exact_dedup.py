@@ -33,7 +33,7 @@ from . import common
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Entries of a bucket, and the directory's greatest depth.
-CAPACITY, MAX_DEPTH = 10_000, 16
+CAPACITY, MAX_DEPTH = 2_000, 16
 #: Rows of one hash that one owner takes.
 HOT = 10_000
 _STEP = "36893488147419103232"  # 2 ** 65: more than the distance of any two ids
