@@ -144,7 +144,8 @@ def test_random_markup_against_the_library():
 def test_headings_and_names_of_content_stay():
     page = """<article><p id="share-prices">Share prices rose</p><h2 id="cookie-recipes">Cookie recipes</h2><div class="related-work">Related work</div><h2 id="comments">On comments</h2>
     <table id="menu"><tr><td id="ad">cell</td></tr></table><figure id="banner"><figcaption>caption</figcaption></figure><div class="formula header-image-caption">formula</div>
-    <div class="share-buttons">tweet</div><div id="commentList">first!</div><div class="widget social">follow</div><p class="ad">buy</p><span class="newsletter-signup-box">sign</span></article>"""
+    <div class="share-buttons">tweet</div><div id="commentList">first!</div><div class="widget social">follow</div><p class="ad">buy</p><span class="newsletter-signup-box">sign</span>
+    <section class="reader-comments"><p>me too</p></section><div class="post-comments">agreed</div><div id="wpUserComments">yes</div></article>"""
     assert main(page) == "Share prices rose\nCookie recipes\nRelated work\nOn comments\ncell\ncaption\nformula"
 
 

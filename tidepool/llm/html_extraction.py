@@ -71,9 +71,11 @@ _CHROME_WORD = {"ad", "ads", "advert", "adverts", "advertisement", "advertising"
                 "cookie", "cookies", "consent", "gdpr", "footer", "foot", "form", "header", "masthead", "menu", "menus", "nav", "navbar", "navigation", "newsletter", "notice", "notices",
                 "notification", "pagination", "pager", "popup", "modal", "promo", "promotion", "related", "recommended", "share", "sharing", "sidebar", "sidebars", "signup", "skip", "social",
                 "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets"}
-_PLAIN_WORD = {"area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "first", "global", "group", "icons", "inner", "item", "items",
-               "last", "left", "link", "links", "list", "main", "media", "outer", "page", "panel", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "stories", "sub",
-               "thread", "top", "unit", "wrap", "wrapper", "zone"}
+_PLAIN_WORD = {"account", "all", "area", "article", "articles", "bar", "blog", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "desktop", "dropdown", "entry",
+               "first", "fixed", "floating", "global", "group", "icon", "icons", "info", "inline", "inner", "item", "items", "js", "last", "latest", "left", "link", "links", "list", "login", "logo",
+               "main", "media", "message", "meta", "mobile", "more", "my", "new", "news", "our", "outer", "overlay", "page", "panel", "policy", "popular", "post", "posts", "primary", "privacy",
+               "reader", "readers", "recent", "right", "row", "search", "secondary", "section", "site", "slot", "sticky", "stories", "story", "strip", "sub", "tab", "tabs", "text", "thread",
+               "title", "toggle", "top", "unit", "user", "users", "visitor", "web", "wp", "wrap", "wrapper", "your", "zone"}
 #: Elements that hold an article's own text; a class of one chrome word alone can name them otherwise, an id never does.
 _CONTENT_TAG = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "figure", "figcaption", "blockquote", "pre", "dl", "dt", "dd"}
 _CLOSES_P = _BLOCK - {"body", "html"}
