@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepool.operators import access as AC
 from tidepool.operators import logs as L
-from tidepool.session import scratch_path, shared_dir
+from tidepool.session import list_names, scratch_path, shared_dir
 from tidepool.sources import logs as LS
 from tidepool.sources import registry as REG
 from tidepool.sources import schemas as S
@@ -317,3 +317,17 @@ def test_local_session_without_a_folder_gets_one(tmp_path):
             "b = scratch_path(s, 'x'); clear_scratch(s); s.range(3).write.parquet(b); assert path_exists(s, b); clear_scratch(s); assert not path_exists(s, b) and path_exists(s, a)\n")
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)}, timeout=120)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_a_deployment_runs_by_its_configuration(spark):
+    base = scratch_path(spark, "test-conf")
+    topics.write_topic(_records(spark, 0, 20), f"{base}/topic")
+    conf = {"state.checkpoints.dir": "s3://flink-x/checkpoints", "execution.checkpointing.interval": "300"}
+    q = EN.start_deployment(spark, f"{base}/topic", f"{base}/out", conf, storage=f"{base}/store")
+    q.processAllAvailable()
+    topics.write_topic(_records(spark, 20, 30), f"{base}/topic")
+    q.processAllAvailable()
+    q.stop()
+    assert EN.read_sink(spark, f"{base}/out").count() == 30 and "offsets" in list_names(spark, f"{base}/store/flink-x/checkpoints")
+    EN.start_deployment(spark, f"{base}/topic", f"{base}/out", conf, storage=f"{base}/store", every=None).awaitTermination()
+    assert EN.read_sink(spark, f"{base}/out").count() == 30

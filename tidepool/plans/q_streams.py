@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import access as AC
+from ..operators import config_rules as CR
 from ..operators import fleet as FO
 from ..operators import logs as L
 from ..session import scratch_path
@@ -121,13 +122,23 @@ def _finish(q):
     q.stop()
 
 
+def _configuration(spark, sf):
+    """The checkpoint configuration of one deployment, whose own interval wins over the default."""
+    d = FO.live(REG.deployments(spark, sf)).orderBy("id").limit(1)
+    e = CR.effective_config(d, REG.defaults(spark)).join(d.select("id", "deployment_name", "jar_id"), "id")
+    own = F.map_concat("flink_configuration", F.create_map(F.lit("execution.checkpointing.interval"), F.lit("5000")))
+    cfg = e.withColumn("has_artifact", F.col("jar_id").isNotNull()).withColumn("flink_configuration", own)
+    return CR.checkpoint_configuration(cfg).first()["configuration"]
+
+
 @query("checkpointed_stream")
 def checkpointed_stream(spark, sf):
-    """The enrichment stream with a checkpoint, fed in three waves, one availableNow run per wave."""
+    """The enrichment stream of one deployment on the checkpoint folder of its configuration, fed in three waves, one availableNow run per wave."""
     e = _Enrichment(spark, sf)
+    conf = _configuration(spark, sf)
     for i in range(3):
         e.feed(i)
-        e.start(every=None).awaitTermination()
+        EN.start_deployment(spark, e.topic, e.out, conf, storage=e.checkpoint, every=None).awaitTermination()
     return e.sink()
 
 
