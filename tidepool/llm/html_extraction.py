@@ -252,10 +252,37 @@ def _key(host: str, tokens: list[str]) -> int:
     return xxhash.xxh64_intdigest("\x00".join([host, *tokens])) - (1 << 63)
 
 
+class _Tokens(dict):
+    """64-bit hashes of tokens, computed once each."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = code = xxhash.xxh64_intdigest(token)
+        return code
+
+
+_tokens, _MOST_TOKENS = _Tokens(), 300_000
+_M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def run_keys(host: str, tokens: list[str]) -> np.ndarray:
+    """64-bit keys of host and the ``RUN`` tokens from every position that has as many after it; of all tokens if there are fewer."""
+    if len(_tokens) > _MOST_TOKENS:
+        _tokens.clear()
+    codes = np.fromiter(map(_tokens.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    width = min(RUN, len(tokens))
+    n = len(tokens) - width + 1
+    key = np.full(n, xxhash.xxh64_intdigest(host, width), dtype=np.uint64)
+    for j in range(width):
+        key = key * _M[0] + codes[j : j + n]
+    key = (key ^ (key >> np.uint64(30))) * _M[1]
+    key = (key ^ (key >> np.uint64(27))) * _M[2]
+    return (key ^ (key >> np.uint64(31))).view(np.int64)
+
+
 def suffixes(parts: list[tuple[str, str]], host: str) -> list[int]:
     """Keys of host and the next ``RUN`` tokens, for every position of the stream that has as many after it."""
     tokens = [t for zone, body in parts if zone != "main" for t in body.split(" ")]
-    return [_key(host, tokens[s : s + RUN]) for s in range(len(tokens) - RUN + 1)]
+    return run_keys(host, tokens).tolist() if len(tokens) >= RUN else []
 
 
 def article_keys(parts: list[tuple[str, str]], host: str, near: list[int] | None = None) -> tuple[list[int], list[int]]:
@@ -263,22 +290,25 @@ def article_keys(parts: list[tuple[str, str]], host: str, near: list[int] | None
 
     A block of fewer than ``RUN`` tokens is a run of its own.
     """
+    bodies = [body.split(" ") for zone, body in parts if zone == "main"]
+    flat = [t for tokens in bodies for t in tokens]
+    found = run_keys(host, flat) if len(flat) >= RUN else np.zeros(0, dtype=np.int64)  # those across two blocks are not used
+    least = np.arange(max(len(found) - RUN, 0))  # the leftmost smallest of RUN + 1 keys from each on
+    for j in range(1, RUN + 1):
+        ahead = np.arange(j, j + len(least))
+        least = np.where(found[ahead] < found[least], ahead, least)
     keys, places, at = [], [], 0
-    for zone, body in parts:
-        if zone != "main":
-            continue
-        tokens = body.split(" ")
-        n = max(1, len(tokens) - RUN + 1)
-        if near is None:
-            found = np.array([_key(host, tokens[i : i + RUN]) for i in range(n)], dtype=np.int64)
-            w = min(RUN + 1, n)
-            smallest = np.lib.stride_tricks.sliding_window_view(found, w).argmin(axis=1) + np.arange(n - w + 1)
-            picked = sorted({0, n - 1, *smallest.tolist()})
-            keys += found[picked].tolist()
+    for tokens in bodies:
+        n = len(tokens) - RUN + 1
+        if near is not None:
+            n = max(1, n)
+            picked = sorted({at + i for h in near if at <= h < at + n for i in range(max(0, h - at - RUN), min(n, h - at + RUN + 1))})
+        elif n <= RUN + 1:
+            picked = sorted({at, at + n - 1, at + int(found[at : at + n].argmin())}) if n > 0 else [at]
         else:
-            picked = sorted({i for h in near if at <= h < at + n for i in range(max(0, h - at - RUN), min(n, h - at + RUN + 1))})
-            keys += [_key(host, tokens[i : i + RUN]) for i in picked]
-        places += [at + i for i in picked]
+            picked = sorted({at, at + n - 1, *least[at : at + n - RUN].tolist()})
+        keys += (run_keys(host, tokens) if len(tokens) < RUN else found[picked]).tolist() if picked else []
+        places += picked
         at += len(tokens)
     return keys, places
 
