@@ -4,12 +4,14 @@ A document's strength is linear in its features: shape features of the text (sha
 capitals, digits and separators, repetition of words and lines, word lengths, size) and the shares of its
 hashed byte 4-grams. Every preference pair is one document of label 1 and one of label 0; the
 model gives the first a win with probability sigma(strength difference), and the logistic loss on the
-feature differences is minimised over ``PAIRS`` partners of every sampled document. The cut is the quantile of
+feature differences is minimised over ``PAIRS`` partners of every learning document. The cut is the quantile of
 the learning rows' strengths at the share of label 0; ``score`` is the logistic of the strength,
 scaled on the learning rows and shifted so that the cut is exactly ``THRESHOLD``.
 
-Learning reads at most ``PER_CLASS`` labelled rows of each class (whole texts); the share of label 0 is
-counted over all label rows that may be used. Scoring is a narrow pass with a fixed-size broadcast.
+Every labelled row that may be used is learnt from (whole texts). Rows are dealt by the hash of their id into blocks of about ``PER_CLASS`` of
+each label, one Spark group each, so a task holds one block whatever the input; rows of the rarer label go into as many blocks as that takes. A block's weights
+minimise the loss of its pairs, and the model's weights are the mean over all blocks (one-shot parameter mixing). Cut and scale are exact
+quantiles of the model's strengths of all learning rows, found by counting in ever finer bins. Scoring is a narrow pass with a fixed-size broadcast.
 
 Defined results: null counts as empty and is scored by the strength of an empty text. Without rows of both
 labels every score is the share of label 1, or 1 without any label. Repeated rows are scored alike;
@@ -123,18 +125,38 @@ def weighted_quantile(values: np.ndarray, weights: np.ndarray, q: float) -> floa
     return float((values[order][i] + values[order][min(i + 1, len(values) - 1)]) / 2)
 
 
+class _Runs:
+    """Sums of ``val * x[other]`` over the entries of each key, keys from 0 to ``size`` - 1."""
+
+    def __init__(self, key: np.ndarray, other: np.ndarray, val: np.ndarray, size: int):
+        order = np.argsort(key, kind="stable")
+        self.other, self.val, self.size = other[order].astype(np.intp), val[order].astype(np.float32), size
+        self.keys, self.starts = np.unique(key[order], return_index=True)
+
+    def sums(self, x: np.ndarray, buffer: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.size)
+        if len(self.val):
+            np.take(x, self.other, out=buffer, mode="clip")
+            np.multiply(buffer, self.val, out=buffer)
+            out[self.keys] = np.add.reduceat(buffer, self.starts)
+        return out
+
+
 def fit(dense: np.ndarray, doc: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, share0: float, steps: int = 100, l2: float = 1e-4) -> BradleyTerry:
     """Minimise the mean logistic loss of the pairs; then place cut and slope."""
     win, lose = preference_pairs(y)
     n, wide = len(y), dense.shape[1]
 
+    # the same entries by document and by bucket, so that both directions are sums of runs
+    by_doc, by_idx, buffer = _Runs(doc, idx, val, n), _Runs(idx, doc, val, BUCKETS), np.empty(len(val))
+
     def strength(w: np.ndarray) -> np.ndarray:
-        return dense @ w[:wide] + np.bincount(doc, weights=val * w[wide:][idx], minlength=n)
+        return dense @ w[:wide] + by_doc.sums(w[wide:], buffer)
 
     def back(r: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Gradient of the pairs' sum of r times the strength difference."""
         g = np.bincount(win, weights=r, minlength=n) - np.bincount(lose, weights=r, minlength=n)
-        return np.concatenate([dense.T @ g, np.bincount(idx, weights=val * g[doc], minlength=BUCKETS)]) + l2 * w
+        return np.concatenate([dense.T @ g, by_idx.sums(g, buffer)]) + l2 * w
 
     def difference(w: np.ndarray) -> np.ndarray:
         s = strength(w)
@@ -148,39 +170,104 @@ def fit(dense: np.ndarray, doc: np.ndarray, idx: np.ndarray, val: np.ndarray, y:
     return BradleyTerry(w[:wide], w[wide:].astype(np.float32), cut, float(4 / spread) if spread > 0 else 1.0)
 
 
+def ordered_pair(rows: DataFrame, mass: dict[int, float], q: float, few: int = 4096) -> tuple[float, float]:
+    """The value of ``rows`` (s double, y int) at the quantile ``q`` and the next one in order, where a row weighs ``mass[y]``.
+
+    Rows are counted in bins between the least and the greatest value, then in the bin of the quantile, until ``few`` are left there.
+    """
+    total = n = None
+    part, below, lo, hi = rows, 0.0, None, None
+    weigh = lambda r: sum(w * r[f"n{y}"] for y, w in mass.items())
+    counts = [F.count_if(F.col("y") == y).alias(f"n{y}") for y in mass]
+    while True:
+        if n is None:
+            whole = rows.agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"), *counts).first()
+            n, lo, hi, total = whole["n"], whole["lo"], whole["hi"], weigh(whole)
+        if n <= few or lo == hi:
+            break
+        bins = part.groupBy(F.floor((F.col("s") - lo) / (hi - lo) * few).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"), *counts)
+        found = sorted(bins.collect(), key=lambda r: r["bin"])  # few + 1 rows at most
+        for r in found:
+            if (below + weigh(r)) / total >= q - 1e-9 or r is found[-1]:
+                break
+            below += weigh(r)
+        n, lo, hi = r["n"], r["lo"], r["hi"]
+        part = rows.where(F.col("s").between(lo, hi))
+    after = lambda v: rows.where(F.col("s") > v).agg(F.min("s")).first()[0]
+    if n > few:  # equal values
+        ties = sum(w * c for w, c in zip(mass.values(), part.agg(*counts).first(), strict=True))
+        last = (below + ties - min(mass.values())) / total < q - 1e-9
+        return lo, (after(lo) if last else None) or lo
+    own = sorted((r["s"], r["y"]) for r in part.select("s", "y").collect())  # few rows at most
+    share = (below + np.cumsum([mass[y] for _, y in own])) / total
+    i = min(int(np.searchsorted(share, q - 1e-9)), len(own) - 1)
+    follows = own[i + 1][0] if i + 1 < len(own) else after(own[i][0])
+    return own[i][0], own[i][0] if follows is None else follows
+
+
+def _block_weights(table: pa.Table) -> pa.Table:
+    """The weights that one block's texts (_text, _y) are fitted to; none for a block without either label."""
+    table = table.combine_chunks()
+    y = np.array(table["_y"].to_pylist())
+    if len(set(y.tolist())) < 2:
+        return pa.table({"w": pa.array([], pa.list_(pa.float64()))})
+    rows = []
+    for body, label in zip(common.utf8(table["_text"].combine_chunks()), y.tolist(), strict=True):
+        body = body or b""
+        stream, start, end = grams([body])
+        own, n = np.unique(stream[start[0] : end[0]], return_counts=True)
+        rows.append((label, np.array(shape(body)).tobytes(), own.astype(np.int32).tobytes(), (n / (len(body) + PRIOR)).astype(np.float32).tobytes()))
+    rows.sort()
+    idx = [np.frombuffer(r[2], np.int32) for r in rows]
+    dense = np.stack([np.frombuffer(r[1], np.float64) for r in rows])
+    doc = np.repeat(np.arange(len(idx)), [len(i) for i in idx])
+    val = np.concatenate([np.frombuffer(r[3], np.float32) for r in rows]).astype(np.float64)
+    places, labels = np.concatenate(idx), np.array([r[0] for r in rows])
+    del rows, idx, table
+    m = fit(dense, doc, places, val, labels, 0.5)
+    del dense, doc, places, val
+    common._trim()
+    return pa.table({"w": pa.array([np.concatenate([m.shape_w, m.gram_w.astype(np.float64)])], pa.list_(pa.float64()))})
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", where: Column | None = None, per_class: int = PER_CLASS) -> BradleyTerry:
-    """Learn from at most ``per_class`` rows of each label; ``where`` limits the label rows used."""
+    """Learn from every labelled row, in blocks of about ``per_class`` rows of each label; ``where`` limits the label rows used."""
     marks = labels if where is None else labels.where(where)
     marks = marks.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y"))
     shares = {r["_y"]: r["count"] for r in marks.groupBy("_y").count().collect()}  # two rows at most
     total = sum(shares.values())
+    none = (np.zeros(len(SHAPE)), np.zeros(BUCKETS, np.float32), 0.0, 1.0)
     if len(shares) < 2:
-        return BradleyTerry(np.zeros(len(SHAPE)), np.zeros(BUCKETS, np.float32), 0.0, 1.0, constant=float(1 in shares or not shares))
-    # at most per_class ids of each of two classes
-    picked = F.broadcast(common.sample_ids(marks, "_key", "_y", per_class))
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(picked, "_key").select("_text", "_y")
+        return BradleyTerry(*none, constant=float(1 in shares or not shares))
+    own = marks.where("_key is not null").distinct()
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(own, "_key").select("_text", "_y", F.xxhash64(F.col("_key").cast("string"), F.lit(7)).alias("_h"))
+    rows = common.reread(rows, "labelled")
+    sizes = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}  # two rows at most
+    if len(sizes) < 2:
+        return BradleyTerry(*none, constant=shares[1] / total)
+    blocks = -(-max(sizes.values()) // per_class)
+    copies = {y: min(blocks, max(1, per_class * blocks // n)) for y, n in sizes.items()}
+    times = F.when(F.col("_y") == 1, copies[1]).otherwise(copies[0])
+    dealt = rows.select("_text", "_y", F.explode(F.transform(F.sequence(F.lit(0), times - 1), lambda k: F.pmod(F.col("_h") + k, F.lit(blocks)))).alias("_block"))
+    # one block of about per_class rows of each label to a group
+    fitted = dealt.repartition(blocks, "_block").groupBy("_block").applyInArrow(lambda table: _block_weights(table.select(["_text", "_y"])), "w array<double>")
+    # sums of whole numbers do not depend on the order of blocks
+    mean = fitted.select(F.posexplode("w").alias("at", "w")).groupBy("at").agg(F.sum(F.round(F.col("w") * 2.0**32).cast("long")).alias("w"), F.count(F.lit(1)).alias("n"))
+    w = np.zeros(len(SHAPE) + BUCKETS)
+    for r in mean.collect():  # one row for each weight
+        w[r["at"]] = r["w"] / 2.0**32 / r["n"]
+    model = BradleyTerry(w[: len(SHAPE)], w[len(SHAPE) :].astype(np.float32), 0.0, 1.0)
+    sent = common.broadcast_value(docs.sparkSession, model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        dense, idx, val = [], [], []
-        for body in common.utf8(batch.column(0)):
-            body = body or b""
-            stream, start, end = grams([body])
-            own, n = np.unique(stream[start[0] : end[0]], return_counts=True)
-            dense.append(np.array(shape(body)).tobytes())
-            idx.append(own.astype(np.int32).tobytes())
-            val.append((n / (len(body) + PRIOR)).astype(np.float32).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(dense, pa.binary()), pa.array(idx, pa.binary()), pa.array(val, pa.binary()), batch.column(1)], names=["dense", "idx", "val", "y"])
-
-    # bounded: one row for each sampled id
-    table = common.map_arrow(rows, ["_text", "_y"], "dense binary, idx binary, val binary, y int", run).toArrow()
-    if not table.num_rows or len(set(table["y"].to_pylist())) < 2:
-        return BradleyTerry(np.zeros(len(SHAPE)), np.zeros(BUCKETS, np.float32), 0.0, 1.0, constant=shares[1] / total)
-    table = table.sort_by([("y", "ascending"), ("dense", "ascending"), ("idx", "ascending")])
-    idx = [np.frombuffer(b, np.int32) for b in table["idx"].to_pylist()]
-    val = [np.frombuffer(b, np.float32) for b in table["val"].to_pylist()]
-    dense = np.stack([np.frombuffer(b, np.float64) for b in table["dense"].to_pylist()])
-    doc = np.repeat(np.arange(len(idx)), [len(i) for i in idx])
-    return fit(dense, doc, np.concatenate(idx), np.concatenate(val).astype(np.float64), np.array(table["y"].to_pylist()), shares[0] / total)
+        return pa.RecordBatch.from_arrays([pa.array(sent.value.strengths([b or b"" for b in common.utf8(batch.column(0))])), batch.column(1)], names=["s", "y"])
+
+    strengths = common.reread(common.map_arrow(rows, ["_text", "_y"], "s double, y int", run), "strengths")
+    model.cut = float(np.mean(ordered_pair(strengths, {y: shares[y] / total / sizes[y] for y in sizes}, shares[0] / total)))
+    near, following = ordered_pair(strengths.withColumn("s", F.abs(F.col("s") - F.lit(model.cut))), {0: 1.0, 1: 1.0}, 0.5)
+    spread = near if sum(sizes.values()) % 2 else (near + following) / 2
+    model.slope = float(4 / spread) if spread > 0 else 1.0
+    return model
 
 
 def score(docs: DataFrame, model: BradleyTerry, keep: list[str], text: str = "text") -> DataFrame:
