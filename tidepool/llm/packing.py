@@ -40,7 +40,7 @@ from . import common
 
 CAPACITY, END_ID = 2048, 0
 #: Distinct pieces of text in a generation of a worker's cache (some 0.2 KB each); it remembers two generations, those used last.
-CACHE = 600_000
+CACHE = 200_000
 _MARKS = ".,;:!?*$%&#|"  # neither letters, digits, white space nor apostrophes
 #: New pieces that are encoded in one call.
 JOINED = 4096
