@@ -20,6 +20,9 @@ class Limit:
     limit: int
 
 
+#: Windows in a row that one state of the stream covers.
+SPAN_WINDOWS = 180
+
 # Login 5 attempts per 2 minutes; registration 10 per 60 minutes.
 LIMITS = [Limit("login", 120, 5), Limit("register", 3600, 10)]
 
@@ -58,29 +61,40 @@ def window_counts(access: DataFrame, lim: Limit, lateness: str = "10 minutes") -
 def rejections(access: DataFrame, limits: list[Limit] = LIMITS, id_col: str = "event_id", lateness: str = "10 minutes") -> DataFrame:
     """Streaming twin: every rejected attempt, as soon as it arrives, with Spark's keyed state.
 
-    A window's state is the number of attempts it has accepted; it goes when the watermark has passed the window. Attempts count in the order in which
+    Windows hold few attempts, so a state covers a key's windows of ``SPAN_WINDOWS`` in a row: the number of attempts that each has accepted. A window leaves it, and the
+    state goes, when the watermark has passed. Attempts count in the order in which
     they arrive (within a micro-batch by time and id), so a stream that arrives in order rejects what ``over_limit`` does. An attempt behind the watermark is dropped.
     """
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     seconds = {lim.kind: lim.seconds for lim in limits}
     a = _windows(access.withColumn("ts", F.col("ts").cast("timestamp_ntz")), limits).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", lateness)
+    span = F.floor(F.col("_us") / (F.col("_width") * SPAN_WINDOWS)).alias("span")
+    a = a.select("source_key", "kind", "window_start", "ts", id_col, "limit", "at", span)
 
     def decide(key, parts, state):
-        kind, start = key[1], key[2]
         if state.hasTimedOut:
             state.remove()
             return
-        used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(parts)).sort_values(["ts", id_col], kind="stable")  # one window's attempts of one micro-batch
-        free = max(int(rows["limit"].iloc[0]) - used, 0)
-        state.update((used + min(free, len(rows)),))
-        end = int(pd.Timestamp(start).timestamp() * 1000) + seconds[kind] * 1000
+        width, mark = seconds[key[1]] * 1_000_000, state.getCurrentWatermarkMs() * 1000
+        # a span's attempts of one micro-batch
+        rows = pd.concat(list(parts), ignore_index=True).sort_values(["window_start", "ts", id_col], kind="stable", ignore_index=True)
+        starts, first, size = np.unique(rows["window_start"].to_numpy("datetime64[us]").astype("int64"), return_index=True, return_counts=True)
+        used = {int(w): int(n) for w, n in zip(*state.get, strict=True)} if state.exists else {}
+        before = np.array([used.get(w, 0) for w in starts.tolist()])
+        free = np.maximum(int(rows["limit"].iloc[0]) - before, 0)
+        used.update(zip(starts.tolist(), (before + np.minimum(free, size)).tolist(), strict=True))
+        used = {w: n for w, n in used.items() if w + width > mark}
+        state.update((list(used), list(used.values())))
+        end = (int(key[2]) + 1) * SPAN_WINDOWS * width // 1000
         if state.getCurrentWatermarkMs() < end:
             state.setTimeoutTimestamp(end)
-        if len(rows) > free:
-            yield rows.iloc[free:][["source_key", "kind", "window_start", "ts", id_col, "limit"]]
+        nth = np.arange(len(rows)) - np.repeat(first, size)
+        over = nth >= np.repeat(free, size)
+        if over.any():
+            yield rows.loc[over, ["source_key", "kind", "window_start", "ts", id_col, "limit"]]
 
     out = f"source_key string, kind string, window_start timestamp_ntz, ts timestamp_ntz, {id_col} long, limit int"
-    return a.groupBy("source_key", "kind", "window_start").applyInPandasWithState(decide, out, "used int", "append", GroupStateTimeout.EventTimeTimeout)
+    return a.groupBy("source_key", "kind", "span").applyInPandasWithState(decide, out, "starts array<long>, used array<int>", "append", GroupStateTimeout.EventTimeTimeout)
