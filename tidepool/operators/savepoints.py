@@ -2,9 +2,10 @@
 
 A savepoint trigger is polled every five seconds until 120 s after it; every poll looks at the newest manual
 savepoint snapshot created no earlier than one second before the trigger. Triggers and snapshots meet in a
-range join: both carry a time bucket as wide as a trigger's window, a trigger looks into the two buckets its
-window can touch, so the join is an equi-join on (deployment, namespace, bucket) whose groups are bounded by
-one window's snapshots whatever the history.
+range join: both carry a time bucket as wide as a trigger's window, a snapshot stands in its bucket and the one before, and a trigger looks into the bucket
+that its window begins in, so the join is an equi-join on (deployment, namespace, bucket) whose groups are bounded by
+one window's snapshots whatever the history. Triggers are dealt by these keys once: telling them apart, the join, which keeps those without
+a snapshot, and the grouping by trigger all follow that dealing.
 """
 
 from __future__ import annotations
@@ -46,21 +47,23 @@ def manual_snapshots(snapshots: DataFrame) -> DataFrame:
 
 
 def in_window(triggers: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """(trigger, snapshot) for every snapshot created within a trigger's window, one second before it to its deadline."""
+    """Every distinct trigger with each snapshot created within its window, one second before it to its deadline, or with nulls if there is none."""
     width = CREATION_TOLERANCE_MS + DEADLINE_MS + 1
     lo, hi = F.col("trigger_ms") - CREATION_TOLERANCE_MS, F.col("trigger_ms") + DEADLINE_MS
-    t = triggers.select(*TRIGGER, F.explode(F.array_distinct(F.array(F.floor(lo / width), F.floor(hi / width)))).alias("_bucket"))
-    s = manual_snapshots(snapshots).withColumn("_bucket", F.floor(F.col("created_ms") / width))
-    j = t.join(s, ["deployment_name", "namespace", "_bucket"])
-    return j.where((F.col("created_ms") >= lo) & (F.col("created_ms") <= hi)).drop("_bucket")
+    keys = ["deployment_name", "namespace", "_bucket"]
+    t = triggers.select(*TRIGGER, F.floor(lo / width).alias("_bucket")).repartition(*keys).distinct()
+    s = manual_snapshots(snapshots)
+    own = F.floor(F.col("created_ms") / width)
+    s = s.select(*[F.col(c).alias(f"_{c}") if c in TRIGGER else F.col(c) for c in s.columns], F.explode(F.array(own, own - 1)).alias("_at"))
+    met = (F.col("deployment_name") == F.col("_deployment_name")) & (F.col("namespace") == F.col("_namespace")) & (F.col("_bucket") == F.col("_at"))
+    return t.join(s, met & (F.col("created_ms") >= lo) & (F.col("created_ms") <= hi), "left").drop("_deployment_name", "_namespace", "_at")
 
 
 def snapshot_candidate(triggers: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Per trigger: path, result time, completed, failed, failure reason of the newest snapshot of its window."""
+    """Per distinct trigger: path, result time, completed, failed, failure reason of the newest snapshot of its window."""
     fields = ["snapshot_name", "path", "result_ms", "state", "error"]
-    newest = in_window(triggers, snapshots).groupBy(*TRIGGER).agg(
-        F.max_by(F.struct(*fields), F.struct("created_ms", "snapshot_name")).alias("b"))
-    j = triggers.join(newest, TRIGGER, "left")
+    order = F.when(F.col("created_ms").isNotNull(), F.struct("created_ms", "snapshot_name"))
+    j = in_window(triggers, snapshots).groupBy(*TRIGGER, "_bucket").agg(F.max_by(F.struct(*fields), order).alias("b"))
     state = F.col("b.state")
     return j.select(
         *TRIGGER, F.col("b.snapshot_name").alias("snapshot_name"),
@@ -73,7 +76,7 @@ def snapshot_candidate(triggers: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def savepoint_outcome(triggers: DataFrame, snapshots: DataFrame, now_ms: int) -> DataFrame:
-    """What polling gives for every trigger up to ``now_ms``: error (with reason), success, pending or timed out.
+    """What polling gives for every distinct trigger up to ``now_ms``: error (with reason), success, pending or timed out.
 
     A snapshot is seen by the first poll after it is both created and final, unless a newer snapshot exists by then: a completed one
     is final at its result time (and counts only if that is not before the trigger), a failed one carries
@@ -83,14 +86,14 @@ def savepoint_outcome(triggers: DataFrame, snapshots: DataFrame, now_ms: int) ->
     due = triggers.where(t <= now)
     final = F.when(F.col("state") == "FAILED", F.col("created_ms")).when(
         (F.col("state") == "COMPLETED") & F.col("path").isNotNull() & (F.col("result_ms") >= t), F.greatest("created_ms", "result_ms"))
-    newer = F.lead("created_ms").over(Window.partitionBy(*TRIGGER).orderBy("created_ms", "snapshot_name"))
+    newer = F.lead("created_ms").over(Window.partitionBy(*TRIGGER, "_bucket").orderBy("created_ms", "snapshot_name"))
     polls = F.greatest(F.lit(1), F.ceil((final - t) / POLL_INTERVAL_MS))
-    seen = in_window(due, snapshots).withColumn("_newer", newer).where(final.isNotNull()).withColumn("seen_ms", (t + polls * POLL_INTERVAL_MS).cast("long"))
-    seen = seen.where((F.col("seen_ms") <= t + DEADLINE_MS) & (F.col("seen_ms") <= now)
-                      & (F.col("_newer").isNull() | (F.col("_newer") > F.col("seen_ms"))))
-    first = seen.groupBy(*TRIGGER).agg(F.min_by(F.struct("seen_ms", "state", "path", "error"), F.struct("seen_ms", "created_ms", "snapshot_name")).alias("b"))
+    looked = in_window(due, snapshots).withColumn("_newer", newer).withColumn("seen_ms", F.when(final.isNotNull(), (t + polls * POLL_INTERVAL_MS).cast("long")))
+    seen = (F.col("seen_ms") <= t + DEADLINE_MS) & (F.col("seen_ms") <= now) & (F.col("_newer").isNull() | (F.col("_newer") > F.col("seen_ms")))
+    order = F.when(seen, F.struct("seen_ms", "created_ms", "snapshot_name"))
+    first = looked.groupBy(*TRIGGER, "_bucket").agg(F.min_by(F.struct("seen_ms", "state", "path", "error"), order).alias("b"))
     state, deadline = F.col("b.state"), t + DEADLINE_MS
-    return due.join(first, TRIGGER, "left").select(
+    return first.select(
         *TRIGGER,
         F.when(state == "FAILED", "error").when(state == "COMPLETED", "success").when(now < deadline, "pending").otherwise("timed_out").alias("outcome"),
         F.when(state == "FAILED", F.coalesce(F.nullif(F.col("b.error"), F.lit("")), F.lit("unknown error"))).alias("reason"),

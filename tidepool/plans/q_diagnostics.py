@@ -194,8 +194,8 @@ register(
 
 
 def _triggers(spark, sf):
-    """A trigger is named by deployment, namespace and time; requests of the same millisecond are one."""
-    return view(spark, sf, "v_triggers").distinct()
+    """A trigger is named by deployment, namespace and time; the operators take requests of the same millisecond as one."""
+    return view(spark, sf, "v_triggers")
 
 
 @query("snapshot_candidate")
