@@ -52,6 +52,11 @@ class Dialect:
             return f"timestampadd({unit}, {n}, {ts})"
         return f"({ts} + to_{unit.lower()}s(CAST({n} AS BIGINT)))"
 
+    def least_is(self, col: str, value: str) -> str:  # min(col) = 'value' within a group; Spark would sort all rows for the minimum of a string
+        if self.name == "spark":
+            return f"(bool_or({col} = '{value}') AND NOT bool_or({col} < '{value}'))"
+        return f"min({col}) = '{value}'"
+
     def tab(self) -> str:
         return "'\t'" if self.name == "spark" else "chr(9)"
 
@@ -303,7 +308,7 @@ def _savepoints(d: Dialect) -> list[Part]:
                 "l_orderkey * 8 + l_linenumber AS id",
                 "l_orderkey AS deployment_id",
                 f"'s3://flink-job-' || {_s('l_orderkey')} || '/savepoints/savepoint-' || {_s('l_linenumber')} AS path",
-                "CASE WHEN min(l_returnflag) = 'R' THEN 'manual' ELSE 'stop' END AS source",
+                f"CASE WHEN {d.least_is('l_returnflag', 'R')} THEN 'manual' ELSE 'stop' END AS source",
                 "min(l_shipdate) AS created_at",
             ],
             group_by=["l_orderkey", "l_linenumber"],
