@@ -3,10 +3,10 @@
 A poll is one listing of all custom resources. Its records carry the poll's time and the number of its documents; one record without a
 document ends the listing, so an empty one is a poll too. Records may arrive in any number of micro-batches, in any order and more than once.
 
-Spark's own keyed state says when a poll is whole: records are deduplicated by (poll, namespace, name) and counted by poll, both
-in the state store and both dropped once the watermark (``LATENESS`` behind the newest poll) has passed. The counts that
-change come to ``foreachBatch`` in update mode. If a poll became whole that is newer than the last one applied (older ones are superseded), its
-documents are read from its own folder, the registry is read anew, and the rows that changed are written as partition
+Spark's own keyed state says when a poll may be whole: its records are counted in the state store, a row a poll, dropped once the watermark (``LATENESS``
+behind the newest poll) has passed. The counts that change come to ``foreachBatch`` in update mode. Of a poll with enough records that is newer than the
+last one applied (older ones are superseded), the documents are read from its own folder, each (namespace, name) once, so that state
+does not grow with the fleet; if there are as many as the poll has, the registry is read anew, and the rows that changed are written as partition
 ``batch=<id>`` of one table, with one row (of no deployment) for the poll itself. A batch that is run again reads the
 partitions below its own and overwrites its own, so a crash between writing and committing does no harm.
 
@@ -76,21 +76,33 @@ def _records(raw: DataFrame) -> DataFrame:
 
 
 def poll_counts(records: DataFrame) -> DataFrame:
-    """poll_ms, n (distinct documents that have arrived) and n_docs (that the poll has) of a stream of poll records."""
-    field = lambda name: F.get_json_object("doc", f"$.metadata.{name}").alias(name)
-    once = records.select(F.timestamp_millis("poll_ms").alias("at"), "poll_ms", "n_docs", field("namespace"), field("name")) \
-        .withWatermark("at", LATENESS).dropDuplicates(["at", "poll_ms", "namespace", "name"])
-    return once.groupBy("at", "poll_ms").agg(F.count("name").alias("n"), F.max("n_docs").alias("n_docs")).select("poll_ms", "n", "n_docs")
+    """poll_ms, n (records of documents that have arrived, repeated ones too) and n_docs (that the poll has) of a stream of poll records."""
+    at = records.select(F.timestamp_millis("poll_ms").alias("at"), "poll_ms", "n_docs", F.col("doc").isNotNull().alias("some")).withWatermark("at", LATENESS)
+    return at.groupBy("at", "poll_ms").agg(F.count_if("some").alias("n"), F.max("n_docs").alias("n_docs")).select("poll_ms", "n", "n_docs")
+
+
+def _arrived(spark: SparkSession, polls_path: str, poll: int) -> DataFrame:
+    """doc, namespace and name of every record of one poll that has a name, copies too."""
+    docs = _records(spark.read.schema("value string, poll_ms long").text(polls_path).where(F.col("poll_ms") == poll)).where("doc is not null").select("doc")
+    head = F.from_json("doc", "metadata struct<namespace: string, name: string>")
+    return docs.select("doc", head.alias("h")).select("doc", "h.metadata.namespace", "h.metadata.name")
 
 
 def apply_poll(spark: SparkSession, read_registry: Callable[[], DataFrame], counts: DataFrame, batch_id: int, polls_path: str, base: str) -> tuple[int, int] | None:
     """One micro-batch of poll counts: the poll that was applied, if any, and how many deployments it leaves in transition."""
-    poll = counts.where("n >= n_docs").agg(F.max("poll_ms")).first()[0]  # of the polls that the watermark keeps
     last = _log(spark, base, batch_id).where("id is null").agg(F.max("poll_ms")).first()[0]
-    if poll is None or (last is not None and poll <= last):
+    enough = counts.where("n >= n_docs").select("poll_ms", "n_docs").collect()  # of the polls that the watermark keeps
+    poll = None
+    for at, n_docs in sorted(enough, reverse=True):
+        if last is not None and at <= last:
+            return None
+        once = _arrived(spark, polls_path, at).where("name is not null").select("namespace", "name").distinct()
+        if not n_docs or once.count() >= n_docs:
+            poll = at
+            break
+    if poll is None:
         return None
-    docs = _records(spark.read.schema("value string, poll_ms long").text(polls_path).where(F.col("poll_ms") == poll)).where("doc is not null").select("doc")
-    status = FO.cr_status(cluster.parse_documents(docs, S.CR_DDL)).dropDuplicates(["namespace", "name"])
+    status = FO.cr_status(cluster.parse_documents(_arrived(spark, polls_path, poll).select("doc"), S.CR_DDL)).dropDuplicates(["namespace", "name"])
     before = current(FO.live(read_registry()), changes(spark, base, batch_id))
     seen = Observation(f"poll-{batch_id}")
     moving = F.count_if(FL.in_transition(F.col("status"), F.col("pending_action")))
@@ -139,4 +151,4 @@ def write_poll(docs: DataFrame, path: str, poll_ms: int, n_docs: int, last: bool
     if last:
         docs = docs.select("doc").unionByName(docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("doc")))
     rec = F.struct(F.lit(poll_ms).cast("long").alias("poll_ms"), F.lit(n_docs).cast("long").alias("n_docs"), F.col("doc"))
-    docs.select(F.to_json(rec).alias("value")).write.mode("append").text(f"{path}/poll_ms={poll_ms}")
+    docs.select(F.to_json(rec).alias("value")).write.mode("append").option("compression", "gzip").text(f"{path}/poll_ms={poll_ms}")
