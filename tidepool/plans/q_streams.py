@@ -564,7 +564,7 @@ def snapshot_documents(spark, sf):
             "event": (cluster.event_documents(spark, sf), S.EVENT_DDL), "snapshot": (cluster.snapshot_documents(spark, sf), S.SNAPSHOT_DDL)}
     read = {}
     for kind, (df, ddl) in docs.items():
-        df.select("doc").write.text(f"{base}/{kind}")
+        df.select("doc").write.option("compression", "gzip").text(f"{base}/{kind}")
         read[kind] = cluster.read_documents(spark, f"{base}/{kind}", ddl)
     fields = {
         "cr": ("metadata.name", "metadata.namespace", "status.lifecycleState", "status.error"),
@@ -597,7 +597,7 @@ def snapshot_stream(spark, sf):
     later = docs.where(nth % 5 == 2).withColumn("doc", F.regexp_replace("doc", '"lifecycleState":"[A-Z_]*"', '"lifecycleState":"SUSPENDED"'))
     for at, wave in ((POLL_1, docs), (POLL_2, later)):
         cut = wave.where(nth % 7 == 1).select(F.expr("left(doc, 30)").alias("doc"))
-        wave.select("doc").unionByName(cut).write.text(f"{base}/in/poll_ms={at}")
+        wave.select("doc").unionByName(cut).write.option("compression", "gzip").text(f"{base}/in/poll_ms={at}")
         cluster.follow_documents(spark, f"{base}/in", S.CR_DDL, f"{base}/out", f"{base}/ckpt")
     newest = cluster.followed_documents(spark, f"{base}/out", S.CR_DDL).select(F.col("metadata.name").alias("name"), F.col("metadata.namespace").alias("namespace"), F.col("status.lifecycleState").alias("state"), "poll_ms", F.lit(1).cast("long").alias("n"))
     broken = cluster.corrupt_files(spark, f"{base}/out").groupBy("poll_ms").agg(F.sum("n").alias("n"))
