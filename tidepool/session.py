@@ -27,6 +27,10 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
     return spark
 
 
+#: Parts into which rows are dealt before a grouping that holds nearly all of them; with few tasks, each would hold a large share of the input.
+FINE_PARTS = 200
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
