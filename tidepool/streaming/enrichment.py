@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import enrich as E
+from ..session import FINE_PARTS
 from ..sources import topics
 
 
@@ -50,8 +51,8 @@ def read_sink(spark: SparkSession, out: str) -> DataFrame:
 
 
 def once_each(sink: DataFrame, key: str = "key") -> DataFrame:
-    """Every record once: of the copies that several runs emitted, one."""
-    return sink.dropDuplicates([key])
+    """Every record once: of the copies that several runs emitted, one. Whole records are sorted for it, so they are dealt finely."""
+    return sink.repartition(FINE_PARTS, key).dropDuplicates([key])
 
 
 def continuity_audit(sent: DataFrame, received: DataFrame, col: str = "message") -> DataFrame:
