@@ -39,3 +39,26 @@ def test_quantile_of_all_rows_is_the_sorted_one(spark, few, q):
     order = np.lexsort([y, values])
     assert np.mean(pair) == pytest.approx(C.weighted_quantile(values[order], np.where(y == 1, mass[1], mass[0])[order], q))
     assert pair[0] <= pair[1] and rows.where(F.col("s") == pair[0]).count() > 0
+
+
+def test_texts_are_shuffled_once_and_only_of_labelled_rows(spark, monkeypatch):
+    """Op7, disk: no table of texts is written and no join shuffles them; a filter that lets everything through changes nothing."""
+    written = []
+    reread = C.common.reread
+    monkeypatch.setattr(C.common, "reread", lambda df, kind: written.append(df.columns) or reread(df, kind))
+    rows = [(i, f"{'good' if i % 2 else 'bad'} text {i * 7919 % 997} ") for i in range(900)] + [(3, "once more"), (None, "no key"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 == 1)) for i in range(300)] + [(7, 0), (7, 1), (None, 1)], "doc_id long, quality int")
+    model = C.train(docs, labels, per_class=40)
+    assert written == [["s", "y"]]
+    monkeypatch.setattr(C.common, "filter_bits", lambda n: 64)
+    assert np.array_equal(C.train(docs, labels, per_class=40).gram_w, model.gram_w)
+
+
+def test_key_filter_knows_its_keys_and_few_others(spark):
+    bits = C.common.filter_bits(1000)
+    keys = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 2).cast("int").alias("y"))
+    word = C.common.key_word(C.common.key_filter(keys, "k", "y", bits), F.col("k"), bits)
+    hit = C.common.has_mark(word, F.col("k"), (F.col("k") % 2).cast("int"))
+    found = [r["k"] for r in spark.range(20000).select(F.col("id").alias("k")).where(hit).collect()]
+    assert set(range(1000)) <= set(found) and len(found) < 1000 + 19000 * 0.05

@@ -54,6 +54,44 @@ def id_fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
+#: Bits of a key filter at most (8 MB); with more keys it lets more other rows through.
+MOST_BITS = 1 << 26
+
+
+def filter_bits(n: int) -> int:
+    """Bits of a filter of ``n`` keys: a power of two, 8 to 16 a key (about 1 to 4 % of other keys pass) until there are ``MOST_BITS``."""
+    return min(MOST_BITS, max(1 << 12, 1 << (16 * n).bit_length() - 1))
+
+
+def _word(key: Column, bits: int) -> Column:
+    return F.xxhash64(key).bitwiseAND(bits // 64 - 1)
+
+
+def _mask(key: Column, mark: Column) -> Column:
+    """Four bits of a word, for the key and its mark."""
+    h, one = F.xxhash64(key, mark, F.lit(1)), F.lit(1).cast("long")
+    own = [F.call_function("shiftleft", one, F.shiftrightunsigned(h, 6 * i).bitwiseAND(63).cast("int")) for i in range(4)]
+    return own[0].bitwiseOR(own[1]).bitwiseOR(own[2]).bitwiseOR(own[3])
+
+
+def key_filter(marked: DataFrame, key: str, mark: str, bits: int) -> Column:
+    """Bloom filter of (key, mark) as a scalar: an array of ``bits`` / 64 words, of which the key names one and both together four bits there."""
+    words = marked.groupBy(_word(F.col(key), bits).alias("id")).agg(F.bit_or(_mask(F.col(key), F.col(mark))).alias("bits"))
+    every = marked.sparkSession.range(bits // 64).join(words, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("w"))
+    return every.agg(F.transform(F.sort_array(F.collect_list("w")), lambda w: w["bits"])).scalar()  # at most MOST_BITS / 64 words
+
+
+def key_word(words: Column, key: Column, bits: int) -> Column:
+    """The word of the filter that ``key`` names, for ``has_mark``."""
+    return F.get(words, _word(key, bits).cast("int"))
+
+
+def has_mark(word: Column, key: Column, mark: Column) -> Column:
+    """Whether the key may be there with the mark; never false if it is."""
+    own = _mask(key, mark)
+    return word.bitwiseAND(own) == own
+
+
 def sample_ids(rows: DataFrame, key: str, stratum: str, per_stratum: int) -> DataFrame:
     """At most ``per_stratum`` ids of every stratum, those with the smallest id hash.
 

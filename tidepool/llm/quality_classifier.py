@@ -10,7 +10,8 @@ scaled on the learning rows and shifted so that the cut is exactly ``THRESHOLD``
 
 Every labelled row that may be used is learnt from (whole texts). Rows are dealt by the hash of their id into blocks of about ``PER_CLASS`` of
 each label, one Spark group each, so a task holds one block whatever the input; rows of the rarer label go into as many blocks as that takes. A block's weights
-minimise the loss of its pairs, and the model's weights are the mean over all blocks (one-shot parameter mixing). Cut and scale are exact
+minimise the loss of its pairs, and the model's weights are the mean over all blocks (one-shot parameter mixing). Texts are shuffled once, to their blocks, where
+their labels meet them; a Bloom filter of the labels' keys keeps nearly all other texts out, and one that it lets through by chance has no label in its block. Cut and scale are exact
 quantiles of the model's strengths of all learning rows, found by counting in ever finer bins. Scoring is a narrow pass with a fixed-size broadcast.
 
 Defined results: null counts as empty and is scored by the strength of an empty text. Without rows of both
@@ -205,6 +206,14 @@ def ordered_pair(rows: DataFrame, mass: dict[int, float], q: float, few: int = 4
     return own[i][0], own[i][0] if follows is None else follows
 
 
+def _labelled(rows: pa.Table, marked: pa.Table) -> pa.Table:
+    """The rows (_key, _text, _y) whose key and label are among those of ``marked``."""
+    own = set(zip(marked["_key"].to_pylist(), marked["_y"].to_pylist(), strict=True))
+    keep = [x in own for x in zip(rows["_key"].to_pylist(), rows["_y"].to_pylist(), strict=True)]
+    rows = rows.select(["_text", "_y"])
+    return rows if all(keep) else rows.filter(pa.array(keep, pa.bool_()))
+
+
 def _block_weights(table: pa.Table) -> pa.Table:
     """The weights that one block's texts (_text, _y) are fitted to; none for a block without either label."""
     table = table.combine_chunks()
@@ -239,18 +248,25 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     none = (np.zeros(len(SHAPE)), np.zeros(BUCKETS, np.float32), 0.0, 1.0)
     if len(shares) < 2:
         return BradleyTerry(*none, constant=float(1 in shares or not shares))
-    own = marks.where("_key is not null").distinct()
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(own, "_key").select("_text", "_y", F.xxhash64(F.col("_key").cast("string"), F.lit(7)).alias("_h"))
-    rows = common.reread(rows, "labelled")
-    sizes = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}  # two rows at most
+    kind = docs.schema[key].dataType
+    own = marks.where("_key is not null").select(F.col("_key").cast(kind), "_y").distinct()
+    sizes = {r["_y"]: r["count"] for r in docs.select(F.col(key).alias("_key")).join(own, "_key").groupBy("_y").count().collect()}  # two rows at most
     if len(sizes) < 2:
         return BradleyTerry(*none, constant=shares[1] / total)
     blocks = -(-max(sizes.values()) // per_class)
     copies = {y: min(blocks, max(1, per_class * blocks // n)) for y, n in sizes.items()}
-    times = F.when(F.col("_y") == 1, copies[1]).otherwise(copies[0])
-    dealt = rows.select("_text", "_y", F.explode(F.transform(F.sequence(F.lit(0), times - 1), lambda k: F.pmod(F.col("_h") + k, F.lit(blocks)))).alias("_block"))
+    # rows that no label of theirs is known of stay where they are; texts are dealt once
+    bits = common.filter_bits(total)
+    word = common.key_word(common.key_filter(own, "_key", "_y", bits), F.col("_key"), bits)
+    may = [common.has_mark(F.col("_word"), F.col("_key"), F.lit(y)) for y in (0, 1)]
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_key is not null").withColumn("_word", word).where(may[0] | may[1])
+    deal = lambda y: F.transform(F.sequence(F.lit(0), F.lit(copies[y] - 1)), lambda k: F.struct(F.pmod(F.xxhash64(F.col("_key").cast("string"), F.lit(7)) + k, F.lit(blocks)).alias("_block"), F.lit(y).alias("_y")))
+    maybe = lambda y: F.when(may[y], deal(y)).otherwise(F.array().cast("array<struct<_block: bigint, _y: int>>"))
+    dealt = texts.select("_key", "_text", F.explode(F.concat(maybe(0), maybe(1))).alias("d")).select("_key", "_text", "d.*")
+    places = own.select("_key", F.explode(F.when(F.col("_y") == 1, deal(1)).otherwise(deal(0))).alias("d")).select("_key", "d.*")
     # one block of about per_class rows of each label to a group
-    fitted = dealt.repartition(blocks, "_block").groupBy("_block").applyInArrow(lambda table: _block_weights(table.select(["_text", "_y"])), "w array<double>")
+    parted = [x.repartition(blocks, "_block").groupBy("_block") for x in (dealt, places)]
+    fitted = parted[0].cogroup(parted[1]).applyInArrow(lambda rows, marked: _block_weights(_labelled(rows, marked)), "w array<double>")
     # sums of whole numbers do not depend on the order of blocks
     mean = fitted.select(F.posexplode("w").alias("at", "w")).groupBy("at").agg(F.sum(F.round(F.col("w") * 2.0**32).cast("long")).alias("w"), F.count(F.lit(1)).alias("n"))
     w = np.zeros(len(SHAPE) + BUCKETS)
@@ -260,9 +276,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     sent = common.broadcast_value(docs.sparkSession, model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(sent.value.strengths([b or b"" for b in common.utf8(batch.column(0))])), batch.column(1)], names=["s", "y"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.strengths([b or b"" for b in common.utf8(batch.column(1))]))], names=["_key", "s"])
 
-    strengths = common.reread(common.map_arrow(rows, ["_text", "_y"], "s double, y int", run), "strengths")
+    found = common.map_arrow(texts, ["_key", "_text"], f"_key {kind.simpleString()}, s double", run)
+    strengths = common.reread(found.join(own, "_key").select("s", F.col("_y").alias("y")), "strengths")
     model.cut = float(np.mean(ordered_pair(strengths, {y: shares[y] / total / sizes[y] for y in sizes}, shares[0] / total)))
     near, following = ordered_pair(strengths.withColumn("s", F.abs(F.col("s") - F.lit(model.cut))), {0: 1.0, 1: 1.0}, 0.5)
     spread = near if sum(sizes.values()) % 2 else (near + following) / 2
