@@ -189,6 +189,41 @@ def _row(section: str, marks: Column, **fields: Column) -> list[Column]:
     return [(cols[c].cast("long") if c in number else cols[c]).alias(c) for c in SECTION_COLS[1:]]
 
 
+def _pod_marks() -> Column:
+    return _marks(*[F.col(c) for c in ("pod_name", "phase", "node", "reason", "start_time")])
+
+
+def _container_marks(c: Column) -> Column:
+    return _marks(c["name"], c["state"], c["lastState"])
+
+
+def _event_marks() -> Column:
+    return _marks(*[F.col(c) for c in ("reason", "message", "type", "object_kind", "object_name", "first_seen", "last_seen")])
+
+
+def _status_marks() -> Column:
+    return _marks(*[F.col(c) for c in ("lifecycle_state", "jm_status", "job_text", "error")])
+
+
+def marked_sections(deployments: DataFrame, cr: DataFrame, pods: DataFrame, events: DataFrame) -> DataFrame:
+    """What ``recommendations`` needs of ``sections``: id, section, position and marks, of each status and of the pods and events with a marker.
+
+    Every text is searched where it is read, so joins shuffle names and bits and no texts; the containers of a pod are part of it.
+    """
+    from .fleet import cr_status
+
+    names = deployments.select("id", "deployment_name", "namespace")
+    status = cr_status(cr, keep=[F.col("status.jobStatus").alias("job_text")]).select(F.col("name").alias("deployment_name"), "namespace", _status_marks().alias("marks"))
+    st = names.join(status, ["deployment_name", "namespace"]).select("id", F.lit("status").alias("section"), F.lit(0).cast("long").alias("position"), "marks")
+    none = F.lit(None).cast("long").alias("position")
+    bits = F.aggregate("containers", _pod_marks(), lambda acc, c: acc.bitwiseOR(_container_marks(c)))
+    by_app = pod_health(pods).select(F.col("app").alias("deployment_name"), "namespace", bits.alias("marks")).where("marks <> 0").groupBy("deployment_name", "namespace").agg(F.bit_or("marks").alias("marks"))
+    pod = by_app.join(names, ["deployment_name", "namespace"]).select("id", F.lit("pod").alias("section"), none, "marks")
+    by_uid = event_view(events).select("uid", _event_marks().alias("marks")).where("marks <> 0").groupBy("uid").agg(F.bit_or("marks").alias("marks"))
+    ev = related_events(names, events).join(by_uid, "uid").select("id", F.lit("event").alias("section"), none, "marks")
+    return st.unionByName(pod).unionByName(ev)
+
+
 def sections(deployments: DataFrame, cr: DataFrame, pods: DataFrame, events: DataFrame) -> DataFrame:
     """One row per status, condition, pod, container and related event of each deployment.
 
@@ -202,7 +237,7 @@ def sections(deployments: DataFrame, cr: DataFrame, pods: DataFrame, events: Dat
     names = deployments.select("id", "deployment_name", "namespace")
     status = cr_status(cr, keep=[F.col("status.jobStatus").alias("job_text"), F.col("status.conditions").alias("conditions")])
     st = names.join(status.withColumnRenamed("name", "deployment_name").withColumn("has_cr", F.lit(True)), ["deployment_name", "namespace"], "left")
-    state = _row("status", _marks(*[F.col(c) for c in ("lifecycle_state", "jm_status", "job_text", "error")]),
+    state = _row("status", _status_marks(),
                  name=F.when(F.col("has_cr"), F.col("lifecycle_state")).otherwise("DELETED"), kind=F.col("jm_status"), state=F.col("job_state"),
                  reason=F.col("upgrade_path"), message=F.col("error"), n=F.col("n_history"), position=F.when(F.col("has_cr"), 0))
     cond = F.transform(F.coalesce("conditions", F.array().cast(f"array<{S.CONDITION}>")), lambda c, i: F.struct(*_row(
@@ -210,15 +245,15 @@ def sections(deployments: DataFrame, cr: DataFrame, pods: DataFrame, events: Dat
         at=_blank(c["lastTransitionTime"]), position=i)))
     st_rows = st.select("id", F.explode(F.concat(F.array(F.struct(*state)), cond)).alias("r"))
     ph = pod_health(pods).join(names.withColumnRenamed("deployment_name", "app"), ["app", "namespace"])
-    pod = _row("pod", _marks(*[F.col(c) for c in ("pod_name", "phase", "node", "reason", "start_time")]), name=F.col("pod_name"), state=F.col("phase"),
+    pod = _row("pod", _pod_marks(), name=F.col("pod_name"), state=F.col("phase"),
                kind=F.col("node"), reason=F.col("reason"), at=F.col("start_time"), n=F.col("restart_count"))
     box = F.transform("containers", lambda c, i: F.struct(*_row(
-        "container", _marks(c["name"], c["state"], c["lastState"]), name=F.concat_ws("/", F.col("pod_name"), c["name"]), state=c["state"], reason=c["lastState"],
+        "container", _container_marks(c), name=F.concat_ws("/", F.col("pod_name"), c["name"]), state=c["state"], reason=c["lastState"],
         message=c["ready"].cast("string"), n=F.coalesce(c["restartCount"], F.lit(0)), position=i)))
     pod_rows = ph.select("id", F.explode(F.concat(F.array(F.struct(*pod)), box)).alias("r"))
     ev = related_events(names, events).join(event_view(events), "uid")
     ev_rows = ev.select("id", F.struct(*_row(
-        "event", _marks(*[F.col(c) for c in ("reason", "message", "type", "object_kind", "object_name", "first_seen", "last_seen")]),
+        "event", _event_marks(),
         name=F.col("object_name"), kind=F.col("object_kind"), state=F.col("type"), reason=F.col("reason"), message=F.col("message"),
         at=F.coalesce("last_seen", "first_seen"), n=F.col("count"), position=F.col("uid"))).alias("r"))
     return st_rows.unionByName(pod_rows).unionByName(ev_rows).select("id", "r.*")

@@ -143,13 +143,13 @@ texts AS (SELECT * FROM (SELECT * FROM st UNION ALL SELECT * FROM pt UNION ALL S
 recs AS ({_FIRED})"""
 
 
-def _sections(spark, sf):
-    return D.sections(_registry(spark, sf), cluster.custom_resources(spark, sf), cluster.pods(spark, sf), cluster.k8s_events(spark, sf))
+def _sections(spark, sf, build=D.sections):
+    return build(_registry(spark, sf), cluster.custom_resources(spark, sf), cluster.pods(spark, sf), cluster.k8s_events(spark, sf))
 
 
 @query("recommendations")
 def recommendations(spark, sf):
-    return D.recommendations(_sections(spark, sf)).select("id", "rule_order", "severity", "reason", "message")
+    return D.recommendations(_sections(spark, sf, D.marked_sections)).select("id", "rule_order", "severity", "reason", "message")
 
 
 register("recommendations", f"WITH {RECS_SQL} SELECT id, rule_order, severity, reason, message FROM recs")
