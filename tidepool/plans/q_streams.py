@@ -592,12 +592,13 @@ register(
 def snapshot_stream(spark, sf):
     """Two listings of custom resources that arrive as files, some cut short: the newest document of each, and the number of broken texts of each listing."""
     base = scratch_path(spark, "snapshots")
-    docs = cluster.cr_file_documents(spark, sf).select("doc").withColumn("name", F.get_json_object("doc", "$.metadata.name"))
+    # each document is built once a listing: the name it is chosen and cut by comes with it
+    docs = cluster.cr_file_documents(spark, sf, keep=("name",))
     nth = F.split_part("name", F.lit("-"), F.lit(2)).cast("long")
     later = docs.where(nth % 5 == 2).withColumn("doc", F.regexp_replace("doc", '"lifecycleState":"[A-Z_]*"', '"lifecycleState":"SUSPENDED"'))
     for at, wave in ((POLL_1, docs), (POLL_2, later)):
-        cut = wave.where(nth % 7 == 1).select(F.expr("left(doc, 30)").alias("doc"))
-        wave.select("doc").unionByName(cut).write.option("compression", "gzip").text(f"{base}/in/poll_ms={at}")
+        texts = F.when(nth % 7 == 1, F.array("doc", F.expr("left(doc, 30)"))).otherwise(F.array("doc"))
+        wave.select(F.explode(texts).alias("doc")).write.option("compression", "gzip").text(f"{base}/in/poll_ms={at}")
         cluster.follow_documents(spark, f"{base}/in", S.CR_DDL, f"{base}/out", f"{base}/ckpt")
     newest = cluster.followed_documents(spark, f"{base}/out", S.CR_DDL).select(F.col("metadata.name").alias("name"), F.col("metadata.namespace").alias("namespace"), F.col("status.lifecycleState").alias("state"), "poll_ms", F.lit(1).cast("long").alias("n"))
     broken = cluster.corrupt_files(spark, f"{base}/out").groupBy("poll_ms").agg(F.sum("n").alias("n"))

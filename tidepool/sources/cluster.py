@@ -74,7 +74,8 @@ def _json(c: Column) -> Column:
     return F.to_json(c).alias("doc")
 
 
-def cr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cr_documents(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc, and the columns ``keep`` of the view it is made of; a filter on them needs no documents."""
     v = view(spark, sf_dir, "v_cr")
     cond = F.transform(
         F.sequence(F.lit(0), F.col("n_conditions") - 1),
@@ -107,17 +108,17 @@ def cr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             conditions.alias("conditions"),
         ).alias("status"),
     )
-    return v.select(_json(doc))
+    return v.select(_json(doc), *keep)
 
 
-def cr_file_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cr_file_documents(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """The documents as the cluster writes them: an error that is an object is one, not its text."""
-    docs = cr_documents(spark, sf_dir)
+    docs = cr_documents(spark, sf_dir, keep)
     error = F.get_json_object("doc", "$.status.error")
     quoted = F.to_json(F.struct(error.alias("error")))
     inner = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
     as_object = F.replace(F.col("doc"), inner, F.concat(F.lit('"error":'), error))
-    return docs.select(F.when(error.startswith("{"), as_object).otherwise(F.col("doc")).alias("doc"))
+    return docs.select(F.when(error.startswith("{"), as_object).otherwise(F.col("doc")).alias("doc"), *keep)
 
 
 def custom_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
