@@ -63,6 +63,20 @@ def test_long_sequences_against_a_plain_fold(spark):
     assert _fold(spark, [], reg) == {}
 
 
+@pytest.mark.parametrize("whole", [3, AN.WHOLE])
+def test_savepoint_of_an_earlier_hour_is_newer(spark, whole):
+    """Rows that name a savepoint find it in their own deployment only, whole or dealt by hours; repeated registry and savepoint rows repeat the events."""
+    reg = [(1, "a", "application", "failed", None), (2, "b", "application", "failed", None), (3, "c", "application", "failed", None), (3, "c", "application", "failed", None)]
+    sp = [(7, 1, "s3://one", datetime(2024, 1, 2)), (7, 2, "s3://two", datetime(2024, 1, 1)), (8, 2, "s3://new", datetime(2024, 1, 2)), (9, 3, "s3://c", None), (9, 3, None, None)]
+    events = [_event(10 * k + i, n, i * HOUR, kind, 7 if kind == "resume" else None, path="s3://later" if kind == "snapshot" else None)
+              for k, n in enumerate(["a", "b", "ghost"]) for i, kind in enumerate(["resume", "saw:failed", "snapshot", "resume", "saw:failed", "resume"])]
+    got = _fold(spark, events, reg, sp, whole)
+    assert [got[i]["start_from"] for i in (0, 3, 5)] == ["latest", "path:s3://one", "path:s3://one"] and [got[i]["start_from"] for i in (10, 13)] == ["path:s3://two"] * 2
+    assert {got[i]["outcome"] for i in range(20, 26)} == {"not found: deployment"} and all(got[i]["status"] is None and got[i]["source"] is None for i in range(20, 26))
+    out = AN.fold_actions(spark.createDataFrame([_event(1, "c", 1, "resume", 9)], EVENTS), spark.createDataFrame(reg, REGISTRY), spark.createDataFrame(sp, SAVEPOINTS), whole)
+    assert sorted(r["outcome"] for r in out.collect()) == ["accepted", "conflict: operation in progress", "not found: savepoint", "not found: savepoint"]
+
+
 def test_few_candidates_are_left_to_shuffle(spark):
     names = spark.range(3000).select(F.col("id"), F.concat(F.lit("job-"), (F.col("id") * 7919 % 100000).cast("string")).alias("deployment_name"), F.lit("default").alias("namespace"))
     texts = spark.range(2000).select(F.col("id").alias("uid"), F.lit("default").alias("namespace"), F.concat(F.lit("container job-"), (F.col("id") * 31 % 100000).cast("string"), F.lit("-x failed in job-run-0123456789-abc")).alias("t"))

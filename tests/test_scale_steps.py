@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tidepool.operators import access as AC
+from tidepool.operators import actions as AN
 from tidepool.operators import config_rules as CR
 from tidepool.operators import diagnostics as D
 from tidepool.operators import savepoints as SP
@@ -76,3 +77,20 @@ def test_rows_are_dealt_finely_before_they_are_held(spark):
     assert [tuple(r) for r in CR.duplicate_keys("k", df, ["key"]).collect()] == [("k", "a", 2)]
     assert "REPARTITION_BY_NUM" in _plan(CR.duplicate_keys("k", df, ["key"])) and "REPARTITION_BY_NUM" in _plan(EN.once_each(df))
     assert EN.once_each(df).count() == 3
+
+
+def test_an_event_is_dealt_once(spark):
+    """Of the exchanges of a fold (not counting those read again), one holds the events, and none of those of long deployments or of savepoints is repeated."""
+    events = spark.createDataFrame([(i, f"d{i % 5}", 3_600_000 * i, "resume" if i % 3 else "snapshot", 10 + i % 5 if i % 3 == 1 else None, False, "s3://x") for i in range(60)],
+                                   "event_id long, deployment_name string, at_ms long, kind string, savepoint_id long, skip_savepoint boolean, path string")
+    registry = spark.createDataFrame([(i, f"d{i}", "application", "failed", None) for i in range(4)], "id long, deployment_name string, deployment_mode string, status string, pending_action string")
+    savepoints = spark.createDataFrame([(10 + i, i, "s3://p", dt.datetime(2024, 1, 1)) for i in range(4)], "id long, deployment_id long, path string, created_at timestamp_ntz")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for whole, most in ((AN.WHOLE, 6), (5, 11)):
+            df = AN.fold_actions(events, registry, savepoints, whole)
+            assert len(df.collect()) == 60
+            plan = _plan(df).split("== Initial Plan ==")[0]
+            assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= most
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

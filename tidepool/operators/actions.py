@@ -4,17 +4,18 @@ Every deployment has a sequence of events: requests (stop, resume, savepoint, de
 (job states, finished snapshots). A request is accepted or rejected with a reason by the status and the pending action it meets, an accepted one
 sets the pending action, and an observation resolves it; so the events are an ordered fold.
 
-**Scale.** What the fold keeps is one of 45 states (nine statuses, five pending actions), so a stretch of events is a map from states to
-states, and stretches compose. A deployment with more than ``WHOLE`` events is dealt by their hours: each hour gets its map (45
-short folds in the row), the maps are folded in order (one small array for an hour, not for an event), and every hour is replayed from the state it starts in. Events
-are thus collected by deployment and hour, or ``WHOLE`` at most. The rules are one table of transitions, a fixed array in the plan.
+**Scale.** Events and registry meet by name, and the fold follows that dealing: an event crosses the network once, with its deployment's name, and only
+one that names a savepoint goes to the savepoints of its deployment and back. What the fold keeps is one of 45 states (nine statuses, five pending
+actions), so a stretch of events is a map from states to states, and stretches compose. A deployment with more than ``WHOLE`` events is dealt by its hours:
+each hour gets its map (a short fold from each state in the row), the maps are folded in order (two small arrays for an hour, not for an event), and every hour is replayed
+from the state it starts in. Events are thus collected by deployment and hour, or ``WHOLE`` at most. The rules are tables of transitions, fixed arrays in the plan.
 """
 
 from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fleet as FL
@@ -66,14 +67,15 @@ def transition(status: str, pending: str, kind: str) -> tuple[str, str, str]:
     return ("synced", seen, "") if seen != status else ("unchanged", status, pending)
 
 
-def _tables() -> tuple[list[list[int]], list[list[int]]]:
-    """Next state and outcome by kind and state, as numbers."""
-    after, outcome = [], []
+def _tables() -> tuple[list[list[int]], list[list[int]], list[list[int]]]:
+    """By kind and state, as numbers: the next state, the outcome, and whether a graceful stop resolves in it."""
+    after, outcome, stops = [], [], []
     for kind in KINDS:
         found = [transition(*state, kind) for state in STATES]
         after.append([STATES.index((status, pending)) for _, status, pending in found])
         outcome.append([OUTCOMES.index(o) for o, _, _ in found])
-    return after, outcome
+        stops.append([int(o == "resolved" and pending == "stop" and status == FL.SUSPENDED) for (o, status, _), (_, pending) in zip(found, STATES, strict=True)])
+    return after, outcome, stops
 
 
 def _numbers(rows: list[list[int]]) -> Column:
@@ -89,6 +91,23 @@ def _name(names: list[str], number: Column) -> Column:
     return F.get(F.lit(names), number)
 
 
+def _with_savepoints(asked: DataFrame, savepoints: DataFrame) -> DataFrame:
+    """Events that name a savepoint, a row for each of that id in their deployment (or one with nulls): ``chosen_path`` and the deployment's ``newest_id``.
+
+    Events and savepoints are dealt by deployment together, once, and go on by the events' names.
+    """
+    none = lambda t: F.lit(None).cast(t)
+    # an event of no deployment stays by itself
+    asking = asked.select("deployment_id", F.when(F.col("deployment_id").isNull(), F.xxhash64("event_id")).alias("alone"), "savepoint_id", F.struct(*asked.columns).alias("event"))
+    stored = savepoints.where("deployment_id is not null").select("deployment_id", none("long").alias("alone"), F.col("id").alias("savepoint_id"), F.struct("created_at", "path").alias("stored"))
+    is_stored = F.col("stored").isNotNull()
+    newest = F.max(F.when(is_stored, F.struct("stored.created_at", "savepoint_id"))).over(Window.partitionBy("deployment_id", "alone"))["savepoint_id"]
+    chosen = F.collect_list(F.when(is_stored, F.struct("stored.path"))).over(Window.partitionBy("deployment_id", "alone", "savepoint_id"))
+    both = asking.unionByName(stored, allowMissingColumns=True).repartition("deployment_id", "alone").withColumn("chosen", chosen).withColumn("newest_id", newest)
+    found = both.where("event is not null").select("event.*", "newest_id", F.explode_outer("chosen").alias("found"))
+    return found.withColumn("chosen_path", F.col("found.path")).drop("found").repartition("deployment_name")
+
+
 def fold_actions(events: DataFrame, registry: DataFrame, savepoints: DataFrame, whole: int = WHOLE) -> DataFrame:
     """Every event with its outcome: event_id, deployment_name, kind, outcome, start_from, status, pending_action, savepoint_path, source.
 
@@ -98,12 +117,11 @@ def fold_actions(events: DataFrame, registry: DataFrame, savepoints: DataFrame,
     ``start_from`` of an accepted resume is stateless, ``path:<p>`` of a chosen savepoint that is not the newest, or latest. A graceful stop that resolves with a path and a finished
     snapshot leave a savepoint (``savepoint_path`` with its ``source``); it is then the newest one.
     """
-    after, outcome = (_numbers(t) for t in _tables())
+    after, outcome, stops = (_numbers(t) for t in _tables())
     reg = registry.select(F.col("id").alias("deployment_id"), "deployment_name", F.col("deployment_mode").alias("mode"),
                           (F.array_position(F.lit(STATUSES), F.col("status")) - 1).cast("int").alias("s0"), (F.array_position(F.lit(PENDING), F.coalesce("pending_action", F.lit(""))) - 1).cast("int").alias("p0"))
-    chosen = savepoints.select(F.col("id").alias("savepoint_id"), "deployment_id", F.col("path").alias("chosen_path"))
-    newest = savepoints.groupBy("deployment_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("newest_id"))
-    e = events.join(reg, "deployment_name", "left").join(chosen, ["savepoint_id", "deployment_id"], "left").join(newest, "deployment_id", "left")
+    plain = events.where("savepoint_id is null").join(reg, "deployment_name", "left").withColumns({"newest_id": F.lit(None).cast("long"), "chosen_path": F.lit(None).cast("string")})
+    e = plain.unionByName(_with_savepoints(events.where("savepoint_id is not null").join(reg, "deployment_name", "left"), savepoints))
     kind = F.col("kind")
     skip = F.coalesce("skip_savepoint", F.lit(False))
     by_mode = kind.isin("stop", "force_stop", "savepoint", "resume")
@@ -113,35 +131,43 @@ def fold_actions(events: DataFrame, registry: DataFrame, savepoints: DataFrame,
     then = F.when((kind == "resume") & F.col("savepoint_id").isNotNull() & ~skip & F.col("chosen_path").isNull(), "not found: savepoint")
     number = (F.array_position(F.lit(KINDS), kind) - 1).cast("int")
     # a request that is rejected whatever the state leaves it as it is
+    e = e.withColumn("long", F.count(F.lit(1)).over(Window.partitionBy("deployment_name")) > whole)
     e = e.withColumn("first", first).withColumn("then", then).withColumn("number", F.when(F.col("first").isNull() & F.col("then").isNull(), number))
-    sizes = e.where("deployment_id is not null").groupBy("deployment_id").agg((F.count(F.lit(1)) > whole).alias("long"))
-    known = e.join(sizes, "deployment_id").withColumn("hour", F.when(F.col("long"), F.floor(F.col("at_ms") / MILLIS)).otherwise(0))
     item = F.struct("at_ms", "event_id", "number", number.alias("asked"), "kind", "savepoint_id", skip.alias("skip"), "chosen_path", "newest_id", "path", "first", "then")
-    # the events of one deployment in one hour
-    stretches = known.groupBy("deployment_id", "hour").agg(F.first("deployment_name").alias("deployment_name"), F.first("long").alias("long"), F.first((F.col("s0") * len(PENDING) + F.col("p0"))).alias("start"), F.sort_array(F.collect_list(item)).alias("items"))
+    collected = [F.first(F.when(F.col("deployment_id").isNotNull(), F.col("s0") * len(PENDING) + F.col("p0"))).alias("start"), F.sort_array(F.collect_list(item)).alias("items")]
     step = lambda state, x: F.when(x["number"].isNull(), state).otherwise(_at(after, x["number"], state))
-    maps = stretches.where("long").select("deployment_id", "hour", "start", F.transform(F.sequence(F.lit(0), F.lit(len(STATES) - 1)), lambda s: F.aggregate("items", s, step)).alias("map"))
-    steps = maps.groupBy("deployment_id").agg(F.first("start").alias("start"), F.sort_array(F.collect_list(F.struct("hour", "map"))).alias("maps"))
-    entered = F.aggregate("maps", F.array(F.col("start")), lambda acc, m: F.concat(acc, F.array(F.get(m["map"], F.element_at(acc, -1)))))
-    entries = steps.select("deployment_id", F.explode(F.arrays_zip(F.col("maps.hour").alias("hour"), F.slice(entered, 1, F.size("maps")).alias("state"))).alias("z")).select("deployment_id", "z.hour", "z.state")
-    begun = stretches.join(entries, ["deployment_id", "hour"], "left").withColumn("state", F.coalesce("state", "start"))
+    # a savepoint that an event leaves, by the state it meets; none by an event of no deployment
+    manual = lambda x: (x["kind"] == "snapshot") & x["path"].isNotNull() & x["first"].isNull()
+    stop = lambda x, state: F.coalesce((_at(stops, x["number"], state) == 1) & x["path"].isNotNull(), F.lit(False))
+    key = ["deployment_name", "deployment_id"]
+    whole_ones = e.where(~F.col("long")).groupBy(*key).agg(*collected).select(*key, "items", F.col("start").alias("state"), F.lit(False).alias("left_before"))
+    # the events of one long deployment in one hour; events of none are not folded and need no company
+    hour = F.when(F.col("deployment_id").isNotNull(), F.floor(F.col("at_ms") / MILLIS)).otherwise(F.xxhash64("event_id"))
+    # the key is one value that is never null: a null test on its parts would go below the exchange, which could then not be read again
+    long_ones = e.where("long").withColumns({"who": F.struct(*key), "hour": hour})
+    stretches = long_ones.repartition("who", "hour").groupBy("who", "hour").agg(*collected)
+    # from every state (a null makes them nullable: an unknown kind leads to none), the state after a stretch and whether a savepoint is left in it
+    through = lambda s: F.aggregate("items", F.struct(s.alias("state"), F.lit(False).alias("left")), lambda acc, x: F.struct(
+        step(acc["state"], x).alias("state"), (acc["left"] | manual(x) | stop(x, acc["state"])).alias("left")))
+    maps = stretches.where("start is not null").select("who", "hour", "start", F.transform(F.lit([*range(len(STATES)), None]), through).alias("m"))
+    maps = maps.select("who", "start", F.struct("hour", F.col("m.state").alias("state"), F.col("m.left").alias("left")).alias("m"))
+    steps = maps.groupBy("who").agg(F.first("start").alias("start"), F.sort_array(F.collect_list("m")).alias("maps"))
+    entered = F.aggregate("maps", F.array(F.struct(F.col("start").alias("state"), F.lit(False).alias("left"))), lambda acc, m: F.concat(acc, F.array(F.struct(
+        F.get(m["state"], F.element_at(acc, -1)["state"]).alias("state"), (F.element_at(acc, -1)["left"] | F.coalesce(F.get(m["left"], F.element_at(acc, -1)["state"]), F.lit(False))).alias("left")))))
+    entries = steps.select("who", F.explode(F.arrays_zip(F.col("maps.hour").alias("hour"), F.slice(entered, 1, F.size("maps")).alias("entry"))).alias("z")).select("who", "z.hour", "z.entry")
+    begun = stretches.join(entries, ["who", "hour"], "left").select("who.*", "items", F.coalesce("entry.state", "start").alias("state"), F.coalesce("entry.left", F.lit(False)).alias("left_before"))
     states = F.aggregate("items", F.array(F.col("state")), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
-    done = begun.withColumn("states", states).select("deployment_id", "deployment_name", "states", F.posexplode("items").alias("i", "x"))
-    done = done.select("deployment_id", "deployment_name", F.get("states", F.col("i")).alias("before"), F.get("states", F.col("i") + 1).alias("after"), "x.*")
+    left = F.array_min(F.zip_with("items", F.slice("states", 1, F.size("items")), lambda x, state: F.when(manual(x) | stop(x, state), F.struct(x["at_ms"].alias("at_ms"), x["event_id"].alias("event_id")))))
+    done = whole_ones.unionByName(begun).withColumn("states", states).withColumn("left", left).select(*key, "states", "left", "left_before", F.posexplode("items").alias("i", "x"))
+    done = done.select(*key, "left", "left_before", F.get("states", F.col("i")).alias("before"), F.get("states", F.col("i") + 1).alias("after"), "x.*")
     # with a chosen savepoint that is missing, what the state objects to comes first
     by_state = _name(OUTCOMES, _at(outcome, F.col("asked"), F.col("before")))
     done = done.withColumn("outcome", F.when(F.col("first").isNotNull(), F.col("first")).when(F.col("then").isNotNull() & (by_state == "accepted"), F.col("then")).otherwise(by_state))
     stopped = (F.col("outcome") == "resolved") & (_name([p for _, p in STATES], F.col("before")) == "stop") & (_name([s for s, _ in STATES], F.col("after")) == FL.SUSPENDED)
-    made = F.when((F.col("kind") == "snapshot") & F.col("path").isNotNull(), "manual").when(stopped & F.col("path").isNotNull(), "stop")
-    done = done.withColumn("source", made)
-    left = done.where("source is not null").groupBy("deployment_id").agg(F.min(F.struct("at_ms", "event_id")).alias("left"))
-    done = done.join(left, "deployment_id", "left")
-    older = F.coalesce(F.col("savepoint_id") != F.col("newest_id"), F.lit(True)) | F.coalesce(F.col("left") < F.struct("at_ms", "event_id"), F.lit(False))
+    known = F.col("deployment_id").isNotNull() & F.col("path").isNotNull()
+    done = done.withColumn("source", F.when((kind == "snapshot") & known, "manual").when(stopped & known, "stop"))
+    older = F.coalesce(F.col("savepoint_id") != F.col("newest_id"), F.lit(True)) | F.col("left_before") | F.coalesce(F.col("left") < F.struct("at_ms", "event_id"), F.lit(False))
     start_from = F.when((F.col("kind") == "resume") & (F.col("outcome") == "accepted"),
                         F.when(F.col("skip"), "stateless").when(F.col("savepoint_id").isNotNull() & older, F.concat(F.lit("path:"), "chosen_path")).otherwise("latest"))
-    done = done.select("event_id", "deployment_name", "kind", "outcome", start_from.alias("start_from"), _name([s for s, _ in STATES], F.col("after")).alias("status"),
+    return done.select("event_id", "deployment_name", "kind", "outcome", start_from.alias("start_from"), _name([s for s, _ in STATES], F.col("after")).alias("status"),
                        F.nullif(_name([p for _, p in STATES], F.col("after")), F.lit("")).alias("pending_action"), F.when(F.col("source").isNotNull(), F.col("path")).alias("savepoint_path"), "source")
-    none = F.lit(None).cast("string")
-    lost = e.where("deployment_id is null").select("event_id", "deployment_name", "kind", F.col("first").alias("outcome"), none.alias("start_from"), none.alias("status"), none.alias("pending_action"),
-                                                   none.alias("savepoint_path"), none.alias("source"))
-    return done.unionByName(lost)
