@@ -10,6 +10,7 @@ from tidepool.operators import config_rules as CR
 from tidepool.operators import diagnostics as D
 from tidepool.operators import savepoints as SP
 from tidepool.session import list_names, scratch_path
+from tidepool.sources import topics
 from tidepool.sources.views import SPARK, VIEWS
 from tidepool.streaming import enrichment as EN
 from tidepool.streaming import reconcile as RS
@@ -94,3 +95,15 @@ def test_an_event_is_dealt_once(spark):
             assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= most
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_topic_and_sink_files_are_compressed(spark, monkeypatch):
+    base = scratch_path(spark, "test-files")
+    monkeypatch.setattr(topics, "FILE_RECORDS", 10)
+    rows = spark.range(0, 25, 1, 1).select("id", topics.encode_message(F.concat(F.lit("m-"), F.col("id").cast("string"))).alias("value"))
+    topics.write_topic(rows, f"{base}/topic")
+    parts = [n for n in list_names(spark, f"{base}/topic") if n.startswith("part-")]
+    assert len(parts) == 3 and all(n.endswith(".gz") for n in parts)
+    EN.start(spark, f"{base}/topic", f"{base}/out", f"{base}/c").awaitTermination()
+    assert all(".zstd." in n for n in list_names(spark, f"{base}/out/run=0/batch=0") if n.startswith("part-"))
+    assert sorted((r["key"], r["message_upper"]) for r in EN.read_sink(spark, f"{base}/out").collect()) == sorted((str(i), f"M-{i}") for i in range(25))

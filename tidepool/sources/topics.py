@@ -45,6 +45,8 @@ def kafka_sink_options(bootstrap: str, topic: str = SINK_TOPIC) -> dict[str, str
 
 RECORD_DDL = "key string, value string, topic string, partition int, offset long, timestamp long"
 RECORD = ["key", "value", "topic", "partition", "offset", "timestamp"]
+#: Records in one compressed file of the twin at most; a task reads a whole file.
+FILE_RECORDS = 100_000
 
 
 def read_topic_stream(spark: SparkSession, *, bootstrap: str | None = None, path: str | None = None,
@@ -88,14 +90,14 @@ def encode_json(df: DataFrame) -> DataFrame:
 
 
 def write_topic(df: DataFrame, path: str, key_col: str = "id", value_col: str = "value", topic: str = SOURCE_TOPIC) -> None:
-    """Append records to the topic twin as JSON lines (one new file set per call).
+    """Append records to the topic twin as compressed JSON lines (one new file set per call).
 
     partition, offset and timestamp (epoch ms) are taken from ``df`` where it has them, else null.
     """
     own = {c: F.col(c) if c in df.columns else F.lit(None) for c in ("partition", "offset", "timestamp")}
     rec = F.to_json(F.struct(F.col(key_col).cast("string").alias("key"), F.col(value_col).alias("value"), F.lit(topic).alias("topic"),
                              own["partition"].cast("int").alias("partition"), own["offset"].cast("long").alias("offset"), own["timestamp"].cast("long").alias("timestamp")))
-    df.select(rec.alias("value")).write.mode("append").text(path)
+    df.select(rec.alias("value")).write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def write_sink(df: DataFrame, *, bootstrap: str | None = None, path: str | None = None, topic: str = SINK_TOPIC) -> None:

@@ -27,7 +27,7 @@ def start(spark: SparkSession, source_path: str, out: str, checkpoint: str, run:
     """Start the query; ``every`` is a processing-time interval, without it the query ends when the topic is read."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/run={run}/batch={batch_id}")
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/run={run}/batch={batch_id}")
 
     w = enrichment_stream(spark, source_path).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
