@@ -9,6 +9,7 @@ from tidepool.operators import actions as AN
 from tidepool.operators import config_rules as CR
 from tidepool.operators import diagnostics as D
 from tidepool.operators import savepoints as SP
+from tidepool.plans import q_streams as QS
 from tidepool.session import list_names, scratch_path
 from tidepool.sources import topics
 from tidepool.sources.views import SPARK, VIEWS
@@ -107,3 +108,23 @@ def test_topic_and_sink_files_are_compressed(spark, monkeypatch):
     EN.start(spark, f"{base}/topic", f"{base}/out", f"{base}/c").awaitTermination()
     assert all(".zstd." in n for n in list_names(spark, f"{base}/out/run=0/batch=0") if n.startswith("part-"))
     assert sorted((r["key"], r["message_upper"]) for r in EN.read_sink(spark, f"{base}/out").collect()) == sorted((str(i), f"M-{i}") for i in range(25))
+
+
+def test_copies_are_dealt_once(spark):
+    """One of each record, its copies and its runs from one exchange, and a key that is null counts like others."""
+    rows = [("1", "a", 0), ("1", "a", 1), ("1", "a", 1), ("2", "b", 1), (None, "c", 0), (None, "c", 1)]
+    df = spark.createDataFrame([(k, m, run, 0) for k, m, run in rows], "key string, message string, run int, batch int")
+    out = EN.emissions(df)
+    assert out.columns == ["key", "message", "copies", "runs"]
+    assert {tuple(r) for r in out.collect()} == {("1", "a", 3, 2), ("2", "b", 1, 1), (None, "c", 2, 2)}
+    assert _plan(EN.emissions(df)).count("Exchange") == 1
+
+
+def test_a_restarted_stream_has_no_join(spark, monkeypatch):
+    base = scratch_path(spark, "test-restart")
+    records = spark.range(40).select("id", topics.encode_message(F.concat(F.lit("m-"), F.col("id").cast("string"))).alias("value"))
+    monkeypatch.setattr(QS, "_topic_parts", lambda spark, sf: [records.where(F.col("id") % 3 == i) for i in range(3)])
+    monkeypatch.setattr(QS, "scratch_path", lambda spark, kind: f"{base}/{kind}")
+    out = QS.restarted_stream(spark, "")
+    assert sorted((r["id"], r["message_upper"], r["copies"], r["runs"]) for r in out.collect()) == [(i, f"M-{i}", 2, 2) for i in range(40)]
+    assert "Join" not in _plan(out)

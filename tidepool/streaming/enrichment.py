@@ -55,6 +55,13 @@ def once_each(sink: DataFrame, key: str = "key") -> DataFrame:
     return sink.repartition(FINE_PARTS, key).dropDuplicates([key])
 
 
+def emissions(sink: DataFrame, key: str = "key") -> DataFrame:
+    """Every record once, as ``once_each`` takes it, with its ``copies`` and the number of ``runs`` that emitted it. Its copies are dealt once for all three."""
+    record = F.struct(*[c for c in sink.columns if c not in (key, "run", "batch")])
+    counted = sink.repartition(FINE_PARTS, key).groupBy(key).agg(F.first(record).alias("r"), F.count(F.lit(1)).alias("copies"), F.count_distinct("run").alias("runs"))
+    return counted.select(key, "r.*", "copies", "runs")
+
+
 def continuity_audit(sent: DataFrame, received: DataFrame, col: str = "message") -> DataFrame:
     """Per distinct message: copies sent and received, and whether any went missing,
     were duplicated or appeared without being sent. NULL messages compare equal."""
