@@ -1,6 +1,8 @@
 """Steps whose memory or work must not follow the number of windows, documents or names."""
 
 import datetime as dt
+import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -8,9 +10,10 @@ from tidepool.operators import access as AC
 from tidepool.operators import actions as AN
 from tidepool.operators import config_rules as CR
 from tidepool.operators import diagnostics as D
+from tidepool.operators import fleet as FO
 from tidepool.operators import savepoints as SP
 from tidepool.plans import q_streams as QS
-from tidepool.session import list_names, scratch_path
+from tidepool.session import list_names, scratch_path, shuffles_freed
 from tidepool.sources import topics
 from tidepool.sources.views import SPARK, VIEWS
 from tidepool.streaming import enrichment as EN
@@ -128,3 +131,60 @@ def test_a_restarted_stream_has_no_join(spark, monkeypatch):
     out = QS.restarted_stream(spark, "")
     assert sorted((r["id"], r["message_upper"], r["copies"], r["runs"]) for r in out.collect()) == [(i, f"M-{i}", 2, 2) for i in range(40)]
     assert "Join" not in _plan(out)
+
+
+def _doc(i, state="RUNNING"):
+    return '{"metadata":{"name":"d%d","namespace":"n"},"status":{"jobStatus":{"state":"%s"}}}' % (i, state)
+
+
+def test_documents_of_a_poll_are_parsed_once(spark, monkeypatch):
+    """Also below a join, whose condition on names would else be moved to the scan and parse every document again."""
+    base = scratch_path(spark, "test-parse")
+    monkeypatch.setattr(RS, "FILE_RECORDS", 8)
+    texts = [_doc(i) for i in range(20)] + [_doc(3), '{"metadata":{"namespace":"n"}}', "{}"]
+    RS.write_poll(spark.createDataFrame([(t,) for t in texts], "doc string").coalesce(1), f"{base}/in", 1000, 20)
+    assert len([n for n in list_names(spark, f"{base}/in/poll_ms=1000") if n.startswith("part-")]) == 4
+    docs = RS._arrived(spark, f"{base}/in", 1000)
+    names = RS.poll_names(docs)
+    status = RS.poll_status(docs)
+    assert names.agg(F.count("name")).first()[0] == 20 and _plan(names).count("from_json(") == 2
+    assert {r["name"]: r["job_state"] for r in status.where("name is not null").collect()} == {f"d{i}": "RUNNING" for i in range(20)}
+    registry = spark.createDataFrame([("d1", "n"), ("gone", "n")], "deployment_name string, namespace string")
+    joined = FO.with_snapshot(registry, status)
+    assert _plan(joined).count("from_json(") == 3  # the record, its document and the text of its job's status
+    assert {r["deployment_name"]: r["has_cr"] for r in joined.collect()} == {"d1": True, "gone": False}
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def test_poll_state_has_few_parts(spark, monkeypatch):
+    """However many shuffle partitions the session has; the tables of a pass keep those, and its shuffles go when it ends."""
+    base = scratch_path(spark, "test-parts")
+    registry = spark.createDataFrame([(1, "d1", "n", "creating", "application", None, None, None, None, None, None)],
+                                     "id long, deployment_name string, namespace string, status string, deployment_mode string, pending_action string, error_message string, last_savepoint_path string, created_at timestamp_ntz, updated_at timestamp_ntz, deleted_at timestamp_ntz")
+    RS.write_poll(spark.createDataFrame([(_doc(1),)], "doc string"), f"{base}/in", 1000, 1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    freed = []
+    monkeypatch.setattr(RS, "apply_poll", lambda spark, *a, f=RS.apply_poll: freed.append(spark.conf.get(CLEANUP)) or f(spark, *a))
+    assert RS.reconcile_stream(spark, lambda: registry, f"{base}/in", base) == [(1000, 0)]
+    assert len([n for n in list_names(spark, f"{base}/ckpt/state/0") if n.isdigit()]) == RS.STATE_PARTS < int(before) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert set(freed) == {"true"} and spark.conf.get(CLEANUP) == "false"
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    data = lambda: {f for d in folders for _, _, fs in os.walk(d) for f in fs if f.startswith("shuffle_") and f.endswith(".data")}
+    kept = data()
+    with shuffles_freed(spark):
+        assert spark.range(1000).select((F.col("id") % 7).alias("k")).distinct().agg(F.count("k")).first()[0] == 7
+    until = time.time() + 20
+    while data() - kept and time.time() < until:
+        time.sleep(0.2)
+    assert not data() - kept
+
+
+def test_polls_are_filtered_by_the_name_of_the_view(spark):
+    docs, _, _ = QS._polled(spark, "/root/testdata/sf0.001")
+    assert docs.columns == ["doc", "name"] and "get_json_object" not in _plan(docs.where("length(name) % 2 = 0"))
+    assert docs.where("NOT name <=> get_json_object(doc, '$.metadata.name')").count() == 0

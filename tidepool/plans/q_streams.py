@@ -356,7 +356,7 @@ _FAILS = "CAST(split_part(name, '-', 2) AS BIGINT) % 6 = 1"
 
 
 def _polled(spark, sf):
-    docs = cluster.cr_documents(spark, sf).withColumn("name", F.get_json_object("doc", "$.metadata.name"))
+    docs = cluster.cr_documents(spark, sf, keep=("name",))
     reg = REG.deployments(spark, sf)
     asked = F.col("id") % 13 == 5
     edited = reg.withColumn("pending_action", F.when(asked, "stop").otherwise(F.col("pending_action"))).withColumn("updated_at", F.when(asked, F.expr(_ASKED)).otherwise(F.col("updated_at")))

@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fleet as FL
 from ..operators import fleet as FO
-from ..session import path_exists
-from ..sources import cluster
+from ..session import path_exists, shuffles_freed
 from ..sources import schemas as S
 
 FIELDS = ["status", "pending_action", "error_message", "last_savepoint_path"]
@@ -36,13 +35,22 @@ POLL_DDL = "poll_ms long, n_docs long, doc string"
 LATENESS = "1 hour"
 #: Seconds between two polls while something is in transition.
 POLL_SECONDS = 4.0
+#: Parts of the state, which has a row a poll; each part costs every pass a task and its files.
+STATE_PARTS = 4
+#: Records in one compressed file of a poll at most; a task reads a whole file.
+FILE_RECORDS = 50_000
+
+
+def _blank(spark: SparkSession, n: int) -> DataFrame:
+    """``n`` changes of no deployment."""
+    return spark.range(n).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in CHANGE_DDL.split(", "))])
 
 
 def _log(spark: SparkSession, base: str, before: int | None) -> DataFrame:
     """Rows that batches below ``before`` (all if None) have written."""
     path = f"{base}/changes"
     if not path_exists(spark, path):
-        return spark.createDataFrame([], CHANGE_DDL)
+        return _blank(spark, 0)
     rows = spark.read.schema(f"{CHANGE_DDL}, batch long").parquet(path)
     return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
 
@@ -71,8 +79,14 @@ def current(registry: DataFrame, changed: DataFrame) -> DataFrame:
     return out.drop("_id", "_c", "_at")
 
 
+def _parsed(df: DataFrame, col: str, ddl: str, mode: str) -> DataFrame:
+    """The fields of a JSON column, parsed once a row: conditions on them (a join brings some, too) stay above a generator, while those on a plain column
+    are moved below it and parse the text again."""
+    return df.select(F.inline(F.array(F.from_json(col, ddl, {"mode": mode}))))
+
+
 def _records(raw: DataFrame) -> DataFrame:
-    return raw.select(F.from_json("value", POLL_DDL, {"mode": "FAILFAST"}).alias("p")).select("p.*")
+    return _parsed(raw, "value", POLL_DDL, "FAILFAST")
 
 
 def poll_counts(records: DataFrame) -> DataFrame:
@@ -82,10 +96,19 @@ def poll_counts(records: DataFrame) -> DataFrame:
 
 
 def _arrived(spark: SparkSession, polls_path: str, poll: int) -> DataFrame:
-    """doc, namespace and name of every record of one poll that has a name, copies too."""
-    docs = _records(spark.read.schema("value string, poll_ms long").text(polls_path).where(F.col("poll_ms") == poll)).where("doc is not null").select("doc")
-    head = F.from_json("doc", "metadata struct<namespace: string, name: string>")
-    return docs.select("doc", head.alias("h")).select("doc", "h.metadata.namespace", "h.metadata.name")
+    """doc of every record of one poll, copies too, and null of those that end a listing."""
+    return _records(spark.read.schema("value string, poll_ms long").text(polls_path).where(F.col("poll_ms") == poll)).select("doc")
+
+
+def poll_names(docs: DataFrame) -> DataFrame:
+    """namespace and name of documents, each once; the name is null for what has none."""
+    return _parsed(docs, "doc", "metadata struct<namespace: string, name: string>", "PERMISSIVE").select("metadata.namespace", "metadata.name").distinct()
+
+
+def poll_status(docs: DataFrame) -> DataFrame:
+    """The status of documents, one of each (namespace, name); they are dealt first, so that no task sorts them twice."""
+    status = FO.cr_status(_parsed(docs, "doc", S.CR_DDL, "FAILFAST"))
+    return status.repartition("namespace", "name").dropDuplicates(["namespace", "name"])
 
 
 def apply_poll(spark: SparkSession, read_registry: Callable[[], DataFrame], counts: DataFrame, batch_id: int, polls_path: str, base: str) -> tuple[int, int] | None:
@@ -96,19 +119,18 @@ def apply_poll(spark: SparkSession, read_registry: Callable[[], DataFrame], coun
     for at, n_docs in sorted(enough, reverse=True):
         if last is not None and at <= last:
             return None
-        once = _arrived(spark, polls_path, at).where("name is not null").select("namespace", "name").distinct()
-        if not n_docs or once.count() >= n_docs:
+        if not n_docs or poll_names(_arrived(spark, polls_path, at)).agg(F.count("name")).first()[0] >= n_docs:
             poll = at
             break
     if poll is None:
         return None
-    status = FO.cr_status(cluster.parse_documents(_arrived(spark, polls_path, poll).select("doc"), S.CR_DDL)).dropDuplicates(["namespace", "name"])
+    status = poll_status(_arrived(spark, polls_path, poll))
     before = current(FO.live(read_registry()), changes(spark, base, batch_id))
     seen = Observation(f"poll-{batch_id}")
     moving = F.count_if(FL.in_transition(F.col("status"), F.col("pending_action")))
     done = FO.changed_rows(FO.reconcile(before, status).observe(seen, moving.alias("moving")))
     at = F.lit(poll).cast("long").alias("poll_ms")
-    mark = spark.range(1).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in CHANGE_DDL.split(", ")[:-1])], at)
+    mark = _blank(spark, 1).withColumn("poll_ms", at)
     done.select("id", *FIELDS, "captured_savepoint", at).unionByName(mark).write.mode("overwrite").parquet(f"{base}/changes/batch={batch_id}")
     return poll, seen.get["moving"]
 
@@ -116,11 +138,14 @@ def apply_poll(spark: SparkSession, read_registry: Callable[[], DataFrame], coun
 def reconcile_stream(spark: SparkSession, read_registry: Callable[[], DataFrame], polls_path: str, base: str) -> list[tuple[int, int]]:
     """Run one availableNow pass over newly arrived poll records (call again after more arrive); the polls applied, with
     the number of deployments that each leaves in transition."""
-    raw = spark.readStream.schema("value string, poll_ms long").format("text").load(polls_path)
+    counting = spark.newSession()
+    counting.conf.set("spark.sql.shuffle.partitions", STATE_PARTS)
+    raw = counting.readStream.schema("value string, poll_ms long").format("text").load(polls_path)
     applied: list[tuple[int, int]] = []
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        found = apply_poll(spark, read_registry, batch, batch_id, polls_path, base)
+        with shuffles_freed(spark):
+            found = apply_poll(spark, read_registry, batch, batch_id, polls_path, base)
         if found:
             applied.append(found)
 
@@ -151,4 +176,4 @@ def write_poll(docs: DataFrame, path: str, poll_ms: int, n_docs: int, last: bool
     if last:
         docs = docs.select("doc").unionByName(docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("doc")))
     rec = F.struct(F.lit(poll_ms).cast("long").alias("poll_ms"), F.lit(n_docs).cast("long").alias("n_docs"), F.col("doc"))
-    docs.select(F.to_json(rec).alias("value")).write.mode("append").option("compression", "gzip").text(f"{path}/poll_ms={poll_ms}")
+    docs.select(F.to_json(rec).alias("value")).write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(f"{path}/poll_ms={poll_ms}")
